@@ -102,14 +102,13 @@ def flag_top_quantile(
     q: float,
     out: str,
     method: str = "higher",
-    floor_value: float = 0.0,
 ) -> DataFrame:
-    """1 where ``value`` reaches its group's quantile (the global one where the group has none)."""
+    """1 where a non-null ``value`` reaches its group's quantile (that of all rows, NULL as 0,
+    where the group has none)."""
     keys = as_list(keys)
     local = quantiles(df, keys, value, {"_cut": q}, method)
-    overall = quantiles(df, [], value, {"_all": q}, method)
+    filled = df.select(F.coalesce(F.col(value), F.lit(0.0)).alias(value))
+    overall = quantiles(filled, [], value, {"_all": q}, method)
     wide = join_on(df, local, keys, "left").withColumn("_all", overall.scalar())
     cut = F.coalesce(F.col("_cut"), F.col("_all"))
-    return wide.withColumn(
-        out, F.when((F.col(value) >= cut) & (F.col(value) > floor_value), 1).otherwise(0)
-    ).drop("_cut", "_all")
+    return wide.withColumn(out, F.when(F.col(value) >= cut, 1).otherwise(0)).drop("_cut", "_all")
