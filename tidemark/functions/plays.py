@@ -143,7 +143,10 @@ def coerce_numbers(df: DataFrame) -> DataFrame:
 
 
 def with_situation(df: DataFrame) -> DataFrame:
-    """``situ_*`` flags. An unknown input leaves its flag at 0."""
+    """``situ_*`` flags. An unknown input leaves its flag at 0.
+
+    After :func:`coerce_numbers` an unknown clock reads 0, which counts as inside the last minutes.
+    """
     diff, togo = or0("score_differential"), or0("ydstogo")
     line = F.coalesce(F.col("yardline_100").cast("double"), F.lit(100.0))
     two_minute = F.coalesce(F.col("half_seconds_remaining"), F.lit(9999.0)) <= 120

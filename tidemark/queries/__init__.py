@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("core", "events")
+MODULES = ("core", "events", "derived")
 
 
 def load_all() -> ModuleType:

@@ -19,9 +19,9 @@ def sums(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 SITUATION_SQL = {
-    "situ_two_minute": "coalesce(half_seconds_remaining, 9999) <= 120",
+    "situ_two_minute": "coalesce(half_seconds_remaining, 0) <= 120",
     "situ_final_four_minutes": "game_seconds_remaining <= 240",
-    "situ_hurry_up": "coalesce(no_huddle, 0) = 1 OR coalesce(half_seconds_remaining, 9999) <= 120",
+    "situ_hurry_up": "coalesce(no_huddle, 0) = 1 OR coalesce(half_seconds_remaining, 0) <= 120",
     "situ_red_zone": "coalesce(yardline_100, 100) <= 20",
     "situ_goal_line": "coalesce(yardline_100, 100) <= 5 OR goal_to_go = 1",
     "situ_third_down": "down = 3",
@@ -586,7 +586,7 @@ def _pivot_flag_shares(t) -> DataFrame:
 
 @query(
     "shifted_target",
-    "SELECT o_custkey, o_orderkey, lead(o_totalprice) OVER w AS next_price FROM orders QUALIFY next_price IS NOT NULL WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
+    "SELECT o_custkey, o_orderkey, lead(o_totalprice) OVER w AS next_price FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) QUALIFY next_price IS NOT NULL",
 )
 def _shifted_target(t) -> DataFrame:
     from ..functions.expectations import shifted_target

@@ -118,3 +118,83 @@ def player_games(lineitem: DataFrame, *names: str) -> DataFrame:
 def player_games_sql(*names: str, table: str = "pg") -> str:
     chosen = names or tuple(PLAYER_GAMES)
     return f"{table} AS (SELECT " + ", ".join(f"{PLAYER_GAMES[n]} AS {n}" for n in chosen) + " FROM lineitem)"
+
+
+def _pct(seed: int, modulus: int, null_every: int) -> str:
+    """A share between 0 and 1 that depends on the part key, NULL now and then."""
+    return f"CASE WHEN p_partkey % {null_every} = 0 THEN NULL ELSE CAST(p_partkey * {seed} % {modulus} AS DOUBLE) / {modulus} END"
+
+
+# One row per part, seen as a player with finished history columns.
+PLAYERS = {
+    "player_id": "p_partkey",
+    "position": "CASE p_partkey % 8 WHEN 0 THEN 'RB' WHEN 1 THEN 'WR' WHEN 2 THEN 'TE' WHEN 3 THEN 'QB' WHEN 4 THEN 'FB' WHEN 5 THEN 'HB' WHEN 6 THEN 'K' ELSE 'WR' END",
+    "depth_chart_position": "CASE p_partkey % 5 WHEN 0 THEN 'FB' WHEN 1 THEN 'P' ELSE 'WR' END",
+    "hist_carry_share_l3": _pct(7, 97, 13),
+    "hist_carry_share_prev": _pct(11, 89, 17),
+    "hist_target_share_l3": _pct(5, 211, 19),
+    "hist_target_share_prev": _pct(3, 223, 23),
+    "hist_red_zone_target_share_l3": _pct(13, 101, 11),
+    "hist_goal_to_go_target_share_l3": _pct(17, 103, 29),
+    "hist_red_zone_carry_share_l3": _pct(19, 107, 31),
+    "hist_goal_to_go_carry_share_l3": _pct(23, 109, 7),
+    "snap_offense_pct_l3": _pct(29, 113, 37),
+    "snap_offense_pct_prev": _pct(31, 127, 41),
+    "snap_st_pct_l3": _pct(59, 131, 43),
+    "snap_volatility_cv_l5": _pct(37, 131, 43),
+    "max_snap_pct_l5": _pct(41, 137, 47),
+    "depth_chart_order": "CASE WHEN p_partkey % 53 = 0 THEN NULL ELSE p_partkey % 4 + 1 END",
+    "team_ctx_pass_rate_l3": _pct(43, 139, 59),
+    "team_ctx_carries_l3": "CASE WHEN p_partkey % 61 = 0 THEN NULL ELSE CAST(p_partkey % 80 AS DOUBLE) END",
+    "team_ctx_offensive_plays_l3": "CAST(p_partkey % 70 + 10 AS DOUBLE)",
+    "team_ctx_offensive_plays_prev": "CAST(p_partkey % 60 + 5 AS DOUBLE)",
+    "opp_ctx_offensive_plays_l3": "CAST(p_partkey % 50 + 20 AS DOUBLE)",
+    "opp_ctx_offensive_plays_prev": "CAST(p_partkey % 40 + 20 AS DOUBLE)",
+    "team_ctx_red_zone_play_rate_l3": _pct(47, 149, 67),
+    "team_ctx_goal_to_go_play_rate_l3": _pct(53, 151, 71),
+    "opp_ctx_red_zone_play_rate_l3": _pct(61, 157, 73),
+    "opp_ctx_td_per_play_l3": _pct(67, 163, 79),
+    "opp_ctx_rush_rate_l3": _pct(71, 167, 83),
+    "qb_profile_scramble_rate_l3": _pct(73, 173, 89),
+    "qb_profile_team_rush_attempts_l3": "CAST(p_partkey % 12 AS DOUBLE)",
+    "qb_profile_team_dropbacks_l3": "CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE CAST(p_partkey % 45 AS DOUBLE) END",
+    "qb_profile_avg_air_yards_l3": "CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_partkey % 18 AS DOUBLE) END",
+    "ps_hist_route_participation_plays_l3": "CAST(p_partkey % 40 AS DOUBLE)",
+    "ps_hist_route_participation_pct_l3": _pct(79, 179, 31),
+    "ps_hist_targets_slot_share_l3": _pct(83, 181, 29),
+    "ps_hist_targets_wide_share_l3": _pct(89, 191, 23),
+    "is_inactive": "CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END",
+    "team": "CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'B' END",
+    "home_team": "CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'C' END",
+    "away_team": "'B'",
+    "total_line": "CASE WHEN p_partkey % 101 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) + 20.5 END",
+    "spread_line": "CAST(p_size AS DOUBLE) / 4 - 6",
+    "market_anytime_td_spread": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_retailprice END",
+    "hist_air_yards_sum_l3": "CAST(p_partkey % 90 AS DOUBLE)",
+    "hist_targets_l3": "CAST(p_partkey % 9 AS DOUBLE)",
+    "hist_air_yards_sum_l5": "CAST(p_partkey % 170 AS DOUBLE)",
+    "hist_targets_l5": "CAST(p_partkey % 19 AS DOUBLE)",
+    "air_yards_prev_game": "CAST(p_partkey % 50 AS DOUBLE)",
+    "targets_prev_game": "CAST(p_partkey % 6 AS DOUBLE)",
+    "hist_catch_rate_l5": _pct(97, 193, 101),
+    "hist_targets_count_l5": "CAST(p_partkey % 31 AS INT)",
+    "injury_practice_status_day1": "CASE p_partkey % 4 WHEN 0 THEN 'DNP' WHEN 1 THEN 'Limited' WHEN 2 THEN 'FP' END",
+    "injury_practice_status_day2": "CASE p_partkey % 5 WHEN 0 THEN 'dnp' WHEN 1 THEN 'LP' WHEN 2 THEN 'Full' ELSE 'Limited' END",
+    "injury_practice_status_day3": "CASE p_partkey % 3 WHEN 0 THEN 'LP' ELSE 'Full' END",
+    "status": "CASE p_partkey % 6 WHEN 0 THEN 'ACTIVATED' WHEN 1 THEN 'IR-R' WHEN 2 THEN 'Reserve/x' WHEN 3 THEN 'CUT' ELSE 'ACT' END",
+    "injury_game_designation": "CASE p_partkey % 10 WHEN 0 THEN 'Out' WHEN 1 THEN 'doubtful' WHEN 2 THEN 'Questionable' WHEN 3 THEN '' END",
+    "injury_report_status": "CASE p_partkey % 14 WHEN 0 THEN 'Out' WHEN 1 THEN 'Doubtful' END",
+    "injury_practice_status": "CASE p_partkey % 5 WHEN 0 THEN 'DID NOT PARTICIPATE' WHEN 1 THEN 'LIMITED' WHEN 2 THEN 'FULL' END",
+    "injury_practice_dnp_count": "p_partkey % 4",
+    "injury_inactive_probability_model": _pct(101, 197, 5),
+}
+
+
+def players(part: DataFrame, *names: str) -> DataFrame:
+    chosen = names or tuple(PLAYERS)
+    return part.selectExpr(*[f"{PLAYERS[n]} AS {n}" for n in chosen])
+
+
+def players_sql(*names: str, table: str = "pl") -> str:
+    chosen = names or tuple(PLAYERS)
+    return f"{table} AS (SELECT " + ", ".join(f"{PLAYERS[n]} AS {n}" for n in chosen) + " FROM part)"
