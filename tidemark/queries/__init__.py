@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("core", "events", "derived")
+MODULES = ("core", "events", "derived", "evaluate")
 
 
 def load_all() -> ModuleType:
