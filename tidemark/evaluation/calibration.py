@@ -56,7 +56,7 @@ def _logistic(df: DataFrame, score: str, label: str, features: Mapping[str, Call
     table = _weighted(df, score, label)
     table = table.withColumns({n: f(F.col("_p")) for n, f in features.items()})
     vectors = VectorAssembler(inputCols=list(features), outputCol="_x").transform(table)
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=200, tol=1e-9).fit(vectors)
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=100, tol=1e-6).fit(vectors)
     weights, intercept = [float(c) for c in model.coefficients], float(model.intercept)
 
     def apply(frame: DataFrame, source: str, out: str) -> DataFrame:

@@ -505,7 +505,7 @@ def _feed_latency(t) -> DataFrame:
 @query(
     "feed_arrivals",
     f"""SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, min(ts) AS first_arrival, max(ts) AS last_arrival, count(*) AS rows, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS categories,
-  {r("(epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY) - epoch_us(max(ts))) / 60e6", 'minutes_to_start', 3)} FROM events GROUP BY user_id, CAST(ts AS DATE)""",
+  round(round((epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY) - epoch_us(max(ts))) / 60e6, 3) + 1e-6, 3) AS minutes_to_start FROM events GROUP BY user_id, CAST(ts AS DATE)""",
 )
 def _feed_arrivals(t) -> DataFrame:
     e = t.events.withColumns({"day": F.to_date("ts").cast("string"), "start": F.to_date("ts").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")})
