@@ -321,9 +321,7 @@ def history_bias(df: DataFrame, volume: str, error: str, edges: Sequence[float],
 def ks_distance(df: DataFrame, value: str, label: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance with its asymptotic p-value."""
     ranked = value_ranks(df.where(F.col(label).isNotNull()), [], value, {"_pos": flag(F.col(label) == 1)})
-    top = ranked.agg(F.sum("_pos").alias("p"), F.sum(F.col("_c") - F.col("_pos")).alias("n"))
-    p, n = top.select("p").scalar(), top.select("n").scalar()
-    based = ranked.withColumns({"_p": p, "_n": n})
+    based = ranked.withColumns({"_p": F.col("_pos_total"), "_n": F.col("_total") - F.col("_pos_total")})
     up_pos, up_all = F.col("_pos_before") + F.col("_pos"), F.col("_before") + F.col("_c")
     gap = F.abs(up_pos / F.col("_p") - (up_all - up_pos) / F.col("_n"))
     out = based.agg(F.max(gap).alias("ks"), F.max("_p").alias("n_pos"), F.max("_n").alias("n_neg"))

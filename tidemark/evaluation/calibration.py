@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import as_list, attach_totals, clip, flag, join_on, nz
 from ..operators.quantiles import quantiles, value_ranks
+from ..session import cut_lineage
 from .scores import ece, equal_width_bin, select_threshold
 
 Apply = Callable[[DataFrame, str, str], DataFrame]
@@ -117,7 +118,8 @@ def choose_calibrator(df: DataFrame, folds: DataFrame, group: str, score: str, l
     """(method, its out-of-fold equal-mass ECE, threshold, calibrator fitted on all rows)."""
     best = None
     for method in methods:
-        oof = out_of_fold(df, folds, group, score, label, method)
+        # The score table is ranked, bucketed and searched for a threshold: keep it once.
+        oof = cut_lineage(out_of_fold(df, folds, group, score, label, method).select("oof", label))
         error = ece(oof, "oof", label, 10, mass=True).first()["ece"]
         if best is None or error < best[1]:
             best = (method, error, oof)

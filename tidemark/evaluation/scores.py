@@ -22,14 +22,7 @@ def score_ranks(df: DataFrame, score: str, label: str, keys: Sequence[str] = ())
     """Distinct scores with ``n``, ``pos``, what lies below them, and group totals."""
     keys = as_list(keys)
     labelled = df.where(F.col(label).isNotNull()).select(*keys, score, F.col(label).cast("double").alias("_y"))
-    ranked = value_ranks(labelled, keys, score, {"_pos": F.col("_y")})
-    totals = {"_positives": F.sum("_pos")}
-    if keys:
-        ranked = attach_totals(ranked, keys, totals)
-    else:
-        base = labelled.where(F.col(score).isNotNull()).agg(F.sum("_y").alias("p"))
-        ranked = ranked.withColumn("_positives", base.scalar())
-    return ranked
+    return value_ranks(labelled, keys, score, {"_pos": F.col("_y")}).withColumnRenamed("_pos_total", "_positives")
 
 
 def _group(df: DataFrame, keys: Sequence[str]):

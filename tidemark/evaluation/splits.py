@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import attach_totals, join_on, nz, ratio
 from ..operators.prior import prefix_sums
+from ..session import cut_lineage
 
 
 def split_by_dates(df: DataFrame, day: str, train_end, val_end, test_end=None, out: str = "split") -> DataFrame:
@@ -172,7 +173,7 @@ def purged_folds(
         table = table.where("role != 'train'").withColumns({"_back": F.lit(0), "_age": F.lit(0)}).unionByName(
             ranked.where(F.col("_age") < max_train_groups).withColumn("_back", F.lit(0)), allowMissingColumns=True
         )
-    return table.select(group, "fold", "role", "position")
+    return cut_lineage(table.select(group, "fold", "role", "position"))
 
 
 def block_folds(
@@ -195,7 +196,7 @@ def block_folds(
     role = F.when((p >= start) & (p < start + size), "test").when((p >= lowest) & (p < start - gap) & ~after, "train")
     table = long.withColumn("role", role).where(F.col("role").isNotNull())
     table = attach_totals(table, "fold", {"_train": F.sum(F.when(F.col("role") == "train", 1).otherwise(0))})
-    return table.where(F.col("_train") > 0).select(group, "fold", "role", "position")
+    return cut_lineage(table.where(F.col("_train") > 0).select(group, "fold", "role", "position"))
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:

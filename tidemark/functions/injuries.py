@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,10 @@ def inactive_probability(report: Column, practice: Column, dnp_count: Column | N
     return F.coalesce(base, F.lit(UNKNOWN_PROB))
 
 
+def _says(text: str, status: Column) -> Column:
+    return status.contains(text)
+
+
 def report_summary(
     reports: DataFrame,
     keys: Sequence[str] = ("season", "week", "player_id"),
@@ -79,7 +83,7 @@ def report_summary(
         "injury_is_listed": F.lit(1),
     }
     for name, text in PRACTICE_KINDS:
-        columns[f"injury_practice_{name}_last3"] = nz(F.size(F.filter(last3, lambda e, text=text: e.contains(text))))
+        columns[f"injury_practice_{name}_last3"] = nz(F.size(F.filter(last3, partial(_says, text))))
     out = out.withColumns(columns)
     last, before = F.try_element_at("_times", F.lit(-1))[reported], F.try_element_at("_times", F.lit(-2))[reported]
     whole_hours = lambda a, b: F.floor(seconds_between(a, b) / 60) / 60

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import attach_totals, join_on, latest_by
 from ..operators.quantiles import quantiles
+from ..session import cut_lineage
 from .text import last_name
 
 # Spread of final margins around the line.
@@ -102,7 +103,9 @@ def consensus(outcomes: DataFrame, keys: Sequence[str], home: str = "home_team",
         if wanted:
             hit = hit & (F.col("_side") == wanted)
         picks.append(F.when(hit, F.struct(F.lit(name).alias("metric"), F.col(field).alias("value"))))
+    # Parsed quotes feed the sizing pass, the ranks and the deviations: parse the JSON once.
     long = base.where(priced).select(*keys, F.explode(F.array_compact(F.array(*picks))).alias("_q")).select(*keys, "_q.metric", "_q.value")
+    long = cut_lineage(long)
     medians = quantiles(long, [*keys, "metric"], "value", {"mid": 0.5})
     spread = long.groupBy(*keys, "metric").agg(F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
     stats = join_on(medians, spread, [*keys, "metric"])

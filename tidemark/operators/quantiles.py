@@ -9,29 +9,37 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import as_list, attach_totals, join_on
 from .prior import prefix_sums
+from .slices import has_hot_key, plan_slices
 
 
 def value_ranks(df: DataFrame, keys: str | Sequence[str], value: str, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Distinct values per group with count ``_c``, rows before ``_before`` and group size ``_total``.
 
-    ``extra`` adds more sums per distinct value (``name`` and ``name_before``), e.g. positives.
+    ``extra`` adds more sums per distinct value (``name``, ``name_before``, ``name_total``), e.g.
+    positives.
     """
     keys = as_list(keys)
     extra = dict(extra or {})
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(n) for n, c in extra.items()]
-    )
+    valued = df.where(F.col(value).isNotNull())
+    counts = valued.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(n) for n, c in extra.items()])
     sums = {"_before": F.col("_c")} | {f"{n}_before": F.col(n) for n in extra}
-    ranked = prefix_sums(counts, keys, value, sums)
+    # Distinct values are at most the rows, so the cheap row count rules out hot groups first.
+    plan = plan_slices(counts, keys, value) if has_hot_key(valued.select(*keys), keys) else None
+    ranked = prefix_sums(counts, keys, value, sums, plan=plan)
+    totals = {"_total": F.col("_c")} | {f"{n}_total": F.col(n) for n in extra}
+    if plan is None or not plan.any_hot:
+        # Bounded groups: the total shares the window's partitioning, no join and no second scan.
+        whole = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)]))
+        return ranked.withColumns({n: F.sum(c).over(whole) for n, c in totals.items()})
     if keys:
-        return attach_totals(ranked, keys, {"_total": F.sum("_c")})
-    total = counts.agg(F.sum("_c").alias("_total"))
-    return ranked.withColumn("_total", total.scalar())
+        return attach_totals(ranked, keys, {n: F.sum(c) for n, c in totals.items()})
+    row = counts.agg(*[F.sum(c).alias(n) for n, c in totals.items()])
+    return ranked.withColumns({n: row.select(n).scalar() for n in totals})
 
 
 def quantiles(

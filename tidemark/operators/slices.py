@@ -4,6 +4,7 @@ A window partitioned by a key puts the whole key into one task. Where a key may
 of all rows that task never ends, so ordered operators here cut hot keys into slices along the
 order column and carry the needed state from slice to slice.
 
+A frame whose estimated size is small skips all of this. Otherwise
 ``plan_slices`` runs one column-pruned, map-side combined count per key. A key is *hot* when it
 holds more than ``floor`` rows and more than ``1/parts`` of all rows, so at most ``parts`` keys
 can be hot and the slice table has at most about ``2 * parts`` edges: its size is bounded by
@@ -24,7 +25,9 @@ from .keys import as_list, join_on, order_value
 
 FLOOR_CONF = "spark.tidemark.hot.floor"
 PARTS_CONF = "spark.tidemark.hot.parts"
+SMALL_CONF = "spark.tidemark.small.bytes"
 DEFAULT_FLOOR = 2_000_000
+DEFAULT_SMALL = 64 * 1024 * 1024
 DEFAULT_PARTS = 2048
 SKETCH_POINTS = 1024
 SKETCH_ACCURACY = 20_000
@@ -46,6 +49,29 @@ class SlicePlan:
         return self.table is not None
 
 
+def surely_small(df: DataFrame) -> bool:
+    """The optimizer's own size estimate (the one behind automatic broadcasts) is small.
+
+    A frame this small fits one task as a whole, so none of its keys can be hot. An unknown size
+    counts as large.
+    """
+    limit = int(df.sparkSession.conf.get(SMALL_CONF, str(DEFAULT_SMALL)))
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(stats.sizeInBytes().toString()) <= limit
+    except AttributeError:
+        return False
+
+
+def has_hot_key(df: DataFrame, keys: str | Sequence[str], floor: int | None = None) -> bool:
+    """Whether any key holds more than ``floor`` rows: one narrow, map-side combined count."""
+    if surely_small(df):
+        return False
+    floor = int(floor if floor is not None else df.sparkSession.conf.get(FLOOR_CONF, str(DEFAULT_FLOOR)))
+    counts = df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.where(F.col("_n") > floor).isEmpty()
+
+
 def plan_slices(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -55,6 +81,8 @@ def plan_slices(
 ) -> SlicePlan:
     """Find the hot keys of ``df`` and the order values at which they are cut."""
     keys = as_list(keys)
+    if surely_small(df):
+        return SlicePlan(tuple(keys), order, None)
     spark = df.sparkSession
     floor = int(floor if floor is not None else spark.conf.get(FLOOR_CONF, str(DEFAULT_FLOOR)))
     parts = int(parts if parts is not None else spark.conf.get(PARTS_CONF, str(DEFAULT_PARTS)))

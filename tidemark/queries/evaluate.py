@@ -11,6 +11,7 @@ from ..evaluation import scores as M
 from ..evaluation import splits as X
 from ..functions.expectations import expected_value, fit_team_totals, sample_weights, scale_to_team_totals, tail_parameters
 from ..operators.quantiles import flag_top_quantile, quantile_bucket, quantiles
+from ..session import cut_lineage
 from .registry import query, r, rd, rounded, rs
 
 _SCORED = {
@@ -367,7 +368,8 @@ def _calibrator_choice(t) -> DataFrame:
     folds = X.block_folds(s, "grp", "ts", 2, gap=1)
     out = None
     for method in ("sigmoid", "beta", "isotonic", "hist", "raw"):
-        error = M.ece(K.out_of_fold(s, folds, "grp", "p", "y", method), "oof", "y", 10, mass=True).select(F.lit(method).alias("method"), "ece", "mce")
+        oof = cut_lineage(K.out_of_fold(s, folds, "grp", "p", "y", method).select("oof", "y"))
+        error = M.ece(oof, "oof", "y", 10, mass=True).select(F.lit(method).alias("method"), "ece", "mce")
         out = error if out is None else out.unionByName(error)
     return out
 

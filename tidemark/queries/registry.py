@@ -56,7 +56,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def r(expr: str, name: str, digits: int = 6) -> str:
     """SQL text of the same rounding (``+ 0.0`` turns -0.0 into 0.0)."""
-    return f"round(CAST({expr} AS DOUBLE) + 1e-{digits + 3}, {digits}) + 0.0 AS {name}"
+    return f'round(CAST({expr} AS DOUBLE) + 1e-{digits + 3}, {digits}) + 0.0 AS "{name}"'
 
 
 def rs(pairs: dict[str, str], digits: int = 6) -> str:

@@ -393,7 +393,7 @@ def _odds_snapshot_moves(t) -> DataFrame:
     f"""WITH q AS (SELECT user_id AS g, ts, value AS price, 'Ann O''Neil-' || chr(CAST(97 + event_id % 5 AS INT)) || CASE WHEN event_id % 2 = 0 THEN ' Jr.' ELSE '' END AS nm, CASE WHEN event_id % 9 = 0 THEN 'No ' ELSE 'Yes' END AS oc, date_trunc('day', ts) AS snap FROM events),
 st AS (SELECT g, max(ts) AS st FROM q GROUP BY 1), us AS (SELECT q.*, 'o''neil-' || chr(CAST(97 + ascii(substring(nm, 12, 1)) - 97 AS INT)) AS k FROM q JOIN st USING (g) WHERE epoch_us(snap) <= floor((epoch_us(st) - 900000000) / 300000000) * 300000000),
 nw AS (SELECT g, max(snap) AS mx FROM us GROUP BY 1), p AS (SELECT us.g, k, median(price) AS m FROM us JOIN nw ON us.g = nw.g AND us.snap = nw.mx WHERE lower(trim(oc)) <> 'no' GROUP BY ALL),
-pl AS (SELECT DISTINCT g, chr(CAST(97 + i AS INT)) AS c FROM q, range(5) t(i)) SELECT pl.g AS game_id, pl.c, p.m AS odds_anytime_td_price FROM pl LEFT JOIN p ON p.g = pl.g AND p.k = 'o''neil-' || pl.c""",
+pl AS (SELECT DISTINCT g, chr(CAST(97 + i AS INT)) AS c FROM q, range(5) t(i)) SELECT pl.g AS game_id, pl.c, {r('p.m', 'odds_anytime_td_price')} FROM pl LEFT JOIN p ON p.g = pl.g AND p.k = 'o''neil-' || pl.c""",
 )
 def _player_price_consensus(t) -> DataFrame:
     q = t.events.selectExpr(
@@ -402,7 +402,7 @@ def _player_price_consensus(t) -> DataFrame:
     )
     q = attach_totals(q, "game_id", {"start_ts": F.max("ts")})
     pl = q.select("game_id").distinct().withColumn("c", F.explode(F.array(*[F.lit(x) for x in "abcde"]))).withColumn("player_name", F.concat(F.lit("B. O'Neil-"), F.col("c")))
-    return market.player_consensus(q, pl).select("game_id", "c", "odds_anytime_td_price")
+    return rounded(market.player_consensus(q, pl).select("game_id", "c", "odds_anytime_td_price"))
 
 
 @query(
