@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import attach_totals, join_on, latest_by
 from ..operators.quantiles import quantiles
+from ..operators.slices import spread
 from ..session import cut_lineage
 from .text import last_name
 
@@ -22,10 +23,11 @@ MOVING = (
     "moneyline_home", "moneyline_away", "spread_line", "spread_home_price", "spread_away_price", "total_line",
     "total_over_price", "total_under_price", "implied_prob_home", "implied_prob_away", "moneyline_vig",
 )
-ODDS_SCHEMA = (
-    "struct<bookmakers:array<struct<key:string,markets:array<struct<key:string,"
-    "outcomes:array<struct<name:string,description:string,price:double,point:double>>>>>>>"
+BOOKS = (
+    "array<struct<key:string,markets:array<struct<key:string,"
+    "outcomes:array<struct<name:string,description:string,price:double,point:double>>>>>>"
 )
+ODDS_SCHEMA = f"struct<data:struct<bookmakers:{BOOKS}>,bookmakers:{BOOKS}>"
 
 
 def american_to_prob(price: Column) -> Column:
@@ -61,11 +63,11 @@ def explode_outcomes(snapshots: DataFrame, keys: Sequence[str], payload: str = "
 
     The body may or may not sit under ``data``; ``from_json`` needs only the fields we read.
     """
-    inner = F.from_json(F.col(payload), ODDS_SCHEMA)
-    wrapped = F.from_json(F.col(payload), f"struct<data:{ODDS_SCHEMA}>")["data"]
-    parsed = snapshots.select(*keys, F.coalesce(wrapped["bookmakers"], inner["bookmakers"]).alias("_books"))
-    books = parsed.select(*keys, F.explode("_books").alias("_b"))
-    markets = books.select(*keys, F.col("_b.key").alias("book"), F.explode("_b.markets").alias("_m"))
+    body = F.from_json(F.col(payload), ODDS_SCHEMA)
+    parsed = spread(snapshots, [payload]).select(*keys, body.alias("_j")).select(*keys, F.coalesce("_j.data.bookmakers", "_j.bookmakers").alias("_books"))
+    # Outer explodes: an inner one infers a filter that would parse the text a second time.
+    books = parsed.select(*keys, F.explode_outer("_books").alias("_b"))
+    markets = books.select(*keys, F.col("_b.key").alias("book"), F.explode_outer("_b.markets").alias("_m")).where(F.col("_m.key").isNotNull())
     return markets.select(*keys, "book", F.col("_m.key").alias("market"), F.explode_outer("_m.outcomes").alias("_o")).select(
         *keys, "book", "market", F.col("_o.name").alias("outcome"), F.col("_o.description").alias("description"),
         F.col("_o.price").alias("price"), F.col("_o.point").alias("point"),
@@ -107,15 +109,16 @@ def consensus(outcomes: DataFrame, keys: Sequence[str], home: str = "home_team",
     long = base.where(priced).select(*keys, F.explode(F.array_compact(F.array(*picks))).alias("_q")).select(*keys, "_q.metric", "_q.value")
     long = cut_lineage(long)
     medians = quantiles(long, [*keys, "metric"], "value", {"mid": 0.5})
-    spread = long.groupBy(*keys, "metric").agg(F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
-    stats = join_on(medians, spread, [*keys, "metric"])
-    wide = stats.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("metric") == n, F.col("mid"))).alias(n) for n in CONSENSUS],
-        *[F.max(F.when((F.col("metric") == n) & (F.col("n") >= 2), F.col("sd"))).alias(f"{n}_std") for n in ("spread_line", "total_line")],
-    )
-    books = outcomes.groupBy(*keys).agg(
-        *[F.countDistinct(F.when(F.col("market") == m, F.col("book"))).alias(n) for m, n in BOOK_COUNTS.items()]
+    wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == n, F.col("mid"))).alias(n) for n in CONSENSUS])
+    lines = ("spread_line", "total_line")
+    quoted = {n: F.when(F.col("metric") == n, F.col("value")) for n in lines}
+    spreads = long.where(F.col("metric").isin(*lines)).groupBy(*keys).agg(
+        *[F.when(F.count(c) >= 2, F.stddev_pop(c)).alias(f"{n}_std") for n, c in quoted.items()]
     )
+    wide = join_on(wide, spreads, list(keys))
+    # Distinct books by a first grouping: several distinct counts would copy every row per count.
+    listed = outcomes.groupBy(*keys, "market", "book").agg(F.count(F.lit(1)).alias("_n"))
+    books = listed.groupBy(*keys).agg(*[F.sum(F.when(F.col("market") == m, 1).otherwise(0)).alias(n) for m, n in BOOK_COUNTS.items()])
     out = join_on(books, wide, list(keys))
     out = out.withColumns({n: F.when(F.col(n) > 0, F.col(n).cast("double")) for n in BOOK_COUNTS.values()})
     return with_market_probs(out)

@@ -33,8 +33,7 @@ def asof_join(
 ) -> DataFrame:
     """Left rows with the ``columns`` of the nearest right row at or before (after) ``left_ts``.
 
-    Right rows that share key and time are first reduced to one by ``tie_break`` (greatest wins),
-    which also bounds the right side by distinct times. Left rows with a NULL key or time match
+    Among right rows that share key and time the greatest by ``tie_break`` wins. Left rows with a NULL key or time match
     nothing but are kept. ``matched_ts`` names an output column for the time of the match.
     """
     on = as_list(on)
@@ -44,17 +43,16 @@ def asof_join(
         raise ValueError(direction)
 
     payload = F.struct(F.col(right_ts).alias("_rt"), *columns)
-    best = F.max_by(payload, F.struct(*[F.col(c) for c in (*tie_break, *columns)])) if tie_break or columns else F.max(payload)
-    feed = (
-        right.where(F.col(right_ts).isNotNull())
-        .groupBy(*on, F.col(right_ts).alias("_t"))
-        .agg(best.alias("_payload"))
-        .withColumns({"_left": F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType)})
+    rank = F.struct(*[F.col(c) for c in (*tie_break, *columns)]) if tie_break or columns else F.struct(right_ts)
+    left_type = left.select(F.struct("*").alias("s")).schema["s"].dataType
+    feed = right.where(F.col(right_ts).isNotNull()).select(
+        *on, F.col(right_ts).alias("_t"), F.lit(None).cast(left_type).alias("_left"), payload.alias("_payload"), rank.alias("_rank")
     )
-    tagged = left.select(*on, F.col(left_ts).alias("_t"), F.struct("*").alias("_left")).withColumn(
-        "_payload", F.lit(None).cast(feed.schema["_payload"].dataType)
+    tagged = left.select(
+        *on, F.col(left_ts).alias("_t"), F.struct("*").alias("_left"),
+        *[F.lit(None).cast(feed.schema[c].dataType).alias(c) for c in ("_payload", "_rank")],
     )
-    both = tagged.unionByName(feed.select(*on, "_t", "_left", "_payload"))
+    both = tagged.unionByName(feed)
 
     # Order of the two sides at one time: a backward exact match needs the right row first.
     is_left = F.col("_left").isNotNull()
@@ -65,6 +63,12 @@ def asof_join(
     if plan == "auto":
         plan = plan_slices(both, on, "_t")
     hot = plan is not None and plan.any_hot
+    if hot:
+        # Many right rows of a hot key may share one time, which no slice can divide: keep the
+        # greatest of each (key, time) first. Ordinary keys leave that to the window's order.
+        feed = feed.groupBy(*on, "_t").agg(F.max_by(F.struct("_payload", "_rank"), F.col("_rank")).alias("_b"))
+        feed = feed.select(*on, "_t", F.lit(None).cast(left_type).alias("_left"), "_b._payload", "_b._rank")
+        both = tagged.unionByName(feed).withColumn("_side", side)
     both = add_slices(both, plan) if hot else both.withColumns({SLICE: F.lit(0), HOT: F.lit(False)})
 
     if hot:
@@ -82,6 +86,7 @@ def asof_join(
                 F.col("_seed")["_t"].alias("_t"),
                 F.lit(None).cast(both.schema["_left"].dataType).alias("_left"),
                 F.col("_seed")["_payload"].alias("_payload"),
+                F.lit(None).cast(both.schema["_rank"].dataType).alias("_rank"),
                 F.lit(0 if left_last else 1).alias("_side"),
                 SLICE,
                 F.lit(True).alias(HOT),
@@ -90,6 +95,7 @@ def asof_join(
         both = both.unionByName(seeds.select(*both.columns))
 
     order = [F.col("_t").desc_nulls_last(), F.col("_side").desc()] if forward else [F.col("_t").asc_nulls_first(), F.col("_side")]
+    order.append(F.col("_rank").asc_nulls_first())
     window = Window.partitionBy(*on, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = F.last("_payload", ignorenulls=True).over(window)
     known = F.col("_t").isNotNull()

@@ -38,20 +38,42 @@ ROLE_SUMS = {
 FLOATS = ("passing_yards", "rushing_yards", "receiving_yards", "air_yards_all_targets", "air_yards_total", "yards_after_catch_total")
 
 
-def explode_roles(plays: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per (event, role, player): an event names at most three players."""
+def _role_measures(have: set[str], role: str, names: Sequence[str]) -> list[Column]:
+    """The measures one role contributes; 0 for those it has no part in."""
+    carried = nz("carry") > 0 if "carry" in have else F.lit(False)
+    runner = role in ("passer", "rusher")
+    special = {}
+    if runner and {"carry", "ydstogo"} <= have:
+        special["short_yard_carry"] = F.when(carried & (nz("ydstogo", 100) <= 2), 1).otherwise(0)
+    if runner and {"carry", "down"} <= have:
+        special["third_down_carry"] = F.when(carried & (F.col("down") == 3), 1).otherwise(0)
+    if role == "receiver" and {"complete_pass", "air_yards"} <= have:
+        special["air_yards_total"] = F.when(F.col("complete_pass") == 1, nz("air_yards")).otherwise(0)
+    if role == "passer" and "yards_gained" in have:
+        special["rush_success_plays"] = F.when(F.col("yards_gained") > 0, 1).otherwise(0)
+    if {"touchdown_player_id", "touchdown"} <= have:
+        own = F.col("touchdown_player_id") == F.col(f"{role}_player_id")
+        special["touchdowns"] = F.when(own, nz("touchdown")).otherwise(0)
+    given = {out: nz(source) for out, source in ROLE_SUMS[role].items() if source in have}
+    return [({**given, **special}.get(n, F.lit(0))).cast("double" if n in FLOATS else "bigint").alias(n) for n in names]
+
+
+def explode_roles(plays: DataFrame, keep: Sequence[str], roles: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """One row per (event, role, player) with that role's measures; at most three per event.
+
+    The measures are computed while the row is expanded, so the aggregate that follows is plain
+    sums over columns.
+    """
     have = set(plays.columns)
-    entries = [
-        F.struct(
-            F.lit(role).alias("role"),
-            F.col(f"{role}_player_id").alias("player_id"),
-            (F.col(f"{role}_player_name") if f"{role}_player_name" in have else F.lit(None).cast("string")).alias("player_name"),
-        )
-        for role in ROLES
-        if f"{role}_player_id" in have
-    ]
-    out = plays.withColumn("_r", F.explode(F.array(*entries))).where(F.col("_r.player_id").isNotNull())
-    return out.select(*[c for c in keep if c in have], "_r.*")
+    entries = []
+    for role in roles:
+        if f"{role}_player_id" in have:
+            name = F.col(f"{role}_player_name") if f"{role}_player_name" in have else F.lit(None).cast("string")
+            entry = F.struct(F.col(f"{role}_player_id").alias("player_id"), name.alias("player_name"), *_role_measures(have, role, measures))
+            entries.append(F.when(F.col(f"{role}_player_id").isNotNull(), entry))
+    kept = [c for c in keep if c in have]
+    out = plays.select(*kept, F.explode(F.array_compact(F.array(*entries))).alias("_r"))
+    return out.select(*kept, "_r.*")
 
 
 def entity_totals(plays: DataFrame, keys: Sequence[str], roles: Sequence[str] = ROLES) -> DataFrame:
@@ -61,40 +83,22 @@ def entity_totals(plays: DataFrame, keys: Sequence[str], roles: Sequence[str] =
     Own scores count once per role in which the event names the player.
     """
     have = set(plays.columns)
-    needed = {c for role in roles for c in ROLE_SUMS[role].values()} | {
-        "touchdown_player_id", "touchdown", "complete_pass", "yards_gained", "ydstogo", "down", "posteam", "defteam",
+    measures = list(dict.fromkeys(out for role in roles for out, source in ROLE_SUMS[role].items() if source in have))
+    extras = {
+        "short_yard_carry": {"carry", "ydstogo"}, "third_down_carry": {"carry", "down"}, "air_yards_total": {"complete_pass", "air_yards"},
+        "rush_success_plays": {"yards_gained"}, "touchdowns": {"touchdown_player_id", "touchdown"},
     }
-    rows = explode_roles(plays, [*keys, *sorted(needed & have)])
-    outputs: dict[str, list[Column]] = {}
-    for role in roles:
-        mine = F.col("role") == role
-        for out, source in ROLE_SUMS[role].items():
-            if source in have:
-                outputs.setdefault(out, []).append(F.when(mine, nz(F.col(source).cast("double"))).otherwise(0.0))
-    if {"carry", "ydstogo"} <= have and "passer" in roles:
-        runner = F.col("role").isin("passer", "rusher") & (nz("carry") > 0)
-        outputs["short_yard_carry"] = [F.when(runner & (nz("ydstogo", 100) <= 2), 1.0).otherwise(0.0)]
-    if {"carry", "down"} <= have and "passer" in roles:
-        runner = F.col("role").isin("passer", "rusher") & (nz("carry") > 0)
-        outputs["third_down_carry"] = [F.when(runner & (F.col("down") == 3), 1.0).otherwise(0.0)]
-    if {"complete_pass", "air_yards"} <= have and "receiver" in roles:
-        caught = (F.col("role") == "receiver") & (F.col("complete_pass") == 1)
-        outputs["air_yards_total"] = [F.when(caught, nz(F.col("air_yards").cast("double"))).otherwise(0.0)]
-    if "yards_gained" in have and "passer" in roles:
-        gained = (F.col("role") == "passer") & (F.col("yards_gained") > 0)
-        outputs["rush_success_plays"] = [F.when(gained, 1.0).otherwise(0.0)]
-    if {"touchdown_player_id", "touchdown"} <= have:
-        own = F.col("touchdown_player_id") == F.col("player_id")
-        outputs["touchdowns"] = [F.when(own, nz(F.col("touchdown").cast("double"))).otherwise(0.0)]
-    aggs = []
-    for name, parts in outputs.items():
-        total = F.sum(sum(parts[1:], parts[0]))
-        aggs.append((total if name in FLOATS else total.cast("bigint")).alias(name))
-    # The team of a player in a game is constant; min makes the pick independent of row order.
-    for source, name in (("posteam", "team"), ("defteam", "opponent")):
-        if source in have and source not in keys:
-            aggs.append(F.min(source).alias(name))
-    return rows.groupBy(*keys, "player_id", "player_name").agg(*aggs)
+    measures += [n for n, needs in extras.items() if needs <= have]
+    rows = explode_roles(plays, [*keys, "posteam", "defteam"], roles, measures)
+    sides = {s: n for s, n in (("posteam", "team"), ("defteam", "opponent")) if s in have and s not in keys}
+    grain = [*keys, "player_id", "player_name"]
+    totals = rows.groupBy(*grain, *sides).agg(*[F.sum(n).alias(n) for n in measures])
+    if not sides:
+        return totals
+    # A minimum of text cannot live in a hash aggregate and would sort the raw rows; here it only
+    # meets rows that are already summed. The team of a player in a game is constant, so the
+    # second grouping has nothing left to merge but faulty feeds.
+    return totals.groupBy(*grain).agg(*[F.sum(n).alias(n) for n in measures], *[F.min(s).alias(n) for s, n in sides.items()])
 
 
 def group_totals(plays: DataFrame, keys: Sequence[str], yards: str = "yards_gained", score: str = "touchdown") -> DataFrame:

@@ -58,11 +58,22 @@ def surely_small(df: DataFrame) -> bool:
     limit = int(df.sparkSession.conf.get(SMALL_CONF, str(DEFAULT_SMALL)))
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString()) <= limit
+        return int(str(stats.sizeInBytes())) <= limit
     except AttributeError:
         return False
 
 
+def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Give a small input to all cores before a costly row-wise step (parsing, exploding).
+
+    A small file is one scan task however many cores there are; moving it costs little. Large
+    inputs already come in many splits and are left alone.
+    """
+    if not surely_small(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*by))
+
+
 def has_hot_key(df: DataFrame, keys: str | Sequence[str], floor: int | None = None) -> bool:
     """Whether any key holds more than ``floor`` rows: one narrow, map-side combined count."""
     if surely_small(df):

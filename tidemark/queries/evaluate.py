@@ -306,14 +306,14 @@ def _conformal_interval(t) -> DataFrame:
 
 @query(
     "conformal_component_sums",
-    f"""WITH {S}, a AS (SELECT id, team, season, price + price / 2 AS y, guess + guess2 / 2 AS p FROM s WHERE id % 5 <> 0 AND id % 7 <> 0), g AS (SELECT team, season, sum(y) AS y, sum(p) AS p FROM a GROUP BY ALL),
+    f"""WITH {S}, a AS (SELECT id, team, season, price + price / 2 AS y, guess + guess2 / 2 AS p FROM s WHERE status <> 'P' AND segment <> '5-LOW'), g AS (SELECT team, season, sum(y) AS y, sum(p) AS p FROM a GROUP BY ALL),
 q AS (SELECT list_sort(list(abs(y - p)))[least(count(*), ceil((count(*) + 1) * 0.9 - 1e-9))::BIGINT] AS q FROM g), i AS (SELECT g.*, greatest(p - q, 0) AS lo, p + q AS hi FROM g, q)
 SELECT count(*) AS n, {rs({'coverage': 'avg((y BETWEEN lo AND hi)::INT)', 'width_mean': 'avg(hi - lo)', 'width_median': 'median(hi - lo)', 'rmse': 'sqrt(avg((p - y) * (p - y)))', 'mae': 'avg(abs(p - y))', 'bias': 'avg(p - y)'}, 2)} FROM i""",
 )
 def _conformal_component_sums(t) -> DataFrame:
     s = scored(t.orders)
-    one = s.where("id % 5 <> 0").select("id", "team", "season", F.col("price").alias("y"), F.col("guess").alias("p"))
-    two = s.where("id % 7 <> 0").select("id", "team", "season", (F.col("price") / 2).alias("y"), (F.col("guess2") / 2).alias("p"))
+    one = s.where("status <> 'P'").select("id", "team", "season", F.col("price").alias("y"), F.col("guess").alias("p"))
+    two = s.where("segment <> '5-LOW'").select("id", "team", "season", (F.col("price") / 2).alias("y"), (F.col("guess2") / 2).alias("p"))
     return rounded(K.conformal_sum([one, two], ["id", "team", "season"], "p", "y", 0.1, ["team", "season"]), 2)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..operators.slices import spread
+
 # One row per line item, seen as an event of a game between two groups.
 PLAYS = {
     "game_id": "l_orderkey",
@@ -69,7 +71,7 @@ PLAYS = {
 
 def plays(lineitem: DataFrame, *names: str) -> DataFrame:
     chosen = names or tuple(PLAYS)
-    return lineitem.selectExpr(*[f"{PLAYS[n]} AS {n}" for n in chosen])
+    return spread(lineitem, ["l_orderkey", "l_partkey"]).selectExpr(*[f"{PLAYS[n]} AS {n}" for n in chosen])
 
 
 def plays_sql(*names: str, table: str = "plays") -> str:
@@ -112,7 +114,7 @@ PLAYER_GAMES = {
 
 def player_games(lineitem: DataFrame, *names: str) -> DataFrame:
     chosen = names or tuple(PLAYER_GAMES)
-    return lineitem.selectExpr(*[f"{PLAYER_GAMES[n]} AS {n}" for n in chosen])
+    return spread(lineitem, ["l_orderkey", "l_partkey"]).selectExpr(*[f"{PLAYER_GAMES[n]} AS {n}" for n in chosen])
 
 
 def player_games_sql(*names: str, table: str = "pg") -> str:

@@ -45,13 +45,13 @@ def _semi_join(t) -> DataFrame:
 
 @query(
     "full_outer_contexts",
-    "WITH a AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1), b AS (SELECT l_suppkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1) "
+    "WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_orderkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) "
     "SELECT k, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(q, 0) AS q FROM a FULL JOIN b USING (k)",
 )
 def _full_outer(t) -> DataFrame:
-    k = F.col("l_suppkey").alias("k")
-    a = t.lineitem.where("l_suppkey % 3 <> 0").groupBy(k).agg(F.count(F.lit(1)).alias("n"))
-    b = t.lineitem.where("l_suppkey % 4 <> 0").groupBy(k).agg(F.sum("l_quantity").alias("q"))
+    k = F.col("l_orderkey").alias("k")
+    a = t.lineitem.where("l_returnflag = 'R'").groupBy(k).agg(F.count(F.lit(1)).alias("n"))
+    b = t.lineitem.where("l_linestatus = 'O'").groupBy(k).agg(F.sum("l_quantity").alias("q"))
     return a.join(b, "k", "full").select("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("q", F.lit(0.0)).alias("q"))
 
 
@@ -72,17 +72,18 @@ def _team_rows(t) -> DataFrame:
 
 @query(
     "zero_usage_rows",
-    f"""WITH {player_games_sql('season', 'week', 'team', 'player_id', 'game_id', 'target', 'carry')}, u AS (SELECT season, week, team, player_id, min(game_id) AS game_id, CAST(sum(target) AS BIGINT) AS target, CAST(sum(carry) AS BIGINT) AS carry FROM pg WHERE team < 6 AND player_id < 20 GROUP BY ALL),
-ro AS (SELECT w.season, w.week, te AS team, pid AS player_id FROM (SELECT DISTINCT season, week FROM u) w, range(6) a(te), range(24) b(pid) WHERE pid % 6 = te),
+    f"""WITH {player_games_sql('season', 'week', 'team', 'player_id', 'game_id', 'target', 'carry')}, u AS (SELECT season, week, team, player_id, min(game_id) AS game_id, CAST(sum(target) AS BIGINT) AS target, CAST(sum(carry) AS BIGINT) AS carry FROM pg GROUP BY ALL),
+ro AS (SELECT w.season, w.week, pid % 32 AS team, pid AS player_id FROM (SELECT DISTINCT season, week FROM u) w, range(200) b(pid)),
 sc AS (SELECT season, week, team, min(game_id) AS game_id FROM u GROUP BY ALL)
 SELECT season, week, team, player_id, game_id, target, carry FROM u UNION ALL
 SELECT ro.season, ro.week, ro.team, ro.player_id, sc.game_id, 0, 0 FROM ro JOIN sc USING (season, week, team) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.season = ro.season AND u.week = ro.week AND u.team = ro.team AND u.player_id = ro.player_id)""",
 )
 def _zero_usage(t) -> DataFrame:
-    pg = player_games(t.lineitem, "season", "week", "team", "player_id", "game_id", "target", "carry").where("team < 6 AND player_id < 20")
+    """A roster of 200 players, 50 of them without any play, against the whole usage table."""
+    pg = player_games(t.lineitem, "season", "week", "team", "player_id", "game_id", "target", "carry")
     u = pg.groupBy("season", "week", "team", "player_id").agg(F.min("game_id").alias("game_id"), F.sum("target").cast("bigint").alias("target"), F.sum("carry").cast("bigint").alias("carry"))
     weeks = u.select("season", "week").distinct()
-    roster = weeks.withColumn("player_id", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumns({"player_id": F.col("player_id").cast("bigint"), "team": (F.col("player_id") % 6).cast("bigint")})
+    roster = weeks.withColumn("player_id", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumns({"player_id": F.col("player_id").cast("bigint"), "team": (F.col("player_id") % 32).cast("bigint")})
     schedule = u.groupBy("season", "week", "team").agg(F.min("game_id").alias("game_id")).select("season", "week", "game_id", F.col("team").alias("home_team"), F.lit(None).cast("bigint").alias("away_team"))
     return FP.zero_usage_rows(u, roster, schedule, ["target", "carry"]).select("season", "week", "team", "player_id", "game_id", "target", "carry")
 
@@ -124,7 +125,7 @@ def _history_plus_scaffold(t) -> DataFrame:
 )
 def _upsert(t) -> DataFrame:
     u = t.orders.select((F.col("o_orderkey") % 5000).alias("k"), F.col("o_orderdate").alias("v"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    old, new = u.where("id % 2 = 0"), u.where("id % 2 = 1")
+    old, new = u.where("v < TIMESTAMP_NTZ '1998-06-01'"), u.where("v >= TIMESTAMP_NTZ '1998-06-01'")
     return writers.upsert(old, new, "k", [F.col("v"), F.col("id")])
 
 
@@ -140,22 +141,22 @@ def _fill_empty(t) -> DataFrame:
 
 @query(
     "coalesce_override",
-    "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey ELSE o_orderkey END AS v FROM orders",
+    "SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE o_orderkey END AS v FROM orders",
 )
 def _coalesce_override(t) -> DataFrame:
     base = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("v"))
-    fresh = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
+    fresh = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
     return market.coalesce_update(base, fresh, ["k"], ["v"])
 
 
 @query(
     "manual_override_map",
-    "WITH d AS (SELECT n_regionkey AS season, n_name AS team, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'coach ' || n_nationkey END AS oc FROM nation), m AS (SELECT n_regionkey AS season, n_name AS team, 'manual ' || n_nationkey AS oc FROM nation WHERE n_nationkey % 5 = 0) "
+    "WITH d AS (SELECT n_regionkey AS season, n_name AS team, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'coach ' || n_nationkey END AS oc FROM nation), m AS (SELECT n_regionkey AS season, n_name AS team, 'manual ' || n_nationkey AS oc FROM nation WHERE n_regionkey = 2) "
     "SELECT season, team, coalesce(upper(m.oc), nullif(upper(d.oc), ''), upper('TEAM_' || team)) AS oc FROM d FULL JOIN m USING (season, team)",
 )
 def _manual_override(t) -> DataFrame:
     d = t.nation.selectExpr("n_regionkey AS season", "n_name AS team", "CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE concat('coach ', n_nationkey) END AS oc")
-    m = t.nation.where("n_nationkey % 5 = 0").selectExpr("n_regionkey AS season", "n_name AS team", "concat('manual ', n_nationkey) AS oc")
+    m = t.nation.where("n_regionkey = 2").selectExpr("n_regionkey AS season", "n_name AS team", "concat('manual ', n_nationkey) AS oc")
     return market.override_map(d, m, ["season", "team"], "oc")
 
 
@@ -681,10 +682,10 @@ def _daily_cache_append(t) -> DataFrame:
     return cache.groupBy(F.col("date").cast("string").alias("date")).agg(F.sum("denom").cast("bigint").alias("n"))
 
 
-@query("arrival_log", "SELECT event_id, round(CAST(epoch_us(ts + INTERVAL 90 MINUTE) - epoch_us(ts + INTERVAL 10 MINUTE) AS DOUBLE) / 60e6, 3) AS minutes_until_kickoff, 10.0 AS minutes_since_snapshot, event_type AS kind FROM events WHERE user_id < 20")
+@query("arrival_log", "SELECT event_id, round(CAST(epoch_us(ts + INTERVAL 90 MINUTE) - epoch_us(ts + INTERVAL 10 MINUTE) AS DOUBLE) / 60e6, 3) AS minutes_until_kickoff, 10.0 AS minutes_since_snapshot, event_type AS kind FROM events")
 def _arrival_log(t) -> DataFrame:
     path = streams.scratch_path(t.spark, "arrivals")
-    base = t.events.where("user_id < 20").select("event_id", "event_type", F.col("ts").alias("feed_timestamp"), (F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("game_start_ts"))
+    base = t.events.select("event_id", "event_type", F.col("ts").alias("feed_timestamp"), (F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("game_start_ts"))
     rows = writers.arrival_rows(base, "odds", "cutoff", F.col("feed_timestamp") + F.expr("INTERVAL 10 MINUTES"), "game_start_ts", "feed_timestamp", ["event_type"])
     writers.log_arrivals(rows, path)
     back = readers.read_arrival_logs(t.spark, path)

@@ -1,8 +1,9 @@
-"""Session helpers: local sessions for tests and benches, and lineage cuts."""
+"""Session helpers: local sessions for tests and benches, shared scratch folders, lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,25 +29,26 @@ def local_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; pick a scratch folder only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+
+    Only a local session without that setting falls back to a scratch folder of the machine.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    else:
+        return f"{shared.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
+    return tempfile.mkdtemp(prefix=f"tidemark-{name}-") + "/data"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back as a fresh plan.
+    """Write ``df`` to the shared folder and read it back as a plain scan.
 
-    Used at grain tables that fan out into several branches, so that they are computed
-    once and survive the loss of an executor.
+    Used where one table feeds several branches, so that it is computed once and survives the loss
+    of an executor. A written table also has a known size and prunes columns, which a checkpointed
+    plan does not.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

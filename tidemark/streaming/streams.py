@@ -6,7 +6,6 @@ feeds and latency tables current, and the batch plans read those.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +14,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.asof import asof_join
+from ..session import shared_folder as scratch_path  # noqa: F401  (used by jobs that need a sink)
 from ..sources.writers import upsert_partitions
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder; a local one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        run = spark.sql("SELECT uuid() AS u").first()["u"]
-        return f"{shared.rstrip('/')}/tidemark-{name}-{run}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix=f"tidemark-{name}-")
-
-
 def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream; each file is read once."""
     reader = spark.readStream.schema(schema)
