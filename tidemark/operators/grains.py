@@ -226,9 +226,10 @@ CONTEXT_VOLUMES = (
 def context_week_totals(players: DataFrame, group: str, entity: str = "player_id") -> DataFrame:
     """Sums, distinct players and safe rates per (season, week, group)."""
     base = players.where(F.col(group).isNotNull())
+    have = set(players.columns)
     totals = base.groupBy("season", "week", F.col(group).alias("team")).agg(
         F.max("game_date").alias("game_date"),
-        *[F.sum(source).alias(out) for source, out in CONTEXT_SUMS.items()],
+        *[F.sum(F.col(source) if source in have else F.lit(0)).alias(out) for source, out in CONTEXT_SUMS.items()],
         F.countDistinct(entity).alias("skill_players_active"),
     )
     totals = totals.withColumns(

@@ -11,6 +11,7 @@ from ..operators.keys import attach_totals, join_on, latest_by
 from ..plans import asof_metadata as AM
 from ..plans import features as FP
 from ..schema import conform, schema_summary, union_relaxed, with_defaults
+from ..session import shared_folder
 from ..sources import readers, writers
 from ..streaming import streams
 from .frames import player_games, player_games_sql
@@ -663,7 +664,7 @@ def _dimension_prepare(t) -> DataFrame:
 @query("partitioned_round_trip", "SELECT year(o_orderdate) AS season, month(o_orderdate) AS week, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) IN (1996, 1999) GROUP BY ALL")
 def _partitioned_round_trip(t) -> DataFrame:
     """Write by (season, week), replace one season, read back with pruning and a merged schema."""
-    path = streams.scratch_path(t.spark, "weekly")
+    path = shared_folder(t.spark, "weekly")
     rows = t.orders.withColumns({"season": F.year("o_orderdate"), "week": F.month("o_orderdate")})
     writers.write_partitions(rows.withColumn("o_totalprice", F.lit(0.0)), path)
     writers.write_partitions(rows, path)
@@ -674,7 +675,7 @@ def _partitioned_round_trip(t) -> DataFrame:
 @query("daily_cache_append", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n FROM events GROUP BY 1")
 def _daily_cache_append(t) -> DataFrame:
     """Append-only day cache: the second run adds only days the first did not write."""
-    path = streams.scratch_path(t.spark, "cache")
+    path = shared_folder(t.spark, "cache")
     days = t.events.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("denom")).withColumn("ctx", F.lit("vs_any"))
     writers.append_missing_days(days.where("dayofmonth(date) <= 20"), path)
     writers.append_missing_days(days, path)
@@ -684,7 +685,7 @@ def _daily_cache_append(t) -> DataFrame:
 
 @query("arrival_log", "SELECT event_id, round(CAST(epoch_us(ts + INTERVAL 90 MINUTE) - epoch_us(ts + INTERVAL 10 MINUTE) AS DOUBLE) / 60e6, 3) AS minutes_until_kickoff, 10.0 AS minutes_since_snapshot, event_type AS kind FROM events")
 def _arrival_log(t) -> DataFrame:
-    path = streams.scratch_path(t.spark, "arrivals")
+    path = shared_folder(t.spark, "arrivals")
     base = t.events.select("event_id", "event_type", F.col("ts").alias("feed_timestamp"), (F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("game_start_ts"))
     rows = writers.arrival_rows(base, "odds", "cutoff", F.col("feed_timestamp") + F.expr("INTERVAL 10 MINUTES"), "game_start_ts", "feed_timestamp", ["event_type"])
     writers.log_arrivals(rows, path)
@@ -719,7 +720,7 @@ def _event_stream(t) -> DataFrame:
     f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, user_id, {r('sum(value)', 'value_num', 4)}, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS bought_num, count(*) AS denom FROM events GROUP BY ALL",
 )
 def _stream_daily_totals(t) -> DataFrame:
-    path, check = streams.scratch_path(t.spark, "daily"), streams.scratch_path(t.spark, "daily-check")
+    path, check = shared_folder(t.spark, "daily"), shared_folder(t.spark, "daily-check")
     flags = {"bought": "CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END"}
     totals = streams.daily_totals_stream(_event_stream(t), "user_id", "ts", ["value", "bought"], "2 days", flags=flags)
     streams.run_to_end(streams.run_upsert(totals, path, check, ["user_id", "date"], ["date"]))
@@ -729,7 +730,7 @@ def _stream_daily_totals(t) -> DataFrame:
 
 @query("stream_upsert_last", "SELECT user_id, event_type, max(ts) AS ts, max_by(event_id, ts) AS event_id FROM events GROUP BY ALL")
 def _stream_upsert_last(t) -> DataFrame:
-    path, check = streams.scratch_path(t.spark, "upsert"), streams.scratch_path(t.spark, "upsert-check")
+    path, check = shared_folder(t.spark, "upsert"), shared_folder(t.spark, "upsert-check")
     feed = _event_stream(t).select("user_id", "event_type", "ts", "event_id")
     streams.run_to_end(streams.run_upsert(feed, path, check, ["user_id", "event_type"], ["event_type"], "append", "ts"))
     return t.spark.read.parquet(path).select("user_id", "event_type", "ts", "event_id")
@@ -740,7 +741,7 @@ def _stream_upsert_last(t) -> DataFrame:
     "WITH v AS (SELECT user_id, ts AS vts, value AS view_value FROM events WHERE event_type = 'view') SELECT p.event_id, p.user_id, v.vts AS matched_ts, v.view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.vts",
 )
 def _stream_asof_history(t) -> DataFrame:
-    path, check = streams.scratch_path(t.spark, "asof"), streams.scratch_path(t.spark, "asof-check")
+    path, check = shared_folder(t.spark, "asof"), shared_folder(t.spark, "asof-check")
     history = t.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("vts"), F.col("value").alias("view_value"))
     purchases = _event_stream(t).where("event_type = 'purchase'").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
     streams.run_to_end(streams.attach_history_stream(purchases, history, ["user_id"], "ts", "vts", ["view_value"], path, check, ["day"], ["event_id", "day"]))
@@ -749,7 +750,7 @@ def _stream_asof_history(t) -> DataFrame:
 
 @query("stream_latency_windows", f"SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, {rs({'mean': 'avg(value)', 'max': 'max(value)'})} FROM events GROUP BY ALL")
 def _stream_latency(t) -> DataFrame:
-    path, check = streams.scratch_path(t.spark, "latency"), streams.scratch_path(t.spark, "latency-check")
+    path, check = shared_folder(t.spark, "latency"), shared_folder(t.spark, "latency-check")
     table = streams.latency_stream(_event_stream(t), "ts", "value", ["event_type"]).withColumn("day", F.to_date("window_start"))
     streams.run_to_end(streams.run_upsert(table, path, check, ["event_type", "day"], ["day"]))
     return rounded(t.spark.read.parquet(path).select("event_type", F.col("day").cast("string").alias("day"), "n", "mean", "max"))

@@ -26,14 +26,12 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 def write_partitions(df: DataFrame, path: str, by: Sequence[str] = ("season", "week"), compression: str = "zstd") -> None:
     """Replace exactly the partitions present in ``df``.
 
-    Rows are first gathered by partition value plus a salt, so a partition becomes a few large
-    files and a hot partition is still written by several tasks.
+    The rebalance hint gathers rows by partition value, splits a hot partition over as many tasks
+    as its size needs and merges tiny ones, so files come out evenly sized.
     """
     by = list(by)
-    salted = df.repartition(*[F.col(c) for c in by], F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-    (
-        salted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(*by).parquet(path)
-    )
+    even = df.hint("rebalance", *by)
+    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(*by).parquet(path)
 
 
 def write_days(df: DataFrame, path: str, day: str = "date") -> None:

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.asof import asof_join
-from ..session import shared_folder as scratch_path  # noqa: F401  (used by jobs that need a sink)
+from ..session import cut_lineage
 from ..sources.writers import upsert_partitions
 
 
@@ -52,8 +52,10 @@ def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
     """
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        if not batch.isEmpty():
-            upsert_partitions(batch, path, keys, by, [F.col(version)] if version else None)
+        # The batch is used more than once; a stateful plan must run only once.
+        kept = cut_lineage(batch)
+        if not kept.isEmpty():
+            upsert_partitions(kept, path, keys, by, [F.col(version)] if version else None)
 
     return (
         stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
@@ -94,8 +96,9 @@ def attach_history_stream(
     """Live as-of: each micro-batch is matched against the stored history with the batch operator."""
 
     def write(batch: DataFrame, _epoch: int) -> None:
-        if not batch.isEmpty():
-            matched = asof_join(batch, history, list(on), event_ts, history_ts, columns, matched_ts="matched_ts")
+        kept = cut_lineage(batch)
+        if not kept.isEmpty():
+            matched = asof_join(kept, history, list(on), event_ts, history_ts, columns, matched_ts="matched_ts")
             upsert_partitions(matched, path, keys, by)
 
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
