@@ -406,7 +406,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def variance_inflation(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """VIF per column: the diagonal of the inverse correlation matrix.
+    """VIF per column: ``1 / (1 - R²)`` of the column on the others, infinite if they determine it.
 
     One aggregate gives the k by k correlations (nulls count as the column mean); k is the number
     of columns, so only a small matrix reaches the driver.
@@ -418,8 +418,12 @@ def variance_inflation(df: DataFrame, columns: Sequence[str]) -> dict[str, float
     matrix = np.eye(len(columns))
     for i, j in pairs:
         matrix[i, j] = matrix[j, i] = row[f"c{i}_{j}"] or 0.0
-    inverse = np.linalg.pinv(matrix)
-    return {c: float(inverse[i, i]) for i, c in enumerate(columns)}
+    out = {}
+    for i, c in enumerate(columns):
+        others = [j for j in range(len(columns)) if j != i]
+        explained = float(matrix[i, others] @ np.linalg.pinv(matrix[np.ix_(others, others)]) @ matrix[others, i])
+        out[c] = 1.0 / (1.0 - explained) if explained < 1 - 1e-12 else float("inf")
+    return out
 
 
 def univariate_scores(df: DataFrame, label: str, residual: str, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:

@@ -165,11 +165,13 @@ def latest_known(
     """
     on = as_list(on)
     usable = feed.join(cutoffs.select(*on, cutoff), on, "inner").where(F.col(ts) <= F.col(cutoff))
-    aggs = [F.max_by(F.struct(ts, *columns), F.struct(ts, *columns)).alias("_last")]
+    # Without a payload a plain maximum stays in a hash aggregate; a struct would sort the feed.
+    best = F.max_by(F.struct(ts, *columns), F.struct(ts, *columns)) if columns else F.max(ts)
+    aggs = [best.alias("_last")]
     if count_out:
         aggs.append(F.count(F.lit(1)).alias(count_out))
     latest = usable.groupBy(*on).agg(*aggs)
-    out = [F.col("_last")[ts].alias(ts_out), *[F.col("_last")[c].alias(c) for c in columns]]
+    out = [F.col("_last")[ts].alias(ts_out), *[F.col("_last")[c].alias(c) for c in columns]] if columns else [F.col("_last").alias(ts_out)]
     if count_out:
         out.append(F.col(count_out))
     return latest.select(*on, *out)
