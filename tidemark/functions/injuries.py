@@ -48,11 +48,12 @@ def report_summary(
     start: str | None = "game_start_utc",
     report: str = "report_status",
     practice: str = "practice_status",
+    sequence_limit: int = 1000,
 ) -> DataFrame:
     """One row per player-week from the reports known at the cutoff.
 
-    Counts are plain sums; the first three and last three practice statuses come from bounded
-    arrays, and the full sequences are cut to their last ten entries, so no group is collected.
+    Counts are plain sums over all reports. A sequence is one text per row by nature, so it is built
+    from thinned arrays and holds up to ``sequence_limit`` reports, far more than a week brings.
     """
     keys = list(keys)
     known = reports.where(F.col(reported).isNotNull() & (F.col(reported) <= F.col(cutoff)))
@@ -66,8 +67,8 @@ def report_summary(
     out = known.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()])
     practised_rows, reported_rows = known.where("_practice is not null"), known.where("_report is not null")
     pieces = (
-        (practised_rows, "_practice", 3, "_first3", True), (practised_rows, "_practice", 10, "_practices", False),
-        (reported_rows, "_report", 10, "_reports", False), (known, reported, 2, "_times", False),
+        (practised_rows, "_practice", 3, "_first3", True), (practised_rows, "_practice", sequence_limit, "_practices", False),
+        (reported_rows, "_report", sequence_limit, "_reports", False), (known, reported, 2, "_times", False),
     )
     for rows, value, n, name, first in pieces:
         extra = [] if value == reported else [value]

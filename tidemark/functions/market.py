@@ -131,7 +131,7 @@ def with_market_probs(df: DataFrame) -> DataFrame:
 
 def snapshot_columns(long: DataFrame, keys: Sequence[str], label: str, metrics: Sequence[str]) -> DataFrame:
     """Snapshot labels from rows to columns, with moves of the cutoff value against the others."""
-    wide = long.groupBy(*keys).pivot(label, list(SNAPSHOTS)).agg(*[F.first(m).alias(m) for m in metrics])
+    wide = long.groupBy(*keys).pivot(label, list(SNAPSHOTS)).agg(*[F.max(m).alias(m) for m in metrics])
     single = len(metrics) == 1
     renamed = wide.select(
         *keys,

@@ -94,13 +94,15 @@ def asof_join(
         )
         both = both.unionByName(seeds.select(*both.columns))
 
+    known = F.col("_t").isNotNull()
+    for key in on:
+        known = known & F.col(key).isNotNull()
+    # Rows without a key or time match nothing: deal them over many groups instead of one.
+    both = both.withColumn(SLICE, F.when(known, F.col(SLICE)).otherwise(-1 - F.pmod(F.xxhash64("_left"), F.lit(4096)).cast("int")))
     order = [F.col("_t").desc_nulls_last(), F.col("_side").desc()] if forward else [F.col("_t").asc_nulls_first(), F.col("_side")]
     order.append(F.col("_rank").asc_nulls_first())
     window = Window.partitionBy(*on, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     found = F.last("_payload", ignorenulls=True).over(window)
-    known = F.col("_t").isNotNull()
-    for key in on:
-        known = known & F.col(key).isNotNull()
     matched = both.withColumn("_found", F.when(known, found)).where(is_left)
     if tolerance_seconds is not None:
         gap = F.abs(seconds_between(F.col("_t"), F.col("_found")["_rt"]))

@@ -617,7 +617,7 @@ _RS = "CASE event_id % 5 WHEN 0 THEN 'OUT' WHEN 1 THEN 'Questionable' END"
 p AS (SELECT user_id, list(pr ORDER BY ts) FILTER (pr IS NOT NULL) AS ps, list(rp ORDER BY ts) FILTER (rp IS NOT NULL) AS rs, list(ts ORDER BY ts) AS tt, any_value(cut) AS cut, count(*) AS n,
  count(*) FILTER (pr = 'DID NOT PARTICIPATE') AS dnp, count(*) FILTER (pr = 'LIMITED') AS lim FROM k GROUP BY 1)
 SELECT user_id, n AS injury_report_count, dnp AS injury_practice_dnp_count, lim AS injury_practice_limited_count, ps[1] AS injury_practice_status_day1, ps[2] AS injury_practice_status_day2, ps[3] AS injury_practice_status_day3, rs[len(rs)] AS injury_game_designation, ps[len(ps)] AS injury_practice_status,
- array_to_string(ps[greatest(len(ps) - 9, 1):], '>') AS injury_practice_status_sequence, CAST(len(list_filter(ps[greatest(len(ps) - 2, 1):], lambda x: x = 'DID NOT PARTICIPATE')) AS BIGINT) AS injury_practice_dnp_last3,
+ array_to_string(ps, '>') AS injury_practice_status_sequence, CAST(len(list_filter(ps[greatest(len(ps) - 2, 1):], lambda x: x = 'DID NOT PARTICIPATE')) AS BIGINT) AS injury_practice_dnp_last3,
  {rs({'injury_hours_since_last_report': 'floor((epoch_us(cut) - epoch_us(tt[len(tt)])) / 60e6) / 60', 'injury_hours_between_last_reports': 'floor((epoch_us(tt[len(tt)]) - epoch_us(tt[len(tt) - 1])) / 60e6) / 60'})} FROM p""",
 )
 def _report_summary(t) -> DataFrame:
