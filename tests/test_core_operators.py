@@ -213,3 +213,21 @@ def test_rows_after_the_cutoff_do_not_change_features(spark):
     changed = [r if r[1] <= 5 else (r[0], r[1], 99, 1) for r in data]
     other = rolling_ratios(spark.createDataFrame(changed, columns), "k", "d", stats).where("d <= 5")
     assert rows(full, "d") == rows(other, "d")
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_join_and_totals_on_hot_keys(spark, path, how):
+    from tidemark.operators.keys import attach_totals
+    from tidemark.operators.slices import lookup_join
+
+    data = skewed() + [(None, 1, 10_000 + i, 1.0, 0) for i in range(60)]
+    df = frame(spark, data)
+    small = spark.createDataFrame([("hot", 1, None), ("k1", 2, "x"), (None, 3, "n")], "k string, v int, s string")
+    got = {r["id"]: (r["v"], r["s"]) for r in rows(lookup_join(df, small, "k", how))}
+    table = {"hot": (1, None), "k1": (2, "x"), None: (3, "n")}
+    wanted = {r[2]: table.get(r[0], (None, None)) for r in data if how == "left" or r[0] in table}
+    assert got == wanted
+    totals = {r["id"]: (r["n"], round(r["sx"], 6)) for r in rows(attach_totals(df, "k", {"n": F.count(F.lit(1)), "sx": F.sum("x")}))}
+    for key in {r[0] for r in data}:
+        group = [r for r in data if r[0] == key]
+        assert {totals[r[2]] for r in group} == {(len(group), round(sum(r[3] for r in group), 6))}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import attach_totals, join_on, nz, ratio
 from ..operators.prior import prefix_sums
+from ..operators.slices import lookup_join
 from ..session import cut_lineage
 
 
@@ -201,7 +202,7 @@ def block_folds(
 
 def assign_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
     """One row per (row, fold) with its role."""
-    return join_on(df, folds.select(group, "fold", "role"), group, "inner")
+    return lookup_join(df, folds.select(group, "fold", "role"), group, "inner")
 
 
 def fold_summary(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:

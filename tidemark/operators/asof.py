@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import as_list, join_on, latest_by, seconds_between
-from .slices import HOT, SLICE, SlicePlan, add_slices, plan_slices
+from .slices import HOT, SLICE, SlicePlan, add_slices, lookup_join, plan_slices
 
 
 def asof_join(
@@ -166,7 +166,8 @@ def latest_known(
     reduction is a partial aggregate; nothing is collected per key.
     """
     on = as_list(on)
-    usable = feed.join(cutoffs.select(*on, cutoff), on, "inner").where(F.col(ts) <= F.col(cutoff))
+    pruned = feed.select(*dict.fromkeys([*on, ts, *columns]))
+    usable = lookup_join(pruned, cutoffs.select(*on, cutoff), on, "inner").where(F.col(ts) <= F.col(cutoff))
     # Without a payload a plain maximum stays in a hash aggregate; a struct would sort the feed.
     best = F.max_by(F.struct(ts, *columns), F.struct(ts, *columns)) if columns else F.max(ts)
     aggs = [best.alias("_last")]

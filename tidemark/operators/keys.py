@@ -75,11 +75,12 @@ def attach_totals(df: DataFrame, keys: str | Sequence[str], aggs: Mapping[str, C
     """Group aggregates back on every row.
 
     ``agg().over(partitionBy(keys))`` would pull one whole group into a single task. Here the
-    group is pre-aggregated map-side and the small result joined back: a hot key is split by
-    the skew join, and a small total table is broadcast by its measured size.
+    group is pre-aggregated map-side and the totals joined back by a join that spreads hot keys.
     """
+    from .slices import lookup_join
+
     totals = df.groupBy(*as_list(keys)).agg(*[c.alias(n) for n, c in aggs.items()])
-    return join_on(df, totals, keys, "left", prefix="__t_")
+    return lookup_join(df, totals, keys)
 
 
 def latest_by(

@@ -29,7 +29,7 @@ def value_ranks(df: DataFrame, keys: str | Sequence[str], value: str, extra: Map
     counts = valued.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(n) for n, c in extra.items()])
     sums = {"_before": F.col("_c")} | {f"{n}_before": F.col(n) for n in extra}
     # Distinct values are at most the rows, so the cheap row count rules out hot groups first.
-    plan = plan_slices(counts, keys, value) if has_hot_key(valued.select(*keys), keys) else None
+    plan = plan_slices(counts, keys, value) if has_hot_key(valued, keys) else None
     ranked = prefix_sums(counts, keys, value, sums, plan=plan)
     totals = {"_total": F.col("_c")} | {f"{n}_total": F.col(n) for n in extra}
     if plan is None or not plan.any_hot:

@@ -83,6 +83,52 @@ def has_hot_key(df: DataFrame, keys: str | Sequence[str], floor: int | None = No
     return not counts.where(F.col("_n") > floor).isEmpty()
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], floor: int | None = None, parts: int | None = None) -> tuple[list, float] | None:
+    """Rows (key columns and ``_n``) of the hot keys, at most ``parts``, and the row count above
+    which a key is hot; None when there are none."""
+    if surely_small(df):
+        return None
+    conf = df.sparkSession.conf
+    floor = int(floor if floor is not None else conf.get(FLOOR_CONF, str(DEFAULT_FLOOR)))
+    parts = int(parts if parts is not None else conf.get(PARTS_CONF, str(DEFAULT_PARTS)))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # At most ``parts`` keys can hold more than 1/parts of the rows each, so this top-k is complete.
+    top = counts.where(F.col("_n") > floor).orderBy(F.desc("_n")).limit(parts).collect()
+    if not top:
+        return None
+    share = max(floor, df.count() / parts)
+    top = [row for row in top if row["_n"] > share]
+    return (top, share) if top else None
+
+
+def lookup_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Join a large frame to one with few rows per key, NULL equal to NULL, however skewed ``big`` is.
+
+    Hot keys are few by construction, so their rows of ``small`` are broadcast; all other rows meet
+    in an ordinary join, for which the hot rows carry a salt that matches nothing and are dealt over
+    all tasks. One pass over ``big`` and exact.
+    """
+    keys = as_list(keys)
+    found = hot_keys(big, keys)
+    if found is None:
+        return join_on(big, small, keys, how)
+    values = [c for c in small.columns if c not in keys]
+    fields = [T.StructField(big.schema[k].name, big.schema[k].dataType) for k in keys]
+    table = big.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found[0]], T.StructType(fields))
+    packed = small.select(*keys, F.struct(F.lit(1).alias("_in"), *values).alias("_v"))
+    chosen = join_on(table.withColumn("_is_hot", F.lit(True)), packed.withColumnRenamed("_v", "_hv"), keys, "left")
+    marked = join_on(big, F.broadcast(chosen), keys, "left")
+    plain = [c for c, t in big.dtypes if "map<" not in t]
+    salt = F.when(F.col("_is_hot"), 1 + F.pmod(F.xxhash64(*plain), F.lit(4096))).otherwise(F.lit(0).cast("bigint"))
+    cold = packed.withColumn("_salt", F.lit(0).cast("bigint")).withColumnRenamed("_v", "_cv")
+    joined = join_on(marked.withColumn("_salt", salt), cold, [*keys, "_salt"], "left")
+    value = F.coalesce("_hv", "_cv")
+    out = joined.withColumn("_value", value)
+    if how == "inner":
+        out = out.where(F.col("_value._in") == 1)
+    return out.select(*[F.col(c) for c in big.columns], *[F.col("_value")[c].alias(c) for c in values])
+
+
 def plan_slices(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -92,22 +138,12 @@ def plan_slices(
 ) -> SlicePlan:
     """Find the hot keys of ``df`` and the order values at which they are cut."""
     keys = as_list(keys)
-    if surely_small(df):
-        return SlicePlan(tuple(keys), order, None)
     spark = df.sparkSession
-    floor = int(floor if floor is not None else spark.conf.get(FLOOR_CONF, str(DEFAULT_FLOOR)))
-    parts = int(parts if parts is not None else spark.conf.get(PARTS_CONF, str(DEFAULT_PARTS)))
-
     slim = df.select(*keys, order_value(df, order).alias("_x"))
-    counts = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # At most ``parts`` keys can hold more than 1/parts of the rows each, so this top-k is complete.
-    top = counts.where(F.col("_n") > floor).orderBy(F.desc("_n")).limit(parts).collect()
-    if not top:
-        return SlicePlan(tuple(keys), order, None)
-    share = max(floor, slim.count() / parts)
-    top = [row for row in top if row["_n"] > share]
-    if not top:
+    found = hot_keys(df, keys, floor, parts)
+    if found is None:
         return SlicePlan(tuple(keys), order, None)
+    top, share = found
 
     key_fields = [slim.schema[k] for k in keys]
     sizes = spark.createDataFrame(
