@@ -11,8 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.keys import as_list, attach_totals, clip, flag, join_on, nz, ratio
-from ..operators.prior import prefix_sums
+from ..operators.keys import as_list, clip, flag, join_on, nz, ratio
 from ..operators.quantiles import quantile_bucket, quantiles, value_ranks
 
 MACHINE_EPS = 2.220446049250313e-16

@@ -7,8 +7,6 @@ prefix sums, so a long list of groups is not pulled into one task.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

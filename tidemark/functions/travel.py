@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators.keys import as_list, seconds_between
-from ..operators.prior import last_rows, prefix_sums, prior_rows, runs
+from ..operators.prior import prefix_sums, prior_rows, runs
 from .derive import bounded, flag
 
 # Radius of the earth and the mile.

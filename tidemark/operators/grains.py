@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .keys import as_list, attach_totals, join_on, nz, ratio
+from .keys import attach_totals, join_on, nz, ratio
 from .prior import last_rows, prefix_sums, prior_rows
 from .quantiles import median
 

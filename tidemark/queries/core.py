@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cutoff
 from ..operators.asof import asof_join, asof_nearest, latest_known
 from ..operators.keys import latest_by, ratio, seconds_between
-from ..operators.prior import event_rate_history, last_rows, prior_rows, rolling_ratios, runs
-from ..plans.purchase_context import daily_totals, purchase_context, user_day_history
+from ..operators.prior import event_rate_history, rolling_ratios, runs
+from ..plans.purchase_context import daily_totals, purchase_context
 from .registry import query, r, rd, rounded, rs
 
 DAYS_SQL = """
