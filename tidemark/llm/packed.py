@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -72,7 +73,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         if not batch.num_rows:
             continue
         lengths = batch.column(text)
-        offsets = np.concatenate([[0], np.cumsum(np.nan_to_num(pa.compute.binary_length(lengths).to_numpy(zero_copy_only=False)) + 16)])
+        offsets = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.binary_length(lengths).to_numpy(zero_copy_only=False)) + 16)])
         at = 0
         while at < batch.num_rows:
             upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit - size, "right")) - 1)
