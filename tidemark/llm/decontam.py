@@ -221,3 +221,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     """A twentieth of the words or more lie in benchmark passages."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 13) -> DataFrame:
+    """The rows of ``docs``, as they are, that are not contaminated; rows are told apart by id and text."""
+    key = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    named = docs.select(key.alias("key"), F.col(text).alias("text"))
+    found = contamination(named, items, doc_id="key", window=window)
+    bad = found.where(is_contaminated(F.size("hits").cast("long"), F.col("n_words"))).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == F.col("_bad"), "left_anti")

@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import ship
 from tidemark.llm.packed import chunks, text_buffer
@@ -246,5 +247,13 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, text: str = "tex
             columns = {f.name: table[f.name] for f in kept}
             yield from pa.table(columns | {"lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score)}).to_batches()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return narrow.mapInArrow(predicted, f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return narrow.mapInArrow(predicted, schema)
+
+
+def in_known_language(docs: DataFrame, model: LanguageModel, least: float, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, as they are, whose text the model gives a language with ``least`` probability or more."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    told = predict_languages(docs, model, text=text, doc_id=doc_id, keep=(row,))
+    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select([F.col("_row").getField(c).alias(c) for c in docs.columns])

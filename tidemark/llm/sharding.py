@@ -10,8 +10,7 @@ no task orders the whole table. The driver sees one pair of totals per bin (``MA
 greedy step, one row with the furthest group end of each capacity tried; a step scans only the bins that its ends fall in.
 A group that holds a third of all rows is one row in the search, and its rows are numbered in many hash cells.
 
-Defined results: a null text has size 1, code 0 and forms a group of its own, apart from the empty text; fewer groups than
-shards leave the last shards empty; repeated rows take one slot each; null document ids come first in their cell; an
+Defined results: a null text has size 1 and code 0, as the empty text, and is in its group; fewer groups than leave the last shards empty; repeated rows take one slot each; null document ids come first in their cell; an
 empty table gives no rows. Only the id and text columns are read, so further columns cannot clash.
 """
 
@@ -94,7 +93,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, text: str = "text", doc
             F.col(doc_id).alias("doc_id"),
             (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
             text_crc32(body).alias("text_crc32"),
-            F.coalesce(F.sha2(body.cast("binary"), 256), F.lit("0" * 63)).alias("digest"),
+            F.sha2(F.coalesce(body, F.lit("")).cast("binary"), 256).alias("digest"),
         )
     )
     count = rows.count()
