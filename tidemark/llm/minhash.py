@@ -4,15 +4,19 @@ A document's set is its distinct word shingles, as 64-bit hashes. One permutatio
 by 1, 2, ... places around its circle, gives all ``BANDS * ROWS`` signature coordinates. Documents whose coordinates agree
 in a band meet in a bucket.
 
-Equal sets form one class, represented by its smallest id. In round one every class is compared with the smallest class
-of its buckets that the signatures let pass, one pair for each class. What those links join needs no comparison among
-itself. In round two, only in buckets that still hold several components, every member outside the first component is
-compared with the members of the other components. Each pair is first compared by two bits of every coordinate and by set
-size, in the join itself; all pairs that pass are verified on their full sets. Every pair that shares a bucket is thus
-either joined already or compared, so no link of a bucket is lost, and a bucket of copies never lists its pairs.
+Equal sets form one class, represented by its smallest id. A bucket's head is its member with the most company in all its
+buckets; among near copies of one text that is the text itself or the copy nearest to it. In round one every class is
+compared with one head of its buckets. What those links join needs no comparison among itself. In round two, only in buckets
+that still hold several components, every member outside the head's component is compared with the members of the other
+components. Pairs are compared in the join itself, before they become rows, by set size, by two bits of every coordinate,
+and by a parity sketch: a bitmap in which every shingle flips one bit. Two sketches differ in no more bits than the sets
+in elements, so for sets whose every shingle is in the sketch this test never drops a link, and it leaves hardly a pair
+that is none. All pairs that pass are verified on their full sets. Every pair that shares a bucket is thus joined already
+or compared: no link of a bucket is lost, and a bucket of copies never lists its pairs.
 
 Chances, for a pair at the threshold of 0.8: to share no band (1 - 0.8^4)^32 = 5e-8; to agree in fewer than ``AGREE`` of
-the 128 coordinates by two bits about 1e-9. More similar pairs have less.
+the 128 coordinates by two bits, or, for sets beyond ``SKETCHED`` shingles (of which the sketch takes a quarter, a sixteenth,
+...), to differ by six standard deviations, about 1e-9. More similar pairs have less.
 
 How it scales: texts are read once for sets and signatures, and once more for the documents in pairs. Shuffled are 32 small
 rows for each class, and the texts of pairs. No bucket, class or component is collected anywhere.
@@ -24,10 +28,12 @@ linked with nothing; repeated rows are in one class; an empty table gives no row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut_lineage, ship
@@ -36,6 +42,8 @@ from tidemark.llm.packed import SPACED, chunks, mix, ragged, text_buffer, word_h
 
 BANDS, ROWS = 32, 4
 AGREE = 84
+#: Bits of the parity sketch, and the set size up to which every shingle is in it.
+PARITY, SKETCHED = 2048, 1536
 #: Shingles handled at once while signatures are made, so that the arrays stay in a core's cache.
 TILE = 1 << 15
 
@@ -111,6 +119,28 @@ def _two_bits(signature: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.int64)
 
 
+def _thinning(n: np.ndarray) -> np.ndarray:
+    """Powers of four by which the sketch of a set of that size thins its shingles."""
+    return np.ceil(np.log2(np.maximum(1.0, n / SKETCHED)) / 2).astype(np.int64)
+
+
+def parity_sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(set, PARITY / 64) longs in which every shingle that is taken flips one bit."""
+    n, step = len(offsets) - 1, 512
+    thin = _thinning(np.diff(offsets))
+    out = np.zeros((n, PARITY // 64), np.int64)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        mine = values[offsets[a] : offsets[b]]
+        owner = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+        spread = mix(mine + np.uint64(3))
+        taken = (spread >> np.uint64(20) & ((np.uint64(1) << (2 * thin[a:b][owner]).astype(np.uint64)) - np.uint64(1))) == 0
+        bit = (spread[taken] % np.uint64(PARITY)).astype(np.int64)
+        flips = np.bincount(owner[taken] * PARITY + bit, minlength=(b - a) * PARITY)
+        out[a:b] = np.packbits((flips & 1).astype(np.uint8).reshape(b - a, PARITY), axis=1).view(np.int64)
+    return out
+
+
 def _described(size: int, kind: str):  # noqa: ANN202
     schema = f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, bits array<bigint>, bands array<bigint>"
 
@@ -122,13 +152,14 @@ def _described(size: int, kind: str):  # noqa: ANN202
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(salt)))]) for salt in (1, 2)]
             f1, f2 = ((s[offsets[1:]] - s[offsets[:-1]]).astype(np.int64) for s in sums)
             signature = signatures(values, offsets)
-            bands, bits = _band_keys(signature).astype(np.int64), _two_bits(signature)
+            bands = _band_keys(signature).astype(np.int64)
+            bits = np.concatenate([_two_bits(signature), parity_sketches(values, offsets)], axis=1)
             columns = {
                 "doc_id": table["doc_id"],
                 "n": pa.array(np.diff(offsets)),
                 "f1": pa.array(f1),
                 "f2": pa.array(f2),
-                "bits": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 4, pa.int32()), pa.array(bits.reshape(-1))),
+                "bits": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bits.shape[1], pa.int32()), pa.array(bits.reshape(-1))),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(np.ascontiguousarray(bands).reshape(-1))),
             }
             yield from pa.table(columns).to_batches()
@@ -136,11 +167,18 @@ def _described(size: int, kind: str):  # noqa: ANN202
     return described, schema
 
 
-def _agreeing(left: str, right: str) -> F.Column:
-    """Whether two classes may reach the threshold, by size and by two bits of every coordinate."""
-    a, b = (lambda k: F.col(f"{left}bits")[k]), (lambda k: F.col(f"{right}bits")[k])
-    differ = F.bit_count(a(0).bitwiseXOR(b(0)).bitwiseOR(a(2).bitwiseXOR(b(2)))) + F.bit_count(a(1).bitwiseXOR(b(1)).bitwiseOR(a(3).bitwiseXOR(b(3))))
-    return differ <= BANDS * ROWS - AGREE
+def _may_link(percent: int) -> Column:
+    """Whether two classes (columns ``l_n, l_bits, r_n, r_bits``) may reach the threshold."""
+    a, b = (lambda k: F.col("l_bits")[k]), (lambda k: F.col("r_bits")[k])
+    least, most, both = F.least("l_n", "r_n"), F.greatest("l_n", "r_n"), F.col("l_n") + F.col("r_n")
+    signature = F.bit_count(a(0).bitwiseXOR(b(0)).bitwiseOR(a(2).bitwiseXOR(b(2)))) + F.bit_count(a(1).bitwiseXOR(b(1)).bitwiseOR(a(3).bitwiseXOR(b(3))))
+    flipped = reduce(add, [F.bit_count(a(k).bitwiseXOR(b(k))) for k in range(4, 4 + PARITY // 64)])
+    # Sets of n shingles together that reach the threshold differ in n * (100 - percent) / (100 + percent) at most.
+    allowed = both * (100 - percent) / (100 + percent)
+    thin = [F.ceil(F.log2(F.greatest(F.lit(1.0), F.col(c) / float(SKETCHED))) / 2) for c in ("l_n", "r_n")]
+    part = allowed / F.pow(F.lit(4.0), thin[0])
+    sketch = (thin[0] != thin[1]) | (flipped <= F.when(thin[0] == 0, allowed).otherwise(part + 6 * F.sqrt(part) + 6))
+    return (least * 100 >= most * percent) & (signature <= BANDS * ROWS - AGREE) & sketch
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -176,29 +214,33 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = cut_lineage(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
     members = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where("head < tail").drop("tail")
+    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
     members = cut_lineage(members.join(buckets, ["band", "key"]))
     facts = classes.select("id", "n", "bits")
-    near_size = F.least("l_n", "r_n") * 100 >= F.greatest("l_n", "r_n") * percent
 
     def fact(prefix: str) -> DataFrame:
         return facts.select(F.col("id").alias(f"{prefix}id"), F.col("n").alias(f"{prefix}n"), F.col("bits").alias(f"{prefix}bits"))
 
-    # Round one: one pair for each class, with the smallest head that passes.
-    stars = members.where("id > head").select("id", "head").distinct()
-    stars = stars.join(fact("l_"), F.col("id") == F.col("l_id")).join(fact("r_"), F.col("head") == F.col("r_id")).where(near_size & _agreeing("l_", "r_"))
-    pairs = cut_lineage(stars.groupBy("id").agg(F.min("head").alias("a")).select("a", F.col("id").alias("b")))
+    # Round one: one pair for each class, with the head that has the most company.
+    rank = cut_lineage(members.groupBy("id").agg(F.sum("company").alias("rank")))
+    members = cut_lineage(members.drop("company").join(rank, "id"))
+    heads = members.groupBy("band", "key").agg(F.max(F.struct("rank", "id")).alias("head"))
+    members = cut_lineage(members.join(heads, ["band", "key"]).select("band", "key", "id", "head"))
+    stars = members.where("id != head.id").select("id", "head").distinct()
+    stars = stars.join(fact("l_"), F.col("id") == F.col("l_id")).join(fact("r_"), F.col("head.id") == F.col("r_id")).where(_may_link(percent))
+    stars = stars.groupBy("id").agg(F.max("head").alias("head")).select("id", F.col("head.id").alias("head"))
+    pairs = cut_lineage(stars.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
     links = cut_lineage(_verified(pairs, narrow, size, percent))
     joined = cut_lineage(connected_components(links))
-    # Round two: in buckets with several components, members outside the first against the other components.
+    # Round two: in buckets with several components, members outside the head's against the other components.
     label = F.coalesce("component", "id").alias("component")
-    placed = members.join(joined, F.col("id") == F.col("node"), "left").select("band", "key", "id", label)
-    several = placed.groupBy("band", "key").agg(F.min("component").alias("main"), F.max("component").alias("last")).where("main < last").drop("last")
-    several = cut_lineage(placed.join(several, ["band", "key"]))
+    placed = members.join(joined, F.col("id") == F.col("node"), "left").select("band", "key", "id", label, (F.col("id") == F.col("head.id")).alias("is_head"))
+    several = placed.groupBy("band", "key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.max(F.when(F.col("is_head"), F.col("component"))).alias("main"))
+    several = cut_lineage(placed.drop("is_head").join(several.where("first < last").drop("first", "last"), ["band", "key"]))
     sides = several.join(fact("l_"), F.col("id") == F.col("l_id")).select("band", "key", "l_id", "l_n", "l_bits", F.col("component").alias("l_component"), (F.col("component") == F.col("main")).alias("in_main"))
     left = sides.where("not in_main").drop("in_main")
     right = sides.select("band", "key", *[F.col(f"l_{c}").alias(f"r_{c}") for c in ("id", "n", "bits", "component")], "in_main")
-    crossing = (left["l_component"] != right["r_component"]) & (right["in_main"] | (right["r_id"] < left["l_id"])) & near_size & _agreeing("l_", "r_")
+    crossing = (left["l_component"] != right["r_component"]) & (right["in_main"] | (right["r_id"] < left["l_id"])) & _may_link(percent)
     more = left.join(right, (left["band"] == right["band"]) & (left["key"] == right["key"]) & crossing)
     more = cut_lineage(more.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
     late = cut_lineage(_verified(more, narrow, size, percent))
