@@ -5,8 +5,9 @@ message with the distinct values it needs; the shard merges the messages of all
 that it asked in; the block meets its answers again beside its own texts. What is shuffled are compressed arrays, one for
 each block and shard that have something to say to each other, and the compressed texts once.
 
-A block is made again from the input when it is asked for a second time, so the input must give the same rows again: a
-table that was read from files does. The number and bytes of a block's texts go with its messages and are compared.
+A block is made again from the input when it is asked for a second time. Rows that come from files come again in the same
+order; ``steady`` writes rows that come out of a shuffle first. A block is named by its place and its content, so texts that
+did change between two passes are noticed: their answers belong to no block.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import ship
-from tidemark.llm.packed import chunks
+from tidemark.llm.common import cut_lineage, ship
+from tidemark.llm.packed import chunks, text_buffer
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MESSAGE = "block bigint, shard int, body binary"
 Message = tuple[int, bytes]
 
@@ -63,10 +65,18 @@ def joined(parts: list[np.ndarray], kind: type | np.dtype) -> np.ndarray:
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The blocks of an input task, numbered."""
+    """The blocks of an input task, each with a non-negative name."""
     task = TaskContext.get().partitionId() << 24
     for number, table in enumerate(chunks(batches, limit=BLOCK_BYTES)):
-        yield task + number, table
+        data, offsets = text_buffer(table["text"])
+        name = xxhash.xxh64(offsets.tobytes(), seed=task + number)
+        name.update(data)
+        yield name.intdigest() >> 1, table
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """Rows that come again in the same order: ``df`` itself, or written to files if they come out of a shuffle."""
+    return cut_lineage(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 def message_rows(blocks: list[int], shards: list[int], bodies: list[bytes]) -> pa.RecordBatch:

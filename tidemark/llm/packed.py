@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -43,12 +43,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(max(n, CHUNK + 4096), base, np.uint64)
+            steps = np.full(max(n, CHUNK + 65536), base, np.uint64)
             steps[0] = 1
             _POWERS[name] = np.multiply.accumulate(steps)
     return _POWERS["up"], _POWERS["down"]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Factors that take the place of a span out of a difference of prefix sums."""
+    return _powers(n)[1]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of a string column; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

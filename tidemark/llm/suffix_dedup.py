@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.exchange import MESSAGE, Message, by_block, by_shard, joined, message_rows, pack, questions, slim, unpack
-from tidemark.llm.packed import BYTE_VALUE_CASE, prefix_hash, ragged, span_hash, text_buffer
+from tidemark.llm.exchange import MESSAGE, Message, by_block, by_shard, joined, message_rows, pack, questions, slim, steady, unpack
+from tidemark.llm.packed import BYTE_VALUE_CASE, inverse_powers, prefix_hash, ragged, span_hash, text_buffer
 
 ANCHOR = 24
 SHARD_BYTES = 16 << 20
-PORTION = 3 << 20
+PORTION = 1 << 20
 NOBODY = np.iinfo(np.int64).max
 KEPT_SCHEMA = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
@@ -118,42 +118,79 @@ def sliding(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segments:
-    """Runs of windows with one anchor in a block of texts, and the distinct ones among them."""
-
-    PART = 1 << 23
-
-    def __init__(self, texts: pa.ChunkedArray, length: int) -> None:
-        self.data, self.offsets = data, offsets = text_buffer(texts)
-        hashes = prefix_hash(data, BYTE_VALUE_CASE)
-        n = max(0, len(data) - length + 1)
-        anchor = np.zeros(n, np.int64)
-        low = np.uint64(0xFFFFFF)
-        for a in range(0, n, self.PART):  # places are numbered within a part
-            b = min(n, a + self.PART)
-            place = np.arange(b - a + length - ANCHOR)
-            named = span_hash(hashes, a + place, a + place + ANCHOR) & ~low | place.astype(np.uint64)
-            anchor[a:b] = a + (sliding(named, length - ANCHOR + 1) & low).astype(np.int64)
-        window = np.arange(n)
-        doc = np.searchsorted(offsets, window, "right") - 1
-        inside = window + length <= offsets[doc + 1]
-        begins = np.ones(n, bool)
-        begins[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
-        begins[0:1] = True
-        begins &= inside
-        self.start = np.flatnonzero(begins)
-        run = np.cumsum(begins) - 1
-        self.windows = np.bincount(run[inside], minlength=len(self.start)) if len(self.start) else np.zeros(0, np.int64)
-        self.doc, place = doc[self.start], anchor[self.start]
+    """Runs of windows with one anchor in a block of texts.
+
+    The block is gone through in parts that a core's cache holds; a run that goes on into the next part becomes two
+    segments, which changes no window and no anchor.
+    """
+
+    PART = 1 << 17
+
+    def __init__(self, table: pa.Table, length: int) -> None:
+        self.data, self.offsets = data, offsets = text_buffer(table["text"])
+        ids = table["doc_id"].combine_chunks()
+        unknown = ids.is_null().to_numpy(zero_copy_only=False)
+        #: Document ids; a null id is nobody's.
+        self.owners = np.where(unknown, NOBODY, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.length, self.hashes = length, prefix_hash(data, BYTE_VALUE_CASE)
+        starts, counts, anchors = [], [], []
+        reach = length - ANCHOR
+        for a in range(0, len(data) - length + 1, self.PART):
+            b = min(len(data) - length + 1, a + self.PART)
+            named = self._named(a, b + reach)
+            named &= ~np.uint64(0xFFFFFF)
+            named |= np.arange(len(named), dtype=np.uint64)  # ties go to the first place
+            anchor = (sliding(named, reach + 1) & np.uint64(0xFFFFFF)).astype(np.int32)
+            # The first window that reaches beyond its document, for all windows.
+            first, last = np.searchsorted(offsets, [a, b - 1], "right") - 1
+            ends = offsets[first + 1 : last + 2]
+            end = np.repeat(ends, np.diff(np.concatenate([[a], np.minimum(ends, b)])))
+            inside = np.arange(a + length, b + length) <= end
+            turn = np.ones(b - a + 1, bool)
+            turn[1:-1] = (anchor[1:] != anchor[:-1]) | (end[1:] != end[:-1]) | (inside[1:] != inside[:-1])
+            run = np.flatnonzero(turn)
+            begin, count = run[:-1], np.diff(run)
+            held = inside[begin]
+            begin, count = begin[held], count[held]
+            starts.append(a + begin)
+            counts.append(count)
+            anchors.append(a + anchor[begin].astype(np.int64))
+        self.start, self.windows, place = (joined(x, np.int64) for x in (starts, counts, anchors))
         self.size = self.windows + length - 1
-        self.anchor = span_hash(hashes, place, place + ANCHOR)
-        content = span_hash(hashes, self.start, self.start + self.size)
-        order = np.lexsort((self.size, content, self.anchor))
+        self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        self.anchor = span_hash(self.hashes, place, place + ANCHOR)
+
+    def _named(self, a: int, b: int) -> np.ndarray:
+        """Scattered hashes of the ``ANCHOR`` bytes from a, a + 1, ..., b - 1."""
+        name = (self.hashes[a + ANCHOR : b + ANCHOR] - self.hashes[a:b]) * inverse_powers(b)[a:b]
+        name ^= name >> np.uint64(32)
+        name *= np.uint64(0xD6E8FEB86659FD93)
+        return name
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors in order, whether several documents hold each, and each segment's anchor's number."""
+        order = np.argsort(self.anchor)
+        ordered = self.anchor[order]
         fresh = np.ones(len(order), bool)
-        a, c, s = self.anchor[order], content[order], self.size[order]
-        fresh[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
-        self.number = np.empty(len(order), np.int64)  # of the distinct segment, by segment
-        self.number[order] = np.cumsum(fresh) - 1
-        self.distinct = order[fresh]  # one segment of each kind, by anchor
+        fresh[1:] = ordered[1:] != ordered[:-1]
+        first, owner = np.flatnonzero(fresh), self.owners[self.doc][order]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        if not len(first):
+            return ordered, fresh, number
+        return ordered[first], np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first), number
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One segment of each kind (anchor and bytes), in the order of anchors; each segment's kind; each kind's smallest owner."""
+        content = span_hash(self.hashes, self.start, self.start + self.size)
+        order = np.lexsort((content, self.anchor))
+        a, c = self.anchor[order], content[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(fresh) - 1
+        first = np.flatnonzero(fresh)
+        return order[first], kind, np.minimum.reduceat(self.owners[self.doc][order], first) if len(first) else np.zeros(0, np.int64)
 
 
 def _shard(anchors: np.ndarray, shards: int) -> np.ndarray:
@@ -167,28 +204,13 @@ def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield s, slice(a, b)
 
 
-def _owners(table: pa.Table) -> np.ndarray:
-    """Document ids; a null id is nobody's."""
-    ids = table["doc_id"].combine_chunks()
-    return np.where(ids.is_null().to_numpy(zero_copy_only=False), NOBODY, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-
-
-def _anchors(segments: Segments, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct anchors in order, and whether several of its documents hold each."""
-    anchors, of = np.unique(segments.anchor, return_inverse=True)
-    least, most = np.full(len(anchors), NOBODY), np.full(len(anchors), np.iinfo(np.int64).min)
-    np.minimum.at(least, of, owners[segments.doc])
-    np.maximum.at(most, of, owners[segments.doc])
-    return anchors, least < most
-
-
 def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: byte spans of a text that a smaller document holds, and the bytes that stay."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = steady(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // SHARD_BYTES))
 
     def ask_anchors(table: pa.Table) -> Iterator[Message]:
-        anchors, several = _anchors(Segments(table["text"], length), _owners(table))
+        anchors, several, _ = Segments(table, length).anchors()
         for shard, part in _by_owner(_shard(anchors, shards)):
             # Half of the hash names an anchor within its shard; a chance meeting only costs a segment sent.
             short = anchors[part] & np.uint64(0xFFFFFFFF)
@@ -205,22 +227,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc
             yield block, pack(np.packbits(np.isin(v, twice, assume_unique=False)))
 
     def send_segments(block: int, table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        segments, owners = Segments(table["text"], length), _owners(table)
-        anchors, _ = _anchors(segments, owners)
+        segments = Segments(table, length)
+        anchors, _, number = segments.anchors()
         shared = np.zeros(len(anchors), bool)
         for shard, part in _by_owner(_shard(anchors, shards)):
             order = np.argsort(anchors[part] & np.uint64(0xFFFFFFFF), kind="stable")
             shared[part.start + order] = np.unpackbits(unpack(answers[shard])[0], count=len(order)).astype(bool)
-        least = np.full(len(segments.distinct), NOBODY)
-        np.minimum.at(least, segments.number, owners[segments.doc])
-        sent = np.flatnonzero(shared[np.searchsorted(anchors, segments.anchor[segments.distinct])])
-        one = segments.distinct[sent]
+        one, _, least = segments.distinct()
+        sent = np.flatnonzero(shared[number[one]])
+        one, least = one[sent], least[sent]
         out: list[Message] = []
         for shard, part in _by_owner(_shard(segments.anchor[one], shards)):
             mine = one[part]
             data = segments.data[ragged(segments.start[mine], segments.size[mine])]
             group = (segments.anchor[mine] >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
-            out.append((shard, pack(slim(np.diff(sent[part], prepend=0)), group, slim(segments.size[mine]), least[sent[part]], data)))
+            out.append((shard, pack(slim(np.diff(sent[part], prepend=0)), group, slim(segments.size[mine]), least[part], data)))
         return pa.Table.from_batches([message_rows([block] * len(out), [s for s, _ in out], [b for _, b in out])])
 
     def expand(shard: int, blocks: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
@@ -266,9 +287,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc
             yield block, pack(p[0], slim(run_count[mine]), slim(run_size[runs]), result[runs_at[runs]])
 
     def cut(block: int, table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        segments, owners = Segments(table["text"], length), _owners(table)
-        kinds = len(segments.distinct)
-        runs, sizes, least = np.zeros(kinds, np.int64), [], []
+        segments = Segments(table, length)
+        one, kind, _ = segments.distinct()
+        runs, sizes, least = np.zeros(len(one), np.int64), [], []
         for shard in sorted(answers):  # shards and their segments are in the order of the anchors
             number, run_count, run_size, owner = unpack(answers[shard])
             runs[np.cumsum(number.astype(np.int64))] = run_count
@@ -276,14 +297,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc
             least.append(owner)
         run_size, least = joined(sizes, np.int64), joined(least, np.int64)
         first_run = np.cumsum(runs) - runs
-        mine = runs[segments.number]
-        of = ragged(first_run[segments.number], mine)  # all runs of all segments
+        mine = runs[kind]
+        of = ragged(first_run[kind], mine)  # all runs of all segments
         begin = np.zeros(len(of), np.int64)
         if len(of):
             before = np.cumsum(run_size[of]) - run_size[of]
             head = np.cumsum(mine) - mine
             begin = np.repeat(segments.start, mine) + before - np.repeat(before[np.minimum(head, len(of) - 1)], mine)
-        owner = np.repeat(owners[segments.doc], mine)
+        owner = np.repeat(segments.owners[segments.doc], mine)
         gone = (least[of] < owner) & (owner != NOBODY)
         change = np.zeros(len(segments.data) + 1, np.int32)
         np.add.at(change, begin[gone], 1)
