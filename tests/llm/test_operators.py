@@ -334,7 +334,8 @@ def test_scores_against_plain_base_and_better_than_it(spark, nasty, none):
     rows = pitman_yor.score_texts(df, out).collect()
     assert ordered((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in rows) == wanted
     assert all(r["score"] < 0 for r in rows)
-    assert sum(r["score"] for r in rows if r["held_out"]) > sum(r["base_score"] for r in rows if r["held_out"])
+    copies = [r for r in rows if r["held_out"] and 20 < r["doc_id"] < 120]  # of texts that were learnt
+    assert copies and sum(r["score"] for r in copies) > 0.85 * sum(r["base_score"] for r in copies)
     assert pitman_yor.score_texts(none, F.lit(False)).count() == 0
     assert pitman_yor.score_texts(nasty, F.lit(True)).count() == len(NASTY)
     assert pitman_yor.perplexity(pitman_yor.score_texts(df, out)).count() == 2

@@ -136,7 +136,7 @@ def lists_needed(index: DataFrame, queries: DataFrame, geometry: Geometry, k: in
         for batch in batches:
             score = vectors @ matrix(batch.column("vec"), geometry.dims).T
             for i, query in enumerate(own):
-                score[i, pc.equal(batch.column("vec_id"), pa.scalar(query)).to_numpy(zero_copy_only=False)] = -np.inf
+                score[i, pc.fill_null(pc.equal(batch.column("vec_id"), pa.scalar(query)), False).to_numpy(zero_copy_only=False)] = -np.inf
             near = np.argpartition(-score, min(k, score.shape[1]) - 1, axis=1)[:, :k]
             query, row = np.repeat(np.arange(len(own)), near.shape[1]), near.reshape(-1)
             yield pa.RecordBatch.from_pydict({"query": pa.array(query, pa.int32()), "list": batch.column("list").take(pa.array(row)), "score": pa.array(score[query, row])})
@@ -219,7 +219,7 @@ def search(index: DataFrame, queries: DataFrame, geometry: Geometry, k: int = 20
             own = right["query_id"].combine_chunks()
             places = pc.index_in(own, value_set=ids).to_numpy(zero_copy_only=False)
             for i in range(right.num_rows):
-                mine = pc.equal(ids, own[i]).to_numpy(zero_copy_only=False) if places[i] == places[i] else None
+                mine = pc.fill_null(pc.equal(ids, own[i]), False).to_numpy(zero_copy_only=False) if places[i] == places[i] else None
                 near = scan(blocks, asked_turned[i], min(n, k + (0 if mine is None else int(mine.sum()))))
                 if mine is not None:  # rows with its own id are in the list
                     near = near[~mine[near]]
@@ -233,7 +233,7 @@ def search(index: DataFrame, queries: DataFrame, geometry: Geometry, k: int = 20
     keys = ("list", "block", "part")
     pairs = rows.select(*keys, "vec_id", "vec", "turned").groupBy(*keys).cogroup(parts.select(*keys, "query_id", "q", "turned").groupBy(*keys))
     hits = pairs.applyInArrow(found, f"query_id {kind}, vec_id {id_kind}, score double")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut_lineage, ship
-from tidemark.llm.exchange import Message, by_block, by_shard, joined, pack, questions, slim, unpack
+from tidemark.llm.exchange import Message, by_block, by_shard, joined, pack, questions, slim, steady, unpack
 from tidemark.llm.packed import SPACED, mix, text_buffer, word_hashes
 
 CONTEXTS = 4096
@@ -288,7 +288,7 @@ class Model:
             columns = {f.name: table[f.name] for f in shown} | {"n_tokens": tokens.counts, "n_known": sums["n_known"], "base_score": sums["base_score"], "score": sums["score"]}
             return pa.table(columns)
 
-        asked = questions(docs.select("text"), ask).unionAll(self.table.select(F.lit(-1).cast("bigint").alias("block"), "shard", "body"))
+        asked = questions(docs, ask).unionAll(self.table.select(F.lit(-1).cast("bigint").alias("block"), "shard", "body"))
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown), "n_tokens bigint, n_known bigint, base_score double, score double"])
         return by_block(docs, by_shard(asked, answer), scored, schema)
 
@@ -303,7 +303,7 @@ def found(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; held-out rows are not learnt."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    rows = steady(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text")))
     model = Model(rows.where(~F.col("held_out")).select("text"))
     return model.score(rows, ["doc_id", "held_out"]).withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))
 
