@@ -26,12 +26,8 @@ def sf():
 def hot(spark):
     """Lower the hot-key thresholds so that small fixtures take the sliced path."""
     spark.conf.set("spark.tidemark.hot.floor", "20")
-    spark.conf.set("spark.tidemark.hot.parts", "40")
-    spark.conf.set("spark.tidemark.small.bytes", "0")
     yield
     spark.conf.unset("spark.tidemark.hot.floor")
-    spark.conf.unset("spark.tidemark.hot.parts")
-    spark.conf.unset("spark.tidemark.small.bytes")
 
 
 def rows(df, *order):

@@ -194,6 +194,40 @@ def test_isotonic_matches_pool_adjacent_violators(spark):
     assert got == pytest.approx([0.0, 0.5, 0.5, 1.0, 1.0])
 
 
+def test_isotonic_keeps_scores_closer_than_six_digits_apart(spark):
+    df = spark.createDataFrame([(0.3 + i * 1e-9, i % 2 if i < 4 else 1) for i in range(8)], "p double, y int")
+    got = [r["q"] for r in rows(K.fit_isotonic(df, "p", "y")(df, "p", "q"), "p")]
+    assert got == pytest.approx([0.0, 0.5, 0.5, 1.0, 1.0, 1.0, 1.0, 1.0])
+
+
+def test_equal_mass_ece_keeps_ties_at_the_lowest_score_apart(spark):
+    rng = random.Random(8)
+    data = [(0.1 if i % 4 == 0 else round(rng.uniform(0.1, 0.9), 4), int(rng.random() < 0.4)) for i in range(400)]
+    p, y = (np.array([r[k] for r in data], float) for k in (0, 1))
+    edges = np.quantile(p, np.linspace(0, 1, 11))
+    edges[0], edges[-1] = 0, 1
+    edges = np.unique(edges)
+    place = np.digitize(p, edges[1:-1], right=True)
+    wanted = sum(abs(y[place == b].mean() - p[place == b].mean()) * (place == b).mean() for b in set(place))
+    df = spark.createDataFrame(data, "p double, y int")
+    assert rows(M.ece(df, "p", "y", 10, mass=True))[0]["ece"] == pytest.approx(wanted)
+
+
+def test_purged_away_folds_are_left_out(spark):
+    df = spark.createDataFrame([(f"g{d}", dt.datetime(2024, 1, 1 + d)) for d in range(6)], "grp string, ts timestamp")
+    assert X.purged_folds(df, "grp", "ts", 3, purge_days=30).count() == 0
+    assert {r["fold"] for r in rows(X.purged_folds(df, "grp", "ts", 3, purge_days=2.5))} == {0, 1, 2} - {r for r in range(3) if r + 3 - 3 < 0}
+
+
+def test_two_by_two_screen_is_corrected(spark):
+    data = [("a", 0)] * 30 + [("a", 1)] * 20 + [("b", 0)] * 20 + [("b", 1)] * 30
+    df = spark.createDataFrame(data, "c string, y int")
+    got = rows(A.crosstab_statistics(df, "c", "y", corrected=True))[0]
+    assert got["chi2"] == pytest.approx(3.24) and got["p_value"] == pytest.approx(0.0719, abs=2e-4)
+    assert rows(A.crosstab_statistics(df, "c", "y"))[0]["chi2"] == pytest.approx(4.0)
+    assert A.screen_separators(df, "y", ["c"], alpha=0.05).count() == 0
+
+
 def test_cross_fit_scores_only_test_rows(spark):
     data = sample(400)
     df = frame(spark, data).withColumn("grp", F.col("day").cast("string"))

@@ -33,6 +33,9 @@ def test_label_alias_and_missing_parts(spark):
 def test_leak_guard_bans_outcomes_and_keeps_allowed(spark):
     names = ["market_anytime_td_prob", "final_score", "postgame_anytime_td", "actual_td_count", "safe_feature"]
     assert set(labels.find_leaks(names)) == {"final_score", "postgame_anytime_td", "actual_td_count"}
+    assert set(labels.find_leaks(labels.SAME_EVENT)) == set(labels.SAME_EVENT)
+    realised = ["passing_yards", "pass_attempt", "carry", "offense_pct", "ps_targets_total", "touchdown_player_id", "x_final", "postgame_a", "POSTGAME"]
+    assert set(labels.find_leaks([*realised, "1g_carry_per_game", "carry_l3", "poster"])) == set(realised)
     df = spark.createDataFrame([("g", 1.0, 1, 2)], "game_id string, safe_feature double, postgame_anytime_td int, final_score int")
     out, report = labels.guard_leaks(df)
     assert out.columns == ["game_id", "safe_feature"] and set(report.dropped) == {"postgame_anytime_td", "final_score"}
@@ -44,6 +47,17 @@ def test_leak_guard_bans_outcomes_and_keeps_allowed(spark):
     assert only.columns == ["game_id", "safe_feature"]
 
 
+@pytest.mark.parametrize("n", [1500, 5000])
+def test_report_sequence_holds_every_report(spark, n):
+    start = dt.datetime(2024, 1, 1)
+    data = [("p", start + dt.timedelta(minutes=i), ("FULL", "LIMITED", "DID NOT PARTICIPATE")[i % 3], None if i else "OUT", start + dt.timedelta(days=30)) for i in range(n)]
+    df = spark.createDataFrame(data, "player_id string, reported_at timestamp, practice_status string, report_status string, decision_cutoff_ts timestamp")
+    got = rows(injuries.report_summary(df, ["player_id"], start=None))[0]
+    assert got["injury_report_count"] == n and got["injury_practice_status_sequence"].count(">") == n - 1
+    assert got["injury_game_designation"] == "OUT" and got["injury_practice_status"] == data[-1][2]
+    assert sum(got[f"injury_practice_{k}_last3"] for k in ("dnp", "limited", "full")) == 3
+
+
 def test_horizon_columns():
     names = ["market_anytime_td_prob", "market_anytime_td_prob_2h", "market_anytime_td_prob_6h", "other_feature"]
     assert labels.select_horizon(names, "cutoff") == ["market_anytime_td_prob", "other_feature"]

@@ -1,12 +1,14 @@
 """Plans, sources, sinks and streams."""
 
 import datetime as dt
+import json
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import labels
 from tidemark.functions.cutoff import CutoffPolicy
 from tidemark.operators.prior import last_rows, prior_rows
 from tidemark.plans import asof_metadata as AM
@@ -59,7 +61,7 @@ def test_serve_snap_history_is_strictly_before(spark):
     assert (got["prev"], got["days_since_last_event"], got["depth_chart_order_prev"]) == (20.0, 7.0, 1)
 
 
-def test_feature_matrix_end_to_end(spark):
+def test_feature_matrix_end_to_end(spark, tmp_path):
     data = []
     for week in range(1, 6):
         for i in range(12):
@@ -71,11 +73,20 @@ def test_feature_matrix_end_to_end(spark):
         plays = plays.transform(step)
     plays = plays.withColumns({"air_yards": F.lit(5.0), "yards_after_catch": F.lit(2.0), "rusher_player_id": F.lit(None).cast("string"), "rush_touchdown": F.lit(0)})
     positions = spark.createDataFrame([(f"w{i}", "WR") for i in range(4)] + [("q0", "QB"), ("q1", "QB")], "player_id string, position string")
-    out = FP.feature_matrix(plays, positions=positions, policy=CutoffPolicy(horizons=(1.5, 6.0)))
+    out = FP.feature_matrix(plays, positions=positions, policy=CutoffPolicy(horizons=(1.5, 6.0)), snapshot_path=str(tmp_path / "schema"))
+    assert not set(out.columns) & (set(labels.SAME_EVENT) - {"td_count"})
+    rolled = [c for c in out.columns if "_per_game" in c]
+    stats = [c for c in FP.ROLLED if f"1g_{c}_per_game" in rolled]
+    assert {"touchdowns", "target", "carry", "receiving_yards", "red_zone_target"} <= set(stats)
+    assert sorted(rolled) == sorted(f"{w}_{s}_per_game{e}" for w in ("1g", "3g", "5g", "season", "lifetime") for s in stats for e in ("", "_with_team", "_vs_team"))
+    written = json.loads(spark.read.text(str(tmp_path / "schema")).first()["value"])
+    assert written["label_version"] == "v1_any_offense" and "1g_target_per_game" in written["columns"]
     got = rows(out.where("player_id = 'w0' and decision_horizon_hours = 6.0"), "week")
     assert len(got) == 5 and got[0]["1g_target_per_game"] is None and got[1]["1g_target_per_game"] == 3.0
     assert {"team_ctx_pass_rate_l3", "wr_snap_trend" if "snap_offense_pct_prev" in out.columns else "position_group", "anytime_td"} <= set(out.columns)
     assert out.count() == 2 * 5 * 6
+    # Against one opponent a rate needs four earlier games.
+    assert [r["1g_target_per_game_vs_team"] for r in got] == [None, None, None, None, 3.0]
 
 
 def test_schema_helpers(spark):

@@ -22,8 +22,8 @@ def _names(df: DataFrame, *kinds: type) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def coverage_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
-    """Per column: rows, non-null, coverage, distinct values. One aggregate over the data."""
+def coverage_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Per column: rows, non-null, coverage, distinct values (``exact=False``: sketched). One aggregate over the data."""
     columns = list(columns or [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))])
     distinct = F.countDistinct if exact else F.approx_count_distinct
     wide = df.agg(
@@ -347,10 +347,12 @@ def chi_square_tail(x: Column, dof: Column) -> Column:
     return F.greatest(F.least(F.when(dof % 2 == 0, even).otherwise(odd), F.lit(1.0)), F.lit(0.0))
 
 
-def crosstab_statistics(df: DataFrame, a: str, b: str, min_rows: int = 0) -> DataFrame:
+def crosstab_statistics(df: DataFrame, a: str, b: str, min_rows: int = 0, corrected: bool = False) -> DataFrame:
     """Chi-square, degrees of freedom, p-value and bias-corrected Cramér's V of two categories.
 
-    ``n (Σ o² / (row · column) - 1)`` covers empty cells without forming them.
+    ``n (Σ o² / (row · column) - 1)`` covers empty cells without forming them. ``corrected`` moves the
+    cells of a 2x2 table half a row (at most their deviation) towards independence: all four
+    deviate by the same ``sqrt(chi² / Σ 1/expected)``, and ``Σ 1/expected`` is ``n³ / Π margins``.
     """
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_o"))
     cells = attach_totals(cells, "_a", {"_row": F.sum("_o")}).where(F.col("_row") >= min_rows)
@@ -358,9 +360,15 @@ def crosstab_statistics(df: DataFrame, a: str, b: str, min_rows: int = 0) -> Dat
     sums = cells.agg(
         F.sum("_o").alias("n"), F.sum(F.col("_o") * F.col("_o") / (F.col("_row") * F.col("_col"))).alias("_q"),
         F.countDistinct("_a").alias("r"), F.countDistinct("_b").alias("k"),
+        F.min("_row").alias("_r1"), F.max("_row").alias("_r2"), F.min("_col").alias("_c1"), F.max("_col").alias("_c2"),
     )
     n, r, k = F.col("n"), F.col("r"), F.col("k")
     chi2 = F.greatest(n * (F.col("_q") - 1), F.lit(0.0))
+    if corrected:
+        inverse = n * n * n / (F.col("_r1") * F.col("_r2") * F.col("_c1") * F.col("_c2"))
+        deviation = F.sqrt(chi2 / inverse)
+        moved = deviation - F.least(F.lit(0.5), deviation)
+        chi2 = F.when((r == 2) & (k == 2), moved * moved * inverse).otherwise(chi2)
     phi = F.greatest(chi2 / n - (k - 1) * (r - 1) / (n - 1), F.lit(0.0))
     rc, kc = r - (r - 1) * (r - 1) / (n - 1), k - (k - 1) * (k - 1) / (n - 1)
     out = sums.withColumns({"chi2": chi2, "dof": ((r - 1) * (k - 1)).cast("int")})
@@ -370,20 +378,20 @@ def crosstab_statistics(df: DataFrame, a: str, b: str, min_rows: int = 0) -> Dat
             "p_value": F.when(F.col("dof") > 0, chi_square_tail(F.col("chi2"), F.col("dof"))),
             "score": F.col("chi2") / F.greatest(F.col("dof"), F.lit(1)),
         }
-    ).drop("_q")
+    ).drop("_q", "_r1", "_r2", "_c1", "_c2")
 
 
 def screen_separators(df: DataFrame, label: str, columns: Sequence[str], alpha: float = 0.001, d_min: float = 0.1, min_rows: int = 30, min_n: int = 50, wide: int = 30) -> DataFrame:
     """Which columns separate the label: KS for wide numbers, chi-square for the others."""
     numbers = set(_names(df, T.NumericType))
-    counts = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns]).first().asDict()
+    counts = {c: df.select(c).where(F.col(c).isNotNull()).distinct().limit(wide + 1).count() for c in columns if c in numbers}
     report = None
     for c in columns:
         if c in numbers and counts[c] > wide:
             row = ks_distance(df, c, label).where((F.col("n_pos") >= min_n) & (F.col("n_neg") >= min_n) & (F.col("ks") > d_min))
             row = row.select(F.lit(c).alias("column"), F.lit("ks").alias("test"), F.col("ks").alias("statistic"), "p_value")
         else:
-            row = crosstab_statistics(df, c, label, min_rows).where(F.col("r") > 1)
+            row = crosstab_statistics(df, c, label, min_rows, corrected=True).where(F.col("r") > 1)
             row = row.select(F.lit(c).alias("column"), F.lit("chi2").alias("test"), F.col("chi2").alias("statistic"), "p_value")
         report = row if report is None else report.unionByName(row)
     return report.where(F.col("p_value") < alpha)

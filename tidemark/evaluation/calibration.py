@@ -79,13 +79,12 @@ def fit_beta(df: DataFrame, score: str, label: str) -> Apply:
 
 
 def fit_isotonic(df: DataFrame, score: str, label: str) -> Apply:
-    """Isotonic regression on one weighted mean per score; linear between the knots.
+    """Isotonic regression on one weighted mean per exact score; linear between the knots.
 
-    Scores are taken to six digits, so the last, unparallel step of the fit sees at most a million
-    points however many rows there are.
+    The fit pools violators inside score ranges first, one task each, and its last step sees only
+    the pooled blocks.
     """
-    rounded = _weighted(df, score, label).withColumn("_p", F.round("_p", 6))
-    table = rounded.groupBy("_p").agg(
+    table = _weighted(df, score, label).groupBy("_p").agg(
         (F.sum(F.col("_y") * F.col("_w")) / F.sum("_w")).alias("_y"), F.sum("_w").alias("_w")
     )
     model = IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_w").fit(table)

@@ -87,10 +87,13 @@ def reliability(df: DataFrame, score: str, label: str, bin_column: str, keys: Se
 
 
 def ece(df: DataFrame, score: str, label: str, bins: int = 15, keys: Sequence[str] = (), mass: bool = False) -> DataFrame:
-    """Expected and maximum calibration error with equal-width or equal-mass bins."""
+    """Expected and maximum calibration error with equal-width or equal-mass bins.
+
+    Equal-mass edges run from 0 to 1, so rows tied at the lowest score are a bin of their own.
+    """
     keys = as_list(keys)
     if mass:
-        binned = quantile_bucket(df, score, bins, "_bin")
+        binned = quantile_bucket(df, score, bins, "_bin", outer=(0.0, 1.0))
     else:
         binned = df.withColumn("_bin", equal_width_bin(F.col(score), bins))
     table = reliability(binned, score, label, "_bin", keys)

@@ -148,7 +148,8 @@ def purged_folds(
 
     Test blocks fill the end of the timeline. A training group precedes its block by more than
     ``purge_groups`` groups and ends before the block's start minus ``purge_days``. An embargo
-    concerns groups *after* a block, which train nothing here, so it only labels them.
+    concerns groups *after* a block, which train nothing here, so it only labels them. A fold whose
+    training side is purged away is left out.
     """
     stats = group_stats(df, group, ts)
     n = stats.count()
@@ -172,7 +173,8 @@ def purged_folds(
         table = table.where("role != 'train'").withColumns({"_back": F.lit(0), "_age": F.lit(0)}).unionByName(
             ranked.where(F.col("_age") < max_train_groups).withColumn("_back", F.lit(0)), allowMissingColumns=True
         )
-    return cut_lineage(table.select(group, "fold", "role", "position"))
+    table = attach_totals(table, "fold", {"_train": F.sum(F.when(F.col("role") == "train", 1).otherwise(0))})
+    return cut_lineage(table.where(F.col("_train") > 0).select(group, "fold", "role", "position"))
 
 
 def block_folds(

@@ -8,7 +8,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.grains import prior_event_rate, tail_of
+from ..operators.grains import prior_event_rate
 from ..operators.keys import clip, join_on, latest_by, nz, seconds_between
 from .derive import derive, flag, lookup
 
@@ -48,45 +48,38 @@ def report_summary(
     start: str | None = "game_start_utc",
     report: str = "report_status",
     practice: str = "practice_status",
-    sequence_limit: int = 1000,
 ) -> DataFrame:
-    """One row per player-week from the reports known at the cutoff.
+    """One row per player-week from the reports known at the cutoff: one scan, one shuffle.
 
-    Counts are plain sums over all reports. A sequence is one text per row by nature, so it is built
-    from thinned arrays and holds up to ``sequence_limit`` reports, far more than a week brings.
+    The status sequences are texts of the output row, so the reports of a key are gathered in one
+    ordered aggregate; everything else of the row is read off its ends.
     """
     keys = list(keys)
     known = reports.where(F.col(reported).isNotNull() & (F.col(reported) <= F.col(cutoff)))
     status, practised = F.upper(F.trim(report)), F.upper(F.trim(practice))
-    known = known.withColumns({"_report": F.when(F.length(status) > 0, status), "_practice": F.when(F.length(practised) > 0, practised)})
-    counts = {"injury_report_count": F.count(F.lit(1)), "_cutoff": F.max(cutoff)}
+    entry = F.struct(F.col(reported).alias("at"), F.when(F.length(practised) > 0, practised).alias("practice"), F.when(F.length(status) > 0, status).alias("report"))
+    counts = {"injury_report_count": F.count(F.lit(1)), "_cutoff": F.max(cutoff), "_reports": F.array_sort(F.collect_list(entry))}
     if start:
         counts["_start"] = F.max(start)
     for name, text in PRACTICE_KINDS:
-        counts[f"injury_practice_{name}_count"] = F.sum(flag(F.col("_practice").contains(text)))
+        counts[f"injury_practice_{name}_count"] = F.sum(flag(practised.contains(text)))
     out = known.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()])
-    practised_rows, reported_rows = known.where("_practice is not null"), known.where("_report is not null")
-    pieces = (
-        (practised_rows, "_practice", 3, "_first3", True), (practised_rows, "_practice", sequence_limit, "_practices", False),
-        (reported_rows, "_report", sequence_limit, "_reports", False), (known, reported, 2, "_times", False),
-    )
-    for rows, value, n, name, first in pieces:
-        extra = [] if value == reported else [value]
-        out = join_on(out, tail_of(rows, keys, [reported], extra, n, name, first), keys)
-    names = lambda c, field: F.transform(F.col(c), lambda e: e[field])
-    last3 = F.slice(F.reverse(names("_practices", "_practice")), 1, 3)
-    columns = {f"injury_practice_status_day{i}": F.get(names("_first3", "_practice"), F.lit(i - 1)) for i in (1, 2, 3)}
+    stated = lambda f: F.filter(F.transform("_reports", lambda e: e[f]), lambda e: e.isNotNull())
+    out = out.withColumns({"_practices": stated("practice"), "_statuses": stated("report")})
+    size = F.size("_practices")
+    last3 = F.slice("_practices", F.greatest(size - 2, F.lit(1)), F.lit(3))
+    columns = {f"injury_practice_status_day{i}": F.get("_practices", F.lit(i - 1)) for i in (1, 2, 3)}
     columns |= {
-        "injury_practice_status_sequence": F.array_join(names("_practices", "_practice"), ">"),
-        "injury_report_status_sequence": F.array_join(names("_reports", "_report"), ">"),
-        "injury_game_designation": F.try_element_at(names("_reports", "_report"), F.lit(-1)),
-        "injury_practice_status": F.try_element_at(names("_practices", "_practice"), F.lit(-1)),
+        "injury_practice_status_sequence": F.when(size > 0, F.array_join("_practices", ">")),
+        "injury_report_status_sequence": F.when(F.size("_statuses") > 0, F.array_join("_statuses", ">")),
+        "injury_game_designation": F.try_element_at("_statuses", F.lit(-1)),
+        "injury_practice_status": F.try_element_at("_practices", F.lit(-1)),
         "injury_is_listed": F.lit(1),
     }
     for name, text in PRACTICE_KINDS:
-        columns[f"injury_practice_{name}_last3"] = nz(F.size(F.filter(last3, partial(_says, text))))
+        columns[f"injury_practice_{name}_last3"] = F.size(F.filter(last3, partial(_says, text)))
     out = out.withColumns(columns)
-    last, before = F.try_element_at("_times", F.lit(-1))[reported], F.try_element_at("_times", F.lit(-2))[reported]
+    last, before = F.try_element_at("_reports", F.lit(-1))["at"], F.try_element_at("_reports", F.lit(-2))["at"]
     whole_hours = lambda a, b: F.floor(seconds_between(a, b) / 60) / 60
     times = {
         "injury_hours_since_last_report": whole_hours(F.col("_cutoff"), last),
@@ -98,7 +91,7 @@ def report_summary(
     }
     if start:
         times["injury_hours_until_game_at_last_report"] = whole_hours(F.col("_start"), last)
-    return out.withColumns(times).drop("_cutoff", "_start", "_first3", "_practices", "_reports", "_times")
+    return out.withColumns(times).drop("_cutoff", "_start", "_practices", "_statuses", "_reports")
 
 
 def unavailable(df: DataFrame) -> Column:

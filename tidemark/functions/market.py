@@ -188,7 +188,7 @@ def player_consensus(
 
 
 def attach_stored_odds(df: DataFrame, odds: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("season", "week", "home_team", "away_team"), drop_missing: bool = False) -> DataFrame:
-    """Stored odds per game with ``odds_expected``: 1 found, 2 missing."""
+    """Stored odds per game with ``has_odds``: 1 where any of the columns is known, else 0."""
     newest = latest_by(odds, list(keys), [F.col("odds_snapshot_ts")], [*columns, "odds_snapshot_ts"]) if "odds_snapshot_ts" in odds.columns else odds.dropDuplicates(list(keys))
     joined = join_on(df, newest, list(keys))
     present = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])

@@ -16,7 +16,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .keys import as_list, attach_totals, join_on, ratio
+from .keys import as_list, attach_totals, join_on, nz, ratio
 from .slices import HOT, SLICE, SlicePlan, add_slices, plan_slices
 
 CONTEXT = "_context"
@@ -144,13 +144,15 @@ def rolling_ratios(
     lifetime: bool = True,
     min_support: Mapping[str, float] | None = None,
     plan: SlicePlan | str | None = None,
+    support: str | None = None,
 ) -> DataFrame:
     """Rolling, to-date and lifetime ratios for rows that hold one (key, day) total each.
 
     ``stats`` maps a feature name to its (numerator, denominator) columns. ``slice_of`` maps a
     suffix to a column that restarts the running total (``{"season": "season"}`` gives
     season-to-date). ``min_support`` maps a feature name to the least *prior* denominator below
-    which its lifetime ratio is NULL.
+    which its lifetime ratio is NULL. ``support`` names a column for the prior denominator of the
+    first feature.
     """
     keys = as_list(keys)
     min_support = dict(min_support or {})
@@ -177,6 +179,8 @@ def rolling_ratios(
             if name in min_support:
                 value = F.when(F.col(f"_to_{den}") >= min_support[name], value)
             columns[f"{name}_lifetime"] = value
+        if support:
+            columns[support] = nz(f"_to_{next(iter(stats.values()))[1]}")
         out = out.withColumns(columns).drop(*[f"_to_{c}" for c in measured])
     return out
 

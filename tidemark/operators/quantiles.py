@@ -81,19 +81,23 @@ def median(df: DataFrame, keys: str | Sequence[str], value: str, name: str) -> D
     return quantiles(df, keys, value, {name: 0.5})
 
 
-def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
+def quantile_edges(df: DataFrame, value: str, bins: int, outer: tuple[float, float] | None = None) -> DataFrame:
     """One row with ``edges``: the distinct sorted bin edges of equal-mass binning."""
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
     row = quantiles(df, [], value, probs)
-    return row.select(F.array_distinct(F.array(*[F.col(n) for n in probs])).alias("edges"))
+    names = [F.col(n) for n in probs]
+    if outer is not None:
+        names = [F.lit(float(outer[0])), *names[1:-1], F.lit(float(outer[1]))]
+    return row.select(F.array_sort(F.array_distinct(F.array(*names))).alias("edges"))
 
 
-def quantile_bucket(df: DataFrame, value: str, bins: int, out: str = "bucket") -> DataFrame:
+def quantile_bucket(df: DataFrame, value: str, bins: int, out: str = "bucket", outer: tuple[float, float] | None = None) -> DataFrame:
     """Equal-mass buckets, right-closed, duplicate edges dropped, lowest edge included.
 
-    The edges are a one-row scalar subquery, so no row of the data is moved to bucket it.
+    ``outer`` puts the outermost edges elsewhere, so rows tied at the lowest value keep a bucket of
+    their own. The edges are a one-row scalar subquery, so no row of the data is moved to bucket it.
     """
-    edges = quantile_edges(df, value, bins)
+    edges = quantile_edges(df, value, bins, outer)
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
     number = F.size(F.filter(inner, lambda e: e < F.col(value)))
     return (

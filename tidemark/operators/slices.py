@@ -4,11 +4,12 @@ A window partitioned by a key puts the whole key into one task. Where a key may
 of all rows that task never ends, so ordered operators here cut hot keys into slices along the
 order column and carry the needed state from slice to slice.
 
-A frame whose estimated size is small skips all of this. Otherwise
 ``plan_slices`` runs one column-pruned, map-side combined count per key. A key is *hot* when it
-holds more than ``floor`` rows and more than ``1/parts`` of all rows, so at most ``parts`` keys
-can be hot and the slice table has at most about ``2 * parts`` edges: its size is bounded by
-construction, not by the data. Keys that are not hot keep the plain one-shuffle window.
+holds more than ``floor`` rows, whatever its share, and is cut so that a slice holds about
+``floor`` rows; up to ``SKETCH_POINTS`` slices a key. There is at most one hot key and one edge per
+``floor`` rows of the frame, so the slice table stays that much smaller than the data; it is
+broadcast only while it is measured to be short. Keys that are not hot keep the plain one-shuffle
+window. Rows that share one order value stay together.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ from pyspark.sql import types as T
 from .keys import as_list, join_on, order_value
 
 FLOOR_CONF = "spark.tidemark.hot.floor"
-PARTS_CONF = "spark.tidemark.hot.parts"
-SMALL_CONF = "spark.tidemark.small.bytes"
 DEFAULT_FLOOR = 2_000_000
-DEFAULT_SMALL = 64 * 1024 * 1024
-DEFAULT_PARTS = 2048
-SKETCH_POINTS = 1024
-SKETCH_ACCURACY = 20_000
+SMALL_BYTES = 64 * 1024 * 1024
+BROADCAST_ROWS = 4096
+#: Most slices of one key, and how closely their edges are placed.
+SKETCH_POINTS = 16_384
+SKETCH_ACCURACY = 60_000
 
 SLICE = "_slice"
 HOT = "_hot"
@@ -49,16 +49,10 @@ class SlicePlan:
         return self.table is not None
 
 
-def surely_small(df: DataFrame) -> bool:
-    """The optimizer's own size estimate (the one behind automatic broadcasts) is small.
-
-    A frame this small fits one task as a whole, so none of its keys can be hot. An unknown size
-    counts as large.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_CONF, str(DEFAULT_SMALL)))
+def looks_small(df: DataFrame) -> bool:
+    """The optimizer's own size estimate is small: a hint for spreading work, never for results."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes())) <= limit
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
     except AttributeError:
         return False
 
@@ -69,42 +63,39 @@ def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
     A small file is one scan task however many cores there are; moving it costs little. Large
     inputs already come in many splits and are left alone.
     """
-    if not surely_small(df):
+    if not looks_small(df):
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.xxhash64(*by))
 
 
-def has_hot_key(df: DataFrame, keys: str | Sequence[str], floor: int | None = None) -> bool:
-    """Whether any key holds more than ``floor`` rows: one narrow, map-side combined count."""
-    if surely_small(df):
-        return False
-    floor = int(floor if floor is not None else df.sparkSession.conf.get(FLOOR_CONF, str(DEFAULT_FLOOR)))
-    counts = df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("_n"))
-    return not counts.where(F.col("_n") > floor).isEmpty()
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], floor: int | None = None, parts: int | None = None) -> tuple[list, float] | None:
-    """Rows (key columns and ``_n``) of the hot keys, at most ``parts``, and the row count above
-    which a key is hot; None when there are none."""
-    if surely_small(df):
-        return None
-    conf = df.sparkSession.conf
-    floor = int(floor if floor is not None else conf.get(FLOOR_CONF, str(DEFAULT_FLOOR)))
-    parts = int(parts if parts is not None else conf.get(PARTS_CONF, str(DEFAULT_PARTS)))
+def short(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have few rows; else left to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _floor(df: DataFrame, floor: int | None) -> int:
+    return int(floor if floor is not None else df.sparkSession.conf.get(FLOOR_CONF, str(DEFAULT_FLOOR)))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], floor: int | None = None) -> tuple[list, float] | None:
+    """Rows (key columns and ``_n``) of the keys with more than ``floor`` rows, and that number; None when
+    there are none. One narrow, map-side combined count."""
+    floor = _floor(df, floor)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # At most ``parts`` keys can hold more than 1/parts of the rows each, so this top-k is complete.
-    top = counts.where(F.col("_n") > floor).orderBy(F.desc("_n")).limit(parts).collect()
-    if not top:
-        return None
-    share = max(floor, df.count() / parts)
-    top = [row for row in top if row["_n"] > share]
-    return (top, share) if top else None
+    # At most one row per ``floor`` rows of the frame.
+    top = counts.where(F.col("_n") > floor).collect()
+    return (top, floor) if top else None
+
+
+def has_hot_key(df: DataFrame, keys: str | Sequence[str], floor: int | None = None) -> bool:
+    """Whether any key holds more than ``floor`` rows."""
+    return hot_keys(df, as_list(keys), floor) is not None
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], how: str = "left") -> DataFrame:
     """Join a large frame to one with few rows per key, NULL equal to NULL, however skewed ``big`` is.
 
-    Hot keys are few by construction, so their rows of ``small`` are broadcast; all other rows meet
+    The rows of ``small`` for hot keys are broadcast if they are counted to be few; all other rows meet
     in an ordinary join, for which the hot rows carry a salt that matches nothing and are dealt over
     all tasks. One pass over ``big`` and exact.
     """
@@ -117,7 +108,7 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: str | Sequence[str], how
     table = big.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found[0]], T.StructType(fields))
     packed = small.select(*keys, F.struct(F.lit(1).alias("_in"), *values).alias("_v"))
     chosen = join_on(table.withColumn("_is_hot", F.lit(True)), packed.withColumnRenamed("_v", "_hv"), keys, "left")
-    marked = join_on(big, F.broadcast(chosen), keys, "left")
+    marked = join_on(big, short(chosen), keys, "left")
     plain = [c for c, t in big.dtypes if "map<" not in t]
     salt = F.when(F.col("_is_hot"), 1 + F.pmod(F.xxhash64(*plain), F.lit(4096))).otherwise(F.lit(0).cast("bigint"))
     cold = packed.withColumn("_salt", F.lit(0).cast("bigint")).withColumnRenamed("_v", "_cv")
@@ -134,13 +125,12 @@ def plan_slices(
     keys: str | Sequence[str],
     order: str,
     floor: int | None = None,
-    parts: int | None = None,
 ) -> SlicePlan:
     """Find the hot keys of ``df`` and the order values at which they are cut."""
     keys = as_list(keys)
     spark = df.sparkSession
     slim = df.select(*keys, order_value(df, order).alias("_x"))
-    found = hot_keys(df, keys, floor, parts)
+    found = hot_keys(df, keys, floor)
     if found is None:
         return SlicePlan(tuple(keys), order, None)
     top, share = found
@@ -150,17 +140,19 @@ def plan_slices(
         [tuple(row[k] for k in keys) + (row["_n"],) for row in top],
         T.StructType([T.StructField(f.name, f.dataType) for f in key_fields] + [T.StructField("_n", T.LongType())]),
     )
-    probs = [i / SKETCH_POINTS for i in range(1, SKETCH_POINTS)]
+    needed = max(math.ceil(row["_n"] / share) for row in top)
+    sketched = min(SKETCH_POINTS, 1 << max(10, (4 * needed - 1).bit_length()))
+    probs = [i / sketched for i in range(1, sketched)]
     points = F.percentile_approx("_x", probs, SKETCH_ACCURACY).alias("_points")
     if keys:
-        sketch = join_on(slim, F.broadcast(sizes), keys, "inner").groupBy(*keys).agg(F.max("_n").alias("_n"), points)
+        sketch = join_on(slim, short(sizes), keys, "inner").groupBy(*keys).agg(F.max("_n").alias("_n"), points)
     else:
         sketch = slim.agg(F.count(F.lit(1)).alias("_n"), points)
 
     rows = []
     for row in sketch.collect():
-        wanted = min(SKETCH_POINTS, max(2, math.ceil(row["_n"] / share)))
-        step = SKETCH_POINTS / wanted
+        wanted = min(sketched, max(2, math.ceil(row["_n"] / share)))
+        step = sketched / wanted
         picked = sorted({row["_points"][min(len(row["_points"]) - 1, round(i * step) - 1)] for i in range(1, wanted)})
         width = max(1, math.isqrt(len(picked)))
         fine = [picked[i : i + width] for i in range(0, len(picked), width)]
@@ -183,8 +175,7 @@ def add_slices(df: DataFrame, plan: SlicePlan, order: str | None = None) -> Data
     x = order_value(df, order or plan.order)
     base = df.withColumn("_x", x)
     if plan.keys:
-        # Bounded by construction (see the module text), so the broadcast cannot grow with the data.
-        wide = join_on(base, F.broadcast(plan.table), list(plan.keys), "left")
+        wide = join_on(base, short(plan.table), list(plan.keys), "left")
     else:
         edges = plan.table
         wide = base.withColumns({c: edges.select(c).scalar() for c in ("_coarse", "_fine", "_width")})

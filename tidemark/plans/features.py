@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.cutoff import CutoffPolicy, with_horizons
 from ..functions.depth import with_air_yards_history, with_catch_history, with_catch_priors, with_depth_estimates, with_depth_priors
 from ..functions.injuries import eligible
-from ..functions.labels import LeakPolicy, guard_leaks, with_labels
+from ..functions.labels import LeakPolicy, drop_same_event, guard_leaks, schema_snapshot, with_labels, write_schema_snapshot
 from ..functions.roles import with_position_group, with_role_features
 from ..functions.travel import team_rows, with_calendar
 from ..functions.usage import with_usage_features
@@ -60,22 +60,56 @@ def attach_context(df: DataFrame, history: DataFrame, as_of: str, cutoff: str, t
     return joined.withColumns({f"{prefix}{c}": nz(c, 0.0) for c in features})
 
 
-def per_game_rolling(players: DataFrame, stats: Sequence[str], entity: str = "player_id", day: str = "game_date", windows: Sequence[int] = (1, 3, 5), season: str = "season") -> DataFrame:
-    """``<n>g_<stat>_per_game`` ratios, season to date and lifetime, per entity."""
-    totals = context_totals(players, entity, day, {"vs_any": []}, stats, extra=[season])
-    ratios = rolling_ratios(totals, entity, day, {s: (f"{s}_num", "denom") for s in stats}, windows, slice_of={"season": season})
+# Statistics that are rolled per game, and the contexts they are rolled in.
+ROLLED = (
+    "touchdowns", "target", "carry", "pass_attempt", "red_zone_target", "red_zone_carry", "goal_to_go_target",
+    "goal_to_go_carry", "short_yard_carry", "third_down_carry", "receiving_yards", "rushing_yards", "passing_yards",
+    "ps_route_participation_pct", "ps_route_participation_plays", "ps_targets_total", "ps_targets_slot_count",
+    "ps_targets_wide_count", "ps_targets_inline_count", "ps_targets_backfield_count", "ps_targets_slot_share",
+    "ps_targets_wide_share", "ps_targets_inline_share", "ps_targets_backfield_share", "ps_total_touches",
+    "ps_scripted_touches", "ps_scripted_touch_share",
+)
+CONTEXTS: Mapping[str, Sequence[str]] = {"vs_any": (), "with_team": ("team",), "vs_team": ("opponent",)}
+#: Games against one opponent from which a rate in that context counts.
+LEAST_SUPPORT = 4
+
+
+def rolled_ratios(players: DataFrame, stats: Sequence[str], contexts: Mapping[str, Sequence[str]], entity: str, day: str, windows: Sequence[int], season: str) -> DataFrame:
+    """Ratios per (context, entity, context keys, day): one shuffle of the players for all contexts."""
+    totals = context_totals(players, entity, day, contexts, stats, extra=[season])
+    dims = sorted({c for keys in contexts.values() for c in keys})
+    named = {s: (f"{s}_num", "denom") for s in stats}
+    ratios = rolling_ratios(totals, ["ctx", entity, *dims], day, named, windows, slice_of={"season": season}, support="_support")
     renames = {f"{s}_l{n}": f"{n}g_{s}_per_game" for s in stats for n in windows}
     renames |= {f"{s}_season": f"season_{s}_per_game" for s in stats} | {f"{s}_lifetime": f"lifetime_{s}_per_game" for s in stats}
-    return ratios.withColumnsRenamed(renames).drop("ctx", "denom", *[f"{s}_num" for s in stats])
+    return ratios.withColumnsRenamed(renames).drop("denom", *[f"{s}_num" for s in stats])
+
 
+def per_game_rolling(players: DataFrame, stats: Sequence[str], entity: str = "player_id", day: str = "game_date", windows: Sequence[int] = (1, 3, 5), season: str = "season") -> DataFrame:
+    """``<n>g_<stat>_per_game`` ratios, season to date and lifetime, per entity."""
+    return rolled_ratios(players, stats, {"vs_any": ()}, entity, day, windows, season).drop("ctx", "_support")
 
-ROLLED = ("target", "carry", "pass_attempt", "red_zone_target", "red_zone_carry", "goal_to_go_target", "goal_to_go_carry", "touchdowns")
+
+def with_rolling(players: DataFrame, stats: Sequence[str] = ROLLED, contexts: Mapping[str, Sequence[str]] = CONTEXTS, entity: str = "player_id", day: str = "game_date", windows: Sequence[int] = (1, 3, 5), season: str = "season") -> DataFrame:
+    """The rows of ``players`` with the ratios of all contexts, named by context.
+
+    A ratio against one opponent needs ``LEAST_SUPPORT`` earlier games against it, in every window.
+    """
+    stats = [s for s in stats if s in players.columns]
+    ratios = rolled_ratios(players, stats, contexts, entity, day, windows, season)
+    made = [c for c in ratios.columns if c.endswith("_per_game")]
+    out = players
+    for name, keys in contexts.items():
+        end = "" if name == "vs_any" else f"_{name}"
+        enough = F.col("_support") >= LEAST_SUPPORT if name == "vs_team" else F.lit(True)
+        chosen = ratios.where(F.col("ctx") == name).select(entity, *keys, day, *[F.when(enough, F.col(c)).alias(f"{c}{end}") for c in made])
+        out = join_on(out, chosen, [entity, *keys, day])
+    return out
 
 
 def player_game_features(players: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """Rolling usage, team and opponent contexts, shares, roles and depth on the player-game grain."""
-    rolled = per_game_rolling(players, [s for s in ROLLED if s in players.columns])
-    out = join_on(players, rolled.drop("season"), ["player_id", "game_date"])
+    out = with_rolling(players)
     history = context_history(players)
     team_cols = [c for c in history.columns if c.startswith("team_ctx_")]
     opp_cols = [c for c in history.columns if c.startswith("opp_ctx_")]
@@ -101,10 +135,14 @@ def feature_matrix(
     policy: CutoffPolicy | None = None,
     label_version: str = "v1_any_offense",
     identifiers: Sequence[str] = ("season", "week", "game_id", "game_date", "player_id", "player_name", "team", "opponent"),
+    targets: Sequence[str] = (),
+    snapshot_path: str | None = None,
 ) -> DataFrame:
     """Plays to a guarded, labelled feature matrix with one row per (player, game, horizon).
 
-    Windows run on the unfiltered history; rows without snapshots are dropped last.
+    Windows run on the unfiltered history; rows without snapshots are dropped last. Columns that tell
+    what happened in the event go, unless the label version or ``targets`` declare them. The schema
+    and what was banned are written under ``snapshot_path``.
     """
     from ..plans.asof_metadata import attach_asof_metadata
 
@@ -112,7 +150,9 @@ def feature_matrix(
     players = with_labels(entity_totals(plays, ["season", "week", "game_id", "game_date"]), label_version)
     features = player_game_features(players, positions)
     labels = [c for c in features.columns if c.startswith(("anytime_td", "td_count"))]
-    features, _ = guard_leaks(features, LeakPolicy(), allow=[*identifiers, *labels])
+    features, report = guard_leaks(drop_same_event(features), LeakPolicy(), allow=[*identifiers, *labels, *targets])
+    if snapshot_path is not None:
+        write_schema_snapshot(features.sparkSession, schema_snapshot(features, report, label_version=label_version), snapshot_path)
     features = with_horizons(features, policy.horizons)
     if metadata is not None:
         features = attach_asof_metadata(features, metadata, drop_rows=policy.drop_missing_snapshots)

@@ -69,10 +69,12 @@ def _ece_equal_width(t) -> DataFrame:
 
 @query(
     "ece_equal_mass",
-    f"""WITH {S}, {edges_sql('p', 10)}, b AS (SELECT {bucket_sql('p')} AS b, count(*) AS n, avg(p) AS c, avg(y) AS a FROM s GROUP BY 1) SELECT {r('sum(n * abs(c - a)) / sum(n)', 'ece')}, {r('max(abs(c - a))', 'mce')} FROM b""",
+    f"""WITH {S}, tied AS (SELECT greatest(p, 0.2) AS q, y FROM s), ed AS (SELECT list_sort(list_distinct([0.0, 1.0] || quantile_cont(q, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS e FROM tied), b AS (SELECT len(list_filter(e[2:len(e) - 1], lambda x: x < q)) AS b, count(*) AS n, avg(q) AS c, avg(y) AS a FROM tied, ed GROUP BY 1) SELECT {r('sum(n * abs(c - a)) / sum(n)', 'ece')}, {r('max(abs(c - a))', 'mce')} FROM b""",
 )
 def _ece_equal_mass(t) -> DataFrame:
-    return rounded(M.ece(scored(t.orders), "p", "y", 10, mass=True))
+    """A score with many ties at its lowest value."""
+    tied = scored(t.orders).withColumn("q", F.greatest("p", F.lit(0.2)))
+    return rounded(M.ece(tied, "q", "y", 10, mass=True))
 
 
 @query(
@@ -261,12 +263,12 @@ f AS (SELECT o.*, i AS fold, n - 5 * (n // 6) + i * (n // 6) AS st, n // 6 AS sz
 
 @query(
     "purged_folds",
-    f"""WITH {_FOLD}, z AS (SELECT fold, rows, CASE WHEN pos >= st AND pos < st + sz THEN 'test' WHEN pos < st - 2 AND b < begins - INTERVAL 45 DAY THEN 'train' WHEN pos >= st + sz AND pos < st + sz + 1 THEN 'embargo' END AS role FROM x)
-SELECT CAST(fold AS INT) AS fold, role, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS groups FROM z WHERE role IS NOT NULL GROUP BY ALL""",
+    f"""WITH {_FOLD}, z AS (SELECT fold, rows, CASE WHEN pos >= st AND pos < st + sz THEN 'test' WHEN pos < st - 2 AND b < begins - INTERVAL 400 DAY THEN 'train' WHEN pos >= st + sz AND pos < st + sz + 1 THEN 'embargo' END AS role FROM x), z2 AS (SELECT * FROM z WHERE fold IN (SELECT fold FROM z WHERE role = 'train'))
+SELECT CAST(fold AS INT) AS fold, role, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS groups FROM z2 WHERE role IS NOT NULL GROUP BY ALL""",
 )
 def _purged_folds(t) -> DataFrame:
     s = scored(t.orders).withColumn("grp", F.col("season") * 100 + F.col("week"))
-    folds = X.purged_folds(s, "grp", "ts", 5, purge_days=45, purge_groups=2, embargo_groups=1)
+    folds = X.purged_folds(s, "grp", "ts", 5, purge_days=400, purge_groups=2, embargo_groups=1)
     return X.fold_summary(s, folds, "grp")
 
 

@@ -514,14 +514,12 @@ _LABEL_SQL = {n: (f"least(greatest({a} / ({b} + 1e-6), 0), 1)" if c else f"{a} /
 @query(
     "label_ratios",
     f"""WITH {player_games_sql()}, w AS (SELECT *, sum(target) OVER k AS tt, sum(carry) OVER k AS tc FROM pg WINDOW k AS (PARTITION BY season, week, team, game_id)),
-f AS (SELECT season, week, team, {', '.join(f'{e} AS {n}' for n, e in _LABEL_SQL.items())}, least(greatest(target / (tt + 1e-6), 0), 1) AS target_share_label, least(greatest(carry / (tc + 1e-6), 0), 1) AS carry_share_label FROM w)
-SELECT season, week, team, {rs({n: f'avg(least({n}, 100))' for n in [*_LABELS, 'target_share_label', 'carry_share_label']}, 5)} FROM f GROUP BY ALL""",
+f AS (SELECT season, week, team, player_id, {', '.join(f'{e} AS {n}' for n, e in _LABEL_SQL.items())}, least(greatest(target / (tt + 1e-6), 0), 1) AS target_share_label, least(greatest(carry / (tc + 1e-6), 0), 1) AS carry_share_label FROM w)
+SELECT * FROM f""",
 )
 def _label_ratios(t) -> DataFrame:
     labelled = G.with_label_ratios(player_games(t.lineitem))
-    names = [*_LABELS, "target_share_label", "carry_share_label"]
-    # A zero denominator leaves only the epsilon below the line; cap such rates before averaging.
-    return rounded(labelled.groupBy("season", "week", "team").agg(*[F.avg(F.least(F.col(n), F.lit(100.0))).alias(n) for n in names]), 5)
+    return labelled.select("season", "week", "team", "player_id", *_LABELS, "target_share_label", "carry_share_label")
 
 
 @query(

@@ -576,12 +576,13 @@ def _calendar_parts(t) -> DataFrame:
 
 @query(
     "name_normalisation",
-    r"""WITH c AS (SELECT conv_id, turn, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') AS w FROM conversations), n AS (SELECT conv_id, turn, list_filter(w, lambda x: x <> '')[1:2] AS w FROM c)
-SELECT conv_id, turn, CASE WHEN len(w) = 2 THEN substring(w[1], 1, 1) || '.' || w[2] WHEN len(w) = 1 THEN w[1] ELSE '' END AS short, lower(coalesce(w[len(w)], '')) AS last, lower(array_to_string(w, '')) AS key FROM n""",
+    r"""WITH c AS (SELECT conv_id, turn, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') AS w FROM conversations), n AS (SELECT conv_id, turn, list_filter(w, lambda x: x <> '') AS w FROM c)
+SELECT conv_id, turn, CASE WHEN len(w) >= 2 THEN substring(w[1], 1, 1) || '.' || w[len(w)] WHEN len(w) = 1 THEN w[1] ELSE '' END AS short,
+ CASE WHEN len(w) >= 2 AND lower(w[len(w)]) IN ('jr', 'sr', 'ii', 'iii', 'iv', 'v') THEN lower(w[len(w) - 1]) ELSE lower(coalesce(w[len(w)], '')) END AS last, lower(array_to_string(w, '')) AS key FROM n""",
 )
 def _name_normalisation(t) -> DataFrame:
     words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), lambda w: w != "")
-    n = t.conversations.withColumn("name", F.array_join(F.slice(words, 1, 2), " "))
+    n = t.conversations.withColumn("name", F.array_join(words, " "))
     return n.select("conv_id", "turn", text.short_name(F.col("name")).alias("short"), text.last_name(F.col("name")).alias("last"), text.name_key(F.col("name")).alias("key"))
 
 
