@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,8 +94,6 @@ class ByteBpe:
 
     def count_new(self, words: list[str]) -> None:
         """Count pre-tokens that are not in memory yet."""
-        if len(self.seen) + len(words) > MEMORY:
-            self.seen.clear()
         data, offsets = text_buffer(pa.array(words, pa.large_string()))
         counts = self.surviving(self.byte_ids[data], np.diff(offsets))
         self.seen.update(zip(words, counts.tolist(), strict=True))
@@ -102,26 +101,19 @@ class ByteBpe:
     def totals(self, texts: list[str]) -> list[int]:
         """Tokens of texts without special strings, each over its whole list of pre-tokens."""
         cut = [self.pattern.findall(t) for t in texts]
-        fresh = list({w for words in cut for w in words} - self.seen.keys())
-        for k in range(0, len(fresh), MEMORY // 4):
-            self.count_new(fresh[k : k + MEMORY // 4])
-        if len(fresh) <= MEMORY // 4:
-            missing = {w for words in cut for w in words} - self.seen.keys()
-            if missing:
-                self.count_new(list(missing))
-            get = self.seen.__getitem__
-            return [sum(map(get, words)) for words in cut]
-        out = []
-        for words in cut:  # more distinct pre-tokens than the memory holds: text by text
-            distinct, where = np.unique(np.array(words, object), return_inverse=True)
-            data, offsets = text_buffer(pa.array(distinct.tolist(), pa.large_string()))
-            out.append(int(self.surviving(self.byte_ids[data], np.diff(offsets))[where].sum()) if words else 0)
-        return out
+        fresh = [w for w in set(chain.from_iterable(cut)) if w not in self.seen]
+        if len(self.seen) + len(fresh) > MEMORY:
+            self.seen.clear()
+            fresh = list(set(chain.from_iterable(cut)))
+        self.count_new(fresh)
+        get = self.seen.__getitem__
+        return [sum(map(get, words)) for words in cut]
 
-    def whole(self, text: str) -> int:
-        """Tokens of any text: special strings cut it and count one each."""
-        parts = self.special.split(text) if self.special else [text]
-        return sum(self.totals(parts)) + len(parts) - 1
+    def wholes(self, texts: list[str]) -> list[int]:
+        """Tokens of any texts: special strings cut them and count one each."""
+        parts = [self.special.split(t) if self.special else [t] for t in texts]
+        counts = iter(self.totals(list(chain.from_iterable(parts))))
+        return [sum(islice(counts, len(p))) + len(p) - 1 for p in parts]
 
     def count(self, column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         """Tokens of every text of a column."""
@@ -161,8 +153,8 @@ class ByteBpe:
             out += np.bincount(owner, weights=per_piece[back], minlength=n).astype(np.int64)
         heads = np.flatnonzero(~odd)
         out[heads] += np.array(self.totals([strings[where[offsets[k]]] for k in heads]), np.int64) if len(heads) else 0
-        for k in np.flatnonzero(odd):
-            out[k] = self.whole(texts[int(k)].as_py())
+        rest = np.flatnonzero(odd)
+        out[rest] = np.array(self.wholes(texts.take(pa.array(rest)).to_pylist()), np.int64) if len(rest) else 0
         return out
 
 
