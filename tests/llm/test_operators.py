@@ -144,7 +144,7 @@ def test_token_files_equal_the_library(spark, nasty, none, tmp_path):
         ids = library.encode(t or "", add_special_tokens=False).ids + [1]
         assert (start, len(ids), ids) in made[d]
         start += len(ids)
-    digest = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in token_files.token_digests(files).collect()}
+    digest = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in token_files.token_digests(spark, str(tmp_path / "ids")).collect()}
     assert digest[(1, made[1][0][0])] == zlib.crc32(np.array(made[1][0][2], "<u4").tobytes())
     assert [r["doc_id"] for r in files.where("doc_id = 12").collect()] == [12]
     token_files.write_token_files(none, str(tmp_path / "no"), path)

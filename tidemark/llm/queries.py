@@ -18,7 +18,7 @@ from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import token_counts
-from tidemark.llm.token_files import read_token_files, token_digests, write_token_files
+from tidemark.llm.token_files import token_digests, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,7 +103,7 @@ def op8_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all token ids, read back from the ORC files they were written to."""
     path = shared_folder(spark, "token-ids")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return token_digests(read_token_files(spark, path))
+    return token_digests(spark, path)
 
 
 @registered("op9_language_id")
