@@ -140,8 +140,8 @@ def test_append_upsert_and_outputs(spark, tmp_path):
     old = spark.createDataFrame([("k", 1, "old"), ("l", 1, "keep")], "id string, v int, x string")
     new = spark.createDataFrame([("k", 1, "new")], "id string, v int, x string")
     assert [r["x"] for r in rows(writers.upsert(old, new, "id", [F.col("v")]), "id")] == ["new", "keep"]
-    writers.append_history(new, str(tmp_path / "hist"))
-    writers.append_history(new, str(tmp_path / "hist"))
+    for run in ("a", "b", "a"):
+        writers.append_history(new, str(tmp_path / "hist"), run=run)
     assert spark.read.parquet(str(tmp_path / "hist")).count() == 2
     writers.write_matrix(spark.createDataFrame([(1.5, 6.0)], "f double, decision_horizon_hours double"), str(tmp_path / "m"))
     assert dict(spark.read.parquet(str(tmp_path / "m")).dtypes)["f"] == "float"

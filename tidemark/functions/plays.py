@@ -184,6 +184,11 @@ def with_situation(df: DataFrame) -> DataFrame:
     return derive(df, specs)
 
 
+def only_season_type(df: DataFrame, kind: str = "REG", column: str = "season_type") -> DataFrame:
+    """Rows of one season type; a frame without the column is taken to hold only such rows."""
+    return df.where(F.upper(F.trim(column)) == kind) if column in df.columns else df
+
+
 def active_rows(df: DataFrame, usage: Sequence[str]) -> DataFrame:
     """Rows with any non-zero usage."""
     present = [c for c in usage if c in df.columns]

@@ -103,13 +103,19 @@ def arrival_rows(df: DataFrame, feed: str, label: str, collected_at: Column, sta
     ).drop(*metadata)
 
 
-def log_arrivals(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("feed").parquet(path)
+def _write_run(df: DataFrame, path: str, run: str, by: Sequence[str] = ()) -> None:
+    """Write the rows of one run; a job that runs again replaces them instead of doubling them."""
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "run").parquet(path)
 
 
-def append_history(df: DataFrame, path: str, stamp: Column | None = None) -> None:
-    """Append one snapshot of metrics with its time."""
-    df.withColumn("recorded_at", stamp if stamp is not None else F.current_timestamp()).write.mode("append").parquet(path)
+def log_arrivals(rows: DataFrame, path: str, run: str = "0") -> None:
+    """Add the arrivals of one run to the log, by feed."""
+    _write_run(rows, path, run, ["feed"])
+
+
+def append_history(df: DataFrame, path: str, stamp: Column | None = None, run: str = "0") -> None:
+    """Add one run's snapshot of metrics with its time."""
+    _write_run(df.withColumn("recorded_at", stamp if stamp is not None else F.current_timestamp()), path, run)
 
 
 def write_matrix(df: DataFrame, path: str, horizon: str = "decision_horizon_hours", floats: bool = True) -> None:
