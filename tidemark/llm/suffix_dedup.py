@@ -197,6 +197,18 @@ def _shard(anchors: np.ndarray, shards: int) -> np.ndarray:
     return ((anchors >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _contents(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of strings that stand one after another, a portion of them at a time."""
+    out, a = np.zeros(len(start), np.uint64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + PORTION)))
+        piece = data[start[a] : start[b - 1] + size[b - 1]]
+        at = start[a:b] - start[a]
+        out[a:b] = span_hash(prefix_hash(piece, BYTE_VALUE_CASE), at, at + size[a:b])
+        a = b
+    return out
+
+
 def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of an ordered array."""
     present, first = np.unique(owner, return_index=True)
@@ -224,7 +236,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc
         every = np.sort(np.concatenate([np.concatenate([v, v[f]]) for v, f in zip(values, flags, strict=True)]))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         for block, v in zip(blocks, values, strict=True):
-            yield block, pack(np.packbits(np.isin(v, twice, assume_unique=False)))
+            at = np.minimum(np.searchsorted(twice, v), max(0, len(twice) - 1))
+            yield block, pack(np.packbits(twice[at] == v if len(twice) else np.zeros(len(v), bool)))
 
     def send_segments(block: int, table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         segments = Segments(table, length)
@@ -248,11 +261,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc
         parts = [unpack(b) for b in bodies]
         group, size = (joined([p[k] for p in parts], np.int64) for k in (1, 2))
         owner, data = joined([p[3] for p in parts], np.int64), joined([p[4] for p in parts], np.uint8)
+        sent = [p[0] for p in parts]
+        del parts
         start = np.cumsum(size) - size
-        content = span_hash(prefix_hash(data, BYTE_VALUE_CASE), start, start + size)
-        order = np.lexsort((size, content, group))
+        content = _contents(data, start, size)
+        order = np.lexsort((content, group))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (group[order][1:] != group[order][:-1]) | (content[order][1:] != content[order][:-1]) | (size[order][1:] != size[order][:-1])
+        fresh[1:] = (group[order][1:] != group[order][:-1]) | (content[order][1:] != content[order][:-1])
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(fresh) - 1
         one = order[fresh]
@@ -280,11 +295,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc
         first_run = np.searchsorted(runs_at, begin)
         run_count = np.diff(np.append(first_run, len(runs_at)))
         at = 0
-        for block, p in zip(blocks, parts, strict=True):
-            mine = number[at : at + len(p[0])]
-            at += len(p[0])
+        for block, kinds in zip(blocks, sent, strict=True):
+            mine = number[at : at + len(kinds)]
+            at += len(kinds)
             runs = ragged(first_run[mine], run_count[mine])
-            yield block, pack(p[0], slim(run_count[mine]), slim(run_size[runs]), result[runs_at[runs]])
+            yield block, pack(kinds, slim(run_count[mine]), slim(run_size[runs]), result[runs_at[runs]])
 
     def cut(block: int, table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         segments = Segments(table, length)
