@@ -18,7 +18,7 @@ from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.sharding import shard_documents
 
 #: A text stays if its best language has this mean probability over all its bytes.
-LEAST_LANGUAGE = 0.35
+LEAST_LANGUAGE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
