@@ -98,6 +98,8 @@ def consensus(outcomes: DataFrame, keys: Sequence[str], home: str = "home_team",
         .when(F.col("outcome") == "Over", "over").when(F.col("outcome") == "Under", "under")
     )
     priced = F.col("price").isNotNull() & ((F.col("market") == "h2h") | F.col("point").isNotNull())
+    # Parsed quotes feed the sizing pass, the ranks, the deviations and the book counts: parse the JSON once.
+    outcomes = cut_lineage(outcomes)
     base = outcomes.withColumn("_side", side)
     picks = []
     for name, (market, wanted, field) in CONSENSUS.items():
@@ -105,9 +107,7 @@ def consensus(outcomes: DataFrame, keys: Sequence[str], home: str = "home_team",
         if wanted:
             hit = hit & (F.col("_side") == wanted)
         picks.append(F.when(hit, F.struct(F.lit(name).alias("metric"), F.col(field).alias("value"))))
-    # Parsed quotes feed the sizing pass, the ranks and the deviations: parse the JSON once.
     long = base.where(priced).select(*keys, F.explode(F.array_compact(F.array(*picks))).alias("_q")).select(*keys, "_q.metric", "_q.value")
-    long = cut_lineage(long)
     medians = quantiles(long, [*keys, "metric"], "value", {"mid": 0.5})
     wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == n, F.col("mid"))).alias(n) for n in CONSENSUS])
     lines = ("spread_line", "total_line")
