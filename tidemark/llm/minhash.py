@@ -18,7 +18,8 @@ Chances, for a pair at the threshold of 0.8: to share no band (1 - 0.8^4)^32 = 5
 the 128 coordinates by two bits, or, for sets beyond ``SKETCHED`` shingles (of which the sketch takes a quarter, a sixteenth,
 ...), to differ by six standard deviations, about 1e-9. More similar pairs have less.
 
-How it scales: texts are read once for sets and signatures, and once more for the documents in pairs. Shuffled are 32 small
+How it scales: texts are read once for sets and signatures, and once more in each round for the documents in pairs (a
+bounded bitmap of their ids keeps most others from being moved). Shuffled are 32 small
 rows for each class, and the texts of pairs. No bucket, class or component is collected anywhere.
 
 Defined results: documents without words are linked with nothing; fewer words than a shingle make one shingle; null ids are
@@ -32,6 +33,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ BANDS, ROWS = 32, 4
 AGREE = 84
 #: Bits of the parity sketch, and the set size up to which every shingle is in it.
 PARITY, SKETCHED = 2048, 1536
+#: Most bits of the bitmap that tells the texts of candidate pairs from others.
+LIKELY_BITS = 1 << 26
 #: Shingles handled at once while signatures are made, so that the arrays stay in a core's cache.
 TILE = 1 << 15
 
@@ -181,10 +185,31 @@ def _may_link(percent: int) -> Column:
     return (least * 100 >= most * percent) & (signature <= BANDS * ROWS - AGREE) & sketch
 
 
+def _likely(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Documents that a bitmap of the hashed ids in ``asked`` lets pass, so that few other texts are shuffled.
+
+    The bitmap has ``LIKELY_BITS`` bits at most (a bounded size for driver and tasks); if it gets full it lets more pass,
+    and the join that follows is exact.
+    """
+    size = 1 << min(LIKELY_BITS.bit_length() - 1, max(10, (16 * asked.count()).bit_length()))
+    place = asked.select(F.pmod(F.xxhash64("a"), F.lit(size)).alias("place"))
+    words = place.groupBy(F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(size // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+
+    @F.pandas_udf("boolean")
+    def told(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return docs.where(told(F.pmod(F.xxhash64("doc_id"), F.lit(size))))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the threshold."""
     asked = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = docs.join(asked, docs["doc_id"] == asked["a"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    asked = cut_lineage(asked)
+    texts = _likely(docs, asked).join(asked, F.col("doc_id") == asked["a"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
 
