@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut_lineage, word_count
 
 #: Rows of one rank bin; a source has as many bins as it needs.
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_copies: int = 2) -> DataFrame:
