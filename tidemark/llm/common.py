@@ -7,15 +7,19 @@ import os
 import tempfile
 import zipfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "ship", "text_crc32", "word_count", "spread_input"]
+__all__ = ["cut_lineage", "may_be_in", "shared_folder", "ship", "text_crc32", "without_ids", "word_count"]
 
 #: Fixed pattern of the word rule of the size and shingle contracts.
 SPACED_WORDS = r"[^\x20\x09-\x0D]+"
+#: Most bits of a bitmap of hashed values.
+BITMAP_BITS = 1 << 26
 _SHIPPED: set[str] = set()
 
 
@@ -48,10 +52,28 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def spread_input(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Deal the rows out again where a table has fewer partitions than the cluster has cores.
+def may_be_in(value: Column, asked: Column, held: DataFrame) -> Column:
+    """Whether a value may be among ``asked`` of ``held``, by a bitmap of hashes; never false for one that is.
 
-    Rows with the same key may be many, so whole rows are dealt in turn.
+    It goes before an exact join, so that few wide rows are shuffled. The bitmap has ``BITMAP_BITS`` bits at most, a bounded
+    size for driver and tasks; if it gets full it lets more pass. ``held`` is read twice.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    size = 1 << min(BITMAP_BITS.bit_length() - 1, max(10, (16 * held.count()).bit_length()))
+    place = held.select(F.pmod(F.xxhash64(asked), F.lit(size)).alias("place"))
+    words = place.groupBy(F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(size // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+
+    @F.pandas_udf("boolean")
+    def told(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return told(F.pmod(F.xxhash64(value), F.lit(size)))
+
+
+def without_ids(rows: DataFrame, name: Column, dropped: DataFrame) -> DataFrame:
+    """The rows whose ``name`` is not in the one column of ``dropped``; only rows that may be are shuffled."""
+    dropped = cut_lineage(dropped.toDF("_dropped"))
+    maybe = F.coalesce(may_be_in(name, F.col("_dropped"), dropped), F.lit(False))
+    return rows.where(~maybe).unionAll(rows.where(maybe).join(dropped, name == F.col("_dropped"), "left_anti"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, ship
+from tidemark.llm.common import cut_lineage, ship, without_ids
 from tidemark.llm.packed import ALNUM, CHUNK, chunks, ragged, text_buffer, word_hashes
 
 BATCH_BYTES = 4 << 20
@@ -228,5 +228,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text
     key = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     named = docs.select(key.alias("key"), F.col(text).alias("text"))
     found = contamination(named, items, doc_id="key", window=window)
-    bad = found.where(is_contaminated(F.size("hits").cast("long"), F.col("n_words"))).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    bad = found.where(is_contaminated(F.size("hits").cast("long"), F.col("n_words"))).select("doc_id").distinct()
+    return without_ids(docs, key, bad)

@@ -33,12 +33,11 @@ from functools import reduce
 from operator import add
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, ship
+from tidemark.llm.common import cut_lineage, may_be_in, ship, without_ids
 from tidemark.llm.components import connected_components
 from tidemark.llm.packed import SPACED, chunks, mix, ragged, text_buffer, word_hashes
 
@@ -46,8 +45,6 @@ BANDS, ROWS = 32, 4
 AGREE = 84
 #: Bits of the parity sketch, and the set size up to which every shingle is in it.
 PARITY, SKETCHED = 2048, 1536
-#: Most bits of the bitmap that tells the texts of candidate pairs from others.
-LIKELY_BITS = 1 << 26
 #: Shingles handled at once while signatures are made, so that the arrays stay in a core's cache.
 TILE = 1 << 15
 
@@ -185,31 +182,11 @@ def _may_link(percent: int) -> Column:
     return (least * 100 >= most * percent) & (signature <= BANDS * ROWS - AGREE) & sketch
 
 
-def _likely(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Documents that a bitmap of the hashed ids in ``asked`` lets pass, so that few other texts are shuffled.
-
-    The bitmap has ``LIKELY_BITS`` bits at most (a bounded size for driver and tasks); if it gets full it lets more pass,
-    and the join that follows is exact.
-    """
-    size = 1 << min(LIKELY_BITS.bit_length() - 1, max(10, (16 * asked.count()).bit_length()))
-    place = asked.select(F.pmod(F.xxhash64("a"), F.lit(size)).alias("place"))
-    words = place.groupBy(F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(size // 64, np.int64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-
-    @F.pandas_udf("boolean")
-    def told(places: pd.Series) -> pd.Series:
-        at = places.to_numpy()
-        return pd.Series((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return docs.where(told(F.pmod(F.xxhash64("doc_id"), F.lit(size))))
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets reach the threshold."""
     asked = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct()
     asked = cut_lineage(asked)
-    texts = _likely(docs, asked).join(asked, F.col("doc_id") == asked["a"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    texts = docs.where(may_be_in(F.col("doc_id"), asked["a"], asked)).join(asked, F.col("doc_id") == asked["a"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -280,10 +257,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
 
 def without_near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose document represents its component; repeated rows of one id and text stay once."""
-    docs = docs.withColumn("_text_code", F.xxhash64(text)) if "_text_code" not in docs.columns else docs
     found = cut_lineage(near_duplicates(docs, size=size, percent=percent, text=text, doc_id=doc_id))
-    out = docs.alias("d").join(found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), F.col(f"d.{doc_id}") == F.col("_kept"), "left_semi")
-    out = out.unionAll(docs.where(F.col(doc_id).isNull()))
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([doc_id, "_text_code"])
-    return out.drop("_text_code")
+    by_id = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    by_id = cut_lineage(by_id.where("not stays or rows > 1").select("doc_id", "stays"))
+    out = without_ids(docs, F.col(doc_id), by_id.where("not stays").select("doc_id"))
+    again = by_id.where("stays").select("doc_id")
+    if again.limit(1).count():
+        maybe = F.coalesce(may_be_in(F.col(doc_id), F.col("doc_id"), again), F.lit(False))
+        out = out.where(~maybe).unionAll(out.where(maybe).dropDuplicates([doc_id, text]))
+    return out
