@@ -8,7 +8,7 @@ stripes are read in parallel; a look-up of documents skips parts, stripes and ro
 How it scales: texts are encoded where they are read, and one shuffle moves the ids, two bytes each and compressed. A task
 encodes chunk by chunk; the distinct white-space words of a chunk are encoded once by the library and gathered by numpy
 (its normaliser and its pre-token pattern never look across white space, so this equals encoding whole texts), with a
-bounded memory of words met before. Where parts begin is told by a bounded sample of ids; positions across parts come from
+bounded memory of words met before, under 64-bit hashes. Where parts begin is told by a bounded sample of ids; positions across parts come from
 one row per part.
 
 Defined results: a null text is empty and holds the end id alone; null document ids come first; rows that share an id
@@ -25,22 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship
-from tidemark.llm.packed import chunks, ragged
+from tidemark.llm.packed import BYTE_VALUE_CASE, SPACED, chunks, prefix_hash, ragged, span_hash, text_buffer
+from tidemark.llm.packed import words as words_of
 
-MEMORY = 500_000
+MEMORY = 2_000_000
 #: Documents looked at, for each file, to find where the files' id ranges begin.
 PROBES = 200
 FILE_SCHEMA = "part int, doc_id {kind}, part_start bigint, n_tokens bigint, ids array<int>"
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of white-space words by the tokenizers library, kept in flat arrays.
+    """Ids of white-space words by the tokenizers library, kept in flat arrays under the words' 64-bit hashes.
 
     Many words go to the library as one text. A word of letters is one pre-token, and every pre-token's last id is one that
     ends a word, so in a text of such words these ids tell the words apart (their number is compared). Between other words
@@ -61,64 +62,76 @@ class WordEncoder:
         self.apart = [self.BETWEEN, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.clear()
 
+    @classmethod
+    def of(cls, vocabulary: str) -> WordEncoder:
+        """The worker's encoder, which it keeps from task to task."""
+        if vocabulary not in _ENCODERS:
+            _ENCODERS[vocabulary] = cls(vocabulary)
+        return _ENCODERS[vocabulary]
+
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
-
-    def add(self, words: list[str]) -> None:
-        """Encode new words."""
-        odd = [w for w in words if any(a in w for a in self.apart)] if self.between is not None else words
-        plain = list(set(words).difference(odd)) if odd else words
-        if self.between is None:
-            plain = []
-        flat, lengths, order = [self.flat], [self.lengths], []
-        lettered = [w for w in plain if w.isalpha()] if self.final.any() else []
-        mixed = [w for w in plain if not w.isalpha()] if lettered else list(plain)
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode new words, whose hashes are in order."""
+        apart = self.apart
+        odd = [k for k, w in enumerate(words) if self.between is None or any(a in w for a in apart)]
+        rest = sorted(set(range(len(words))).difference(odd)) if odd else range(len(words))
+        lettered = [k for k in rest if words[k].isalpha()] if self.final.any() else []
+        mixed = [k for k in rest if not words[k].isalpha()] if lettered else list(rest)
+        order, flat, lengths = [], [], []
         for some in (lettered[k : k + 4000] for k in range(0, len(lettered), 4000)):
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.tokenizer.encode(" ".join([words[k] for k in some]), add_special_tokens=False).ids, np.int32)
             ends = np.flatnonzero(self.final[ids])
             if len(ends) != len(some):
                 mixed += some
                 continue
+            order += some
             flat.append(ids)
             lengths.append(np.diff(ends, prepend=-1))
-            order += some
         for some in (mixed[k : k + 4000] for k in range(0, len(mixed), 4000)):
-            ids = np.array(self.tokenizer.encode(f" {self.BETWEEN} ".join(some), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.tokenizer.encode(f" {self.BETWEEN} ".join([words[k] for k in some]), add_special_tokens=False).ids, np.int32)
             ends = np.flatnonzero(ids == self.between)
+            order += some
             flat.append(np.delete(ids, ends))
             lengths.append(np.diff(ends, prepend=-1, append=len(ids)) - 1)
-            order += some
-        for e in self.tokenizer.encode_batch(odd, add_special_tokens=False):
+        for e in self.tokenizer.encode_batch([words[k] for k in odd], add_special_tokens=False):
             flat.append(np.array(e.ids, np.int32))
             lengths.append(np.array([len(e.ids)], np.int64))
-        start = len(self.known)
-        self.known.update(zip([*order, *odd], range(start, start + len(words)), strict=True))
-        self.flat, self.lengths = np.concatenate(flat), np.concatenate(lengths)
+        order += odd
+        slots = np.empty(len(words), np.int64)
+        slots[order] = len(self.lengths) + np.arange(len(words))
+        sizes = np.concatenate([np.zeros(0, np.int64), *lengths])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.lengths = np.concatenate([self.flat, *flat]), np.concatenate([self.lengths, sizes])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.slots = np.insert(self.known, at, hashes), np.insert(self.slots, at, slots)
 
     def encode(self, column: pa.ChunkedArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the n+1 offsets of the texts."""
-        texts = pc.fill_null(column.combine_chunks().cast(pa.large_string()), "")
-        cut = pc.ascii_split_whitespace(texts)
-        offsets = cut.offsets.to_numpy().astype(np.int64)
-        coded = cut.flatten().dictionary_encode()
-        where, strings = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        fresh = [w for w in strings if w not in self.known]
+        data, offsets = text_buffer(column)
+        starts, ends, owner = words_of(data, offsets, SPACED)
+        distinct, first, where = np.unique(span_hash(prefix_hash(data, BYTE_VALUE_CASE), starts, ends), return_index=True, return_inverse=True)
+        fresh = self._unknown(distinct)
         if len(self.known) + len(fresh) > MEMORY:
             self.clear()
-            fresh = strings
-        self.add(fresh)
-        lengths, flat = self.lengths, self.flat
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        slots = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
+            fresh = np.arange(len(distinct))
+        if len(fresh):
+            self.add(distinct[fresh], [data[starts[k] : ends[k]].tobytes().decode() for k in first[fresh].tolist()])
+        slots = self.slots[np.searchsorted(self.known, distinct)] if len(distinct) else np.zeros(0, np.int64)
         # One more word, the end id, behind the words of each text.
-        lengths, starts, flat = np.append(lengths, 1), np.append(starts[:-1], len(flat)), np.append(flat, np.int32(end_id))
-        slots = np.append(slots, len(lengths) - 1)
-        order = np.insert(slots[where] if len(where) else np.zeros(0, np.int64), offsets[1:], len(lengths) - 1)
+        bounds = np.searchsorted(owner, np.arange(len(offsets)))
+        lengths, begins, flat = np.append(self.lengths, 1), np.append(self.starts, len(self.flat)), np.append(self.flat, np.int32(end_id))
+        order = np.insert(slots[where], bounds[1:], len(lengths) - 1)
         size = lengths[order]
-        ids = flat[ragged(starts[order], size)]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return ids.astype(np.int32), ends[offsets + np.arange(len(offsets))]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return flat[ragged(begins[order], size)], upto[bounds + np.arange(len(bounds))]
+
+    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.arange(len(hashes))
+        return np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes)
 
 
 def id_ranges(docs: DataFrame, files: int) -> list:
@@ -140,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, *, end_id: in
     begins = id_ranges(narrow, files)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = WordEncoder(vocabulary), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = WordEncoder.of(vocabulary), zstandard.ZstdCompressor(level=1)
         for table in chunks(batches):
             ids, ends = encoder.encode(table["text"], end_id)
             small = ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids
