@@ -279,6 +279,9 @@ def context_history(players: DataFrame, entity: str = "player_id") -> DataFrame:
     A team without one side keeps 0 there; ``data_as_of`` is the earlier of the two sides.
     """
     spans = {m: (1, 3, 5) for m in CONTEXT_RATES} | {m: (1, 3) for m in CONTEXT_VOLUMES}
+    # One pass over the raw rows: both sides are summed from one row per player and pairing.
+    present = [c for c in CONTEXT_SUMS if c in players.columns]
+    players = players.groupBy("season", "week", "team", "opponent", entity).agg(F.max("game_date").alias("game_date"), *[F.sum(c).alias(c) for c in present])
     sides = []
     for group, prefix, as_of in (("team", "team_ctx_", "data_as_of"), ("opponent", "opp_ctx_", "opp_data_as_of")):
         totals = context_week_totals(players, group, entity)
