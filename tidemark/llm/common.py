@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,10 +64,10 @@ def may_be_in(value: Column, asked: Column, held: DataFrame) -> Column:
     bitmap = np.zeros(size // 64, np.int64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
 
-    @F.pandas_udf("boolean")
-    def told(places: pd.Series) -> pd.Series:
-        at = places.to_numpy()
-        return pd.Series((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def told(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
 
     return told(F.pmod(F.xxhash64(value), F.lit(size)))
 

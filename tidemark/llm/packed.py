@@ -7,6 +7,8 @@ bytes, which never occur inside a multi-byte UTF-8 character, so splitting bytes
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +74,20 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of whole rows with about ``limit`` bytes of text each."""
+    try:
+        yield from _regrouped(batches, text, limit)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: Spark keeps Python workers, idle ones too, from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _regrouped(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
