@@ -320,6 +320,38 @@ def test_gibbs_moves_reach_the_seating_distribution():
     assert np.abs(made - wanted / wanted.sum()).max() < 0.02
 
 
+def test_table_counts_of_many_customers_are_drawn_from_their_distribution():
+    c, d, strength, p, others = 3000, 0.8, 2.0, 0.05, 500.0
+    tables = np.arange(1501)
+    numbers = np.where(tables == 1, 0.0, -np.inf)
+    for n in range(2, c + 1):
+        with np.errstate(divide="ignore"):
+            stay = numbers + np.log(np.maximum(n - 1 - d * tables, 0))
+        numbers = np.logaddexp(stay, np.concatenate([[-np.inf], numbers[:-1]]))
+    wanted = numbers[1:] + np.cumsum(np.log((strength + d * (others + tables[:-1])) * p))
+    wanted = np.exp(wanted - wanted.max())
+    wanted /= wanted.sum()
+    made = pitman_yor.drawn(np.random.default_rng(1), np.full(20_000, c), np.full(20_000, p), np.full(20_000, others), d, strength)
+    mean = (wanted * tables[1:]).sum()
+    spread = np.sqrt((wanted * (tables[1:] - mean) ** 2).sum())
+    assert abs(made.mean() - mean) < 0.03 * spread + 0.002 * mean and abs(made.std() / spread - 1) < 0.03
+
+
+def test_one_sweep_seats_frequent_dishes_anew():
+    words, contexts = np.arange(2, dtype=np.uint64), np.array([5, 5], np.uint16)
+    shard = pitman_yor.Shard([pitman_yor.pack(words, np.array([1, 1]), contexts, np.array([100_000, 3]))])
+    first = shard.totals(*[next(shard.seatings(0, [], 2))[k] for k in (0, 2)])
+    total = first.copy()
+    total[shard.context[0]], total[-2], total[-1] = 200_000, 20, 10
+    tables = list(shard.seatings(0, [total], 2))[-1][0]
+    # A customer leaves as often alone as one opens a table, by the update rule of a single customer.
+    t, base = tables[0], pitman_yor.root_probability(np.ones(1), np.ones(1), total, 2)[0]
+    fresh = (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * (200_000 - 2 + t)) * base
+    enters = fresh / (fresh + 99_999 - pitman_yor.DISCOUNT * t)
+    leaves = np.exp(pitman_yor.log_alone(np.array([100_000]), np.array([int(t)]), pitman_yor.DISCOUNT))[0]
+    assert t > 1000 and abs(enters / leaves - 1) < 0.1
+
+
 def test_scores_against_plain_base_and_better_than_it(spark, nasty, none):
     docs = [(k, prose(80, 500 + k // 3)) for k in range(120)] + [(d, t) for d, t, _ in NASTY if d is not None]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("score", F.lit(1)).repartition(5)

@@ -3,8 +3,10 @@
 The word before a token chooses one of ``CONTEXTS`` context restaurants (frequent words have one nearly for themselves); all
 of them share one parent, the restaurant of single tokens, whose base is uniform over the vocabulary and one unknown
 token. A dish in a context restaurant is kept as its customers ``c`` and tables ``t``; every table is a customer of the
-parent. Gibbs moves take a dish's last customer out (alone at its table with probability ``S(c-1, t-1) / S(c, t)``, S the
-generalised Stirling numbers) and seat it again by the Chinese-restaurant rule. After ``BURN`` sweeps, ``SAMPLES`` sweeps
+parent. A sweep covers every customer. Dishes of ``MOVES`` customers at most have Gibbs moves, which take the last customer
+out (alone at its table with probability ``S(c-1, t-1) / S(c, t)``, S the generalised Stirling numbers) and seat it again by
+the Chinese-restaurant rule. The tables of all others are drawn at once from their distribution given the rest of the
+restaurant, ``S(c, t)`` times the chances of ``t`` new tables, whatever the count. After ``BURN`` sweeps, ``SAMPLES`` sweeps
 give predictive probabilities, which are averaged for each token; a text's score is the sum of their logarithms.
 
 How it scales: dishes are sharded by the token's hash, so a token's parent dish stands beside its context dishes, and a
@@ -35,8 +37,10 @@ from tidemark.llm.packed import SPACED, mix, text_buffer, word_hashes
 
 CONTEXTS = 4096
 BURN, SAMPLES = 2, 3
-#: Gibbs moves of every dish in a sweep.
+#: Gibbs moves in a sweep of every dish with so many customers at most; the tables of other dishes are drawn at once.
 MOVES = 6
+#: Table counts that are weighed at a time.
+WEIGHED = 1 << 20
 #: Discount and strength of the context restaurants and of the parent.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 2.0, 0.6, 1.0
 #: Bytes of text for each shard.
@@ -85,6 +89,84 @@ def moved(rng: np.random.Generator, customers: np.ndarray, tables: np.ndarray, b
     return tables
 
 
+@cache
+def _limit(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of customers a table, and ``u`` for which tables whose sizes have the weights of S, tilted by ``1 - exp(-u)``, hold that many."""
+    u = np.geomspace(1e-6, 300, 1 << 13)
+    mean = np.log(discount * -np.expm1(-u)) + (1 - discount) * u - np.log(-np.expm1(-discount * u))
+    return np.concatenate([[0.0], mean]), np.concatenate([[0.0], u])
+
+
+def log_alone(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithm of ``S(c-1, t-1) / S(c, t)``, stored or, for more customers or tables, by the saddle point of the tables' sizes."""
+    c, t = customers.astype(np.float64), tables.astype(np.float64)
+    means, us = _limit(discount)
+    with np.errstate(divide="ignore"):
+        out = np.where(t > 1, -(1 - discount) * np.interp(np.log((c - 1) / np.maximum(t - 1, 1)), means, us), -np.inf)
+        stored = (customers <= STIRLING_CUSTOMERS) & (tables <= STIRLING_TABLES)
+        out[stored] = np.log(alone(discount)[customers[stored], tables[stored]])
+    return out
+
+
+def log_step(customers: np.ndarray, tables: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Logarithm of how much likelier ``t`` tables of a dish are than ``t - 1``, for t of 2 or more; ``others`` are the other dishes' tables."""
+    fresh = (strength + discount * (others + tables - 1)) * base
+    stay = np.maximum(-np.expm1(log_alone(customers, tables - 1, discount)), 1e-12)
+    return np.log(fresh * stay / (customers - 1 - discount * (tables - 1))) - log_alone(customers, tables, discount)
+
+
+def drawn(rng: np.random.Generator, customers: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Tables of dishes of two customers or more, drawn from their distribution given the other dishes' tables.
+
+    The steps between neighbouring counts fall, so the likeliest count is found by halving; counts are weighed as far around
+    it as they have weight.
+    """
+    out = np.ones(len(customers), np.int64)
+    low, high = out.copy(), customers.astype(np.int64)
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_] + 1) // 2
+        up = log_step(customers[open_], middle, base[open_], others[open_], discount, strength) >= 0
+        low[open_] = np.where(up, middle, low[open_])
+        high[open_] = np.where(up, high[open_], middle - 1)
+    near = np.minimum(low + np.maximum(1, np.sqrt(low).astype(np.int64)), customers)
+    near, far = np.minimum(near, customers - 1) + 1, np.maximum(low, 2)
+    fall = log_step(customers, far, base, others, discount, strength) - log_step(customers, np.maximum(near, far), base, others, discount, strength)
+    reach = np.sqrt(np.maximum(near - far, 1) / np.maximum(fall, 1e-9))
+    reach = 12 + np.ceil(9 * np.minimum(reach, 4 * np.sqrt(low + 1.0))).astype(np.int64)
+    first = np.maximum(1, low - reach)
+    width = np.minimum(customers, low + reach) - first + 1
+    ends = np.cumsum(width)
+    a = 0
+    while a < len(out):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WEIGHED, "right")))
+        size, dish = width[a:b], np.repeat(np.arange(a, b), width[a:b])
+        begin = np.cumsum(size) - size
+        t = np.arange(len(dish)) - np.repeat(begin - first[a:b], size)
+        weight = np.zeros(len(dish))
+        steps = np.ones(len(dish), bool)
+        steps[begin] = False
+        at = dish[steps]
+        weight[steps] = log_step(customers[at], t[steps], base[at], others[at], discount, strength)
+        weight = np.cumsum(weight)
+        weight = np.cumsum(np.exp(weight - np.repeat(np.maximum.reduceat(weight, begin), size)))
+        before = np.concatenate([[0.0], weight])[begin]
+        last = begin + size - 1
+        found = np.searchsorted(weight, before + rng.random(b - a) * (weight[last] - before), "right")
+        out[a:b] = t[np.minimum(np.maximum(found, begin), last)]
+        a = b
+    return out
+
+
+def seated(rng: np.random.Generator, customers: np.ndarray, tables: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Tables of dishes after a sweep over all their customers; ``others`` are the restaurants' tables."""
+    customers, out = customers.astype(np.int64), np.array(tables, np.float64)
+    few = customers <= MOVES
+    out[few] = moved(rng, customers[few], tables[few], base[few], others[few], discount, strength, MOVES)
+    rest = np.maximum(others[~few] - tables[~few], 0)
+    out[~few] = drawn(rng, customers[~few], base[~few], rest, discount, strength)
+    return out
+
+
 class Tokens:
     """Tokens of a block's texts: distinct token hashes, distinct (token, context) cells, and every token's cell."""
 
@@ -162,11 +244,11 @@ class Shard:
         for sweep, total in enumerate(history):
             rng = np.random.default_rng([shard, sweep, 977])
             base = root_probability(customers, root, total, vocabulary)
-            tables = moved(rng, self.counts, tables, base[self.word], total[self.context].astype(np.float64), DISCOUNT, STRENGTH, MOVES)
+            tables = seated(rng, self.counts, tables, base[self.word], total[self.context].astype(np.float64), DISCOUNT, STRENGTH)
             customers = np.bincount(self.word, weights=tables, minlength=len(self.words))
             root = np.minimum(root, customers)
             flat = np.full(len(self.words), 1.0 / (vocabulary + 1))
-            root = moved(rng, customers, root, flat, np.full(len(self.words), float(total[CONTEXTS + 1])), ROOT_DISCOUNT, ROOT_STRENGTH, MOVES)
+            root = seated(rng, customers, root, flat, np.full(len(self.words), float(total[CONTEXTS + 1])), ROOT_DISCOUNT, ROOT_STRENGTH)
             yield tables, customers, root
 
 
