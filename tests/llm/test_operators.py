@@ -394,6 +394,28 @@ def test_predictive_probabilities_sum_to_one():
     assert abs((seated + spare) / (pitman_yor.STRENGTH + shard.counts[mine].sum()) - 1) < 1e-9
 
 
+def test_every_word_is_a_context_of_its_own(spark, monkeypatch):
+    words = [f"w{k}" for k in range(6000)]
+    assert len(np.unique(pitman_yor.Tokens(pa.chunked_array([[" ".join(words)]])).context_of)) == 6001
+    monkeypatch.setattr(pitman_yor, "SHARD_BYTES", 4000)
+    docs = [(k, " ".join(words[100 * k : 100 * k + 100]) + " common pair") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
+    model = pitman_yor.Model(df.select("text"))
+    contexts, tables = {}, []
+    for rows in model.tables:
+        for row in rows.collect():
+            if row["shard"] >= model.shard_count and row["block"] == pitman_yor.STORED:
+                names, counts = pitman_yor.unpack(row["body"])
+                contexts |= dict(zip(np.cumsum(names).tolist(), counts.tolist(), strict=True))
+            elif row["shard"] >= model.shard_count:
+                tables.append((row["block"], int(pitman_yor.unpack(row["body"])[0].sum())))
+    assert model.shard_count > 5 and sorted(contexts.values()) == [1] * 6000 + [60] * 3  # common, pair, start of a text
+    sums = [sum(n for b, n in tables if b == block) for block in sorted({b for b, _ in tables}, reverse=True)]
+    assert sums == [int(s[0]) for s in model.sums] and len(sums) == pitman_yor.SAMPLES
+    rows = model.score(df, ["doc_id"]).collect()
+    assert len(rows) == 60 and all(r["n_known"] == r["n_tokens"] == 103 and r["score"] > r["base_score"] for r in rows)
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, (1500, 1))

@@ -1,6 +1,6 @@
 """Language model scores by a hierarchical Pitman-Yor process.
 
-The word before a token chooses one of ``CONTEXTS`` context restaurants (frequent words have one nearly for themselves); all
+The word before a token, by its 64-bit hash, names its context restaurant; all
 of them share one parent, the restaurant of single tokens, whose base is uniform over the vocabulary and one unknown
 token. A dish in a context restaurant is kept as its customers ``c`` and tables ``t``; every table is a customer of the
 parent. A sweep covers every customer. Dishes of ``MOVES`` customers at most have Gibbs moves, which take the last customer
@@ -11,10 +11,11 @@ give predictive probabilities, which are averaged for each token; a text's score
 
 How it scales: dishes are sharded by the token's hash, so a token's parent dish stands beside its context dishes, and a
 context that a third of all tokens share is spread over all shards. A sweep holds the totals of the restaurants fixed and
-sums them anew at its end; they are ``CONTEXTS`` numbers, a bounded size, and all that the driver sees. Seating is drawn from
-seeds of shard and sweep, so a lost task draws it again, and later sweeps replay earlier ones instead of storing them.
-Counts and scores travel as packed messages between blocks of texts and shards (``exchange``); what is gathered grows with
-the corpus. Every text is scored whole.
+sums them anew at its end: restaurants have shards of their own, by the context's hash; every dish shard sends them the
+tables that it holds of each context and gets the totals back. The driver sees four sums a sweep. Seating is drawn from seeds
+of shard and sweep, so a lost task draws it again; the state of a sweep is written. Counts, totals and scores travel as packed
+messages between blocks of texts and shards (``exchange``); what is gathered grows with the corpus, and so do the contexts.
+Every text is scored whole.
 
 Defined results: null and empty texts are one end token; held-out rows are scored and never counted; without training rows
 every token is unknown; repeated rows count each time; null document ids are training rows; an empty table gives no rows;
@@ -33,9 +34,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut_lineage, ship
 from tidemark.llm.exchange import Message, by_block, by_shard, joined, pack, questions, slim, steady, unpack
-from tidemark.llm.packed import SPACED, mix, text_buffer, word_hashes
+from tidemark.llm.packed import SPACED, text_buffer, word_hashes
 
-CONTEXTS = 4096
 BURN, SAMPLES = 2, 3
 #: Gibbs moves in a sweep of every dish with so many customers at most; the tables of other dishes are drawn at once.
 MOVES = 6
@@ -182,10 +182,11 @@ class Tokens:
         before = np.empty(len(tokens), np.uint64)
         before[1:] = tokens[:-1]
         before[self.ends - self.counts] = START
-        context = (mix(before) % np.uint64(CONTEXTS)).astype(np.int64)
         self.words, word = np.unique(tokens, return_inverse=True)
-        self.cells, self.cell = np.unique(word * CONTEXTS + context, return_inverse=True)
-        self.word_of, self.context_of = self.cells // CONTEXTS, self.cells % CONTEXTS
+        self.contexts, context = np.unique(before, return_inverse=True)
+        self.cells, self.cell = np.unique(word * len(self.contexts) + context, return_inverse=True)
+        self.word_of, self.context_at = self.cells // len(self.contexts), self.cells % len(self.contexts)
+        self.context_of = self.contexts[self.context_at]
         self.starts = np.searchsorted(self.word_of, np.arange(len(self.words) + 1))
 
     def shards(self, count: int) -> list[tuple[int, slice, slice]]:
@@ -195,6 +196,24 @@ class Tokens:
         bounds = np.append(first, len(self.words))
         return [(int(s), slice(a, b), slice(self.starts[a], self.starts[b])) for s, a, b in zip(present, bounds[:-1], bounds[1:], strict=True)]
 
+    def message(self, words: slice, cells: slice, *counts: np.ndarray) -> bytes:
+        """Words, cells per word, each cell's context by its place, counts, and the contexts in order."""
+        present, at = np.unique(self.context_at[cells], return_inverse=True)
+        per_word = np.diff(self.starts[words.start : words.stop + 1])
+        return pack(self.words[words], slim(per_word), slim(at), *counts, steps(self.contexts[present]))
+
+
+def steps(names: np.ndarray) -> np.ndarray:
+    """Names in order as differences; ``np.cumsum`` gives them back."""
+    return np.diff(names, prepend=np.uint64(0))
+
+
+def ranges(names: np.ndarray, count: int) -> Iterator[tuple[int, slice]]:
+    """Each shard of names in order, with its part of them."""
+    present, first = np.unique(shard_of(names, count), return_index=True)
+    for s, a, b in zip(present.tolist(), first.tolist(), [*first.tolist()[1:], len(names)], strict=True):
+        yield s, slice(a, b)
+
 
 def shard_of(words: np.ndarray, count: int) -> np.ndarray:
     """Ranges of the upper hash bits, so that sorted words are sorted by shard."""
@@ -202,14 +221,24 @@ def shard_of(words: np.ndarray, count: int) -> np.ndarray:
 
 
 class Shard:
-    """Dishes of the words of one shard, from messages of (words, cells per word, contexts, training counts)."""
+    """Dishes of the words of one shard, from messages of (words, cells per word, contexts, training counts).
+
+    Contexts are names, or places in a fifth array of ordered names.
+    """
 
     def __init__(self, bodies: list[bytes]) -> None:
         parts = [unpack(b) for b in bodies]
         words = joined([p[0] for p in parts], np.uint64)
         per_word = joined([p[1] for p in parts], np.int64)
         self.words, word = np.unique(words, return_inverse=True)
-        keys = np.repeat(word, per_word) * CONTEXTS + joined([p[2] for p in parts], np.int64)
+        names = [np.cumsum(p[4]) if len(p) > 4 else p[2] for p in parts]
+        self.contexts, place = np.unique(joined(names, np.uint64), return_inverse=True)
+        begin = np.cumsum([0, *map(len, names)])
+        context = [place[a + p[2].astype(np.int64)] if len(p) > 4 else place[a:b] for a, b, p in zip(begin[:-1], begin[1:], parts, strict=True)]
+        keys = np.repeat(word, per_word)
+        keys *= len(self.contexts)
+        keys += joined(context, np.int64)
+        del names, place, context, word
         counts = joined([p[3] for p in parts], np.int64)
         self.keys, cell = np.unique(keys, return_inverse=True)
         self.counts = np.bincount(cell, weights=counts, minlength=len(self.keys)).astype(np.int64)
@@ -218,58 +247,112 @@ class Shard:
     @classmethod
     def restored(cls, body: bytes) -> Shard:
         self = cls.__new__(cls)
-        self.words, keys, self.counts = unpack(body)
+        self.words, contexts, keys, self.counts = unpack(body)
+        self.contexts = np.cumsum(contexts)
         self.keys, self.counts = np.cumsum(keys.astype(np.int64)), self.counts.astype(np.int64)
         self.prepare()
         return self
 
     def stored(self) -> bytes:
-        return pack(self.words, slim(np.diff(self.keys, prepend=0)), slim(self.counts))
+        return pack(self.words, steps(self.contexts), slim(np.diff(self.keys, prepend=0)), slim(self.counts))
 
     def prepare(self) -> None:
-        self.word, self.context = self.keys // CONTEXTS, self.keys % CONTEXTS
+        many = max(1, len(self.contexts))
+        self.word, self.context = (self.keys // many).astype(np.int32), (self.keys % many).astype(np.int32)
         self.word_counts = np.bincount(self.word, weights=self.counts, minlength=len(self.words)).astype(np.int64)
 
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=values, minlength=len(self.contexts)).astype(np.int64)
+
+    def customers(self, tables: np.ndarray) -> np.ndarray:
+        """The parent's customers by word."""
+        return np.bincount(self.word, weights=tables, minlength=len(self.words)).astype(np.float64)
+
     def totals(self, tables: np.ndarray, root_tables: np.ndarray) -> np.ndarray:
         """Tables by context, then the customers and the tables of the parent."""
-        by_context = np.bincount(self.context, weights=tables, minlength=CONTEXTS)
-        return np.concatenate([by_context, [tables.sum(), root_tables.sum()]]).astype(np.int64)
+        return np.concatenate([self.by_context(tables), [tables.sum(), root_tables.sum()]]).astype(np.int64)
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tables by cell and by word at the start."""
+        tables = np.ones(len(self.keys))
+        return tables, np.minimum(1.0, self.customers(tables))
+
+    def swept(self, shard: int, sweep: int, tables: np.ndarray, root: np.ndarray, total: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tables by cell and by word after one more sweep; ``total`` is of the seating before, as ``totals`` has it."""
+        rng = np.random.default_rng([shard, sweep, 977])
+        base = root_probability(self.customers(tables), root, total, vocabulary)
+        tables = seated(rng, self.counts, tables, base[self.word], total[self.context].astype(np.float64), DISCOUNT, STRENGTH)
+        customers = self.customers(tables)
+        flat = np.full(len(self.words), 1.0 / (vocabulary + 1))
+        root = seated(rng, customers, np.minimum(root, customers), flat, np.full(len(self.words), float(total[-1])), ROOT_DISCOUNT, ROOT_STRENGTH)
+        return tables, root
 
     def seatings(self, shard: int, history: list[np.ndarray], vocabulary: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Tables by cell, customers and tables by word: the first seating, then one more for each known total."""
-        tables = np.ones(len(self.keys))
-        customers = np.bincount(self.word, minlength=len(self.words)).astype(np.float64)
-        root = np.minimum(1.0, customers)
-        yield tables, customers, root
+        tables, root = self.first()
+        yield tables, self.customers(tables), root
         for sweep, total in enumerate(history):
-            rng = np.random.default_rng([shard, sweep, 977])
-            base = root_probability(customers, root, total, vocabulary)
-            tables = seated(rng, self.counts, tables, base[self.word], total[self.context].astype(np.float64), DISCOUNT, STRENGTH)
-            customers = np.bincount(self.word, weights=tables, minlength=len(self.words))
-            root = np.minimum(root, customers)
-            flat = np.full(len(self.words), 1.0 / (vocabulary + 1))
-            root = seated(rng, customers, root, flat, np.full(len(self.words), float(total[CONTEXTS + 1])), ROOT_DISCOUNT, ROOT_STRENGTH)
-            yield tables, customers, root
+            tables, root = self.swept(shard, sweep, tables, root, total, vocabulary)
+            yield tables, self.customers(tables), root
 
 
 def root_probability(customers: np.ndarray, tables: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
-    """The parent's probability of words with so many customers and tables; unknown words have none."""
+    """The parent's probability of words with so many customers and tables; unknown words have none. ``total`` ends with its sums."""
     held = customers - ROOT_DISCOUNT * tables
-    spare = (ROOT_STRENGTH + ROOT_DISCOUNT * total[CONTEXTS + 1]) / (vocabulary + 1)
-    return (np.maximum(held, 0) + spare) / (ROOT_STRENGTH + total[CONTEXTS])
+    spare = (ROOT_STRENGTH + ROOT_DISCOUNT * total[-1]) / (vocabulary + 1)
+    return (np.maximum(held, 0) + spare) / (ROOT_STRENGTH + total[-2])
 
 
-def _summed(totals: DataFrame) -> np.ndarray:
-    """Totals of all shards: one number for each context and two more."""
-    rows = totals.select(F.posexplode("totals").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(CONTEXTS + 2, np.int64)
-    for row in rows:
-        out[row["k"]] = row["v"]
-    return out
+#: Names of the rows of a shard that are no messages of blocks: its dishes or contexts, its sums, where each shard of dishes has its contexts, its seating after sweep s at SEATING - s.
+STORED, SUMS, PLACES, SEATING = -1, -2, -3, -4
+
+
+def _sums(rows: DataFrame) -> np.ndarray:
+    """Four sums over all shards: tables, tables of the parent, words, tokens."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                yield pa.RecordBatch.from_pydict({k: [int(v)] for k, v in zip("abcd", unpack(body.as_py())[0], strict=True)})
+
+    sums = rows.where(F.col("block") == SUMS).mapInArrow(read, "a bigint, b bigint, c bigint, d bigint")
+    return np.array([v or 0 for v in sums.agg(*(F.sum(c) for c in "abcd")).first()], np.int64)
+
+
+def _told(shard: Shard, shards: int, tables: np.ndarray, root: np.ndarray, *, named: bool = False) -> Iterator[tuple[int, bytes]]:
+    """What a shard tells of a seating: its sums, and its tables by context to the shards of contexts; with names and customers at the start."""
+    yield SUMS, pack(np.array([tables.sum(), root.sum(), len(shard.words), shard.counts.sum()], np.int64))
+    by_context, customers = shard.by_context(tables), shard.by_context(shard.counts) if named else None
+    for number, part in ranges(shard.contexts, shards):
+        yield number, pack(slim(by_context[part]), *((slim(customers[part]), steps(shard.contexts[part])) if named else ()))
+
+
+def _totals(shard: int, shards: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Sums by context: for the shard itself, and for each shard of dishes in the order that it named its contexts in."""
+    held = {number: unpack(body) for number, body in zip(shards, bodies, strict=True)}
+    places, parts = held.pop(PLACES, None), list(held.values())
+    sizes = [len(p[0]) for p in parts]
+    begin = np.cumsum([0, *sizes])
+    if places:
+        at = joined([np.cumsum(x.astype(np.int64)) for x in np.split(places[0], begin[1:-1])], np.int64)
+        sums = [np.bincount(at, weights=joined([p[0] for p in parts], np.int64)).astype(np.int64)]
+        yield STORED, pack(slim(sums[0]))
+    else:
+        names, at = np.unique(joined([np.cumsum(p[2]) for p in parts], np.uint64), return_inverse=True)
+        sums = [np.bincount(at, weights=joined([p[k] for p in parts], np.int64)).astype(np.int64) for k in (0, 1)]
+        yield STORED, pack(steps(names), slim(sums[1]))
+        yield PLACES, pack(slim(joined([np.diff(at[a:b], prepend=0) for a, b in zip(begin[:-1], begin[1:], strict=True)], np.int64)))
+    for number, a, b in zip(held, begin[:-1], begin[1:], strict=True):
+        yield number, pack(slim(sums[0][at[a:b]]))
+
+
+def _turned(rows: DataFrame) -> DataFrame:
+    """Messages between shards, sent to whom they name."""
+    return rows.where(F.col("block") >= 0).select(F.col("shard").cast("bigint").alias("block"), F.col("block").cast("int").alias("shard"), "body")
 
 
 class Model:
-    """A fitted model: its shards in a written table, and the bounded totals of every sweep."""
+    """A fitted model: written tables of its shards of dishes and of contexts, and sums of the sampled seatings."""
 
     def __init__(self, training: DataFrame) -> None:
         """``training`` has a text column only."""
@@ -282,68 +365,85 @@ class Model:
             tokens = Tokens(table["text"])
             counts = np.bincount(tokens.cell, minlength=len(tokens.cells))
             for shard, words, cells in tokens.shards(shards):
-                per_word = np.diff(tokens.starts[words.start : words.stop + 1])
-                yield shard, pack(tokens.words[words], slim(per_word), tokens.context_of[cells].astype(np.uint16), slim(counts[cells]))
-
-        def merge(shard: int, blocks: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
-            yield 0, Shard(bodies).stored()
-
-        self.table = cut_lineage(by_shard(questions(training.select("text"), ask), merge))
-
-        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for body in batch.column("body"):
-                    shard = Shard.restored(body.as_py())
-                    by_context = np.bincount(shard.context, weights=shard.counts, minlength=CONTEXTS).astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"totals": pa.array([[*by_context.tolist(), len(shard.words), 0]], pa.list_(pa.int64()))})
-
-        total = _summed(self.table.mapInArrow(sizes, "totals array<bigint>"))
-        self.context_counts, self.vocabulary = total[:CONTEXTS], int(total[CONTEXTS])
-        self.tokens = int(self.context_counts.sum())
-        self.history: list[np.ndarray] = []
-        for _ in range(BURN + SAMPLES):
-            self.history.append(self._next_totals())
-
-    def _next_totals(self) -> np.ndarray:
-        history, vocabulary = self.history, self.vocabulary
-
-        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for number, body in zip(batch.column("shard").to_pylist(), batch.column("body"), strict=True):
-                    shard = Shard.restored(body.as_py())
-                    for tables, _, root in shard.seatings(number, history, vocabulary):
-                        last = tables, root
-                    yield pa.RecordBatch.from_pydict({"totals": pa.array([shard.totals(*last).tolist()], pa.list_(pa.int64()))})
-
-        return _summed(self.table.mapInArrow(totals, "totals array<bigint>"))
+                yield shard, tokens.message(words, cells, slim(counts[cells]))
+
+        def merge(number: int, blocks: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
+            shard = Shard(bodies)
+            yield STORED, shard.stored()
+            yield from _told(shard, shards, *shard.first(), named=True)
+
+        seating = cut_lineage(by_shard(questions(training.select("text"), ask), merge))
+        dishes = seating.where(F.col("block") == STORED)
+        sums = _sums(seating)
+        self.vocabulary, self.tokens = int(sums[2]), int(sums[3])
+        totals = cut_lineage(by_shard(_turned(seating), _totals))
+        own, places = F.col("block") == STORED, totals.where(F.col("block") == PLACES)
+        # Files of shuffles whose results are written go with the plans that hold them.
+        spark._jvm.System.gc()
+        #: Rows of the shards of dishes, and of those of contexts behind them.
+        self.tables = [dishes, totals.where(own).withColumn("shard", F.col("shard") + shards)]
+        self.sums: list[np.ndarray] = []
+        for sweep in range(BURN + SAMPLES - 1):
+            state = seating.where(F.col("block") == SEATING - sweep)
+            seating = cut_lineage(by_shard(dishes.unionAll(state).unionAll(_turned(totals)), self._sweep(sweep, sums[:2])))
+            sums = _sums(seating)
+            totals = cut_lineage(by_shard(_turned(seating).unionAll(places), _totals))
+            if sweep + 1 >= BURN:
+                self.sums.append(sums[:2])
+                self.tables.append(seating.where(F.col("block") == SEATING - sweep - 1))
+                self.tables.append(totals.where(own).select(F.lit(SEATING - sweep - 1).cast("bigint").alias("block"), (F.col("shard") + shards).alias("shard"), "body"))
+        spark._jvm.System.gc()
+
+    def _sweep(self, sweep: int, sums: np.ndarray):  # noqa: ANN202
+        shards, vocabulary = self.shard_count, self.vocabulary
+
+        def work(number: int, blocks: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
+            held = dict(zip(blocks, bodies, strict=True))  # shards of contexts are in the order of the contexts
+            shard = Shard.restored(held.pop(STORED))
+            before = held.pop(SEATING - sweep, None)
+            tables, root = (a.astype(np.float64) for a in (unpack(before) if before else shard.first()))
+            total = np.concatenate([*(unpack(held[k])[0].astype(np.int64) for k in sorted(held)), sums])
+            tables, root = shard.swept(number, sweep, tables, root, total, vocabulary)
+            yield SEATING - sweep - 1, pack(slim(tables), slim(root))
+            yield from _told(shard, shards, tables, root)
+
+        return work
 
     def score(self, docs: DataFrame, kept: list[str]) -> DataFrame:
         """Scores of whole texts: the columns ``kept``, then tokens, known tokens and the two sums of logarithms."""
-        shards, history, vocabulary, counts, n = self.shard_count, self.history, self.vocabulary, self.context_counts, self.tokens
+        shards, sums, vocabulary, n = self.shard_count, self.sums, self.vocabulary, self.tokens
         shown = [f for f in docs.schema.fields if f.name in kept]
 
         def ask(table: pa.Table) -> Iterator[Message]:
             tokens = Tokens(table["text"])
             for shard, words, cells in tokens.shards(shards):
-                per_word = np.diff(tokens.starts[words.start : words.stop + 1])
-                yield shard, pack(tokens.words[words], slim(per_word), tokens.context_of[cells].astype(np.uint16))
+                yield shard, tokens.message(words, cells)
+            for shard, part in ranges(tokens.contexts, shards):
+                yield shards + shard, pack(steps(tokens.contexts[part]))
 
         def answer(number: int, blocks: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
-            own = [body for block, body in zip(blocks, bodies, strict=True) if block < 0]
-            shard = Shard.restored(own[0]) if own else Shard([])
-            seatings = list(shard.seatings(number, history[: BURN + SAMPLES - 1], vocabulary))[-SAMPLES:]
-            for block, body in zip(blocks, bodies, strict=True):
-                if block < 0:
-                    continue
-                words, per_word, contexts = unpack(body)
+            own = {block: body for block, body in zip(blocks, bodies, strict=True) if block < 0}
+            seatings = [unpack(own[k]) for k in sorted(own, reverse=True) if k <= SEATING]
+            asked = ((block, unpack(body)) for block, body in zip(blocks, bodies, strict=True) if block >= 0)
+            if number >= shards:
+                names, counts = unpack(own[STORED]) if own else [np.zeros(0, np.uint64)] * 2
+                names = np.cumsum(names)
+                held = [counts, *(s[0] for s in seatings)] if own else [counts] * (1 + SAMPLES)
+                for block, (contexts,) in asked:
+                    at, known = found(names, np.cumsum(contexts))
+                    yield block, pack(*(slim(taken(v, at, known)) for v in held))
+                return
+            shard = Shard.restored(own[STORED]) if own else Shard([])
+            seatings = [(shard.customers(t), root, t) for t, root in seatings or [shard.first()] * SAMPLES]
+            for block, (words, per_word, context, names) in asked:
+                per_word = per_word.astype(np.int64)
                 at, known = found(shard.words, words)
-                cell, seated = found(shard.keys, np.repeat(at, per_word.astype(np.int64)) * CONTEXTS + contexts)
-                seated &= np.repeat(known, per_word.astype(np.int64))
-                out = [np.where(known, shard.word_counts[at], 0) if len(shard.words) else np.zeros(len(words), np.int64)]
-                out.append(np.where(seated, shard.counts[cell], 0) if len(shard.keys) else np.zeros(len(contexts), np.int64))
-                for tables, customers, root in seatings:
-                    for values, place, there in ((customers, at, known), (root, at, known), (tables, cell, seated)):
-                        out.append(np.where(there, values[place], 0).astype(np.int64) if len(values) else np.zeros(len(place), np.int64))
+                place, there = found(shard.contexts, np.cumsum(names))
+                cell, seated_ = found(shard.keys, np.repeat(at, per_word) * len(shard.contexts) + place[context])
+                seated_ &= np.repeat(known, per_word) & there[context]
+                out = [taken(shard.word_counts, at, known), taken(shard.counts, cell, seated_)]
+                for customers, root, tables in seatings:
+                    out += [taken(customers, at, known), taken(root, at, known), taken(tables, cell, seated_)]
                 yield block, pack(*map(slim, out))
 
         def scored(block: int, table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
@@ -355,24 +455,31 @@ class Model:
                     raise RuntimeError("an input task gave other rows than before; write the input to files first")
                 held.append([p.astype(np.int64) for p in parts])
             gathered = [joined([h[k] for h in held], np.int64) for k in range(2 + 3 * SAMPLES)]
+            parts = [unpack(answers[shards + shard]) for shard, _ in ranges(tokens.contexts, shards)]
+            counts, *totals = (joined([p[k] for p in parts], np.int64)[tokens.context_at] for k in range(1 + SAMPLES))
             seen, customers = gathered[:2]
             mean = np.zeros(len(tokens.cells))
             for s in range(SAMPLES):
-                total = history[BURN + s]
                 root_customers, root, tables = gathered[2 + 3 * s : 5 + 3 * s]
-                parent = root_probability(root_customers, root, total, vocabulary)[tokens.word_of]
-                context = tokens.context_of
-                spare = STRENGTH + DISCOUNT * total[context]
-                mean += (np.maximum(customers - DISCOUNT * tables, 0) + spare * parent) / (STRENGTH + counts[context]) / SAMPLES
+                parent = root_probability(root_customers, root, sums[s], vocabulary)[tokens.word_of]
+                spare = STRENGTH + DISCOUNT * totals[s]
+                mean += (np.maximum(customers - DISCOUNT * tables, 0) + spare * parent) / (STRENGTH + counts) / SAMPLES
             starts = tokens.ends - tokens.counts
             of_cell = {"score": np.log10(mean), "base_score": np.log10((seen + 0.1) / (n + 0.1 * (vocabulary + 1)))[tokens.word_of], "n_known": (seen > 0)[tokens.word_of].astype(np.int64)}
-            sums = {k: np.add.reduceat(v[tokens.cell], starts) for k, v in of_cell.items()}
-            columns = {f.name: table[f.name] for f in shown} | {"n_tokens": tokens.counts, "n_known": sums["n_known"], "base_score": sums["base_score"], "score": sums["score"]}
+            sums_ = {k: np.add.reduceat(v[tokens.cell], starts) for k, v in of_cell.items()}
+            columns = {f.name: table[f.name] for f in shown} | {"n_tokens": tokens.counts, "n_known": sums_["n_known"], "base_score": sums_["base_score"], "score": sums_["score"]}
             return pa.table(columns)
 
-        asked = questions(docs, ask).unionAll(self.table.select(F.lit(-1).cast("bigint").alias("block"), "shard", "body"))
+        asked = questions(docs, ask)
+        for rows in self.tables:
+            asked = asked.unionAll(rows.select("block", "shard", "body"))
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown), "n_tokens bigint, n_known bigint, base_score double, score double"])
-        return by_block(docs, by_shard(asked, answer), scored, schema)
+        return by_block(docs, by_shard(asked, answer).where("block >= 0"), scored, schema)
+
+
+def taken(values: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Values at places, 0 where there is none."""
+    return np.where(there, values[at], 0).astype(np.int64) if len(values) else np.zeros(len(at), np.int64)
 
 
 def found(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
