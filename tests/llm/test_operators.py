@@ -101,6 +101,26 @@ def test_passage_dedup_over_many_blocks_and_periodic_texts(spark):
     assert made == sorted(brute.kept_bytes(docs))
 
 
+def test_passage_dedup_deals_out_the_windows_of_crowded_anchors(spark, monkeypatch):
+    line = prose(12, 77)
+    docs = [(k, prose(20, 1000 + k) + " " + line + " " + prose(20, 2000 + k // 2)) for k in range(120)] + [(200, prose(200, 9)), (201, prose(200, 9))]
+    texts = pa.table({"doc_id": [d for d, _ in docs], "text": pa.chunked_array([[t for _, t in docs]])})
+    segments = suffix_dedup.Segments(texts, 50)
+    anchors, _, number = segments.anchors()
+    crowded = anchors[np.argsort(np.bincount(number))[-2:]]
+    windows = int(segments.windows.sum())
+    before = set(suffix_dedup._shard(segments.anchor[np.isin(segments.anchor, crowded)], 64))
+    mine = segments.scatter(crowded)
+    dealt = suffix_dedup._shard(segments.anchor[int((~mine).sum()) :], 64)
+    assert len(before) <= 2 and len(set(dealt)) > 8 and int(segments.windows.sum()) == windows
+    for most, shard_bytes in ((2000, 1 << 20), (2000, 4000), (0, 4000), (1 << 30, 4000)):
+        monkeypatch.setattr(suffix_dedup, "CROWDED", most)
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
+        rows = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)).collect()
+        made = sorted((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in rows)
+        assert made == sorted(brute.kept_bytes(docs))
+
+
 def test_interval_expansion_finds_all_shared_substrings():
     rng = np.random.default_rng(1)
     for length in (3, 8, 20):

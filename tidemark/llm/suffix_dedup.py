@@ -12,9 +12,11 @@ the shard of the anchor; there the distinct segments are expanded as above and e
 that holds its bytes; each block then removes the bytes of windows that a smaller document holds.
 
 How it scales: a segment of a passage that a third of all documents share is sent once by a block and expanded once in
-its shard. Shards are as many as the corpus needs (``SHARD_BYTES`` of text each), and a shard expands its segments in portions
-of whole anchors (``PORTION`` bytes, or one anchor's distinct segments). Messages are compressed arrays (``exchange``). No
-text is cut, and no window, anchor or segment is left out.
+its shard. An anchor whose segments may exceed ``CROWDED`` bytes over all blocks (the edge of a line that many documents hold
+has another segment in each) gives up its segments: each of their windows becomes a segment of its own and goes to the shard
+of its own hash, which equal windows share. Shards are as many as the corpus needs (``SHARD_BYTES`` of text each), and a shard
+expands its segments in portions of whole anchors (``PORTION`` bytes, or one anchor's, ``CROWDED`` at most). Messages are compressed arrays (``exchange``).
+No text is cut, and no window, anchor or segment is left out.
 
 Defined results: a null text is empty; texts shorter than ``length`` are kept whole; rows with equal ids never remove from
 one another; rows with a null id are kept whole and remove nothing; an empty table gives no rows; other columns are not read.
@@ -36,6 +38,8 @@ from tidemark.llm.packed import BYTE_VALUE_CASE, inverse_powers, prefix_hash, ra
 ANCHOR = 24
 SHARD_BYTES = 16 << 20
 PORTION = 1 << 20
+#: Bytes of an anchor's segments over all blocks beyond which its windows are dealt out one by one.
+CROWDED = 8 << 20
 NOBODY = np.iinfo(np.int64).max
 KEPT_SCHEMA = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
@@ -180,6 +184,20 @@ class Segments:
             return ordered, fresh, number
         return ordered[first], np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first), number
 
+    def scatter(self, crowded: np.ndarray) -> np.ndarray:
+        """Make every window of the crowded anchors a segment named by its own bytes; which segments these are."""
+        mine = np.isin(self.anchor, crowded)
+        windows = self.windows[mine]
+        start = ragged(self.start[mine], windows)
+        name = span_hash(self.hashes, start, start + self.length)
+        name = (name ^ name >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        name ^= name >> np.uint64(29)
+        one = np.ones(len(start), np.int64)
+        self.anchor = np.concatenate([self.anchor[~mine], name])
+        self.start, self.windows = np.concatenate([self.start[~mine], start]), np.concatenate([self.windows[~mine], one])
+        self.size, self.doc = np.concatenate([self.size[~mine], one * self.length]), np.concatenate([self.doc[~mine], np.repeat(self.doc[mine], windows)])
+        return mine
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One segment of each kind (anchor and bytes), in the order of anchors; each segment's kind; each kind's smallest owner."""
         content = span_hash(self.hashes, self.start, self.start + self.size)
@@ -220,48 +238,64 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc
     """``doc_id, n_bytes, spans, kept``: byte spans of a text that a smaller document holds, and the bytes that stay."""
     rows = steady(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     shards = max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // SHARD_BYTES))
+    most = CROWDED
 
     def ask_anchors(table: pa.Table) -> Iterator[Message]:
-        anchors, several, _ = Segments(table, length).anchors()
+        segments = Segments(table, length)
+        anchors, several, number = segments.anchors()
+        # Bytes of an anchor's segments in this block, as the power of two of a segment's most that holds them.
+        power = np.ceil(np.log2(np.maximum(1, np.bincount(number, weights=segments.size, minlength=len(anchors)) / (2 * length)))).astype(np.uint8)
         for shard, part in _by_owner(_shard(anchors, shards)):
             # Half of the hash names an anchor within its shard; a chance meeting only costs a segment sent.
             short = anchors[part] & np.uint64(0xFFFFFFFF)
             order = np.argsort(short, kind="stable")
-            yield shard, pack(slim(np.diff(short[order], prepend=np.uint64(0))), np.packbits(several[part][order]))
+            yield shard, pack(slim(np.diff(short[order], prepend=np.uint64(0))), np.packbits(several[part][order]), power[part][order])
 
     def answer_anchors(shard: int, blocks: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
         asked = [unpack(b) for b in bodies]
-        values = [np.cumsum(a.astype(np.int64)) for a, _ in asked]
-        flags = [np.unpackbits(f, count=len(v)).astype(bool) for v, (_, f) in zip(values, asked, strict=True)]
+        values = [np.cumsum(a.astype(np.int64)) for a, _, _ in asked]
+        flags = [np.unpackbits(f, count=len(v)).astype(bool) for v, (_, f, _) in zip(values, asked, strict=True)]
         every = np.sort(np.concatenate([np.concatenate([v, v[f]]) for v, f in zip(values, flags, strict=True)]))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        for block, v in zip(blocks, values, strict=True):
+        held = np.zeros(len(twice))
+        found = []
+        for v, (_, _, power) in zip(values, asked, strict=True):
             at = np.minimum(np.searchsorted(twice, v), max(0, len(twice) - 1))
-            yield block, pack(np.packbits(twice[at] == v if len(twice) else np.zeros(len(v), bool)))
+            found.append((at, twice[at] == v if len(twice) else np.zeros(len(v), bool)))
+            held += np.bincount(at[found[-1][1]], weights=2.0 * length * 2.0 ** power[found[-1][1]], minlength=len(twice))
+        for block, (at, shared) in zip(blocks, found, strict=True):
+            full = shared & (held[at] > most) if len(twice) else shared
+            yield block, pack(np.packbits(shared), np.packbits(full))
 
     def send_segments(block: int, table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         segments = Segments(table, length)
         anchors, _, number = segments.anchors()
-        shared = np.zeros(len(anchors), bool)
+        shared, full = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
         for shard, part in _by_owner(_shard(anchors, shards)):
             order = np.argsort(anchors[part] & np.uint64(0xFFFFFFFF), kind="stable")
-            shared[part.start + order] = np.unpackbits(unpack(answers[shard])[0], count=len(order)).astype(bool)
+            for flags, told in zip((shared, full), unpack(answers[shard]), strict=True):
+                flags[part.start + order] = np.unpackbits(told, count=len(order)).astype(bool)
+        crowded, wanted = anchors[full], shared[number]
+        if len(crowded):
+            wanted = wanted[~segments.scatter(crowded)]
+            wanted = np.concatenate([wanted, np.ones(len(segments.anchor) - len(wanted), bool)])
         one, _, least = segments.distinct()
-        sent = np.flatnonzero(shared[number[one]])
+        sent = np.flatnonzero(wanted[one])
         one, least = one[sent], least[sent]
         out: list[Message] = []
         for shard, part in _by_owner(_shard(segments.anchor[one], shards)):
             mine = one[part]
             data = segments.data[ragged(segments.start[mine], segments.size[mine])]
             group = (segments.anchor[mine] >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16)
-            out.append((shard, pack(slim(np.diff(sent[part], prepend=0)), group, slim(segments.size[mine]), least[part], data)))
+            out.append((shard, pack(slim(np.diff(sent[part], prepend=0)), group, slim(segments.size[mine]), least[part], data, crowded)))
+            crowded = crowded[:0]  # the first message carries them; they come back with its answer
         return pa.Table.from_batches([message_rows([block] * len(out), [s for s, _ in out], [b for _, b in out])])
 
     def expand(shard: int, blocks: list[int], bodies: list[bytes]) -> Iterator[tuple[int, bytes]]:
         parts = [unpack(b) for b in bodies]
         group, size = (joined([p[k] for p in parts], np.int64) for k in (1, 2))
         owner, data = joined([p[3] for p in parts], np.int64), joined([p[4] for p in parts], np.uint8)
-        sent = [p[0] for p in parts]
+        sent, crowded = [p[0] for p in parts], [p[5] for p in parts]
         del parts
         start = np.cumsum(size) - size
         content = _contents(data, start, size)
@@ -295,18 +329,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, text: str = "text", doc
         first_run = np.searchsorted(runs_at, begin)
         run_count = np.diff(np.append(first_run, len(runs_at)))
         at = 0
-        for block, kinds in zip(blocks, sent, strict=True):
+        for block, kinds, back in zip(blocks, sent, crowded, strict=True):
             mine = number[at : at + len(kinds)]
             at += len(kinds)
             runs = ragged(first_run[mine], run_count[mine])
-            yield block, pack(kinds, slim(run_count[mine]), slim(run_size[runs]), result[runs_at[runs]])
+            yield block, pack(kinds, slim(run_count[mine]), slim(run_size[runs]), result[runs_at[runs]], back)
 
     def cut(block: int, table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         segments = Segments(table, length)
+        told = [unpack(answers[shard]) for shard in sorted(answers)]  # shards and their segments are in the order of the anchors
+        crowded = joined([t[4] for t in told], np.uint64)
+        if len(crowded):
+            segments.scatter(crowded)
         one, kind, _ = segments.distinct()
         runs, sizes, least = np.zeros(len(one), np.int64), [], []
-        for shard in sorted(answers):  # shards and their segments are in the order of the anchors
-            number, run_count, run_size, owner = unpack(answers[shard])
+        for number, run_count, run_size, owner, _ in told:
             runs[np.cumsum(number.astype(np.int64))] = run_count
             sizes.append(run_size)
             least.append(owner)
