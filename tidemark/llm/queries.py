@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.ann import nearest
 from tidemark.llm.common import shared_folder
 from tidemark.llm.decontam import contamination, is_contaminated
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.langid import predict_languages, train_language_model
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.oracles import DIVERGENCE_SQL
 from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.suffix_dedup import remove_repeats
@@ -142,3 +144,9 @@ def op5_bwt_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"), 50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registered("op11_source_stripes", DIVERGENCE_SQL)
+def op11_source_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of each language, and the terms that tell a source from its language."""
+    return source_divergence(table(spark, sf_dir, "documents"), least=3, top=200)
