@@ -37,3 +37,62 @@ ranked AS (
   SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM firsts)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+#: CRC-32 of a text of ASCII characters, by the reversed polynomial, and the damaged rows by it. Then a forward program over
+#: (cost, audit, repaired text) of four states, row by row; insertions stand before each row and at the end.
+REPAIR_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS INTEGER) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE kind <> 0),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS trimmed FROM damaged),
+faults AS (
+  SELECT c, conv_id, k, turn, role, text, left(role, 1) AS i, trimmed = '' AS blank, trimmed <> '' AND again AS duplicate,
+         trimmed <> '' AND NOT again AND right(trimmed, 1) NOT IN ('.', '!', '?') AS truncated,
+         lag(left(role, 1)) OVER (PARTITION BY c ORDER BY k) || left(role, 1) AS pair FROM placed),
+totals AS (
+  SELECT c, any_value(conv_id) AS conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY c),
+steps AS (
+  SELECT 0 AS c, 0 AS k, 0 AS s, 0 AS cost, '' AS audit, [''] AS said WHERE FALSE
+  UNION ALL SELECT c, 0, s, CASE s WHEN 0 THEN 0 WHEN 2 THEN 3 ELSE 6 END, CASE s WHEN 0 THEN '' WHEN 2 THEN 'I' ELSE 'II' END,
+         CASE s WHEN 0 THEN [] WHEN 2 THEN ['user:'] ELSE ['user:', 'assistant:'] END
+  FROM totals, (SELECT unnest([0, 2, 3]) AS s)
+  UNION ALL
+  SELECT c, k, s, cost, audit, said FROM (
+    SELECT x.c, x.k, y.s, y.cost, y.audit, y.said, row_number() OVER (PARTITION BY x.c, y.s ORDER BY y.cost, y.audit) AS best
+    FROM (
+      SELECT p.c, f.k, e.s, p.cost + e.cost AS cost, p.audit || e.letter AS audit, CASE WHEN e.letter = 'D' THEN p.said ELSE p.said || [e.said] END AS said
+      FROM steps p JOIN faults f ON f.c = p.c AND f.k = p.k + 1,
+      LATERAL (
+        SELECT p.s AS s, 4 AS cost, 'D' AS letter, '' AS said
+        UNION ALL SELECT CASE WHEN p.s = 2 THEN 3 ELSE 2 END, CASE WHEN f.truncated THEN 6 ELSE 3 END, 'R', CASE WHEN p.s = 2 THEN 'assistant:' ELSE 'user:' END || f.text WHERE NOT f.blank AND NOT f.duplicate
+        UNION ALL SELECT CASE f.i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE WHEN f.truncated THEN 3 ELSE 0 END, 'K', f.role || ':' || f.text
+        WHERE NOT f.blank AND NOT f.duplicate AND (f.i = 's' AND p.s = 0 OR f.i = 'u' AND p.s <> 2 OR f.i = 'a' AND p.s = 2)) e) x,
+    LATERAL (
+      SELECT x.s AS s, x.cost AS cost, x.audit AS audit, x.said AS said
+      UNION ALL SELECT CASE WHEN x.s = 2 THEN 3 ELSE 2 END, x.cost + 3, x.audit || 'I', x.said || [CASE WHEN x.s = 2 THEN 'assistant:' ELSE 'user:' END]
+      UNION ALL SELECT CASE WHEN x.s = 2 THEN 2 ELSE 3 END, x.cost + 6, x.audit || 'II', x.said || CASE WHEN x.s = 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END) y)
+  WHERE best = 1),
+chosen AS (
+  SELECT t.*, s.cost, s.audit, s.said, row_number() OVER (PARTITION BY t.c ORDER BY s.cost, s.audit) AS best
+  FROM totals t JOIN steps s ON s.c = t.c AND s.k = t.n AND s.s IN (0, 3))
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN (SELECT * FROM chosen WHERE best = 1) d ON d.conv_id IS NOT DISTINCT FROM i.conv_id"""

@@ -15,12 +15,13 @@ from tidemark.llm.divergence import source_divergence
 from tidemark.llm.langid import predict_languages, train_language_model
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.oracles import DIVERGENCE_SQL
+from tidemark.llm.oracles import DIVERGENCE_SQL, REPAIR_SQL
 from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import token_digests, write_token_files
+from tidemark.llm.turns import damage, repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -150,3 +151,10 @@ def op5_bwt_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_source_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergences between the sources of each language, and the terms that tell a source from its language."""
     return source_divergence(table(spark, sf_dir, "documents"), least=3, top=200)
+
+
+@registered("op13_turn_repair", REPAIR_SQL)
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest edits that make the roles of damaged conversations alternate."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damage(conversations), conversations.select("conv_id"))
