@@ -96,3 +96,21 @@ SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
        coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN (SELECT * FROM chosen WHERE best = 1) d ON d.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+LINKS_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, FALSE) AND label IS NOT NULL AS fits
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+  ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND a.fits AND b.fits
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reached AS (
+  SELECT vec_id, vec_id AS other FROM vectors
+  UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, r.component_id, v.vec_id = r.component_id AS kept
+FROM vectors v LEFT JOIN counted c ON c.a = v.vec_id
+JOIN (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id) r ON r.vec_id = v.vec_id"""

@@ -15,13 +15,14 @@ from tidemark.llm.divergence import source_divergence
 from tidemark.llm.langid import predict_languages, train_language_model
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.oracles import DIVERGENCE_SQL, REPAIR_SQL
+from tidemark.llm.oracles import DIVERGENCE_SQL, LINKS_SQL, REPAIR_SQL
 from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_files import token_digests, write_token_files
 from tidemark.llm.turns import damage, repair
+from tidemark.llm.vector_links import vector_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,6 +154,13 @@ def op11_source_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"), least=3, top=200)
 
 
+@registered("op12_principal_tiles", LINKS_SQL)
+def op12_principal_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors that reach a cosine of 0.98 within their label."""
+    found = vector_links(table(spark, sf_dir, "embeddings"), 0.98)
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 @registered("op13_turn_repair", REPAIR_SQL)
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest edits that make the roles of damaged conversations alternate."""
