@@ -108,10 +108,9 @@ def group_totals(plays: DataFrame, keys: Sequence[str], yards: str = "yards_gain
     )
 
 
-def drive_summary(drives: DataFrame, keys: Sequence[str] = ("game_id", "team", "player_id", "season", "week")) -> DataFrame:
-    """Drives per game and how many had a touch, a score, a red-zone or goal-to-go touch."""
+def drive_measures(drives: DataFrame) -> dict[str, Column]:
+    """Aggregates over a game's drives: how many there were and how many had a touch, a score, a red-zone or goal-to-go touch."""
     have = set(drives.columns)
-    keys = [k for k in keys if k in have]
 
     def any_use(*names: str) -> Column:
         used = sum((nz(n) for n in names if n in have), F.lit(0))
@@ -119,7 +118,6 @@ def drive_summary(drives: DataFrame, keys: Sequence[str] = ("game_id", "team", "
 
     aggs = {
         "drive_count": F.count(F.lit(1)),
-        "game_date": F.max("game_date"),
         "drive_touch_drives": any_use("carry", "target", "pass_attempt", "reception"),
         "drive_td_drives": any_use("touchdown"),
         "drive_total_yards": F.sum(sum((nz(c) for c in ("passing_yards", "rushing_yards", "receiving_yards") if c in have), F.lit(0.0))),
@@ -127,6 +125,13 @@ def drive_summary(drives: DataFrame, keys: Sequence[str] = ("game_id", "team", "
     for zone in ("red_zone", "goal_to_go"):
         if {f"{zone}_carry", f"{zone}_target"} <= have:
             aggs[f"drive_{zone}_drives"] = any_use(f"{zone}_carry", f"{zone}_target")
+    return aggs
+
+
+def drive_summary(drives: DataFrame, keys: Sequence[str] = ("game_id", "team", "player_id", "season", "week")) -> DataFrame:
+    """Drives per game and how many had a touch, a score, a red-zone or goal-to-go touch."""
+    keys = [k for k in keys if k in drives.columns]
+    aggs = {"game_date": F.max("game_date")} | drive_measures(drives)
     return drives.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
 
 

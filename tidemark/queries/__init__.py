@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("core", "events", "derived", "evaluate", "relations", "feeds")
+MODULES = ("core", "events", "derived", "evaluate", "relations", "feeds", "matrix")
 
 
 def load_all() -> ModuleType:

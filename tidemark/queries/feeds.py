@@ -10,6 +10,7 @@ from ..evaluation import calibration
 from ..functions import expectations, labels, plays, text, travel
 from ..operators.keys import join_on
 from ..plans import features as FP
+from ..plans.incremental import RollingStore
 from ..session import cut_lineage, shared_folder
 from ..sources import readers, writers
 from ..streaming import streams
@@ -249,15 +250,76 @@ def _matrix_by_horizon(t) -> DataFrame:
 # --- streams --------------------------------------------------------------------------------------
 
 
+def _in_files(rows: DataFrame, parts: list, feed: str) -> int:
+    """Write parts of the rows one after another, each with Spark's own files; the files of the first."""
+    counts = []
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(feed)
+        counts.append(len(rows.sparkSession.read.parquet(feed).inputFiles()))
+    return counts[0]
+
+
 @query("stream_in_batches", f"SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS denom, {r('sum(value)', 'value_num')} FROM events GROUP BY ALL")
 def _stream_in_batches(t) -> DataFrame:
-    """Four files in no order of time, one a batch, with a stop and a restart after half of them."""
+    """Four parts in no order of time, about one a batch, with a stop and a restart after half of them."""
     feed, out, check = (shared_folder(t.spark, n) for n in ("feed", "totals", "totals-check"))
     rows = cut_lineage(t.events.select("event_id", "user_id", "ts", "value"))
+    span = rows.agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
     for half in (0, 1):
-        for k in range(2 * half, 2 * half + 2):
-            rows.where(F.col("event_id") * 7 % 4 == k).coalesce(1).write.mode("append").parquet(feed)
-        stream = streams.file_stream(t.spark, feed, rows.schema, files_per_batch=1)
-        totals = streams.daily_totals_stream(stream, "user_id", "ts", ["value"], delay="400 days")
+        files = _in_files(rows, [F.col("event_id") * 7 % 4 == k for k in range(2 * half, 2 * half + 2)], feed)
+        stream = streams.file_stream(t.spark, feed, rows.schema, files_per_batch=max(1, files // (1 + 2 * half)))
+        totals = streams.daily_totals_stream(stream, "user_id", "ts", ["value"], delay=f"{span + 2} days")
         streams.run_to_end(streams.run_upsert(totals, out, check, ["user_id", "date"], ["date"]))
     return rounded(t.spark.read.parquet(out).select("user_id", F.col("date").cast("string").alias("date"), "denom", "value_num"))
+
+
+@query("stream_late_repair", f"SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS denom, {r('sum(value)', 'value_num')} FROM events GROUP BY ALL")
+def _stream_late_repair(t) -> DataFrame:
+    """A tenth of the rows comes after all others, far behind the watermark: the stream drops them, the days are summed anew."""
+    feed, out, late = (shared_folder(t.spark, n) for n in ("feed", "totals", "late"))
+    rows = cut_lineage(t.events.select("event_id", "user_id", "ts", "value"))
+    middle = rows.agg((F.expr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)"))).first()[0] or 0
+    is_late, first = F.col("event_id") % 10 == 0, F.unix_micros(F.col("ts").cast("timestamp")) <= middle
+    files = _in_files(rows, [first & ~is_late, ~first & ~is_late, is_late], feed)
+    stream = streams.file_stream(t.spark, feed, rows.schema, files_per_batch=max(1, files))
+    totals = streams.daily_totals_stream(stream, "user_id", "ts", ["value"], delay="1 day")
+    streams.run_to_end(streams.run_upsert(totals, out, shared_folder(t.spark, "totals-check"), ["user_id", "date"], ["date"]))
+    streams.run_to_end(streams.late_rows_stream(stream, "ts", 86400, late, shared_folder(t.spark, "late-check")))
+    raw = t.spark.read.parquet(feed)
+    streams.repair_days(raw, writers.read_if_exists(t.spark, f"{late}/rows"), out, "user_id", "ts", ["value"])
+    return rounded(t.spark.read.parquet(out).select("user_id", F.col("date").cast("string").alias("date"), "denom", "value_num"))
+
+
+@query("stream_bucket_upsert", "SELECT user_id, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
+def _stream_bucket_upsert(t) -> DataFrame:
+    """Last event of every user over several micro-batches, in a table laid out by hash of the user."""
+    feed, out = shared_folder(t.spark, "feed"), shared_folder(t.spark, "buckets")
+    rows = t.events.select("user_id", "ts", "event_id")
+    files = _in_files(rows, [F.col("event_id") % 4 == k for k in range(4)], feed)
+    buckets = max(16, streams.bucket_count(t.events.select("user_id").distinct().count()))
+    stream = streams.file_stream(t.spark, feed, rows.schema, files_per_batch=max(1, files)).withColumn("version", F.struct("ts", "event_id"))
+    streams.run_to_end(streams.run_bucket_upsert(stream, out, shared_folder(t.spark, "buckets-check"), ["user_id"], buckets, "append", "version"))
+    return t.spark.read.parquet(out).select("user_id", "ts", "event_id")
+
+
+@query(
+    "rolling_in_runs",
+    f"""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, year(ts) AS season, sum(value) AS v, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, CAST(day AS VARCHAR) AS day, {rs({f'value_l{k}_ratio': f'sum(v) OVER w{k} / sum(n) OVER w{k}' for k in (1, 3, 5)})}, {r('sum(v) OVER ws / sum(n) OVER ws', 'value_season_ratio')}, {r('sum(v) OVER wl / sum(n) OVER wl', 'value_lifetime_ratio')} FROM d
+WINDOW w1 AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 PRECEDING), w3 AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), w5 AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
+ ws AS (PARTITION BY user_id, season ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), wl AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def _rolling_in_runs(t) -> DataFrame:
+    """Days added in three runs, the last of them out of order; later runs start from stored state."""
+    daily = t.events.groupBy("user_id", F.to_date("ts").alias("day"), F.year("ts").alias("season")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("denom"))
+    daily = cut_lineage(daily)
+    cuts = [r_[0] for r_ in daily.agg(F.explode(F.expr("transform(percentile_approx(unix_date(day), array(0.4, 0.6, 0.8)), x -> date_from_unix_date(x))"))).collect()]
+    store = RollingStore(t.spark, shared_folder(t.spark, "rolling"), "user_id", ["value"])
+    if len(cuts) == 3:
+        day = F.col("day")
+        for run in (day <= cuts[0], (day > cuts[0]) & (day <= cuts[1]), day > cuts[2], (day > cuts[1]) & (day <= cuts[2])):
+            store.add_days(daily.where(run))
+    else:
+        store.add_days(daily)
+    out = store.features()
+    return rounded(out.select("user_id", F.col("day").cast("string").alias("day"), *[c for c in out.columns if c.endswith("_ratio")]))

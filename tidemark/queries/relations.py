@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cutoff, injuries, market, text, travel, weather
@@ -10,6 +10,7 @@ from ..operators.asof import asof_join
 from ..operators.keys import attach_totals, join_on, latest_by
 from ..plans import asof_metadata as AM
 from ..plans import features as FP
+from ..plans.incremental import SeededHistory
 from ..schema import conform, schema_summary, union_relaxed, with_defaults
 from ..session import shared_folder
 from ..sources import readers, writers
@@ -742,10 +743,25 @@ def _stream_upsert_last(t) -> DataFrame:
     "WITH v AS (SELECT user_id, ts AS vts, value AS view_value FROM events WHERE event_type = 'view') SELECT p.event_id, p.user_id, v.vts AS matched_ts, v.view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.vts",
 )
 def _stream_asof_history(t) -> DataFrame:
-    path, check = shared_folder(t.spark, "asof"), shared_folder(t.spark, "asof-check")
-    history = t.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("vts"), F.col("value").alias("view_value"))
-    purchases = _event_stream(t).where("event_type = 'purchase'").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
-    streams.run_to_end(streams.attach_history_stream(purchases, history, ["user_id"], "ts", "vts", ["view_value"], path, check, ["day"], ["event_id", "day"]))
+    """Purchases of four spans of time in four micro-batches, each against a seed and the days it spans."""
+    path, check, feed = (shared_folder(t.spark, n) for n in ("asof", "asof-check", "purchases"))
+    views = t.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("vts"), F.col("value").alias("view_value"))
+    purchases = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
+    history = SeededHistory(t.spark, shared_folder(t.spark, "views"), "user_id", "vts", ["view_value"])
+    edges = [x[0] for x in t.events.agg(F.explode(F.expr("transform(percentile_approx(unix_date(cast(ts as date)), array(0.25, 0.5, 0.75)), x -> date_from_unix_date(x))"))).collect()]
+    spans = list(zip([None, *edges], [*edges, None], strict=True))
+
+    def inside(day: str, low, high) -> Column:
+        above = F.lit(True) if low is None else F.to_date(day) > F.lit(low)
+        return above if high is None else above & (F.to_date(day) <= F.lit(high))
+
+    files = 0
+    for low, high in spans:  # the feed comes in by day; each time a seed for the next days is left
+        history.add(views.where(inside("vts", low, high)))
+        purchases.where(inside("ts", low, high)).write.mode("append").parquet(feed)
+        files = files or len(t.spark.read.parquet(feed).inputFiles())
+    stream = streams.file_stream(t.spark, feed, purchases.schema, files_per_batch=max(1, files))
+    streams.run_to_end(streams.attach_history_stream(stream, history, ["user_id"], "ts", "vts", ["view_value"], path, check, ["day"], ["event_id", "day"]))
     return t.spark.read.parquet(path).select("event_id", "user_id", "matched_ts", "view_value")
 
 

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.asof import asof_join
+from ..plans.incremental import SeededHistory
 from ..session import cut_lineage
-from ..sources.writers import upsert_partitions
+from ..sources.writers import read_if_exists, upsert_partitions, write_partitions
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -62,6 +63,79 @@ def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
     )
 
 
+#: Rows that a bucket of a hashed table should hold at most.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bucket_count(expected_rows: int, rows: int = BUCKET_ROWS) -> int:
+    """A power of two, so that a table laid out anew with twice the buckets splits each in two."""
+    return 1 << max(0, -(-expected_rows // rows) - 1).bit_length()
+
+
+def upsert_buckets(new: DataFrame, path: str, keys: Sequence[str], buckets: int, version: Sequence[Column] | None = None) -> None:
+    """Upsert into a table laid out by hash of its keys: only the buckets that ``new`` has keys in are read and written."""
+    upsert_partitions(new.withColumn("_bucket", bucket_of(keys, buckets)), path, keys, ["_bucket"], version)
+
+
+def run_bucket_upsert(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], buckets: int, mode: str = "update", version: str | None = None) -> StreamingQuery:
+    """``run_upsert`` for tables without a column to partition by: a micro-batch costs the buckets of its keys, not the table."""
+
+    def write(batch: DataFrame, _epoch: int) -> None:
+        kept = cut_lineage(batch)
+        if not kept.isEmpty():
+            upsert_buckets(kept, path, keys, buckets, [F.col(version)] if version else None)
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def late_rows_stream(events: DataFrame, ts: str, delay_seconds: float, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows that come after their day may be closed, one partition a micro-batch.
+
+    A day may be closed once the greatest time of the batches before, less the delay, has passed its end; the totals stream closes
+    it then or one batch later, so no row that it drops is missing here. The greatest times are kept beside the late rows, one row a
+    batch. A batch that runs again replaces its own partitions.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        kept = cut_lineage(batch.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))))
+        marks = read_if_exists(spark, f"{path}/marks")
+        before = None if marks is None else marks.where(F.col("batch") < epoch).agg(F.max("top")).first()[0]
+        top = kept.agg(F.max("_t")).first()[0]
+        if top is not None:
+            mark = spark.createDataFrame([(max(top, before or top), epoch)], "top bigint, batch bigint")
+            write_partitions(mark, f"{path}/marks", ["batch"])
+        if before is not None:
+            closes = F.unix_micros((F.to_date(ts) + F.expr("INTERVAL 1 DAY")).cast("timestamp"))
+            late = kept.where(closes <= before - int(delay_seconds * 1e6)).drop("_t").withColumn("batch", F.lit(epoch).cast("bigint"))
+            write_partitions(late, f"{path}/rows", ["batch"])
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def repair_days(raw: DataFrame, late: DataFrame | None, path: str, entity: str, ts: str, stats: Sequence[str]) -> None:
+    """Sum the days that late rows fall on anew from the raw feed and replace their partitions.
+
+    The feed is read between the first and the last such day only. It does no harm to name a day that lost no row, so ``late`` may
+    hold more rows than the totals stream dropped, and a repair may run again.
+    """
+    if late is None:
+        return
+    days = cut_lineage(late.select(F.to_date(ts).alias("date")).distinct())
+    span = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    if span["a"] is None:
+        return
+    kind = raw.schema[ts].dataType
+    after = F.date_add(F.lit(span["b"]), 1).cast(kind)
+    rows = raw.where((F.col(ts) >= F.lit(span["a"]).cast(kind)) & (F.col(ts) < after)).withColumn("date", F.to_date(ts)).join(days, "date", "left_semi")
+    totals = rows.groupBy("date", entity).agg(*[F.sum(F.coalesce(F.col(s), F.lit(0))).alias(f"{s}_num") for s in stats], F.count(F.lit(1)).alias("denom"))
+    write_partitions(totals, path, ["date"])
+
+
 def first_version_stream(feed: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     """Keep the first row of each key that arrives within the watermark."""
     stamped = feed.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", delay)
@@ -90,16 +164,23 @@ def known_before_stream(events: DataFrame, feed: DataFrame, key: str, event_ts:
 
 
 def attach_history_stream(
-    events: DataFrame, history: DataFrame, on: Sequence[str], event_ts: str, history_ts: str, columns: Sequence[str],
+    events: DataFrame, history: DataFrame | SeededHistory, on: Sequence[str], event_ts: str, history_ts: str, columns: Sequence[str],
     path: str, checkpoint: str, by: Sequence[str], keys: Sequence[str],
 ) -> StreamingQuery:
-    """Live as-of: each micro-batch is matched against the stored history with the batch operator."""
+    """Live as-of: each micro-batch is matched against the stored history with the batch operator.
+
+    A ``SeededHistory`` is read from the seed before the batch's first day; a plain frame is read whole.
+    """
 
     def write(batch: DataFrame, _epoch: int) -> None:
         kept = cut_lineage(batch)
-        if not kept.isEmpty():
+        if kept.isEmpty():
+            return
+        if isinstance(history, SeededHistory):
+            matched = history.attach(kept, event_ts)
+        else:
             matched = asof_join(kept, history, list(on), event_ts, history_ts, columns, matched_ts="matched_ts")
-            upsert_partitions(matched, path, keys, by)
+        upsert_partitions(matched, path, keys, by)
 
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
