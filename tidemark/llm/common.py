@@ -7,24 +7,30 @@ import os
 import tempfile
 import zipfile
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "may_be_in", "shared_folder", "ship", "text_crc32", "without_ids", "word_count"]
+__all__ = ["cut_lineage", "shared_folder", "ship", "text_crc32", "unused", "with_maybe", "without_ids", "word_count"]
 
 #: Fixed pattern of the word rule of the size and shingle contracts.
 SPACED_WORDS = r"[^\x20\x09-\x0D]+"
 #: Most bits of a bitmap of hashed values.
 BITMAP_BITS = 1 << 26
+#: Most bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor, once per application."""
+    """Make this package importable in the Python workers of every executor, once per application.
+
+    Arrow batches of the session get at most ``BATCH_BYTES``, unless it has a smaller bound: texts come and go in buffers of
+    both processes, which by default hold ten thousand rows or 64 MB.
+    """
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -52,28 +58,34 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def may_be_in(value: Column, asked: Column, held: DataFrame) -> Column:
-    """Whether a value may be among ``asked`` of ``held``, by a bitmap of hashes; never false for one that is.
+def with_maybe(rows: DataFrame, value: Column, held: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a flag ``name``: whether ``value`` may be in the one column of ``held``; never false for one that is.
 
-    It goes before an exact join, so that few wide rows are shuffled. The bitmap has ``BITMAP_BITS`` bits at most, a bounded
-    size for driver and tasks; if it gets full it lets more pass. ``held`` is read twice.
+    It goes before an exact join, so that few wide rows are shuffled. The test is a bitmap of hashes as a broadcast table of 64-bit
+    words, joined on the place of the word, inside the JVM. The bitmap has ``BITMAP_BITS`` bits at most (a million words), a bounded
+    size for driver and executors; if it gets full it lets more pass. ``held`` is read twice.
     """
     size = 1 << min(BITMAP_BITS.bit_length() - 1, max(10, (16 * held.count()).bit_length()))
-    place = held.select(F.pmod(F.xxhash64(asked), F.lit(size)).alias("place"))
-    words = place.groupBy(F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(size // 64, np.int64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    at = held.select(F.pmod(F.xxhash64(held.columns[0]), F.lit(size)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias(f"{name}_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias(f"{name}_bits"))
+    place = F.pmod(F.xxhash64(value), F.lit(size))
+    marked = rows.withColumn(f"{name}_at", place)
+    marked = marked.join(F.broadcast(words), F.shiftright(f"{name}_at", 6) == F.col(f"{name}_word"), "left")
+    bit = F.expr(f"shiftright({name}_bits, cast({name}_at % 64 as int)) & 1")
+    return marked.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(f"{name}_at", f"{name}_word", f"{name}_bits")
 
-    @F.arrow_udf("boolean")
-    def told(places: pa.Array) -> pa.Array:
-        at = places.to_numpy(zero_copy_only=False)
-        return pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return told(F.pmod(F.xxhash64(value), F.lit(size)))
+def unused(name: str, rows: DataFrame) -> str:
+    """A column name that ``rows`` has not got, nor one that begins with it."""
+    while any(c.startswith(name) for c in rows.columns):
+        name += "_"
+    return name
 
 
 def without_ids(rows: DataFrame, name: Column, dropped: DataFrame) -> DataFrame:
     """The rows whose ``name`` is not in the one column of ``dropped``; only rows that may be are shuffled."""
-    dropped = cut_lineage(dropped.toDF("_dropped"))
-    maybe = F.coalesce(may_be_in(name, F.col("_dropped"), dropped), F.lit(False))
-    return rows.where(~maybe).unionAll(rows.where(maybe).join(dropped, name == F.col("_dropped"), "left_anti"))
+    held, flag = unused("_dropped", rows), unused("_maybe", rows)
+    dropped = cut_lineage(dropped.toDF(held))
+    marked = with_maybe(rows, name, dropped, flag)
+    kept = marked.where(~F.col(flag)).drop(flag)
+    return kept.unionAll(marked.where(flag).drop(flag).join(dropped, name == F.col(held), "left_anti"))

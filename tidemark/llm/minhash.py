@@ -37,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, may_be_in, ship, without_ids
+from tidemark.llm.common import cut_lineage, ship, unused, with_maybe, without_ids
 from tidemark.llm.components import connected_components
 from tidemark.llm.packed import SPACED, chunks, mix, ragged, text_buffer, word_hashes
+from tidemark.operators.slices import lookup_join
 
 BANDS, ROWS = 32, 4
 AGREE = 84
@@ -47,6 +48,8 @@ AGREE = 84
 PARITY, SKETCHED = 2048, 1536
 #: Shingles handled at once while signatures are made, so that the arrays stay in a core's cache.
 TILE = 1 << 15
+#: Pairs of one class that are verified together.
+TOGETHER = 256
 
 
 def shingle_sets(column: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +152,7 @@ def _described(size: int, kind: str):  # noqa: ANN202
         for table in chunks(batches):
             values, offsets = shingle_sets(table["text"], size)
             n = len(offsets) - 1
-            # Sums of two mixes stand for the whole set.
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(salt)))]) for salt in (1, 2)]
-            f1, f2 = ((s[offsets[1:]] - s[offsets[:-1]]).astype(np.int64) for s in sums)
+            f1, f2 = (_fingerprints(values, offsets, salt) for salt in (1, 2))
             signature = signatures(values, offsets)
             bands = _band_keys(signature).astype(np.int64)
             bits = np.concatenate([_two_bits(signature), parity_sketches(values, offsets)], axis=1)
@@ -182,12 +183,43 @@ def _may_link(percent: int) -> Column:
     return (least * 100 >= most * percent) & (signature <= BANDS * ROWS - AGREE) & sketch
 
 
+def _fingerprints(values: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray:
+    """Sum of a mix of every shingle of each set; two such sums stand for the whole set."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values + np.uint64(salt)))])
+    return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.int64)
+
+
+def _texts(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """``name, text`` of the classes in ``asked(name)``: a class is named by its least id and the fingerprint of its set."""
+    ids = cut_lineage(asked.select("name.id").distinct())
+    held = with_maybe(docs, F.col("doc_id"), ids, "maybe").where("maybe").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in chunks(batches):
+            f = _fingerprints(*shingle_sets(table["text"], size), 1)
+            yield from pa.table({"id": table["doc_id"], "f": pa.array(f), "text": table["text"]}).to_batches()
+
+    held = held.select("doc_id", "text").mapInArrow(named, f"id {kind}, f bigint, text string")
+    held = held.groupBy("id", "f").agg(F.first("text").alias("text"))
+    return asked.join(held.select(F.struct("id", "f").alias("name"), "text"), "name")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold."""
-    asked = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct()
-    asked = cut_lineage(asked)
-    texts = docs.where(may_be_in(F.col("doc_id"), asked["a"], asked)).join(asked, F.col("doc_id") == asked["a"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs ``(a, b)`` of class names whose full sets reach the threshold.
+
+    A class in many pairs has its text copied for every ``TOGETHER`` of them, so that no task gets all pairs of one head.
+    """
+    counts = pairs.select(F.col("a").alias("name")).unionAll(pairs.select("b")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts.select("name", F.ceil(F.col("n") / TOGETHER).alias("salts")))
+    texts = cut_lineage(_texts(docs, counts, size))
+    rows = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        rows = lookup_join(rows, counts.select(F.col("name").alias(side), "salts"), side)
+        rows = rows.withColumn(f"{side}_salt", F.pmod(F.xxhash64(other), "salts")).drop("salts")
+    for side in ("a", "b"):
+        held = texts.select(F.col("name").alias(side), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias(f"{side}_salt"), F.col("text").alias(f"t{side}"))
+        rows = rows.join(held, [side, f"{side}_salt"])
     kind = pairs.schema["a"].dataType.simpleString()
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +239,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return rows.select("a", "b", "ta", "tb").mapInArrow(checked, f"a {kind}, b {kind}")
 
 
+def _same_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges from ids on rows with several sets to the names of their classes."""
+    again = known.groupBy("doc_id").agg((F.min("f1") != F.max("f1")).alias("several")).where("several").select("doc_id")
+    held = known.select("doc_id", "f1", "f2", "n").join(again, "doc_id", "left_semi")
+    edges = held.join(classes.select("f1", "f2", "n", "least"), ["f1", "f2", "n"]).where("doc_id <> least")
+    return edges.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document: links are Jaccard similarities of ``percent`` or more."""
     ship(docs.sparkSession)
@@ -214,7 +254,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
     described, schema = _described(size, narrow.schema["doc_id"].dataType.simpleString())
     rows = cut_lineage(narrow.mapInArrow(described, schema))
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = cut_lineage(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
+    classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    # An id may stand on rows with several texts, so a class is named by its least id and its fingerprint.
+    classes = cut_lineage(classes.withColumn("id", F.struct(F.col("least").alias("id"), F.col("f1").alias("f"))))
     members = classes.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
     members = cut_lineage(members.join(buckets, ["band", "key"]))
@@ -232,11 +274,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
     stars = stars.join(fact("l_"), F.col("id") == F.col("l_id")).join(fact("r_"), F.col("head.id") == F.col("r_id")).where(_may_link(percent))
     stars = stars.groupBy("id").agg(F.max("head").alias("head")).select("id", F.col("head.id").alias("head"))
     pairs = cut_lineage(stars.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct())
-    links = cut_lineage(_verified(pairs, narrow, size, percent))
-    joined = cut_lineage(connected_components(links))
+    links = _verified(pairs, narrow, size, percent).select("a.id", "b.id").toDF("a", "b")
+    joined = cut_lineage(connected_components(cut_lineage(links.unionAll(_same_ids(known, classes)))))
     # Round two: in buckets with several components, members outside the head's against the other components.
-    label = F.coalesce("component", "id").alias("component")
-    placed = members.join(joined, F.col("id") == F.col("node"), "left").select("band", "key", "id", label, (F.col("id") == F.col("head.id")).alias("is_head"))
+    placed = members.join(joined, F.col("id.id") == F.col("node"), "left").select("band", "key", "id", F.coalesce("component", "id.id").alias("component"), (F.col("id") == F.col("head.id")).alias("is_head"))
     several = placed.groupBy("band", "key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.max(F.when(F.col("is_head"), F.col("component"))).alias("main"))
     several = cut_lineage(placed.drop("is_head").join(several.where("first < last").drop("first", "last"), ["band", "key"]))
     sides = several.join(fact("l_"), F.col("id") == F.col("l_id")).select("band", "key", "l_id", "l_n", "l_bits", F.col("component").alias("l_component"), (F.col("component") == F.col("main")).alias("in_main"))
@@ -248,8 +289,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, text:
     late = cut_lineage(_verified(more, narrow, size, percent))
     if late.limit(1).count():
         tree = joined.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        joined = cut_lineage(connected_components(tree.unionAll(late)))
-    named = classes.select("f1", "f2", "n", "id").join(joined, F.col("id") == F.col("node"), "left").select("f1", "f2", "n", label)
+        joined = cut_lineage(connected_components(tree.unionAll(late.select("a.id", "b.id"))))
+    named = classes.select("f1", "f2", "n", "least").join(joined, F.col("least") == F.col("node"), "left").select("f1", "f2", "n", F.coalesce("component", "least").alias("component"))
     out = rows.join(named, ["f1", "f2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -263,6 +304,7 @@ def without_near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80
     out = without_ids(docs, F.col(doc_id), by_id.where("not stays").select("doc_id"))
     again = by_id.where("stays").select("doc_id")
     if again.limit(1).count():
-        maybe = F.coalesce(may_be_in(F.col(doc_id), F.col("doc_id"), again), F.lit(False))
-        out = out.where(~maybe).unionAll(out.where(maybe).dropDuplicates([doc_id, text]))
+        flag = unused("_maybe", out)
+        marked = with_maybe(out, F.col(doc_id), again, flag)
+        out = marked.where(~F.col(flag)).drop(flag).unionAll(marked.where(flag).drop(flag).dropDuplicates([doc_id, text]))
     return out
