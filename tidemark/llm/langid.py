@@ -218,7 +218,9 @@ def training_words(labelled: DataFrame, docs_per_language: int, words_per_doc: i
     words = F.split(F.col("text"), r"[\x20\x09-\x0D]+")
     spots = F.transform(F.sequence(F.lit(1), F.lit(words_per_doc)), lambda k: F.element_at(F.col("_words"), (F.pmod(F.xxhash64("_hash", k), F.size("_words")) + 1).cast("int")))
     rows = first.withColumn("_words", F.filter(words, lambda w: w != "")).where(F.size("_words") > 0).select("lang", F.explode(spots).alias("word"), "_hash")
-    rows = rows.select("lang", F.substring("word", 1, WINDOW).alias("word")).orderBy("lang", "word").collect()
+    # Of a word beyond a window, one window at a random place is learnt.
+    begin = 1 + F.pmod(F.xxhash64("_hash", "word"), F.greatest(F.length("word") - WINDOW + 1, F.lit(1))).cast("int")
+    rows = rows.select("lang", F.substring("word", begin, F.lit(WINDOW)).alias("word")).orderBy("lang", "word").collect()
     return [r["word"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -251,9 +253,13 @@ def predict_languages(docs: DataFrame, model: LanguageModel, *, text: str = "tex
     return narrow.mapInArrow(predicted, schema)
 
 
-def in_known_language(docs: DataFrame, model: LanguageModel, least: float, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, as they are, whose text the model gives a language with ``least`` probability or more."""
+def in_known_language(docs: DataFrame, model: LanguageModel, margin: float, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, as they are, whose text has a language: its probability is at least chance, one over the number of
+    learnt languages, and ``margin`` of what is left to 1. Where fewer than two languages are learnt, all texts with letters stay."""
+    n = len(model.languages)
+    if n < 2:
+        return docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     told = predict_languages(docs, model, text=text, doc_id=doc_id, keep=(row,))
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= 1 / n + margin * (1 - 1 / n)))
     return kept.select([F.col("_row").getField(c).alias(c) for c in docs.columns])
