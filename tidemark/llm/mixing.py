@@ -8,7 +8,7 @@ the sample has a fixed size (in words, to within half a document) and unequal in
 
 How it scales: the words are counted once and only narrow rows are written for the later steps. The place where a
 source's ranking is cut is found in two levels (sums per rank bin, then the rows of the one bin that the cut falls in), so
-a source that holds a third of all rows is never ranked in one task. The decision for a row then needs only its source's
+a source that holds a third of all rows is never ranked in one task; rows without a rest, as all of a capped source, are not ranked. The decision for a row then needs only its source's
 cut, a small table, so documents are never joined back and never shuffled.
 
 Defined results: a null text has size 0; null is a source of its own, last in order; documents of size 0 take nothing;
@@ -97,8 +97,9 @@ def mix_plan(rows: DataFrame, weights: Sequence[float], share: float, max_copies
     even = F.when(F.col("_rank") == float("inf"), 1.0).otherwise(F.col("_rank") * odds / (1 + F.col("_rank") * odds))
     bins = F.ceil(F.col("_rows") / float(BIN_ROWS))
     ranked = ranked.withColumn("_bin", F.least(F.floor(even * bins), bins - 1).cast("long"))
-    # A document can be taken once more only below max_copies.
-    ranked = ranked.withColumn("_more", F.when(F.col("_sure") < max_copies, F.col("size")).otherwise(0))
+    # A document can be taken once more only below max_copies, and only if it has a rest: those with one hold all wanted words.
+    can = (F.col("_sure") < max_copies) & (F.col("_rank") < float("inf"))
+    ranked = ranked.withColumn("_more", F.when(can, F.col("size")).otherwise(0))
     cells = ranked.groupBy("source", "_bin").agg(F.sum("_more").alias("_more"), F.sum(F.col("size") * F.col("_sure")).alias("_sure"), F.first("target").alias("target"))
     whole = Window.partitionBy("source")
     cells = cells.withColumn("_wanted", F.col("target") - F.sum("_sure").over(whole))
@@ -107,7 +108,8 @@ def mix_plan(rows: DataFrame, weights: Sequence[float], share: float, max_copies
     reach = F.min(F.when(F.col("_upto") >= F.col("_wanted"), F.col("_bin"))).over(whole)
     cells = cells.withColumn("_cut", F.coalesce(reach, F.max("_bin").over(whole))).where(F.col("_bin") == F.col("_cut"))
     cells = cells.select(F.col("source").alias("_cs"), F.col("_cut"), (F.col("_wanted") - (F.col("_upto") - F.col("_more"))).alias("_want"))
-    inside = ranked.join(cells, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("_bin") == F.col("_cut")))
+    # Sources taken whole, capped ones too, have no rows to rank.
+    inside = ranked.where("_more > 0").join(cells, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("_bin") == F.col("_cut")))
     inside = inside.groupBy("source", "_cut", "_rank", "doc_id", "_crc").agg(F.sum("_more").alias("_more"), F.first("_want").alias("_want"))
     rows_before = Window.partitionBy("source", "_cut").orderBy("_rank", "doc_id", "_crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_upto", F.sum("_more").over(rows_before))
