@@ -17,15 +17,15 @@ from tidemark.llm.minhash import without_near_duplicates
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.sharding import shard_documents
 
-#: A text stays if its best language has this mean probability over all its bytes.
-LEAST_LANGUAGE = 0.3
+#: A text stays if its best language's mean probability over all its bytes is this much of the way from chance to certainty.
+LANGUAGE_MARGIN = 1 / 15
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts of a known language: without letters, or with no language ahead of the others, they go."""
     learnt = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     model = train_language_model(learnt.select("doc_id", "text", "lang"))
-    return in_known_language(docs, model, LEAST_LANGUAGE)
+    return in_known_language(docs, model, LANGUAGE_MARGIN)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
