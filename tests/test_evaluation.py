@@ -312,3 +312,15 @@ def test_coverage_share(spark):
     known = A.knownness(df, {"injury": "a", "odds": "b"}, "cut")
     got = {r["feed"]: (r["share"], r["ok"]) for r in rows(coverage_ok(known, {"injury": 0.95, "odds": 0.9}))}
     assert got["injury"] == (1.0, 1) and got["odds"] == (pytest.approx(2 / 3), 0)
+
+
+def test_chi_square_tail_of_many_degrees(spark):
+    """Constant memory for any number of degrees of freedom; both sides of the switch agree."""
+    near = spark.createDataFrame([(1000.0 + d, 1000 + k) for d in (-40.0, 0.0, 30.0, 90.0) for k in (0, 1)], "x double, d int")
+    found = {(r["x"], r["d"]): r["p"] for r in rows(near.select("x", "d", A.chi_square_tail(F.col("x"), F.col("d")).alias("p")))}
+    for x in {x for x, _ in found}:
+        # One more degree moves the tail by the density, about 0.009 at most.
+        assert 0 <= found[x, 1001] - found[x, 1000] < 0.0095
+    wide = spark.createDataFrame([(100000.0, 100000), (100447.0, 100000), (101000.0, 100000)], "x double, d int")
+    got = [r["p"] for r in rows(wide.select(A.chi_square_tail(F.col("x"), F.col("d")).alias("p"), "x"), "x")]
+    assert got[0] == pytest.approx(0.49941, abs=1e-4) and got[1] == pytest.approx(0.1588, abs=5e-4) and got[2] == pytest.approx(0.01287, abs=2e-4)

@@ -254,3 +254,22 @@ def test_targets_from_other_frames(spark):
     assert [(r["k"], r["n"]) for r in rows(shifted_target(df, ["k"], ["t"], "v", -1, "n"), "k", "t")] == [("a", 6)]
     stats = spark.createDataFrame([("a", 1, 0.5)], "k string, t int, y double")
     assert [r["y"] for r in rows(with_labels_joined(df, stats, ["k", "t"], "y"), "k", "t")] == [0.5, None, None]
+
+
+def test_consensus_of_small_and_of_hot_events_agree(spark, monkeypatch):
+    """One aggregation for small groups, ranked slices beyond the bound: the same figures."""
+    from tidemark.functions import market
+
+    quotes = []
+    for game in range(4):
+        for book in range(5):
+            for outcome, price in (("H", -110 - book), ("A", 100 + 5 * book), ("Over", -105), ("Under", None)):
+                quotes += [(game, "H", "A", f"b{book}", m, outcome, None if price is None else float(price + game), None if m == "h2h" else float(book % 3)) for m in ("h2h", "spreads", "totals")]
+    quotes += [(9, "H", "A", None, "h2h", "H", -120.0, None), (9, "H", "A", None, "h2h", "H", None, None)]
+    df = spark.createDataFrame(quotes, "game int, home_team string, away_team string, book string, market string, outcome string, price double, point double")
+    found = []
+    for bound in (10_000, 1):
+        monkeypatch.setattr(market, "SMALL_GROUP", bound)
+        out = market.consensus(df, ["game", "home_team", "away_team"])
+        found.append([{k: round(v, 9) if isinstance(v, float) else v for k, v in r.items()} for r in rows(out.select(sorted(out.columns)), "game")])
+    assert found[0] == found[1] and len(found[0]) == 5

@@ -331,8 +331,16 @@ def ks_distance(df: DataFrame, value: str, label: str) -> DataFrame:
     return out.withColumn("p_value", F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0))))
 
 
-def chi_square_tail(x: Column, dof: Column) -> Column:
-    """Upper tail of the chi-square distribution for whole degrees of freedom (finite series)."""
+#: Degrees of freedom up to which the tail is a finite series; beyond, the cube root of ``x / dof`` is normal to 1e-6.
+SERIES_DOF = 1000
+
+
+def chi_square_tail(x: Column, degrees: Column) -> Column:
+    """Upper tail of the chi-square distribution for whole degrees of freedom, in memory that does not grow with them."""
+    dof = F.least(degrees, F.lit(SERIES_DOF))
+    spread = 2.0 / (9.0 * degrees)
+    z = (F.cbrt(x / degrees) - (1.0 - spread)) / F.sqrt(spread)
+    wide = 0.5 * (1.0 - erf(z / 2.0**0.5))
     h = x / 2
     even = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.floor(dof / 2).cast("int") - 1, F.lit(1))), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
@@ -344,7 +352,8 @@ def chi_square_tail(x: Column, dof: Column) -> Column:
         lambda acc, i: F.struct((acc["t"] * h / (i - 0.5)).alias("t"), (acc["s"] + F.when(dof >= 5, acc["t"] * h / (i - 0.5)).otherwise(0.0)).alias("s")),
     )["s"]
     odd = 1.0 - erf(F.sqrt(h)) + F.when(dof >= 3, odd_sum * F.exp(-h)).otherwise(0.0)
-    return F.greatest(F.least(F.when(dof % 2 == 0, even).otherwise(odd), F.lit(1.0)), F.lit(0.0))
+    tail = F.when(degrees > SERIES_DOF, wide).when(dof % 2 == 0, even).otherwise(odd)
+    return F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0))
 
 
 def crosstab_statistics(df: DataFrame, a: str, b: str, min_rows: int = 0, corrected: bool = False) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..evaluation import calibration
-from ..functions import expectations, labels, plays, text, travel
+from ..evaluation import calibration, splits
+from ..functions import expectations, labels, plays, text, travel, usage
 from ..operators.keys import join_on
 from ..plans import features as FP
 from ..plans.incremental import RollingStore
@@ -247,6 +247,56 @@ def _matrix_by_horizon(t) -> DataFrame:
     return t.spark.read.parquet(path).withColumn("decision_horizon_hours", F.col("decision_horizon_hours").cast("double"))
 
 
+@query(
+    "group_labels",
+    "WITH g AS (SELECT *, year(o_orderdate) || '-' || month(o_orderdate) AS grp, CAST(o_orderdate AS DATE) AS day FROM orders), f AS (SELECT grp, min(day) AS d FROM g GROUP BY 1), e AS (SELECT greatest(1, ceil(count(*) / count(DISTINCT d) * 10)) AS n FROM f) "
+    "SELECT o_orderkey, grp AS by_week, coalesce(o_orderpriority, '__missing__') AS by_column, strftime(day, '%Y-%m-%d') AS by_day, CAST(n AS INT) AS embargo_groups FROM g, e",
+)
+def _group_labels(t) -> DataFrame:
+    """Fold groups by season and week, by a column and by day, and an embargo of ten days in groups."""
+    rows = t.orders.select("o_orderkey", "o_orderpriority", F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), F.to_date("o_orderdate").alias("day"))
+    rows = rows.withColumn("by_week", splits.group_label(rows)).withColumn("by_column", splits.group_label(rows, "o_orderpriority"))
+    rows = rows.withColumn("by_day", splits.group_label(rows.drop("season", "week"), day="day"))
+    return rows.select("o_orderkey", "by_week", "by_column", "by_day", F.lit(splits.embargo_to_groups(rows, "by_week", "day", 10)).alias("embargo_groups"))
+
+
+@query(
+    "local_hours",
+    "WITH z AS (SELECT *, CASE o_custkey % 3 WHEN 0 THEN 9.0 WHEN 1 THEN 5.5 ELSE -7.0 END AS off, o_orderdate + o_orderkey % 24 * INTERVAL '1' HOUR AS moment FROM orders), l AS (SELECT *, moment + CAST(off * 60 AS INT) * INTERVAL '1' MINUTE AS loc FROM z) "
+    f"SELECT o_orderkey, {rs({'offset_hours': 'off', 'local_hour': 'hour(loc) + minute(loc) / 60'})} FROM l",
+)
+def _local_hours(t) -> DataFrame:
+    zone = F.expr("CASE o_custkey % 3 WHEN 0 THEN 'Asia/Tokyo' WHEN 1 THEN 'Asia/Kolkata' ELSE 'America/Phoenix' END")
+    at = F.expr("o_orderdate + o_orderkey % 24 * INTERVAL '1' HOUR")
+    rows = t.orders.select("o_orderkey", zone.alias("zone"), at.alias("at"))
+    return rounded(rows.select("o_orderkey", travel.tz_offset_hours(F.col("zone"), F.col("at")).alias("offset_hours"), travel.local_hour(F.col("zone"), F.col("at")).cast("double").alias("local_hour")))
+
+
+@query(
+    "gap_fillers",
+    f"SELECT p_partkey AS player_id, {rs({'vacated_targets_l3': 'CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size END', 'vacated_carries_l3': '0', 'practice_trend_up': 'coalesce(CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey % 2 END, 0)', 'practice_trend_down': '0'})} FROM part",
+)
+def _gap_fillers(t) -> DataFrame:
+    rows = t.part.selectExpr("p_partkey AS player_id", "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS vacated_targets_l3", "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey % 2 AS DOUBLE) END AS practice_trend_up")
+    out = usage.with_gap_fillers(rows)
+    return rounded(out.select("player_id", *[F.col(c).cast("double").alias(c) for c in ("vacated_targets_l3", "vacated_carries_l3", "practice_trend_up", "practice_trend_down")]))
+
+
+@query(
+    "context_refresh",
+    f"""WITH {player_games_sql('season', 'week', 'team', 'opponent', 'player_id', 'game_date', 'pass_attempt', 'carry', 'target')}, k AS (SELECT * FROM pg WHERE game_date <= DATE '1999-06-30'),
+w AS (SELECT season, week, team, max(game_date) AS d, sum(pass_attempt) AS a, sum(carry) AS c, sum(target) AS tg FROM k GROUP BY ALL)
+SELECT season, week, team, {rs({'pass_rate_l3': 'coalesce(avg(CASE WHEN a + c > 0 THEN a / (a + c) ELSE 0 END) OVER x, 0)', 'targets_prev': 'coalesce(lag(tg) OVER (PARTITION BY season, team ORDER BY d), 0)'})} FROM w WINDOW x AS (PARTITION BY season, team ORDER BY d ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""",
+)
+def _context_refresh(t) -> DataFrame:
+    """Contexts of all games up to a date, the team's own side."""
+    rows = player_games(t.lineitem, "season", "week", "team", "opponent", "player_id", "game_date", "pass_attempt", "carry", "target")
+    out = FP.refresh_contexts(rows, "1999-06-30")
+    sides = rows.where(F.col("game_date") <= F.lit("1999-06-30").cast("date")).groupBy("season", "week", "team").agg(F.max("game_date").alias("game_date"))
+    out = out.join(sides, ["season", "week", "team", "game_date"])
+    return rounded(out.select("season", "week", "team", F.col("team_ctx_pass_rate_l3").alias("pass_rate_l3"), F.col("team_ctx_targets_prev").alias("targets_prev")))
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 

@@ -75,17 +75,16 @@ def _team_rows(t) -> DataFrame:
 @query(
     "zero_usage_rows",
     f"""WITH {player_games_sql('season', 'week', 'team', 'player_id', 'game_id', 'target', 'carry')}, u AS (SELECT season, week, team, player_id, min(game_id) AS game_id, CAST(sum(target) AS BIGINT) AS target, CAST(sum(carry) AS BIGINT) AS carry FROM pg GROUP BY ALL),
-ro AS (SELECT w.season, w.week, pid % 32 AS team, pid AS player_id FROM (SELECT DISTINCT season, week FROM u) w, range(200) b(pid)),
+ro AS (SELECT DISTINCT year(o_orderdate) AS season, month(o_orderdate) AS week, o_custkey % 32 AS team, o_custkey AS player_id FROM orders),
 sc AS (SELECT season, week, team, min(game_id) AS game_id FROM u GROUP BY ALL)
 SELECT season, week, team, player_id, game_id, target, carry FROM u UNION ALL
 SELECT ro.season, ro.week, ro.team, ro.player_id, sc.game_id, 0, 0 FROM ro JOIN sc USING (season, week, team) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.season = ro.season AND u.week = ro.week AND u.team = ro.team AND u.player_id = ro.player_id)""",
 )
 def _zero_usage(t) -> DataFrame:
-    """A roster of 200 players, 50 of them without any play, against the whole usage table."""
+    """The customers of every month as its roster, against the whole usage table."""
     pg = player_games(t.lineitem, "season", "week", "team", "player_id", "game_id", "target", "carry")
     u = pg.groupBy("season", "week", "team", "player_id").agg(F.min("game_id").alias("game_id"), F.sum("target").cast("bigint").alias("target"), F.sum("carry").cast("bigint").alias("carry"))
-    weeks = u.select("season", "week").distinct()
-    roster = weeks.withColumn("player_id", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumns({"player_id": F.col("player_id").cast("bigint"), "team": (F.col("player_id") % 32).cast("bigint")})
+    roster = t.orders.selectExpr("year(o_orderdate) AS season", "month(o_orderdate) AS week", "o_custkey % 32 AS team", "o_custkey AS player_id").distinct()
     schedule = u.groupBy("season", "week", "team").agg(F.min("game_id").alias("game_id")).select("season", "week", "game_id", F.col("team").alias("home_team"), F.lit(None).cast("bigint").alias("away_team"))
     return FP.zero_usage_rows(u, roster, schedule, ["target", "carry"]).select("season", "week", "team", "player_id", "game_id", "target", "carry")
 
@@ -186,12 +185,13 @@ def _history_fallback(t) -> DataFrame:
 
 @query(
     "baseline_fallback",
-    "WITH b AS (SELECT o_custkey, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS bv FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1) "
-    "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END, bv) AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'actual' WHEN bv IS NOT NULL THEN 'baseline' ELSE 'none' END AS price_source FROM orders LEFT JOIN b USING (o_custkey) WHERE o_orderdate >= TIMESTAMP '2001-01-01'",
+    "WITH b AS (SELECT o_custkey, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS bv FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1) "
+    "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END, bv) AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'actual' WHEN bv IS NOT NULL THEN 'baseline' ELSE 'none' END AS price_source FROM orders LEFT JOIN b USING (o_custkey) WHERE o_orderdate >= TIMESTAMP '1998-01-01'",
 )
 def _baseline_fallback(t) -> DataFrame:
-    rows = t.orders.where("o_orderdate >= TIMESTAMP_NTZ '2001-01-01'").selectExpr("o_orderkey", "o_custkey", "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price")
-    base = t.orders.where("o_orderdate < TIMESTAMP_NTZ '1996-01-01'").select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("price"))
+    """All orders, on one side of a date or the other."""
+    rows = t.orders.where("o_orderdate >= TIMESTAMP_NTZ '1998-01-01'").selectExpr("o_orderkey", "o_custkey", "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price")
+    base = t.orders.where("o_orderdate < TIMESTAMP_NTZ '1998-01-01'").select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("price"))
     return FP.with_baseline(rows, base, "o_custkey", ["price"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "price", "price_source")
 
 
@@ -393,18 +393,18 @@ def _odds_snapshot_moves(t) -> DataFrame:
 
 @query(
     "player_price_consensus",
-    f"""WITH q AS (SELECT user_id AS g, ts, value AS price, 'Ann O''Neil-' || chr(CAST(97 + event_id % 5 AS INT)) || CASE WHEN event_id % 2 = 0 THEN ' Jr.' ELSE '' END AS nm, CASE WHEN event_id % 9 = 0 THEN 'No ' ELSE 'Yes' END AS oc, date_trunc('day', ts) AS snap FROM events),
+    f"""WITH q AS (SELECT user_id AS g, ts, value AS price, 'Ann O''Neil-' || chr(CAST(97 + event_id % 26 AS INT)) || CASE WHEN event_id % 2 = 0 THEN ' Jr.' ELSE '' END AS nm, CASE WHEN event_id % 9 = 0 THEN 'No ' ELSE 'Yes' END AS oc, date_trunc('day', ts) AS snap FROM events),
 st AS (SELECT g, max(ts) AS st FROM q GROUP BY 1), us AS (SELECT q.*, 'o''neil-' || chr(CAST(97 + ascii(substring(nm, 12, 1)) - 97 AS INT)) AS k FROM q JOIN st USING (g) WHERE epoch_us(snap) <= floor((epoch_us(st) - 900000000) / 300000000) * 300000000),
 nw AS (SELECT g, max(snap) AS mx FROM us GROUP BY 1), p AS (SELECT us.g, k, median(price) AS m FROM us JOIN nw ON us.g = nw.g AND us.snap = nw.mx WHERE lower(trim(oc)) <> 'no' GROUP BY ALL),
-pl AS (SELECT DISTINCT g, chr(CAST(97 + i AS INT)) AS c FROM q, range(5) t(i)) SELECT pl.g AS game_id, pl.c, {r('p.m', 'odds_anytime_td_price')} FROM pl LEFT JOIN p ON p.g = pl.g AND p.k = 'o''neil-' || pl.c""",
+pl AS (SELECT DISTINCT g, substring(nm, 12, 1) AS c FROM q) SELECT pl.g AS game_id, pl.c, {r('p.m', 'odds_anytime_td_price')} FROM pl LEFT JOIN p ON p.g = pl.g AND p.k = 'o''neil-' || pl.c""",
 )
 def _player_price_consensus(t) -> DataFrame:
     q = t.events.selectExpr(
-        "user_id AS game_id", "ts", "value AS price", "concat('Ann O\\'Neil-', chr(97 + event_id % 5), CASE WHEN event_id % 2 = 0 THEN ' Jr.' ELSE '' END) AS description",
+        "user_id AS game_id", "ts", "value AS price", "concat('Ann O\\'Neil-', chr(97 + event_id % 26), CASE WHEN event_id % 2 = 0 THEN ' Jr.' ELSE '' END) AS description",
         "CASE WHEN event_id % 9 = 0 THEN 'No ' ELSE 'Yes' END AS outcome", "CAST(date_trunc('day', ts) AS TIMESTAMP_NTZ) AS snapshot_ts",
     )
     q = attach_totals(q, "game_id", {"start_ts": F.max("ts")})
-    pl = q.select("game_id").distinct().withColumn("c", F.explode(F.array(*[F.lit(x) for x in "abcde"]))).withColumn("player_name", F.concat(F.lit("B. O'Neil-"), F.col("c")))
+    pl = q.select("game_id", F.substring("description", 12, 1).alias("c")).distinct().withColumn("player_name", F.concat(F.lit("B. O'Neil-"), F.col("c")))
     return rounded(market.player_consensus(q, pl).select("game_id", "c", "odds_anytime_td_price"))
 
 
