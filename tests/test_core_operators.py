@@ -231,3 +231,19 @@ def test_lookup_join_and_totals_on_hot_keys(spark, path, how):
     for key in {r[0] for r in data}:
         group = [r for r in data if r[0] == key]
         assert {totals[r[2]] for r in group} == {(len(group), round(sum(r[3] for r in group), 6))}
+
+
+def test_rows_ahead_of_hot_keys_equal_a_plain_lead(spark, hot):
+    """Look-ahead over keys that are cut into slices, with ties broken by the second column, nulls first."""
+    from pyspark.sql import Window
+
+    from tidemark.functions.expectations import shifted_target
+    from tidemark.operators.prior import later_rows
+
+    df = spark.range(600).select((F.col("id") % 5 / 4).cast("int").alias("k"), F.when(F.col("id") % 97 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 7919 % 150).cast("int"))).alias("d"), "id", (F.col("id") * 31 % 101).alias("v"))
+    w = Window.partitionBy("k").orderBy("d", "id")
+    wanted = {r["id"]: (r["a"], r["b"]) for r in df.select("id", F.lead("v", 2).over(w).alias("a"), F.sum("v").over(w.rowsBetween(1, 3)).alias("b")).collect()}
+    out = later_rows(df, "k", ["d", "id"], 3, lambda w: {"a": F.lag("v", 2).over(w), "b": F.sum("v").over(w.rowsBetween(-3, -1))})
+    assert {r["id"]: (r["a"], r["b"]) for r in out.collect()} == wanted
+    ahead = {r["id"]: r["n"] for r in shifted_target(df, ["k"], ["d", "id"], "v", -2, "n").collect()}
+    assert ahead == {i: a for i, (a, _) in wanted.items() if a is not None}

@@ -324,3 +324,21 @@ def test_chi_square_tail_of_many_degrees(spark):
     wide = spark.createDataFrame([(100000.0, 100000), (100447.0, 100000), (101000.0, 100000)], "x double, d int")
     got = [r["p"] for r in rows(wide.select(A.chi_square_tail(F.col("x"), F.col("d")).alias("p"), "x"), "x")]
     assert got[0] == pytest.approx(0.49941, abs=1e-4) and got[1] == pytest.approx(0.1588, abs=5e-4) and got[2] == pytest.approx(0.01287, abs=2e-4)
+
+
+def test_newton_fit_equals_the_likelihood_maximum(spark):
+    """Weights at which the gradient vanishes, from counts per score; a fit without rows keeps zero."""
+    import numpy as np
+
+    from tidemark.evaluation import calibration as K
+
+    rng = np.random.default_rng(3)
+    p = rng.choice(np.linspace(0.05, 0.95, 19), 3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(0.4 + 1.7 * np.log(p / (1 - p)))))).astype(int)
+    df = spark.createDataFrame(list(zip(p.tolist(), y.tolist(), strict=True)), "p double, y int")
+    features = {"_lp": lambda c: F.log(c), "_lq": lambda c: F.log(1 - c)}
+    intercept, weights = K.logistic_weights(K._weighted(df, "p", "y"), features)
+    x = np.stack([np.ones_like(p), np.log(p), np.log(1 - p)], axis=1)
+    q = 1 / (1 + np.exp(-(x @ np.array([intercept, *weights]))))
+    assert np.abs(x.T @ (y - q)).max() < 1e-5
+    assert K.logistic_weights(K._weighted(df.where("p > 2"), "p", "y"), features) == (0.0, [0.0, 0.0])

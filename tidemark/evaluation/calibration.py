@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -53,12 +54,39 @@ def fit_histogram(df: DataFrame, score: str, label: str, bins: int = 20) -> Appl
     return apply
 
 
+#: Most Newton steps of a logistic fit, and the change of a weight at which it has settled.
+STEPS, SETTLED = 25, 1e-10
+
+
+def logistic_weights(table: DataFrame, features: Mapping[str, Callable[[Column], Column]]) -> tuple[float, list[float]]:
+    """Intercept and weights by re-weighted least squares from sufficient statistics.
+
+    Rows ``_p, _y, _w`` are summed per exact score once; each step is one aggregate of the gradient and of the normal
+    equations, a handful of numbers that the driver solves.
+    """
+    sums = cut_lineage(table.groupBy("_p").agg(F.sum("_w").alias("_n"), F.sum(F.col("_y") * F.col("_w")).alias("_hits")))
+    x = [F.lit(1.0), *(f(F.col("_p")) for f in features.values())]
+    k, beta = len(x), np.zeros(len(features) + 1)
+    for _ in range(STEPS):
+        z = sum((float(b) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))
+        p = 1.0 / (1.0 + F.exp(-z))
+        rows = sums.select("_n", "_hits", p.alias("_q"), *[c.alias(f"_x{i}") for i, c in enumerate(x)])
+        slope, bend = F.col("_hits") - F.col("_n") * F.col("_q"), F.col("_n") * F.col("_q") * (1 - F.col("_q"))
+        aggs = [F.sum(slope * F.col(f"_x{i}")).alias(f"g{i}") for i in range(k)]
+        aggs += [F.sum(bend * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+        row = rows.agg(*aggs).first()
+        if row["g0"] is None:
+            break
+        bends = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        step = np.linalg.lstsq(bends + 1e-12 * np.eye(k), np.array([row[f"g{i}"] for i in range(k)]), rcond=None)[0]
+        beta = beta + np.clip(step, -8.0, 8.0)
+        if np.abs(step).max() < SETTLED:
+            break
+    return float(beta[0]), [float(b) for b in beta[1:]]
+
+
 def _logistic(df: DataFrame, score: str, label: str, features: Mapping[str, Callable[[Column], Column]]) -> Apply:
-    table = _weighted(df, score, label)
-    table = table.withColumns({n: f(F.col("_p")) for n, f in features.items()})
-    vectors = VectorAssembler(inputCols=list(features), outputCol="_x").transform(table)
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=100, tol=1e-6).fit(vectors)
-    weights, intercept = [float(c) for c in model.coefficients], float(model.intercept)
+    intercept, weights = logistic_weights(_weighted(df, score, label), features)
 
     def apply(frame: DataFrame, source: str, out: str) -> DataFrame:
         p = clip(F.col(source).cast("double"), EPS, 1 - EPS)

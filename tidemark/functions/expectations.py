@@ -411,16 +411,8 @@ def with_labels_joined(df: DataFrame, stats: DataFrame, keys: Sequence[str], col
 
 def shifted_target(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, shift: int, out: str) -> DataFrame:
     """Target from a later (negative ``shift``) or earlier row of the group; rows without one are dropped."""
-    from pyspark.sql import WindowSpec
+    from ..operators.prior import later_rows, prior_rows
 
-    from ..operators.prior import prior_rows
-
-    if shift >= 0:
-        pick = lambda w: {out: F.lag(column, shift).over(w)}
-        return prior_rows(df, list(keys), list(order), max(shift, 1), pick).where(F.col(out).isNotNull())
-
-    def ahead(w: WindowSpec) -> dict[str, Column]:
-        return {out: F.lead(column, -shift).over(w)}
-
-    # Groups are one row per week of a team, bounded by the calendar.
-    return prior_rows(df, list(keys), list(order), 1, ahead, plan=None).where(F.col(out).isNotNull())
+    step = later_rows if shift < 0 else prior_rows
+    moved = step(df, list(keys), list(order), max(abs(shift), 1), lambda w: {out: F.lag(column, abs(shift)).over(w)})
+    return moved.where(F.col(out).isNotNull())

@@ -73,10 +73,10 @@ def team_rows(schedule: DataFrame, home: str = "home_team", away: str = "away_te
     return schedule.select(*kept, F.explode(F.array(side(home, away, 1), side(away, home, 0))).alias("_s")).select(*kept, "_s.*")
 
 
-def with_sequence(df: DataFrame, team: str = "team", start: str = "start_time_utc", plan=None) -> DataFrame:
+def with_sequence(df: DataFrame, team: str = "team", start: str = "start_time_utc", plan="auto") -> DataFrame:
     """Running number, rest, travel, time-zone change, home and road runs, calendar flags.
 
-    Groups hold one row per game of a team, so the calendar bounds them.
+    ``plan=None`` says that groups are bounded, as by one row per game of a team.
     """
     base = df.withColumns(
         {

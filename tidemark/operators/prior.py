@@ -15,6 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .keys import as_list, attach_totals, join_on, nz, ratio
 from .slices import HOT, SLICE, SlicePlan, add_slices, plan_slices
@@ -82,6 +83,38 @@ def prior_rows(
     return both.withColumns(dict(build(in_slice))).where(~F.col(CONTEXT)).drop(SLICE, CONTEXT)
 
 
+def _reversed(df: DataFrame, name: str) -> Column:
+    """A numeric image of an order column that falls as it rises; NULL, first in rising order, comes last."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        value = F.unix_date(name).cast("bigint")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value = F.unix_micros(F.col(name).cast("timestamp"))
+    elif isinstance(kind, T.IntegralType):
+        value = F.col(name).cast("bigint")
+    else:
+        return F.coalesce(-F.col(name).cast("double"), F.lit(float("inf")))
+    return F.coalesce(-value, F.lit((1 << 63) - 1))
+
+
+def later_rows(
+    df: DataFrame,
+    keys: str | Sequence[str],
+    order: str | Sequence[str],
+    reach: int,
+    build: Callable[[WindowSpec], Mapping[str, Column]],
+    plan: SlicePlan | str | None = "auto",
+) -> DataFrame:
+    """Add window columns that look ahead at most ``reach`` rows.
+
+    ``build`` gets the window in falling order: ``lag`` is the next row and the frame ``-n .. -1`` the next ``n`` rows. Hot
+    keys are cut along the falling order, and each slice is given the rows that follow it, as ``prior_rows`` gives those before.
+    """
+    keys, order = as_list(keys), as_list(order)
+    names = {f"_falling{k}": _reversed(df, o) for k, o in enumerate(order)}
+    return prior_rows(df.withColumns(names), keys, list(names), reach, build, plan).drop(*names)
+
+
 def prefix_sums(
     df: DataFrame,
     keys: str | Sequence[str],

@@ -363,6 +363,35 @@ def _histogram_calibration(t) -> DataFrame:
     return rounded(K.histogram_rates(scored(t.orders), "p", "y"))
 
 
+def _newton_sql(steps: int) -> str:
+    """Newton steps of a logistic fit with one feature, one after another, each an aggregate over all rows."""
+    out = ["b0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(1, steps + 1):
+        sums = f"SELECT any_value(a) AS a, any_value(b) AS b, sum(y - q) AS g0, sum((y - q) * x) AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q) * x * x) AS h11 FROM (SELECT d.*, a, b, 1 / (1 + exp(-(a + b * x))) AS q FROM d, b{k - 1})"
+        out.append(f"b{k} AS (SELECT a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM ({sums}))")
+    return ", ".join(out)
+
+
+@query(
+    "platt_calibration",
+    f"WITH {S}, c AS (SELECT *, least(greatest(p, 1e-6), 1 - 1e-6) AS pc FROM s WHERE p IS NOT NULL AND y IS NOT NULL), d AS (SELECT ln(pc / (1 - pc)) AS x, y FROM c), {_newton_sql(16)} "
+    f"SELECT CAST(least(floor(pc * 20), 19) AS INT) AS bin, count(*) AS n, {r('avg(1 / (1 + exp(-(a + b * ln(pc / (1 - pc))))))', 'calibrated')} FROM c, b16 GROUP BY 1",
+)
+def _platt_calibration(t) -> DataFrame:
+    """Logistic calibration of all scores, by bin."""
+    s = scored(t.orders).where("p is not null and y is not null")
+    out = K.fit_platt(s, "p", "y")(s, "p", "calibrated")
+    pc = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    bins = F.least(F.floor(pc * 20), F.lit(19)).cast("int").alias("bin")
+    return rounded(out.groupBy(bins).agg(F.count(F.lit(1)).alias("n"), F.avg("calibrated").alias("calibrated")))
+
+
+@query("mean_calibration", f"SELECT o_orderkey, {r('a * o_custkey + b', 'fitted', 3)} FROM orders, (SELECT regr_slope(o_totalprice, o_custkey) AS a, regr_intercept(o_totalprice, o_custkey) AS b FROM orders)")
+def _mean_calibration(t) -> DataFrame:
+    out = K.fit_mean_calibration(t.orders, "o_custkey", "o_totalprice")(t.orders, "o_custkey", "fitted")
+    return rounded(out.select("o_orderkey", "fitted"), 3)
+
+
 @query("calibrator_choice")
 def _calibrator_choice(t) -> DataFrame:
     """Out-of-fold ECE of each calibrator (iterative fits, so rows only)."""
