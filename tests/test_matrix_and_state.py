@@ -186,3 +186,23 @@ def test_position_rates_carry_positions_in_a_map(spark, name):
     df = spark.createDataFrame([(2024, w, "A", g, int(w % 2 == (g == "RB"))) for w in range(1, 6) for g in ("RB", "WR")], "season int, week int, team string, position_group string, hit int")
     out = rows(M.position_rates(df, "hit", ["team"], "team_hit").orderBy("week"))
     assert name in out[0] and out[4]["team_hit_by_position"]["RB"]["team_hit_rate_2"] == 0.5 and out[0]["team_hit_rate_1"] is None and out[4]["team_hit_rate_1"] == 1.0
+
+
+def test_chained_stateful_as_of_emits_matched_and_unmatched_rows(spark, tmp_path):
+    """A left outer stream-stream join and a latest-of-key aggregate in one plan, stopped and started again."""
+    at = dt.datetime(2024, 1, 1)
+    hours = [
+        ([(1, "a", 10), (2, "b", 11)], [("a", 8, 1.0), ("a", 9, 2.0), ("b", 12, 9.0)]),
+        ([(3, "a", 30), (4, "c", 31)], [("a", 10, 3.0), ("a", 29, None)]),
+        ([(99, "z", 500)], [("z", 500, 0.0)]),
+        ([(100, "z", 900)], [("z", 900, 0.0)]),
+    ]
+    left, right, out = (str(tmp_path / n) for n in ("l", "r", "out"))
+    for events, feed in hours:
+        spark.createDataFrame([(i, k, at + dt.timedelta(hours=h)) for i, k, h in events], "i long, k string, ts timestamp_ntz").write.mode("append").parquet(left)
+        spark.createDataFrame([(k, at + dt.timedelta(hours=h), v) for k, h, v in feed], "k string, fts timestamp_ntz, v double").write.mode("append").parquet(right)
+        both = spark.readStream.schema("i long, k string, ts timestamp_ntz").parquet(left), spark.readStream.schema("k string, fts timestamp_ntz, v double").parquet(right)
+        known = streams.latest_known_stream(*both, "k", "i", "ts", "fts", ["v"], "5 HOURS", "1 hour")
+        streams.run_to_end(streams.append_stream(known, out, str(tmp_path / "check")))
+    got = {r["i"]: (r["v"], None if r["matched_ts"] is None else (r["matched_ts"] - at).total_seconds() / 3600) for r in spark.read.parquet(out).where("i < 99").collect()}
+    assert got == {1: (3.0, 10.0), 2: (None, None), 3: (None, 29.0), 4: (None, None)}

@@ -373,3 +373,31 @@ def _rolling_in_runs(t) -> DataFrame:
         store.add_days(daily)
     out = store.features()
     return rounded(out.select("user_id", F.col("day").cast("string").alias("day"), *[c for c in out.columns if c.endswith("_ratio")]))
+
+
+@query(
+    "stream_latest_known",
+    f"""WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL), j AS (SELECT p.event_id, p.user_id, v.ts, v.view_id FROM events p LEFT JOIN v ON v.user_id = p.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL '7' DAY WHERE p.event_type = 'purchase')
+SELECT event_id, user_id, max(ts) AS matched_ts, max_by(view_id, ts) AS view_id FROM j GROUP BY ALL""",
+)
+def _stream_latest_known(t) -> DataFrame:
+    """Purchases with the last view of the seven days before, both as streams, with a restart in the middle; some have none."""
+    feeds = [shared_folder(t.spark, n) for n in ("purchases", "views")]
+    out, check = shared_folder(t.spark, "known"), shared_folder(t.spark, "known-check")
+    rows = cut_lineage(t.events.select("event_id", "user_id", "ts", "event_type"))
+    middle = rows.agg(F.expr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)")).first()[0] or 0
+    first = F.unix_micros(F.col("ts").cast("timestamp")) <= middle
+    # A row of nobody far ahead moves the watermark past the last event.
+    ahead = rows.agg((F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts")).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), "ts")
+    later = ahead.select("event_id", "user_id", (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+    for parts in ([rows.where(first)], [rows.where(~first)], [ahead], [later]):
+        for folder, kind in zip(feeds, ("purchase", "view"), strict=True):
+            for part in parts:
+                chosen = part.where(F.col("event_type") == kind) if "event_type" in part.columns else part
+                chosen.select("event_id", "user_id", "ts").write.mode("append").parquet(folder)
+        schema = "event_id bigint, user_id bigint, ts timestamp_ntz"
+        bought, seen = (t.spark.readStream.schema(schema).parquet(f) for f in feeds)
+        seen = seen.select("user_id", F.col("ts").alias("vts"), F.col("event_id").alias("view_id"))
+        known = streams.latest_known_stream(bought, seen, "user_id", "event_id", "ts", "vts", ["view_id"], "7 DAYS", "1 hour")
+        streams.run_to_end(streams.append_stream(known, out, check))
+    return t.spark.read.parquet(out).where("event_id >= 0").select("event_id", "user_id", "matched_ts", "view_id")

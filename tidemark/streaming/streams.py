@@ -163,6 +163,27 @@ def known_before_stream(events: DataFrame, feed: DataFrame, key: str, event_ts:
     return left.join(right, near, "inner").drop("_rkey", "_l", "_r")
 
 
+def latest_known_stream(
+    events: DataFrame, feed: DataFrame, key: str, event_id: str, event_ts: str, feed_ts: str, columns: Sequence[str], lookback: str, delay: str = "2 hours"
+) -> DataFrame:
+    """Live as-of in one streaming plan: every event with the latest feed row of its key in the ``lookback`` before it, or none.
+
+    A left outer join of both streams is followed by a stateful latest-of-key aggregate. Both watermarks and the lookback bound the
+    state of the join, the event's time that of the aggregate; a row is emitted once, when the watermark has passed it.
+    """
+    left = events.withColumn("_l", F.col(event_ts).cast("timestamp")).withWatermark("_l", delay)
+    right = feed.select(F.col(key).alias("_rkey"), F.col(feed_ts).cast("timestamp").alias("_r"), F.struct(F.col(feed_ts).alias("matched_ts"), *columns).alias("_row")).withWatermark("_r", delay)
+    near = (F.col(key) == F.col("_rkey")) & (F.col("_r") <= F.col("_l")) & (F.col("_r") >= F.col("_l") - F.expr(f"INTERVAL {lookback}"))
+    joined = left.join(right, near, "left_outer")
+    latest = joined.groupBy(event_id, key, "_l").agg(F.max_by("_row", F.struct("_r", "_row")).alias("_row"))
+    return latest.select(event_id, key, F.col("_l").alias(event_ts), "_row.*")
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the rows that a stream has finished with to Parquet files, exactly once."""
+    return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def attach_history_stream(
     events: DataFrame, history: DataFrame | SeededHistory, on: Sequence[str], event_ts: str, history_ts: str, columns: Sequence[str],
     path: str, checkpoint: str, by: Sequence[str], keys: Sequence[str],
