@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, shared_folder
 
-__all__ = ["cut_lineage", "shared_folder", "ship", "text_crc32", "unused", "with_maybe", "without_ids", "word_count"]
+__all__ = ["cut_lineage", "forget", "shared_folder", "ship", "text_crc32", "unused", "with_maybe", "without_ids", "word_count"]
 
 #: Fixed pattern of the word rule of the size and shingle contracts.
 SPACED_WORDS = r"[^\x20\x09-\x0D]+"
@@ -49,6 +49,15 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote, once nothing will read it again."""
+    files = table.inputFiles()
+    if files and "/tidemark-cut-" in files[0]:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text between white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORDS)), F.lit(0)).cast("long")

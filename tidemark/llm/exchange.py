@@ -23,9 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import cut_lineage, ship
-from tidemark.llm.packed import chunks, text_buffer
+from tidemark.llm.packed import chunks, give_back, text_buffer
 
 BLOCK_BYTES = 4 << 20
+#: Answers of a shard that are handed on together.
+ANSWER_BYTES = 1 << 20
 MESSAGE = "block bigint, shard int, body binary"
 Message = tuple[int, bytes]
 
@@ -118,14 +120,27 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def by_shard(messages: DataFrame, work: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """``block, shard, body``: what ``work(shard, blocks, bodies)`` answers, one or no message for a block."""
+    """``block, shard, body``: what ``work(shard, blocks, bodies)`` answers, one or no message for a block.
 
-    def worked(table: pa.Table) -> pa.Table:
+    Answers are handed on while ``work`` goes on making others.
+    """
+
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         shard = table["shard"][0].as_py()
-        order = np.argsort(table["block"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        out = list(work(shard, table["block"].to_pylist(), table["body"].to_pylist()))
-        return pa.Table.from_batches([message_rows([b for b, _ in out], [shard] * len(out), [x for _, x in out])])
+        table = table.take(pa.array(np.argsort(table["block"].to_numpy(), kind="stable")))
+        blocks, bodies = table["block"].to_pylist(), table["body"].to_pylist()
+        del table
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for block, body in work(shard, blocks, bodies):
+            held.append((block, body))
+            size += len(body)
+            if size >= ANSWER_BYTES:
+                yield message_rows([b for b, _ in held], [shard] * len(held), [x for _, x in held])
+                held, size = [], 0
+        yield message_rows([b for b, _ in held], [shard] * len(held), [x for _, x in held])
+        give_back()
 
     return messages.groupBy("shard").applyInArrow(worked, MESSAGE)
 
@@ -133,11 +148,14 @@ def by_shard(messages: DataFrame, work: Callable[[int, list[int], list[bytes]],
 def by_block(docs: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
     """Rows that ``work(block, texts, answers by shard)`` makes of every block."""
 
-    def worked(table: pa.Table) -> pa.Table:
-        shards, bodies = table["shard"].to_pylist(), table["body"].to_pylist()
-        held = dict(zip(shards, bodies, strict=True))
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        block = table["block"][0].as_py()
+        held = dict(zip(table["shard"].to_pylist(), table["body"].to_pylist(), strict=True))
+        del table
         if -1 not in held:
             raise RuntimeError("an input task gave other rows than before; write the input to files first")
-        return work(table["block"][0].as_py(), table_of(held.pop(-1)), held)
+        yield from work(block, table_of(held.pop(-1)), held).to_batches()
+        give_back()
 
     return texts_of(docs).unionAll(answers).groupBy("block").applyInArrow(worked, schema)

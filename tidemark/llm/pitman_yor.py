@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, ship
+from tidemark.llm.common import cut_lineage, forget, ship
 from tidemark.llm.exchange import Message, by_block, by_shard, joined, pack, questions, slim, steady, unpack
 from tidemark.llm.packed import SPACED, text_buffer, word_hashes
 
@@ -44,7 +44,9 @@ WEIGHED = 1 << 20
 #: Discount and strength of the context restaurants and of the parent.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 2.0, 0.6, 1.0
 #: Bytes of text for each shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
+#: Parts of the documents that are scored one after another; the messages of one part are on disk at a time.
+PASSES = 4
 END, START = np.uint64(0x5E0D_5E0D_5E0D_5E0D), np.uint64(0x57A7_57A7_57A7_57A7)
 STIRLING_CUSTOMERS, STIRLING_TABLES = 512, 96
 
@@ -384,10 +386,13 @@ class Model:
         self.tables = [dishes, totals.where(own).withColumn("shard", F.col("shard") + shards)]
         self.sums: list[np.ndarray] = []
         for sweep in range(BURN + SAMPLES - 1):
-            state = seating.where(F.col("block") == SEATING - sweep)
+            state, earlier = seating.where(F.col("block") == SEATING - sweep), (seating, totals)
             seating = cut_lineage(by_shard(dishes.unionAll(state).unionAll(_turned(totals)), self._sweep(sweep, sums[:2])))
             sums = _sums(seating)
             totals = cut_lineage(by_shard(_turned(seating).unionAll(places), _totals))
+            if 1 <= sweep < BURN:  # the first seating holds the dishes, sampled ones are read again
+                for table in earlier:
+                    forget(table)
             if sweep + 1 >= BURN:
                 self.sums.append(sums[:2])
                 self.tables.append(seating.where(F.col("block") == SEATING - sweep - 1))
@@ -450,31 +455,43 @@ class Model:
             tokens = Tokens(table["text"])
             held: list[list[np.ndarray]] = []
             for shard, words, cells in tokens.shards(shards):
-                parts = unpack(answers[shard])
+                parts = unpack(answers.pop(shard))
                 if len(parts[0]) != words.stop - words.start or len(parts[1]) != cells.stop - cells.start:
                     raise RuntimeError("an input task gave other rows than before; write the input to files first")
-                held.append([p.astype(np.int64) for p in parts])
-            gathered = [joined([h[k] for h in held], np.int64) for k in range(2 + 3 * SAMPLES)]
-            parts = [unpack(answers[shards + shard]) for shard, _ in ranges(tokens.contexts, shards)]
-            counts, *totals = (joined([p[k] for p in parts], np.int64)[tokens.context_at] for k in range(1 + SAMPLES))
-            seen, customers = gathered[:2]
+                held.append(parts)
+            parts = [unpack(answers.pop(shards + shard)) for shard, _ in ranges(tokens.contexts, shards)]
+
+            def gathered(k: int) -> np.ndarray:
+                """One array of all shards' answers; they stay in their narrow types until then."""
+                return joined([h[k] for h in held], np.int64)
+
+            def by_context(k: int) -> np.ndarray:
+                return joined([p[k] for p in parts], np.int64)[tokens.context_at]
+
+            seen, customers, counts = gathered(0), gathered(1), by_context(0)
             mean = np.zeros(len(tokens.cells))
             for s in range(SAMPLES):
-                root_customers, root, tables = gathered[2 + 3 * s : 5 + 3 * s]
-                parent = root_probability(root_customers, root, sums[s], vocabulary)[tokens.word_of]
-                spare = STRENGTH + DISCOUNT * totals[s]
-                mean += (np.maximum(customers - DISCOUNT * tables, 0) + spare * parent) / (STRENGTH + counts) / SAMPLES
+                parent = root_probability(gathered(2 + 3 * s), gathered(3 + 3 * s), sums[s], vocabulary)[tokens.word_of]
+                spare = STRENGTH + DISCOUNT * by_context(1 + s)
+                mean += (np.maximum(customers - DISCOUNT * gathered(4 + 3 * s), 0) + spare * parent) / (STRENGTH + counts) / SAMPLES
             starts = tokens.ends - tokens.counts
             of_cell = {"score": np.log10(mean), "base_score": np.log10((seen + 0.1) / (n + 0.1 * (vocabulary + 1)))[tokens.word_of], "n_known": (seen > 0)[tokens.word_of].astype(np.int64)}
             sums_ = {k: np.add.reduceat(v[tokens.cell], starts) for k, v in of_cell.items()}
             columns = {f.name: table[f.name] for f in shown} | {"n_tokens": tokens.counts, "n_known": sums_["n_known"], "base_score": sums_["base_score"], "score": sums_["score"]}
             return pa.table(columns)
 
-        asked = questions(docs, ask)
-        for rows in self.tables:
-            asked = asked.unionAll(rows.select("block", "shard", "body"))
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown), "n_tokens bigint, n_known bigint, base_score double, score double"])
-        return by_block(docs, by_shard(asked, answer).where("block >= 0"), scored, schema)
+        number = F.pmod(F.xxhash64(*kept, F.crc32(F.col("text").cast("binary"))), F.lit(PASSES))
+        out = None
+        for k in range(PASSES):
+            some = docs.where(number == k)
+            asked = questions(some, ask)
+            for rows in self.tables:
+                asked = asked.unionAll(rows.select("block", "shard", "body"))
+            part = cut_lineage(by_block(some, by_shard(asked, answer).where("block >= 0"), scored, schema))
+            docs.sparkSession._jvm.System.gc()
+            out = part if out is None else out.unionAll(part)
+        return out
 
 
 def taken(values: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
