@@ -25,7 +25,7 @@ other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 2.0, 0.6, 1.0
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 #: Parts of the documents that are scored one after another; the messages of one part are on disk at a time.
-PASSES = 4
+PASSES = 3
 END, START = np.uint64(0x5E0D_5E0D_5E0D_5E0D), np.uint64(0x57A7_57A7_57A7_57A7)
 STIRLING_CUSTOMERS, STIRLING_TABLES = 512, 96
 
@@ -383,20 +383,22 @@ class Model:
         # Files of shuffles whose results are written go with the plans that hold them.
         spark._jvm.System.gc()
         #: Rows of the shards of dishes, and of those of contexts behind them.
-        self.tables = [dishes, totals.where(own).withColumn("shard", F.col("shard") + shards)]
+        kept, written = [dishes, totals.where(own).withColumn("shard", F.col("shard") + shards)], [seating, totals]
         self.sums: list[np.ndarray] = []
         for sweep in range(BURN + SAMPLES - 1):
-            state, earlier = seating.where(F.col("block") == SEATING - sweep), (seating, totals)
+            state = seating.where(F.col("block") == SEATING - sweep)
             seating = cut_lineage(by_shard(dishes.unionAll(state).unionAll(_turned(totals)), self._sweep(sweep, sums[:2])))
             sums = _sums(seating)
             totals = cut_lineage(by_shard(_turned(seating).unionAll(places), _totals))
-            if 1 <= sweep < BURN:  # the first seating holds the dishes, sampled ones are read again
-                for table in earlier:
-                    forget(table)
+            written += [seating, totals]
             if sweep + 1 >= BURN:
                 self.sums.append(sums[:2])
-                self.tables.append(seating.where(F.col("block") == SEATING - sweep - 1))
-                self.tables.append(totals.where(own).select(F.lit(SEATING - sweep - 1).cast("bigint").alias("block"), (F.col("shard") + shards).alias("shard"), "body"))
+                kept.append(seating.where(F.col("block") == SEATING - sweep - 1))
+                kept.append(totals.where(own).select(F.lit(SEATING - sweep - 1).cast("bigint").alias("block"), (F.col("shard") + shards).alias("shard"), "body"))
+        # What is scored with goes into one table; the messages of training need no more disk.
+        self.tables = [cut_lineage(reduce(DataFrame.unionAll, [k.select("block", "shard", "body") for k in kept]))]
+        for table in written:
+            forget(table)
         spark._jvm.System.gc()
 
     def _sweep(self, sweep: int, sums: np.ndarray):  # noqa: ANN202
