@@ -34,6 +34,8 @@ SKETCH_ACCURACY = 60_000
 
 SLICE = "_slice"
 HOT = "_hot"
+#: The order value while slices are given; no caller's column has this name.
+PLACE = "__slice_place"
 
 
 @dataclass(frozen=True)
@@ -129,7 +131,7 @@ def plan_slices(
     """Find the hot keys of ``df`` and the order values at which they are cut."""
     keys = as_list(keys)
     spark = df.sparkSession
-    slim = df.select(*keys, order_value(df, order).alias("_x"))
+    slim = df.select(*keys, order_value(df, order).alias(PLACE))
     found = hot_keys(df, keys, floor)
     if found is None:
         return SlicePlan(tuple(keys), order, None)
@@ -143,7 +145,7 @@ def plan_slices(
     needed = max(math.ceil(row["_n"] / share) for row in top)
     sketched = min(SKETCH_POINTS, 1 << max(10, (4 * needed - 1).bit_length()))
     probs = [i / sketched for i in range(1, sketched)]
-    points = F.percentile_approx("_x", probs, SKETCH_ACCURACY).alias("_points")
+    points = F.percentile_approx(PLACE, probs, SKETCH_ACCURACY).alias("_points")
     if keys:
         sketch = join_on(slim, short(sizes), keys, "inner").groupBy(*keys).agg(F.max("_n").alias("_n"), points)
     else:
@@ -173,20 +175,20 @@ def add_slices(df: DataFrame, plan: SlicePlan, order: str | None = None) -> Data
     if plan.table is None:
         return df.withColumns({SLICE: F.lit(0), HOT: F.lit(False)})
     x = order_value(df, order or plan.order)
-    base = df.withColumn("_x", x)
+    base = df.withColumn(PLACE, x)
     if plan.keys:
         wide = join_on(base, short(plan.table), list(plan.keys), "left")
     else:
         edges = plan.table
         wide = base.withColumns({c: edges.select(c).scalar() for c in ("_coarse", "_fine", "_width")})
-    chunk = F.size(F.filter("_coarse", lambda e: e < F.col("_x")))
-    inner = F.size(F.filter(F.get("_fine", chunk), lambda e: e < F.col("_x")))
+    chunk = F.size(F.filter("_coarse", lambda e: e < F.col(PLACE)))
+    inner = F.size(F.filter(F.get("_fine", chunk), lambda e: e < F.col(PLACE)))
     number = F.when(
         F.col("_coarse").isNotNull(),
         chunk * F.col("_width") + F.when(chunk < F.size("_fine"), inner).otherwise(0),
     ).otherwise(0)
     return wide.withColumns({SLICE: number.cast("int"), HOT: F.col("_coarse").isNotNull()}).drop(
-        "_coarse", "_fine", "_width", "_x"
+        "_coarse", "_fine", "_width", PLACE
     )
 
 
