@@ -61,8 +61,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, ranges:
     table = join_on(stats, quart, "column")
     reach = (F.col("q75") - F.col("q25")) * 1.5
     fences = table.select("column", (F.col("q25") - reach).alias("_lo"), (F.col("q75") + reach).alias("_hi"))
-    # One fence row per column: a table as small as the schema.
-    outside = join_on(long, fences, "column", "inner").groupBy("column").agg(
+    # One fence row per column, a table as small as the schema: sent to the rows, as a shuffle would put a whole column into one task.
+    outside = join_on(long, F.broadcast(fences), "column", "inner").groupBy("column").agg(
         F.sum(flag(F.col("value") < F.col("_lo"))).alias("outliers_low"),
         F.sum(flag(F.col("value") > F.col("_hi"))).alias("outliers_high"),
         F.min(F.when(F.col("value") < F.col("_lo"), F.col("value"))).alias("extreme_low"),
