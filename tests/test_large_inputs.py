@@ -5,6 +5,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.evaluation import audits as A
+from tidemark.operators import grains as G
+from tidemark.operators import slices
+from tidemark.plans import features as FP
 
 
 def physical(df):
@@ -33,3 +36,39 @@ def test_fences_travel_to_the_rows(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan
     assert got["w"]["outliers_high"] == 1 and got["v"]["outliers_high"] == 0 and got["w"]["extreme_high"] == 9e9
+
+
+def shuffles(df):
+    """Exchanges of the final plan of a collected frame, those that reuse another not counted."""
+    return sum("Exchange" in line and "Broadcast" not in line and "Reused" not in line for line in physical(df).split("== Initial Plan ==")[0].splitlines())
+
+
+def test_players_of_sides_move_only_the_sides(spark):
+    sides = spark.createDataFrame([(g, w, t) for g in range(6) for w in (1, 2) for t in ("A", "B")] + [(None, 1, "A"), (9, None, "A"), (9, 1, "C")], "game_id long, week int, team string")
+    roster = spark.createDataFrame([(1, "A", p) for p in range(5)] + [(2, "A", 1), (2, "B", 1), (1, "B", 9), (None, "A", 7)], "week int, team string, player_id long")
+    wanted = sides.join(roster, ["week", "team"]).groupBy("player_id", "game_id").agg(F.min("team").alias("team"), F.countDistinct("team").alias("sides"))
+    found = FP.players_of_sides(sides, roster, ["week", "team"]).groupBy("player_id", "game_id").agg(F.min("team").alias("team"), F.countDistinct("team").alias("sides"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    assert shuffles(found) == 1
+
+
+def test_groupings_follow_one_bounded_layout(spark, monkeypatch):
+    monkeypatch.setattr(slices, "TASK_ROWS", 100)
+    df = spark.range(1000).select((F.col("id") % 40).alias("e"), (F.col("id") % 7).alias("d"), F.col("id").cast("double").alias("v"))
+    laid = slices.dealt(df, ["e"])
+    assert laid.rdd.getNumPartitions() == 10
+    out = G.context_totals(df.withColumn("o", F.col("d") % 3), "e", "d", {"any": [], "vs": ["o"]}, ["v"])
+    assert sum(r["denom"] for r in out.collect()) == 2000 and shuffles(out) == 1
+
+
+def test_a_hot_key_keeps_its_partial_sums(spark, hot):
+    df = spark.range(100).select(F.lit(1).alias("e"), "id")
+    assert slices.dealt(df, "e") is df
+
+
+def test_given_rows_get_the_ratios_of_all_players(spark):
+    df = spark.range(300).select((F.col("id") % 4).alias("player_id"), (F.col("id") % 3).alias("team"), (F.col("id") % 5).alias("opponent"), F.expr("date_add(DATE '2020-01-01', CAST(id % 30 AS INT))").alias("game_date"), F.lit(2020).alias("season"), (F.col("id") % 9).alias("target"))
+    keys = ["player_id", "team", "opponent", "game_date"]
+    wanted = FP.with_rolling(df, ["target"]).drop("target", "season").distinct()
+    found = FP.with_rolling(df, ["target"], rows=df.select(*keys).distinct())
+    assert sorted(map(str, found.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))

@@ -32,6 +32,9 @@ BROADCAST_ROWS = 4096
 SKETCH_POINTS = 16_384
 SKETCH_ACCURACY = 60_000
 
+#: Rows of a task where a layout is made for groupings that hold nearly every row.
+TASK_ROWS = 500_000
+
 SLICE = "_slice"
 HOT = "_hot"
 #: The order value while slices are given; no caller's column has this name.
@@ -89,6 +92,23 @@ def hot_keys(df: DataFrame, keys: Sequence[str], floor: int | None = None) -> tu
     return (top, floor) if top else None
 
 
+def dealt(df: DataFrame, keys: str | Sequence[str], weight: float = 1.0) -> DataFrame:
+    """``df`` laid out by hash of ``keys`` in tasks of about ``TASK_ROWS / weight`` rows, so that groupings by these and more keys follow
+    without another shuffle and hold a bounded number of groups; ``df`` itself if some key is hot. One narrow count.
+
+    A grouping's own shuffle is cut by compressed bytes, of which a task's table of groups may be a large multiple.
+    """
+    size = df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
+    if (size["most"] or 0) > _floor(df, None):
+        return df
+    return df.repartition(tasks_for(df, (size["rows"] or 0) * weight), *as_list(keys))
+
+
+def tasks_for(df: DataFrame, rows: float) -> int:
+    """Tasks among which ``rows`` rows are dealt: ``TASK_ROWS`` each, or all cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
+
+
 def has_hot_key(df: DataFrame, keys: str | Sequence[str], floor: int | None = None) -> bool:
     """Whether any key holds more than ``floor`` rows."""
     return hot_keys(df, as_list(keys), floor) is not None

@@ -22,7 +22,9 @@ from ..operators.asof import asof_join
 from ..operators.grains import context_history, context_totals, entity_totals, lagged_means
 from ..operators.keys import as_list, join_on, latest_by, nz, seconds_between
 from ..operators.prior import event_rate_history, last_rows, prior_rows, rolling_ratios
+from ..operators.slices import tasks_for
 from ..schema import union_relaxed
+from ..session import cut_lineage
 
 SCORED = "_scored"
 
@@ -74,6 +76,24 @@ CONTEXTS: Mapping[str, Sequence[str]] = {"vs_any": (), "with_team": ("team",), "
 LEAST_SUPPORT = 4
 
 
+#: Roster rows up to which a roster is sent to all tasks.
+BROADCAST_ROSTER = 4_000_000
+
+
+def players_of_sides(sides: DataFrame, roster: DataFrame, on: Sequence[str], game: str = "game_id") -> DataFrame:
+    """Every side of a game with each player of its roster, laid out by game.
+
+    There are many times more rows than sides, so the sides are moved, in tasks by the number of rows they become, and the roster is
+    sent to them; what is then grouped by game and player is not moved again. Larger rosters meet the sides in an ordinary join.
+    """
+    sides, roster = cut_lineage(sides), cut_lineage(roster)
+    members, groups = roster.count(), roster.select(*on).distinct().count()
+    if members > BROADCAST_ROSTER:
+        return sides.join(roster, list(on), "inner")
+    tasks = tasks_for(sides, sides.count() * members / max(1, groups))
+    return sides.repartition(tasks, game).join(F.broadcast(roster), list(on), "inner")
+
+
 def rolled_ratios(players: DataFrame, stats: Sequence[str], contexts: Mapping[str, Sequence[str]], entity: str, day: str, windows: Sequence[int], season: str) -> DataFrame:
     """Ratios per (context, entity, context keys, day): one shuffle of the players for all contexts."""
     totals = context_totals(players, entity, day, contexts, stats, extra=[season])
@@ -90,15 +110,15 @@ def per_game_rolling(players: DataFrame, stats: Sequence[str], entity: str = "pl
     return rolled_ratios(players, stats, {"vs_any": ()}, entity, day, windows, season).drop("ctx", "_support")
 
 
-def with_rolling(players: DataFrame, stats: Sequence[str] = ROLLED, contexts: Mapping[str, Sequence[str]] = CONTEXTS, entity: str = "player_id", day: str = "game_date", windows: Sequence[int] = (1, 3, 5), season: str = "season") -> DataFrame:
-    """The rows of ``players`` with the ratios of all contexts, named by context.
+def with_rolling(players: DataFrame, stats: Sequence[str] = ROLLED, contexts: Mapping[str, Sequence[str]] = CONTEXTS, entity: str = "player_id", day: str = "game_date", windows: Sequence[int] = (1, 3, 5), season: str = "season", rows: DataFrame | None = None) -> DataFrame:
+    """The rows of ``players``, or the ``rows`` given, with the ratios of all contexts, named by context.
 
     A ratio against one opponent needs ``LEAST_SUPPORT`` earlier games against it, in every window.
     """
     stats = [s for s in stats if s in players.columns]
     ratios = rolled_ratios(players, stats, contexts, entity, day, windows, season)
     made = [c for c in ratios.columns if c.endswith("_per_game")]
-    out = players
+    out = players if rows is None else rows
     for name, keys in contexts.items():
         end = "" if name == "vs_any" else f"_{name}"
         enough = F.col("_support") >= LEAST_SUPPORT if name == "vs_team" else F.lit(True)
