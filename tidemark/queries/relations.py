@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cutoff, injuries, market, text, travel, weather
 from ..operators.asof import asof_join
 from ..operators.keys import attach_totals, join_on, latest_by
+from ..operators.slices import dealt
 from ..plans import asof_metadata as AM
 from ..plans import features as FP
 from ..plans.incremental import SeededHistory
@@ -385,7 +386,8 @@ SELECT event, {rs({'spread_line': 'scutoff', 'spread_line_open': 'sopen', 'sprea
  'spread_line_move_max_abs': 'greatest(abs(scutoff - sopen), abs(scutoff - s24h), abs(scutoff - s6h), abs(scutoff - s2h))'})} FROM w""",
 )
 def _odds_snapshot_moves(t) -> DataFrame:
-    q = t.lineitem.groupBy(F.col("l_orderkey").alias("event"), F.expr(_SNAP).alias("lab")).agg(F.avg("l_quantity").alias("spread_line"), F.avg("l_tax").alias("moneyline_vig"))
+    # Labels and then columns of an event are made where its rows lie.
+    q = dealt(t.lineitem, "l_orderkey").groupBy(F.col("l_orderkey").alias("event"), F.expr(_SNAP).alias("lab")).agg(F.avg("l_quantity").alias("spread_line"), F.avg("l_tax").alias("moneyline_vig"))
     out = market.largest_move(market.snapshot_columns(q, ["event"], "lab", ["spread_line", "moneyline_vig"]), "spread_line")
     return rounded(out.select("event", "spread_line", "spread_line_open", "spread_line_delta", "spread_line_delta_6h", "moneyline_vig_delta_24h", "moneyline_vig_pct_delta", "spread_line_move_max_abs"))
 
