@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .keys import attach_totals, join_on, nz, ratio
 from .prior import last_rows, prefix_sums, prior_rows
 from .quantiles import median
+from .slices import dealt
 
 # --- roles to entity rows -------------------------------------------------------------------
 
@@ -176,14 +177,14 @@ def context_totals(
     extra: Sequence[str] = (),
     denom: str = "denom",
 ) -> DataFrame:
-    """Totals per (context, entity, day) for several contexts in one shuffle of the finest grain.
+    """Totals per (context, entity, day) for several contexts in one shuffle of the rows by entity and day, in tasks of bounded size.
 
     ``contexts`` maps a label to the extra grouping columns, e.g. ``{"vs_any": [], "vs_team":
     ["opponent"], "with_team": ["team"]}``. Unused grouping columns are NULL in a row.
     """
     dims = sorted({c for cols in contexts.values() for c in cols})
-    # Sum the events to the finest grain first: this shuffle is the only one that sees raw rows.
-    finest = df.groupBy(entity, day, *extra, *dims).agg(
+    # Sum the events to the finest grain first: it and all contexts are groupings of rows that lie together by entity and day.
+    finest = dealt(df, [entity, day], 1 + len(contexts)).groupBy(entity, day, *extra, *dims).agg(
         *[F.sum(nz(s)).alias(f"{s}_num") for s in stats], F.count(F.lit(1)).alias(denom)
     )
     branches = F.array(
