@@ -141,7 +141,8 @@ FROM d JOIN vs_any USING (player_id, game_date) JOIN with_team USING (player_id,
 def _rolling_contexts(t) -> DataFrame:
     """Ratios in three contexts; against one opponent every window needs four earlier games."""
     rows = player_games(t.lineitem, "player_id", "team", "opponent", "game_date", "season", "target")
-    out = FP.with_rolling(rows, ["target"]).drop("target", "season").distinct()
+    # Equal rows get equal ratios: they are made one while they are narrow.
+    out = FP.with_rolling(rows, ["target"], rows=rows.select("player_id", "team", "opponent", "game_date").distinct())
     return rounded(out.withColumn("game_date", F.col("game_date").cast("string")))
 
 
