@@ -8,6 +8,8 @@ from tidemark.evaluation import audits as A
 from tidemark.operators import grains as G
 from tidemark.operators import slices
 from tidemark.plans import features as FP
+from tidemark.queries import matrix
+from tidemark.queries.registry import Tables
 
 
 def physical(df):
@@ -72,3 +74,8 @@ def test_given_rows_get_the_ratios_of_all_players(spark):
     wanted = FP.with_rolling(df, ["target"]).drop("target", "season").distinct()
     found = FP.with_rolling(df, ["target"], rows=df.select(*keys).distinct())
     assert sorted(map(str, found.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_feeds_of_the_matrix_join_once(spark, sf):
+    feeds = matrix.feeds(Tables(spark, sf))
+    assert not [n for n in ("plays", "injuries", "odds", "forecasts") if "Join" in physical(getattr(feeds, n))]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import plays as P
 from ..plans import matrix as M
+from ..session import cut_lineage
 from .frames import PLAYS
 from .registry import query, r, rounded, rs
 
@@ -52,7 +53,8 @@ def _columns(pairs: dict[str, str]) -> str:
 
 def feeds(t) -> M.Feeds:
     """Plays, schedule, snaps, positions and side feeds."""
-    held = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Every stage and side feed reads the joined rows: they are joined once.
+    held = cut_lineage(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")))
     plays = held.selectExpr(*[f"{e} AS {n}" for n, e in GAME_PLAYS.items()])
     for step in (P.with_role_indicators, P.with_masked_yards, P.with_credit, P.with_zone_usage):
         plays = plays.transform(step)
