@@ -30,6 +30,8 @@ from tidemark.llm.packed import chunks, text_buffer
 
 WINDOW = 48
 BATCH = 1024
+#: Windows that are filled at once.
+PLACED = 8192
 Weights = dict[str, np.ndarray]
 
 
@@ -147,8 +149,9 @@ def windows(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = np.full((len(owner), WINDOW), 0x20, np.uint8)
     if len(data):
         spots = np.arange(WINDOW - 2)[None, :]
-        inside = spots < size[:, None]
-        out[:, 1:-1][inside] = data[(start[:, None] + spots)[inside]]
+        for a in range(0, len(owner), PLACED):  # an index of a window has eight times its bytes
+            inside = spots < size[a : a + PLACED, None]
+            out[a : a + PLACED, 1:-1][inside] = data[(start[a : a + PLACED, None] + spots)[inside]]
     return out, size + 2, owner
 
 

@@ -48,6 +48,8 @@ AGREE = 84
 PARITY, SKETCHED = 2048, 1536
 #: Shingles handled at once while signatures are made, so that the arrays stay in a core's cache.
 TILE = 1 << 15
+#: Bytes of text whose shingles a worker holds at once: about twenty-five times as many bytes of hashes.
+CHUNK = 1 << 20
 #: Pairs of one class that are verified together.
 TOGETHER = 256
 
@@ -149,7 +151,7 @@ def _described(size: int, kind: str):  # noqa: ANN202
     schema = f"doc_id {kind}, n bigint, f1 bigint, f2 bigint, bits array<bigint>, bands array<bigint>"
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, limit=CHUNK):
             values, offsets = shingle_sets(table["text"], size)
             n = len(offsets) - 1
             f1, f2 = (_fingerprints(values, offsets, salt) for salt in (1, 2))
@@ -196,7 +198,7 @@ def _texts(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches):
+        for table in chunks(batches, limit=CHUNK):
             f = _fingerprints(*shingle_sets(table["text"], size), 1)
             yield from pa.table({"id": table["doc_id"], "f": pa.array(f), "text": table["text"]}).to_batches()
 
@@ -224,7 +226,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for table in chunks(iter([batch]), text="ta"):
+            for table in chunks(iter([batch]), text="ta", limit=CHUNK):
                 (va, oa), (vb, ob) = (shingle_sets(table[c], size) for c in ("ta", "tb"))
                 n = table.num_rows
                 owner = np.concatenate([np.repeat(np.arange(n), np.diff(oa)), np.repeat(np.arange(n), np.diff(ob))])

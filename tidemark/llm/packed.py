@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 2 << 20
+#: Bytes looked up at once in a table of their values: numpy makes an eight-byte index of each.
+TILE = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -45,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(max(n, CHUNK + 65536), base, np.uint64)
+            steps = np.full(-(-n // (4 * TILE)) * 4 * TILE, base, np.uint64)
             steps[0] = 1
             _POWERS[name] = np.multiply.accumulate(steps)
     return _POWERS["up"], _POWERS["down"]
@@ -109,12 +111,20 @@ def _regrouped(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iter
         yield pa.Table.from_batches(held)
 
 
+def looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]`` of a byte buffer, tile by tile."""
+    out = np.empty(len(data), table.dtype)
+    for a in range(0, len(data), TILE):
+        out[a : a + TILE] = table[data[a : a + TILE]]
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of every word, in text order."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = is_word[data]
+    inside = looked_up(is_word, data)
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = inside[:-1]
@@ -134,8 +144,10 @@ def prefix_hash(data: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray
     """n+1 prefix sums from which ``span_hash`` takes the hash of any byte span."""
     up, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * up[: len(data)], out=out[1:])
-    return out
+    for a in range(0, len(data), TILE):
+        b = min(len(data), a + TILE)
+        np.multiply(values[data[a:b]], up[a:b], out=out[a + 1 : b + 1])
+    return np.cumsum(out, out=out)
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -29,6 +29,11 @@ def local_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
     return spark
 
 
+#: Codec of the tables that ``cut_lineage`` writes. Snappy's page buffers lie outside the heap and go only when old objects are
+#: collected, so over many small tables they add up in an executor; this codec's stream buffers lie on the heap.
+CUT_CODEC = "zstd"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
@@ -50,5 +55,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     plan does not.
     """
     path = shared_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", CUT_CODEC).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
