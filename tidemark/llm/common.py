@@ -10,7 +10,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, shared_folder
+from tidemark import session
+from tidemark.session import shared_folder
 
 __all__ = ["cut_lineage", "forget", "shared_folder", "ship", "text_crc32", "unused", "with_maybe", "without_ids", "word_count"]
 
@@ -20,9 +21,17 @@ SPACED_WORDS = r"[^\x20\x09-\x0D]+"
 BITMAP_BITS = 1 << 26
 #: Most bytes of an Arrow batch between Spark and Python.
 BATCH_BYTES = 4 << 20
+#: Codec of written tables. Snappy's page buffers lie outside the heap and go only when old objects are collected, so over the
+#: many tables of a pipeline they add up in an executor; this codec's stream buffers lie on the heap.
+CUT_CODEC = "zstd"
 _SHIPPED: set[str] = set()
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``session.cut_lineage`` for jobs that write many tables."""
+    return session.cut_lineage(df, compression=CUT_CODEC)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor, once per application.
 

@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, forget, ship
+from tidemark.llm.common import forget, ship
 from tidemark.llm.exchange import Message, by_block, by_shard, joined, pack, questions, slim, steady, unpack
 from tidemark.llm.packed import SPACED, text_buffer, word_hashes
+from tidemark.session import cut_lineage
 
 BURN, SAMPLES = 2, 3
 #: Gibbs moves in a sweep of every dish with so many customers at most; the tables of other dishes are drawn at once.

@@ -29,11 +29,6 @@ def local_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
     return spark
 
 
-#: Codec of the tables that ``cut_lineage`` writes. Snappy's page buffers lie outside the heap and go only when old objects are
-#: collected, so over many small tables they add up in an executor; this codec's stream buffers lie on the heap.
-CUT_CODEC = "zstd"
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's ``spark.checkpoint.dir``.
 
@@ -47,13 +42,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"tidemark-{name}-") + "/data"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back as a plain scan.
 
     Used where one table feeds several branches, so that it is computed once and survives the loss
     of an executor. A written table also has a known size and prunes columns, which a checkpointed
-    plan does not.
+    plan does not. ``options`` are the writer's.
     """
     path = shared_folder(df.sparkSession, "cut")
-    df.write.option("compression", CUT_CODEC).parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
