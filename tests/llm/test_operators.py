@@ -436,6 +436,30 @@ def test_every_word_is_a_context_of_its_own(spark, monkeypatch):
     assert len(rows) == 60 and all(r["n_known"] == r["n_tokens"] == 103 and r["score"] > r["base_score"] for r in rows)
 
 
+def test_scan_of_many_queries_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, queries = rng.normal(size=(400, 40)), rng.normal(size=(90, 40))
+    rows[250:], queries[:30] = rows[250], rows[240:270]
+    blocks, wanted = [rows.T[d : d + 16] for d in range(0, 40, 16)], rng.integers(3, 40, 90)
+    square = ((queries[:, None] - rows) ** 2).sum(axis=2)
+    seeds = np.maximum(4 * wanted, 64)
+    bound = np.array([np.sort(square[i, : seeds[i]])[wanted[i] - 1] for i in range(90)])
+
+    def pairs():
+        return [(i, r) for part in ann.scan(blocks, queries, wanted) for i, r in zip(*(x.tolist() for x in part), strict=True)]
+
+    once = pairs()
+    assert len(list(ann.scan(blocks, queries, wanted))) == 1  # all queries in one product of matrices
+    assert once == sorted(set(once)) and all(square[i, r] <= bound[i] * (1 + 1e-5) + 1e-9 for i, r in once)
+    assert {(i, r) for i in range(90) for r in np.flatnonzero(square[i, : seeds[i]] <= bound[i])} <= set(once)
+    monkeypatch.setattr(ann, "TOGETHER", 900)
+    assert pairs() == once
+    monkeypatch.setattr(ann, "FEW", 1)
+    assert pairs() == once
+    monkeypatch.setattr(ann, "EPSILON", 1e6)  # nothing is given up before its whole distance is known
+    assert set(pairs()) >= {(i, r) for i in range(90) for r in np.flatnonzero(square[i] <= bound[i])}
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, (1500, 1))

@@ -5,7 +5,7 @@ distance. Vectors are turned by a random rotation, so that any first d of D dime
 distance, and are dealt to lists by their nearest centre. A query scans the lists of its nearest centres. Within a list
 the rotated dimensions stand in column blocks; after each block a candidate is given up if its partial distance, scaled up to
 D dimensions, exceeds the query's k-th best distance by the factor ``(1 + EPSILON / sqrt(d))^2`` (a test that a random
-rotation fails for a true neighbour with small probability). Candidates that survive all blocks are scored exactly, in
+rotation fails for a true neighbour with small probability). The queries of a list are scanned together. Candidates that survive all blocks are scored exactly, in
 double precision, on the original vectors.
 
 How many lists a query scans is measured, not guessed: for ``TRIALS`` queries the true neighbours are found by brute force
@@ -42,6 +42,10 @@ PART_ROWS = 1_024
 #: Dimensions in a column block, and the strictness of the test.
 WIDTH = 16
 EPSILON = 2.1
+#: Partial distances that are held together, the share of pairs (one in so many) below which they go on one by one, and pairs scored together.
+TOGETHER = 1 << 18
+FEW = 16
+SCORED = 1 << 14
 #: Queries for which the number of lists is measured, and the share of true neighbours that the lists must hold.
 TRIALS = 128
 RECALL = 0.96
@@ -169,28 +173,50 @@ def _probes(queries: DataFrame, geometry: Geometry, sizes: np.ndarray, probe: in
     return queries.mapInArrow(probed, f"query_id {kind}, q array<double>, turned array<float>, list int")
 
 
-def scan(blocks: list[np.ndarray], query: np.ndarray, k: int) -> np.ndarray:
-    """Rows of a list that survive the adaptive scan for one query; ``blocks`` are (dimensions, rows)."""
-    dims, rows = len(query), blocks[0].shape[1]
-    seeds = min(rows, max(4 * k, 64))
+def scan(blocks: list[np.ndarray], queries: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a query and a row of a list that survive the adaptive scan, in the order of the queries.
+
+    ``blocks`` are (dimensions, rows), ``wanted`` is k for each query. Queries go together, ``TOGETHER`` distances at a time:
+    partial distances of a block are one product of matrices, until few pairs are left, which go on one by one.
+    """
+    dims, rows = queries.shape[1], blocks[0].shape[1]
+    row = np.arange(rows)
     # The first rows in full give the bound.
-    full = np.zeros(seeds)
-    at = 0
-    for block in blocks:
-        full += np.square(block[:, :seeds] - query[at : at + len(block), None]).sum(axis=0)
-        at += len(block)
-    bound = np.partition(full, k - 1)[k - 1] if seeds >= k else np.inf
-    kept = np.flatnonzero(full <= bound * (1 + 1e-6) + 1e-12)
-    left, partial, at = np.arange(seeds, rows), np.zeros(rows - seeds), 0
-    for block in blocks:
-        if not len(left):
-            break
-        partial = partial + np.square(block[:, left] - query[at : at + len(block), None]).sum(axis=0)
-        at += len(block)
-        strict = 1.0 if at == dims else at / dims * (1 + EPSILON / math.sqrt(at)) ** 2
-        near = partial <= bound * strict * (1 + 1e-6) + 1e-12
-        left, partial = left[near], partial[near]
-    return np.concatenate([kept, left])
+    seeds = np.minimum(rows, np.maximum(4 * wanted, 64))
+    squares = [np.einsum("dr,dr->r", block, block) for block in blocks]
+    ends = np.cumsum([len(block) for block in blocks]).tolist()
+    step = max(1, TOGETHER // max(1, rows))
+    for a in range(0, len(queries), step):
+        asked, seed = queries[a : a + step], seeds[a : a + step, None]
+        parts = [asked[:, end - len(block) : end] for block, end in zip(blocks, ends, strict=True)]
+        lengths = [np.einsum("qd,qd->q", part, part)[:, None] for part in parts]
+        first = int(seed.max())
+        full = sum(square[:first] + length - 2 * (part @ block[:, :first]) for block, square, part, length in zip(blocks, squares, parts, lengths, strict=True))
+        bound = np.sort(np.where(row[:first] < seed, full, np.inf), axis=1)[np.arange(len(asked)), wanted[a : a + step] - 1]
+        spare = 1e-12 * (1 + sum(lengths)[:, 0])  # products of matrices lose digits of short distances
+        near, query, left = np.ones((len(asked), rows), bool), None, None
+        partial = np.zeros((len(asked), rows))
+        for block, square, part, length, end in zip(blocks, squares, parts, lengths, ends, strict=True):
+            strict = 1.0 if end == dims else end / dims * (1 + EPSILON / math.sqrt(end)) ** 2
+            limit = bound * strict * (1 + 1e-6) + spare
+            if left is None:
+                partial += square + length - 2 * (part @ block)
+                stays = partial <= limit[:, None]
+                if end < dims:
+                    stays |= row < seed
+                near &= stays
+                if FEW * np.count_nonzero(near) < near.size:
+                    query, left = np.nonzero(near)
+                    partial = partial[query, left]
+            else:
+                partial = partial + np.square(block[:, left] - part.T[:, query]).sum(axis=0)
+                stays = partial <= limit[query]
+                if end < dims:
+                    stays |= left < seed[query, 0]
+                query, left, partial = query[stays], left[stays], partial[stays]
+        if left is None:
+            query, left = np.nonzero(near)
+        yield a + query, left
 
 
 def search(index: DataFrame, queries: DataFrame, geometry: Geometry, k: int = 20, probe: int | None = None) -> DataFrame:
@@ -218,15 +244,19 @@ def search(index: DataFrame, queries: DataFrame, geometry: Geometry, k: int = 20
             asked_vectors, asked_turned = matrix(right["q"], geometry.dims), matrix(right["turned"], geometry.dims + 1)
             order = pc.rank(ids, tiebreaker="first").to_numpy()
             own = right["query_id"].combine_chunks()
-            places = pc.index_in(own, value_set=ids).to_numpy(zero_copy_only=False)
-            for i in range(right.num_rows):
-                mine = pc.fill_null(pc.equal(ids, own[i]), False).to_numpy(zero_copy_only=False) if places[i] == places[i] else None
-                near = scan(blocks, asked_turned[i], min(n, k + (0 if mine is None else int(mine.sum()))))
-                if mine is not None:  # rows with its own id are in the list
-                    near = near[~mine[near]]
-                score = (vectors[near] * asked_vectors[i]).sum(axis=1)
-                best = np.lexsort((order[near], -score))[:k]
-                out.append(pa.table({"query_id": pa.repeat(own[i], len(best)), "vec_id": ids.take(pa.array(near[best])), "score": pa.array(score[best])}))
+            names = pc.drop_null(pc.unique(ids))
+            row_name, own_name = (pc.fill_null(pc.index_in(x, value_set=names), none).to_numpy(zero_copy_only=False) for x, none in ((ids, len(names)), (own, -1)))
+            # Rows with a query's own id are left out, so that many more are wanted.
+            mine = np.bincount(row_name, minlength=len(names) + 1)[own_name] * (own_name >= 0)
+            for query, near in scan(blocks, asked_turned, np.minimum(n, k + mine)):
+                others = row_name[near] != own_name[query]
+                query, near = query[others], near[others]
+                score = np.concatenate([np.zeros(0), *((vectors[near[a : a + SCORED]] * asked_vectors[query[a : a + SCORED]]).sum(axis=1) for a in range(0, len(near), SCORED))])
+                best = np.lexsort((order[near], -score, query))
+                query = query[best]
+                kept = np.arange(len(best)) - np.searchsorted(query, query) < k
+                query, best = query[kept], best[kept]
+                out.append(pa.table({"query_id": own.take(pa.array(query)), "vec_id": ids.take(pa.array(near[best])), "score": pa.array(score[best])}))
         empty = pa.table({"query_id": right["query_id"].slice(0, 0), "vec_id": left["vec_id"].slice(0, 0), "score": pa.array([], pa.float64())})
         return pa.concat_tables([empty, *out])
 
