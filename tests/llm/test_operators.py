@@ -135,6 +135,22 @@ def test_interval_expansion_finds_all_shared_substrings():
         assert made.tolist() == [least[s[i : i + length]] for s in strings for i in range(len(s) - length + 1)]
 
 
+def test_suffixes_are_sorted_again_only_where_they_tie(monkeypatch):
+    rng = np.random.default_rng(2)
+    grams = rng.integers(1, 200, (300, 9))
+    symbols = np.concatenate([grams[rng.integers(0, 300, 4000)].ravel(), [0], np.tile([5, 6, 7], 40)]).astype(np.uint16)
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **more: (sizes.append(len(a)), sort(a, *args, **more))[1])
+    padded = np.concatenate([symbols, np.zeros(60, np.uint16)])
+    for trebled in (suffix_dedup.TREBLED, 0):
+        sizes.clear()
+        monkeypatch.setattr(suffix_dedup, "TREBLED", trebled)
+        order = suffix_dedup.sorted_suffixes(symbols, 50)
+        assert sum(sizes) < 2.2 * len(symbols)
+        begun = [tuple(padded[k : k + 50]) for k in order]
+        assert sorted(order.tolist()) == list(range(len(symbols))) and begun == sorted(begun)
+
+
 def test_token_counts_equal_the_library(nasty, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)

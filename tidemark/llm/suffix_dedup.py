@@ -37,7 +37,10 @@ from tidemark.llm.packed import BYTE_VALUE_CASE, inverse_powers, prefix_hash, ra
 
 ANCHOR = 24
 SHARD_BYTES = 16 << 20
-PORTION = 1 << 20
+#: Bytes that are expanded together: with their ranks and intervals they fit in a core's cache.
+PORTION = 1 << 18
+#: Symbols from which three of their ranks do not fit in 63 bits.
+TREBLED = (1 << 21) - 1
 #: Bytes of an anchor's segments over all blocks beyond which its windows are dealt out one by one.
 CROWDED = 8 << 20
 NOBODY = np.iinfo(np.int64).max
@@ -45,27 +48,36 @@ KEPT_SCHEMA = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,en
 
 
 def sorted_suffixes(symbols: np.ndarray, least: int) -> np.ndarray:
-    """Suffix starts in the order of their first ``least`` symbols at least, by doubling ranks."""
+    """Suffix starts in the order of their first ``least`` symbols at least.
+
+    Ranks are trebled in reach at a time (doubled where three ranks do not fit in a word); only rows that still tie are sorted again.
+    """
     n = len(symbols)
     padded = np.concatenate([symbols, np.zeros(8, symbols.dtype)]).astype(np.int64)
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = key << 9 | padded[k : k + n]
-    known = 7
-    while True:
-        order = np.argsort(key)
-        if known >= least:
-            return order
-        ordered = key[order]
-        fresh = np.ones(n, bool)
-        fresh[1:] = ordered[1:] != ordered[:-1]
-        if fresh.all():
-            return order
-        rank = np.empty(n, np.int64)
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[1:] != key[:-1]
+    known, reach = 7, 3 if n < TREBLED else 2
+    while known < least and not fresh.all():
+        rank = np.zeros(n + (reach - 1) * known, np.int64)  # 0 beyond the end
         rank[order] = np.cumsum(fresh)
-        key = rank * (n + 1)
-        key[:-known] += rank[known:] if known < n else 0
-        known *= 2
+        tied = ~fresh
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        mine = order[at]
+        key = rank[mine]
+        for k in range(1, reach):
+            key *= n + 1
+            key += rank[mine + k * known]
+        turn = np.argsort(key)
+        order[at], key = mine[turn], key[turn]
+        fresh[at[1:]] |= key[1:] != key[:-1]
+        known *= reach
+    return order
 
 
 def shared_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,13 +94,16 @@ def shared_intervals(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     border = np.ones(len(order), bool)
     border[1:] = first[1:] != first[:-1]
     open_ = np.flatnonzero(~border)
+    lower, upper = shorter[open_], shorter[open_ - 1]
     for _ in range(length - 1):
         interval = np.cumsum(border, dtype=np.int32)
-        apart = interval[shorter[open_]] != interval[shorter[open_ - 1]]
+        apart = interval[lower] != interval[upper]
         border[open_[apart]] = True
-        open_ = open_[~apart]
-        if not len(open_):
+        parted = np.count_nonzero(apart)
+        if parted == len(open_):
             break
+        if 8 * parted > len(open_):  # rows once parted stay so; they are dropped when they are many
+            open_, lower, upper = open_[~apart], lower[~apart], upper[~apart]
     return order, border
 
 
