@@ -430,6 +430,19 @@ def test_predictive_probabilities_sum_to_one():
     assert abs((seated + spare) / (pitman_yor.STRENGTH + shard.counts[mine].sum()) - 1) < 1e-9
 
 
+def test_contexts_follow_from_words_without_a_sort_of_their_own(monkeypatch):
+    texts = [" ".join(f"w{k % 7 * i}" for k in range(i)) for i in range(1, 60)] + ["", None, "A a b", "b"]
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda a, *args, **more: (sizes.append(len(a)), unique(a, *args, **more))[1])
+    tokens = pitman_yor.Tokens(pa.chunked_array([texts]))
+    assert sizes == [int(tokens.counts.sum())]
+    word = tokens.words[tokens.word_of[tokens.cell]]
+    before = np.concatenate([[pitman_yor.START], word[:-1]])
+    before[tokens.ends - tokens.counts] = pitman_yor.START
+    assert (tokens.words == unique(word)).all() and (tokens.contexts == unique(before)).all()
+    assert (tokens.context_of[tokens.cell] == before).all() and (word[tokens.ends - 1] == pitman_yor.END).all()
+
+
 def test_every_word_is_a_context_of_its_own(spark, monkeypatch):
     words = [f"w{k}" for k in range(6000)]
     assert len(np.unique(pitman_yor.Tokens(pa.chunked_array([[" ".join(words)]])).context_of)) == 6001

@@ -100,14 +100,21 @@ def _limit(discount: float) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0.0], mean]), np.concatenate([[0.0], u])
 
 
+@cache
+def _log_stored(discount: float) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(alone(discount))
+
+
 def log_alone(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
     """Logarithm of ``S(c-1, t-1) / S(c, t)``, stored or, for more customers or tables, by the saddle point of the tables' sizes."""
-    c, t = customers.astype(np.float64), tables.astype(np.float64)
+    out = np.empty(len(customers))
+    stored = (customers <= STIRLING_CUSTOMERS) & (tables <= STIRLING_TABLES)
+    out[stored] = _log_stored(discount)[customers[stored], tables[stored]]
+    beyond = np.flatnonzero(~stored)
+    c, t = customers[beyond].astype(np.float64), tables[beyond].astype(np.float64)
     means, us = _limit(discount)
-    with np.errstate(divide="ignore"):
-        out = np.where(t > 1, -(1 - discount) * np.interp(np.log((c - 1) / np.maximum(t - 1, 1)), means, us), -np.inf)
-        stored = (customers <= STIRLING_CUSTOMERS) & (tables <= STIRLING_TABLES)
-        out[stored] = np.log(alone(discount)[customers[stored], tables[stored]])
+    out[beyond] = np.where(t > 1, -(1 - discount) * np.interp(np.log((c - 1) / np.maximum(t - 1, 1)), means, us), -np.inf)
     return out
 
 
@@ -182,11 +189,18 @@ class Tokens:
         last = np.zeros(len(tokens), bool)
         last[self.ends - 1] = True
         tokens[last], tokens[~last] = END, hashes
-        before = np.empty(len(tokens), np.uint64)
-        before[1:] = tokens[:-1]
-        before[self.ends - self.counts] = START
-        self.words, word = np.unique(tokens, return_inverse=True)
-        self.contexts, context = np.unique(before, return_inverse=True)
+        self.words, word = coded(tokens)
+        # Contexts are words too, or the start: their places follow from those of the words.
+        at = int(np.searchsorted(self.words, START))
+        names, after = self.words, word
+        if at == len(names) or names[at] != START:
+            names, after = np.insert(names, at, START), word + (word >= at)
+        place = np.empty(len(tokens), np.int64)
+        place[1:] = after[:-1]
+        place[self.ends - self.counts] = at
+        held = np.zeros(len(names), bool)
+        held[place] = True
+        self.contexts, context = names[held], (np.cumsum(held) - 1)[place]
         self.cells, self.cell = np.unique(word * len(self.contexts) + context, return_inverse=True)
         self.word_of, self.context_at = self.cells // len(self.contexts), self.cells % len(self.contexts)
         self.context_of = self.contexts[self.context_at]
@@ -206,6 +220,16 @@ class Tokens:
         return pack(self.words[words], slim(per_word), slim(at), *counts, steps(self.contexts[present]))
 
 
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and every value's place among them; they are hashed, so that only distinct ones are sorted."""
+    encoded = pa.array(values).dictionary_encode()
+    names = encoded.dictionary.to_numpy()
+    order = np.argsort(names)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return names[order], place[encoded.indices.to_numpy()]
+
+
 def steps(names: np.ndarray) -> np.ndarray:
     """Names in order as differences; ``np.cumsum`` gives them back."""
     return np.diff(names, prepend=np.uint64(0))
