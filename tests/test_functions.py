@@ -273,3 +273,29 @@ def test_consensus_of_small_and_of_hot_events_agree(spark, monkeypatch):
         out = market.consensus(df, ["game", "home_team", "away_team"])
         found.append([{k: round(v, 9) if isinstance(v, float) else v for k, v in r.items()} for r in rows(out.select(sorted(out.columns)), "game")])
     assert found[0] == found[1] and len(found[0]) == 5
+
+
+def test_consensus_of_small_events_lays_quotes_out_once(spark):
+    """Quotes move once, as slim columns; no list of an event is half filled before that, and figures are those of plain Python."""
+    from statistics import median, pstdev
+
+    from tidemark.functions import market
+
+    prices = {1: [-120.0, 105.0, -110.0], 2: [130.0, -115.0, 100.0, 100.0], None: [-101.0], 3: []}
+    quotes = [(game, "H", "A", f"b{i % 3}", "h2h", "H", None, p, None) for game, ps in prices.items() for i, p in enumerate(ps)]
+    quotes += [(game, "H", "A", None, "totals", "Over", None, -105.0 - i, 40.0 + i) for game, ps in prices.items() for i in range(len(ps))]
+    quotes += [(3, "H", "A", "b0", "h2h", "H", None, None, None)]
+    schema = "game int, home_team string, away_team string, book string, market string, outcome string, description string, price double, point double"
+    out = market.consensus(spark.createDataFrame(quotes, schema), ["game"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved, at_scan = plan.count("Exchange"), plan[plan.index("Exchange"):]
+    assert moved == 1 and "Aggregate" not in at_scan and "home_team" not in plan
+    found = {r["game"]: r for r in rows(out)}
+    assert set(found) == set(prices)
+    for game, ps in prices.items():
+        lines = [40.0 + i for i in range(len(ps))]
+        got = found[game]
+        assert got["moneyline_home"] == (median(ps) if ps else None) and got["total_line"] == (median(lines) if lines else None)
+        assert got["total_line_std"] == (pytest.approx(pstdev(lines)) if len(lines) > 1 else None)
+        assert got["moneyline_book_count"] == (min(3, len(ps)) or 1) and got["total_book_count"] == (1 if ps else None)
+        assert got["spread_line"] is None and got["spread_book_count"] is None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import attach_totals, join_on, latest_by
 from ..operators.quantiles import quantiles
-from ..operators.slices import has_hot_key, spread
+from ..operators.slices import group_sizes, spread, tasks_for
 from ..session import cut_lineage
 from .text import last_name
 
@@ -88,46 +88,58 @@ CONSENSUS = {
 BOOK_COUNTS = {"h2h": "moneyline_book_count", "spreads": "spread_book_count", "totals": "total_book_count"}
 
 
-#: Quotes of one event up to which its medians are merged in one buffer; beyond it they are ranked in slices.
+#: Quotes of one event up to which its medians are taken from lists; beyond it they are ranked in slices.
 SMALL_GROUP = 10_000
 
 
 def consensus(outcomes: DataFrame, keys: Sequence[str], home: str = "home_team", away: str = "away_team") -> DataFrame:
     """Cross-book medians, line deviations (population, two quotes at least), book counts, vig.
 
-    One narrow count finds events with more than ``SMALL_GROUP`` quotes. Where there are none, all figures come from one aggregation:
-    exact medians merge sorted (value, count) pairs of a group map-side and in one shuffle. Else quotes become long (metric,
-    value) rows whose ranks are cut in slices.
+    One narrow count finds events with more than ``SMALL_GROUP`` quotes. Where there are none, quotes are laid out by event in tasks of
+    a set number of rows and all figures come from one grouping there: exact medians are the middle of a sorted list, and no half-filled
+    buffer of an event moves between tasks. Else quotes become long (metric, value) rows whose ranks are cut in slices.
     """
     side = (
         F.when(F.col("outcome") == F.col(home), "home").when(F.col("outcome") == F.col(away), "away")
         .when(F.col("outcome") == "Over", "over").when(F.col("outcome") == "Under", "under")
     )
     priced = F.col("price").isNotNull() & ((F.col("market") == "h2h") | F.col("point").isNotNull())
-    # Parsed quotes feed the sizing pass and the figures: parse the JSON once.
-    outcomes = cut_lineage(outcomes)
-    base = outcomes.withColumn("_side", side)
+    # Parsed quotes feed the sizing pass and the figures: parse the JSON once, and write only what both read.
+    read = [c for c in ("market", "book", "price", "point") if c not in keys]
+    quotes = cut_lineage(outcomes.select(*keys, *read, side.alias("_side")))
     hits = {}
     for name, (market, wanted, field) in CONSENSUS.items():
         hit = (F.col("market") == market) & priced
         hits[name] = (hit & (F.col("_side") == wanted) if wanted else hit, field)
-    if has_hot_key(outcomes, keys, SMALL_GROUP):
-        out = _ranked_consensus(base, outcomes, keys, hits, priced)
+    count, most = group_sizes(quotes, keys)
+    if most > SMALL_GROUP:
+        out = _ranked_consensus(quotes, keys, hits, priced)
     else:
+        # Columns of their own: list aggregates interpret their argument for every row, a projection is compiled.
         values = {n: F.when(hit, F.col(field)) for n, (hit, field) in hits.items()}
-        figures = [F.percentile(v, F.lit(0.5)).alias(n) for n, v in values.items()]
-        figures += [F.when(F.count(values[n]) >= 2, F.stddev_pop(values[n])).alias(f"{n}_std") for n in ("spread_line", "total_line")]
-        named = F.col("book").isNotNull()
-        books = {n: F.size(F.collect_set(F.when((F.col("market") == m) & named, F.col("book")))) + F.max(F.when((F.col("market") == m) & ~named, 1).otherwise(0)) for m, n in BOOK_COUNTS.items()}
-        out = base.groupBy(*keys).agg(*[c.alias(n) for n, c in books.items()], *figures)
+        books = {n: F.when(F.col("market") == m, F.col("book")) for m, n in BOOK_COUNTS.items()}
+        unnamed = {f"_no_{n}": F.when((F.col("market") == m) & F.col("book").isNull(), 1).otherwise(0) for m, n in BOOK_COUNTS.items()}
+        slim = quotes.select(*keys, *[c.alias(n) for n, c in (values | books | unnamed).items()])
+        figures = [(F.size(F.collect_set(n)) + F.max(f"_no_{n}")).alias(n) for n in books]
+        figures += [F.collect_list(n).alias(n) for n in values]
+        figures += [F.when(F.count(n) >= 2, F.stddev_pop(n)).alias(f"{n}_std") for n in ("spread_line", "total_line")]
+        laid = slim.repartition(tasks_for(slim, count), *keys)
+        out = laid.groupBy(*keys).agg(*figures).withColumns({n: _middle(F.col(n)) for n in values})
     out = out.withColumns({n: F.when(F.col(n) > 0, F.col(n).cast("double")) for n in BOOK_COUNTS.values()})
     return with_market_probs(out)
 
 
-def _ranked_consensus(base: DataFrame, outcomes: DataFrame, keys: Sequence[str], hits: Mapping[str, tuple[Column, str]], priced: Column) -> DataFrame:
+def _middle(values: Column) -> Column:
+    """Median of a list without NULL; NULL for an empty one."""
+    ordered, last = F.sort_array(values), F.size(values) - 1
+    low, high = F.get(ordered, F.floor(last / 2).cast("int")), F.get(ordered, F.ceil(last / 2).cast("int"))
+    return 0.5 * low + 0.5 * high
+
+
+def _ranked_consensus(quotes: DataFrame, keys: Sequence[str], hits: Mapping[str, tuple[Column, str]], priced: Column) -> DataFrame:
     """The figures of events of any size."""
     picks = [F.when(hit, F.struct(F.lit(n).alias("metric"), F.col(field).alias("value"))) for n, (hit, field) in hits.items()]
-    long = base.where(priced).select(*keys, F.explode(F.array_compact(F.array(*picks))).alias("_q")).select(*keys, "_q.metric", "_q.value")
+    long = quotes.where(priced).select(*keys, F.explode(F.array_compact(F.array(*picks))).alias("_q")).select(*keys, "_q.metric", "_q.value")
     medians = quantiles(long, [*keys, "metric"], "value", {"mid": 0.5})
     wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == n, F.col("mid"))).alias(n) for n in CONSENSUS])
     lines = ("spread_line", "total_line")
@@ -137,7 +149,7 @@ def _ranked_consensus(base: DataFrame, outcomes: DataFrame, keys: Sequence[str],
     )
     wide = join_on(wide, spreads, list(keys))
     # Distinct books by a first grouping: several distinct counts would copy every row per count.
-    listed = outcomes.groupBy(*keys, "market", "book").agg(F.count(F.lit(1)).alias("_n"))
+    listed = quotes.groupBy(*keys, "market", "book").agg(F.count(F.lit(1)).alias("_n"))
     books = listed.groupBy(*keys).agg(*[F.sum(F.when(F.col("market") == m, 1).otherwise(0)).alias(n) for m, n in BOOK_COUNTS.items()])
     return join_on(books, wide, list(keys))
 

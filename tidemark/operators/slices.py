@@ -98,10 +98,16 @@ def dealt(df: DataFrame, keys: str | Sequence[str], weight: float = 1.0) -> Data
 
     A grouping's own shuffle is cut by compressed bytes, of which a task's table of groups may be a large multiple.
     """
-    size = df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
-    if (size["most"] or 0) > _floor(df, None):
+    rows, most = group_sizes(df, keys)
+    if most > _floor(df, None):
         return df
-    return df.repartition(tasks_for(df, (size["rows"] or 0) * weight), *as_list(keys))
+    return df.repartition(tasks_for(df, rows * weight), *as_list(keys))
+
+
+def group_sizes(df: DataFrame, keys: str | Sequence[str]) -> tuple[int, int]:
+    """Rows of ``df`` and of its largest group. One narrow, map-side combined count."""
+    size = df.groupBy(*as_list(keys)).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
+    return size["rows"] or 0, size["most"] or 0
 
 
 def tasks_for(df: DataFrame, rows: float) -> int:
