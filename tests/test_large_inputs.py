@@ -54,6 +54,21 @@ def test_players_of_sides_move_only_the_sides(spark):
     assert shuffles(found) == 1
 
 
+def test_values_of_a_game_are_counted_in_one_aggregate(spark, monkeypatch):
+    sides = spark.createDataFrame([(g, w, t) for g in range(6) for w in (1, 2) for t in ("A", "B")] + [(None, 1, "A"), (9, None, "A"), (9, 1, "C"), (3, 1, "A"), (3, 1, None)], "game_id long, week int, team string")
+    roster = spark.createDataFrame([(1, "A", p) for p in range(5)] + [(2, "A", 1), (2, "B", 1), (1, "B", 9), (None, "A", 7), (1, "A", 1), (1, "A", None)], "week int, team string, player_id long")
+    joined = sides.join(roster, ["week", "team"])
+    wanted = joined.groupBy("player_id", "game_id").agg(F.min("team").alias("team"), F.countDistinct("team").alias("sides"))
+    for bits, passes in ((63, 2), (3, 4)):
+        monkeypatch.setattr(FP, "BITS", bits)
+        made = FP.players_of_sides(sides, roster, ["week", "team"], counted="team")
+        assert sorted(map(str, made.select(*joined.columns).collect())) == sorted(map(str, joined.collect()))
+        found = made.groupBy("player_id", "game_id").agg(F.min("team").alias("team"), FP.distinct_of_game(made, "team").alias("sides"))
+        assert found.schema == wanted.schema and sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+        after = physical(found).split("== Initial Plan ==")[0].split("Generate")[0]
+        assert after.count("Aggregate") == passes and shuffles(found) == 1
+
+
 def test_groupings_follow_one_bounded_layout(spark, monkeypatch):
     monkeypatch.setattr(slices, "TASK_ROWS", 100)
     df = spark.range(1000).select((F.col("id") % 40).alias("e"), (F.col("id") % 7).alias("d"), F.col("id").cast("double").alias("v"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.cutoff import CutoffPolicy, with_horizons
@@ -22,7 +22,7 @@ from ..operators.asof import asof_join
 from ..operators.grains import context_history, context_totals, entity_totals, lagged_means
 from ..operators.keys import as_list, join_on, latest_by, nz, seconds_between
 from ..operators.prior import event_rate_history, last_rows, prior_rows, rolling_ratios
-from ..operators.slices import tasks_for
+from ..operators.slices import group_sizes, tasks_for
 from ..schema import union_relaxed
 from ..session import cut_lineage
 
@@ -78,20 +78,39 @@ LEAST_SUPPORT = 4
 
 #: Roster rows up to which a roster is sent to all tasks.
 BROADCAST_ROSTER = 4_000_000
+#: Column of a row's bit among the values of its game, and how many values have one.
+BIT, BITS = "_bit", 63
 
 
-def players_of_sides(sides: DataFrame, roster: DataFrame, on: Sequence[str], game: str = "game_id") -> DataFrame:
+def players_of_sides(sides: DataFrame, roster: DataFrame, on: Sequence[str], game: str = "game_id", counted: str | None = None) -> DataFrame:
     """Every side of a game with each player of its roster, laid out by game.
 
     There are many times more rows than sides, so the sides are moved, in tasks by the number of rows they become, and the roster is
-    sent to them; what is then grouped by game and player is not moved again. Larger rosters meet the sides in an ordinary join.
+    sent to them, a list of players for each of its groups; what is then grouped by game and player is not moved again. Larger rosters meet the
+    sides in an ordinary join.
+
+    ``counted`` is a column of the sides that is counted per player and game by ``distinct_of_game``. Each of its values in a game is
+    given a bit where the rows are still sides, so that the many rows of players need only one aggregate; games of more sides
+    than ``BITS`` go without.
     """
     sides, roster = cut_lineage(sides), cut_lineage(roster)
     members, groups = roster.count(), roster.select(*on).distinct().count()
     if members > BROADCAST_ROSTER:
         return sides.join(roster, list(on), "inner")
-    tasks = tasks_for(sides, sides.count() * members / max(1, groups))
-    return sides.repartition(tasks, game).join(F.broadcast(roster), list(on), "inner")
+    rows, most = group_sizes(sides, game)
+    laid = sides.repartition(tasks_for(sides, rows * members / max(1, groups)), game)
+    if counted is not None and most <= BITS:
+        laid = laid.withColumn(BIT, F.dense_rank().over(Window.partitionBy(game).orderBy(counted)))
+        laid = laid.withColumn(BIT, F.when(F.col(counted).isNotNull(), F.expr(f"shiftleft(1L, {BIT} - 1)")))
+    own = [c for c in roster.columns if c not in on]
+    lists = cut_lineage(roster.groupBy(*on).agg(F.collect_list(F.struct(*own)).alias("_players")))
+    kept = [c for c in laid.columns if c not in on]
+    return laid.join(F.broadcast(lists), list(on), "inner").select(*on, *kept, F.inline("_players"))
+
+
+def distinct_of_game(rows: DataFrame, counted: str) -> Column:
+    """Number of distinct ``counted`` in a grouping of ``players_of_sides`` within a game: by their bits where they were given."""
+    return F.bit_count(F.coalesce(F.bit_or(BIT), F.lit(0).cast("bigint"))).cast("bigint") if BIT in rows.columns else F.countDistinct(counted)
 
 
 def rolled_ratios(players: DataFrame, stats: Sequence[str], contexts: Mapping[str, Sequence[str]], entity: str, day: str, windows: Sequence[int], season: str) -> DataFrame:

@@ -222,8 +222,8 @@ def _player_scaffold(t) -> DataFrame:
         {"status": F.expr("CASE player_id % 5 WHEN 0 THEN 'IR-R' WHEN 1 THEN 'CUT' ELSE 'ACT' END"), "injury_game_designation": F.expr("CASE WHEN player_id % 7 = 0 THEN 'Doubtful' END")}
     )
     roster = roster.where(injuries.eligible(roster)).select("season", "week", "team", "player_id").distinct()
-    rows = FP.players_of_sides(travel.team_rows(games), roster, ["season", "week", "team"])
-    return rows.groupBy("player_id", "game_id").agg(F.min("team").alias("team"), F.countDistinct("team").alias("sides"))
+    rows = FP.players_of_sides(travel.team_rows(games), roster, ["season", "week", "team"], counted="team")
+    return rows.groupBy("player_id", "game_id").agg(F.min("team").alias("team"), FP.distinct_of_game(rows, "team").alias("sides"))
 
 
 # --- as-of metadata ----------------------------------------------------------------------------------
