@@ -63,6 +63,47 @@ def test_player_stages_move_no_row_again(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_")]
 
 
+def test_games_of_a_player_are_summed_without_sorting_drives(spark):
+    rng = random.Random(5)
+    data = [(2020, rng.randint(1, 2), rng.choice([None, 1, 2, 3]), None, rng.choice("ab"), None, rng.choice([None, 7, 8]), rng.choice([None, "A", "B"]), rng.choice(["X", "Y"]), rng.randint(0, 1), rng.choice([None, 2.0]), rng.randint(0, 1)) for _ in range(300)]
+    drives = spark.createDataFrame(data, "season int, week int, game_id long, game_date date, player_id string, player_name string, drive long, team string, opponent string, target long, receiving_yards double, touchdowns long")
+    for rows in (drives, drives.drop("drive")):
+        wanted = {}
+        for r in rows.collect():
+            wanted.setdefault((r["week"], r["game_id"], r["player_id"]), []).append(r)
+        found = {(r["week"], r["game_id"], r["player_id"]): r for r in M.player_games(rows).collect()}
+        assert found.keys() == wanted.keys()
+        least = lambda of, c: min((r[c] for r in of if r[c] is not None), default=None)
+        for k, of in wanted.items():
+            got, yards = found[k], [r["receiving_yards"] for r in of if r["receiving_yards"] is not None]
+            assert [got["team"], got["opponent"], got["target"], got["touchdowns"]] == [least(of, "team"), least(of, "opponent"), sum(r["target"] for r in of), sum(r["touchdowns"] for r in of)]
+            assert got["receiving_yards"] == (sum(yards) if yards else None)
+            if "drive" in rows.columns:
+                by = {d: [r for r in of if r["drive"] == d] for d in {r["drive"] for r in of}}
+                assert [got["drive_count"], got["drive_touch_drives"], got["drive_td_drives"]] == [len(by), *[sum(any(r[c] for r in x) for x in by.values()) for c in ("target", "touchdowns")]]
+    lines = M.player_games(drives)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert [("partial_min(team" in x) for x in lines if "Aggregate(" in x and "min(team" in x] == [False, True]
+    assert not any("SortAggregate" in x and "drive" in x.split("functions=")[0] for x in lines)
+
+
+def test_plays_by_game_become_drives_and_games_in_place(spark, sf, monkeypatch, hot):
+    monkeypatch.setattr(M, "BUCKET_ROWS", 4000)
+    spark.conf.set("spark.tidemark.hot.floor", "2000000")
+    plays = Q.feeds(Tables(spark, sf)).plays
+    drives = M.player_drives(plays)
+    buckets = M.buckets_of(drives, "game_id")
+    assert buckets and buckets > int(spark.conf.get("spark.sql.shuffle.partitions")) and not exchanges(drives)
+    grain = M.write_grain(drives, "test_drive", "game_id")
+    assert M.buckets_of(grain.groupBy("game_id", "drive").count(), "game_id") == buckets
+    assert not exchanges(M.player_games(grain))
+    # A hot game stays spread, with the same rows.
+    spark.conf.set("spark.tidemark.hot.floor", "1")
+    spread = Q.feeds(Tables(spark, sf)).plays
+    assert M.buckets_of(M.player_drives(spread), "game_id") is None
+    assert spread.exceptAll(plays).isEmpty() and plays.exceptAll(spread).isEmpty()
+    M.drop_grains(spark)
+
+
 def test_matrix_is_guarded_and_has_every_stage(spark, sf, tmp_path):
     from tidemark.functions.cutoff import CutoffPolicy
 

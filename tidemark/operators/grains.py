@@ -73,7 +73,7 @@ def explode_roles(plays: DataFrame, keep: Sequence[str], roles: Sequence[str], m
             entry = F.struct(F.col(f"{role}_player_id").alias("player_id"), name.alias("player_name"), *_role_measures(have, role, measures))
             entries.append(F.when(F.col(f"{role}_player_id").isNotNull(), entry))
     kept = [c for c in keep if c in have]
-    out = plays.select(*kept, F.explode(F.array_compact(F.array(*entries))).alias("_r"))
+    out = plays.select(*kept, F.explode(F.array(*entries)).alias("_r")).where(F.col("_r").isNotNull())
     return out.select(*kept, "_r.*")
 
 

@@ -82,6 +82,11 @@ def _floor(df: DataFrame, floor: int | None) -> int:
     return int(floor if floor is not None else df.sparkSession.conf.get(FLOOR_CONF, str(DEFAULT_FLOOR)))
 
 
+def hot_floor(df: DataFrame) -> int:
+    """Rows beyond which a key is hot."""
+    return _floor(df, None)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], floor: int | None = None) -> tuple[list, float] | None:
     """Rows (key columns and ``_n``) of the keys with more than ``floor`` rows, and that number; None when
     there are none. One narrow, map-side combined count."""

@@ -1,18 +1,20 @@
 """The feature matrix as a graph of stages.
 
-Five grains are written once, each laid out by the key that the stages above it work by:
+Six grains are written once, each laid out by the key that the stages above it work by:
 
 ======================  ====================================  =====================================================
 grain                   key it is bucketed by                 made from
 ======================  ====================================  =====================================================
-``player_drive``        player                                plays, exploded to roles and summed
+``player_drive``        game                                  plays, exploded to roles and summed
+``games``               player                                drives, summed in place
 ``snaps`` (optional)    player                                the participation feed
-``player_game``         player                                drives, snaps, positions: windows over a player's games
+``player_game``         player                                games, snaps, positions: windows over a player's games
 ``game_feeds``          game                                  schedule and side feeds, all as of the cutoff
 ``sides``               game                                  team and opponent of a game with their histories
 ======================  ====================================  =====================================================
 
-A table bucketed by player serves every grouping, window and join whose keys include the player without moving rows
+Plays that come laid out by game (``laid_out``) are summed to drives and games without a move; only a player's games are then moved to
+their player. A table bucketed by player serves every grouping, window and join whose keys include the player without moving rows
 again, so all player stages (three rolling contexts, drive, catch, air-yard, snap and alignment history) run in place on
 one table: no stage has a join back to its rows. Everything about a team, an opponent or a game is gathered on the far
 smaller grain of game sides, also the rates by position, as a map in the side's row. Player rows then move once more, to
@@ -25,6 +27,7 @@ sets for the session.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
@@ -46,7 +49,8 @@ from ..operators.grains import (
 )
 from ..operators.keys import join_on
 from ..operators.prior import event_rate_history
-from ..session import shared_folder
+from ..operators.slices import group_sizes, hot_floor
+from ..session import cut_lineage, shared_folder
 from .asof_metadata import SNAPSHOTS, build_asof_metadata
 from .features import CONTEXTS, LEAST_SUPPORT, ROLLED, pre_snap_history, snap_history
 
@@ -89,13 +93,33 @@ def write_grain(df: DataFrame, name: str, key: str, rows: int | None = None, ord
     """Write ``df`` bucketed by ``key`` into the shared folder and read it back; one move of its rows, none if ``df`` is laid out so already."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // BUCKET_ROWS))
+    buckets = buckets_of(df, key) or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // BUCKET_ROWS))
     table = f"tidemark_{name}_{uuid.uuid4().hex}"
     laid = df.repartition(buckets, key)
     laid.write.format("parquet").bucketBy(buckets, key).sortBy(key, *order).option("path", shared_folder(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 
+def buckets_of(df: DataFrame, key: str) -> int | None:
+    """Tasks of ``df`` if its rows lie by hash of ``key``: a hint that spares a move, never for results."""
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+    except AttributeError:
+        return None
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    found = re.fullmatch(rf"hashpartitioning\({re.escape(key)}#\d+L?, (\d+)\)", plan.outputPartitioning().toString())
+    return int(found[1]) if found else None
+
+
+def laid_out(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written once, by ``key`` in buckets of a quarter of ``BUCKET_ROWS``: what is grouped by it and more keys, which may be many
+    wide groups, follows without another move. With a hot key rows stay as they come. One narrow count."""
+    rows, most = group_sizes(df, key)
+    if most > hot_floor(df):
+        return cut_lineage(df)
+    return write_grain(df, name, key, rows=4 * rows)
+
+
 def drop_grains(spark: SparkSession) -> None:
     """Forget the grains of this session's catalog; their files stay with the shared folder."""
     for table in spark.catalog.listTables():
@@ -117,23 +141,31 @@ def player_drives(plays: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
     measures += [n for n, needs in extras.items() if needs <= have]
     keys = [c for c in ("season", "week", GAME, "game_date", "drive") if c in have]
     rows = explode_roles(plays, [*keys, "posteam", "defteam"], roles, measures)
-    # Map-side sums first, then one move to the player's bucket.
+    # Where plays lie by game, in place; else map-side sums first.
     return rows.groupBy(*keys, PLAYER, "player_name", F.col("posteam").alias("team"), F.col("defteam").alias("opponent")).agg(*[F.sum(n).alias(n) for n in measures])
 
 
 def player_games(drives: DataFrame) -> DataFrame:
-    """Games of a player from drives that are bucketed by player, with the drive counts of the game."""
+    """Games of a player from drives that are bucketed by player or game, with the drive counts of the game."""
     fixed = {"season", "week", GAME, "game_date", "drive", PLAYER, "player_name", "team", "opponent"}
     measures = [c for c in drives.columns if c not in fixed]
-    if "drive" in drives.columns:
-        drives = drives.groupBy("season", "week", GAME, "game_date", PLAYER, "player_name", "drive").agg(*[F.sum(m).alias(m) for m in measures], F.min("team").alias("team"), F.min("opponent").alias("opponent"))
-        drives = drives.withColumnRenamed("touchdowns", "touchdown") if "touchdowns" in measures else drives
-        made = drive_measures(drives)
-    else:
-        made = {}
-    sums = [F.sum("touchdown" if m == "touchdowns" and "drive" in drives.columns else m).alias(m) for m in measures]
     grain = ["season", "week", GAME, "game_date", PLAYER, "player_name"]
-    return drives.groupBy(*grain).agg(*sums, F.min("team").alias("team"), F.min("opponent").alias("opponent"), *[c.alias(n) for n, c in made.items()])
+    # A minimum of text cannot live in a hash aggregate and would sort all drives. So each row comes twice, once for its sums and once for its
+    # team and opponent; both are summed by hash, and the text is compared among the few rows of a game.
+    text = ["team", "opponent"]
+    drive = ["drive"] if "drive" in drives.columns else []
+    none = lambda names: [F.lit(None).cast(drives.schema[n].dataType).alias(n) for n in names]
+    uses = F.array(F.struct(F.lit(True).alias("_sums"), *drive, *none(text)), F.struct(F.lit(False).alias("_sums"), *none(drive), *text))
+    rows = drives.select(*grain, *measures, F.explode(uses).alias("_u")).select(*grain, *measures, "_u.*")
+    made = {}
+    if drive:
+        rows = rows.groupBy(*grain, "_sums", *drive, *text).agg(*[F.sum(m).alias(m) for m in measures])
+        rows = rows.withColumnRenamed("touchdowns", "touchdown") if "touchdowns" in measures else rows
+        made = drive_measures(rows)
+    sums = [F.sum("touchdown" if m == "touchdowns" and drive else m).alias(m) for m in measures]
+    games = rows.groupBy(*grain, "_sums", *text).agg(*sums, *[c.alias(n) for n, c in made.items()])
+    held = {m: F.max(F.when(F.col("_sums"), F.col(m))).alias(m) for m in (*measures, *made)}
+    return games.groupBy(*grain).agg(*[held[m] for m in measures], *[F.min(c).alias(c) for c in text], *[held[m] for m in made])
 
 
 def rolling_in_place(players: DataFrame, stats: Sequence[str] = ROLLED, contexts: Mapping[str, Sequence[str]] = CONTEXTS, entity: str = PLAYER, day: str = "game_date", windows: Sequence[int] = (1, 3, 5), season: str = "season") -> DataFrame:
@@ -162,9 +194,8 @@ def rolling_in_place(players: DataFrame, stats: Sequence[str] = ROLLED, contexts
 
 def player_stage(feeds: Feeds, label_version: str) -> DataFrame:
     """All features of a player's own history, written by player."""
-    drives = player_drives(feeds.plays)
-    drives = write_grain(drives, "player_drive", PLAYER, order=["game_date"])
-    games = with_labels(player_games(drives), label_version)
+    drives = write_grain(player_drives(feeds.plays), "player_drive", GAME)
+    games = with_labels(write_grain(player_games(drives), "games", PLAYER, order=["game_date"]), label_version)
     for name, extra in (("snaps", feeds.snaps), ("alignment", feeds.alignment)):
         if extra is not None:
             held = write_grain(extra.withColumnRenamed(PLAYER, f"_{PLAYER}").withColumnRenamed(GAME, f"_{GAME}"), name, f"_{PLAYER}")
@@ -258,13 +289,13 @@ def feed_stage(feeds: Feeds, policy: CutoffPolicy, hours: float, audit_path: str
     """One row per game: its cutoff, what was known by then, and lines and forecast as of the cutoff."""
     lead = replace(policy, default=hours, by_season_type=None)
     meta = build_asof_metadata(feeds.schedule, feeds.injuries, feeds.rosters, feeds.odds, feeds.forecasts, lead, start=feeds.start)
-    meta = guard_snapshots(meta, [s for s in SNAPSHOTS if s in meta.columns], "cutoff_ts", audit_path)
-    out = meta
+    # One row per game, made from whole feeds: written before each join that reads it several times.
+    out = cut_lineage(guard_snapshots(meta, [s for s in SNAPSHOTS if s in meta.columns], "cutoff_ts", audit_path))
     if feeds.odds is not None:
         lines = [c for c in feeds.odds.columns if c not in (GAME, "odds_snapshot_ts")]
         if lines:
             odds = feeds.odds.select(GAME, F.col("odds_snapshot_ts").alias("_line_ts"), *lines)
-            out = asof_join(out, odds, GAME, "cutoff_ts", "_line_ts", lines)
+            out = cut_lineage(asof_join(out, odds, GAME, "cutoff_ts", "_line_ts", lines))
     if feeds.forecasts is not None and {"temp_f", "wind_speed_mph", "precip_probability_pct"} <= set(feeds.forecasts.columns):
         out = attach_forecast(out, feeds.forecasts, "cutoff_ts", GAME)
         venue = [c for c in ("roof",) if c in feeds.schedule.columns]

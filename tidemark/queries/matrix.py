@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,24 +55,26 @@ def _columns(pairs: dict[str, str]) -> str:
 
 def feeds(t) -> M.Feeds:
     """Plays, schedule, snaps, positions and side feeds."""
-    # Every stage and side feed reads the joined rows: they are joined once.
-    held = cut_lineage(t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")))
-    plays = held.selectExpr(*[f"{e} AS {n}" for n, e in GAME_PLAYS.items()])
+    # Every stage and side feed reads the joined rows, most by game: they are joined and laid out by game once.
+    used = sorted(set(re.findall(r"\b[lo]_\w+", " ".join([*GAMES.values(), *GAME_PLAYS.values(), *FEED_TIMES.values(), *LINES.values(), *FORECAST.values()]))))
+    joined = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(f"{GAMES['game_id']} AS game_id", *used)
+    held = M.laid_out(joined, "plays", M.GAME)
+    plays = held.selectExpr("game_id", *[f"{e} AS {n}" for n, e in GAME_PLAYS.items() if n != "game_id"])
     for step in (P.with_role_indicators, P.with_masked_yards, P.with_credit, P.with_zone_usage):
         plays = plays.transform(step)
-    people = plays.select(F.explode(F.array_compact(F.array("rusher_player_id", "receiver_player_id", "passer_player_id"))).alias("player_id"), "game_id")
+    people = plays.select(F.explode(F.array("rusher_player_id", "receiver_player_id", "passer_player_id")).alias("player_id"), "game_id").where(F.col("player_id").isNotNull())
     snaps = people.groupBy("game_id", "player_id").agg((F.count(F.lit(1)) / 4).alias("offense_pct"))
     kind = F.substring("player_id", 1, 1)
     positions = people.select("player_id").distinct().withColumn("position", F.when(kind == "R", "RB").when(kind == "P", "QB").otherwise("WR"))
 
     def feed(name: str, more: dict[str, str]) -> DataFrame:
-        return held.selectExpr(f"{GAMES['game_id']} AS game_id", f"{FEED_TIMES[name]} AS {name}", *[f"{e} AS {n}" for n, e in more.items()])
+        return held.selectExpr("game_id", f"{FEED_TIMES[name]} AS {name}", *[f"{e} AS {n}" for n, e in more.items()])
 
     # One forecast for each game and time.
     forecasts = feed("forecast_generated_ts", FORECAST).groupBy("game_id", "forecast_generated_ts").agg(*[F.max(n).alias(n) for n in FORECAST])
     return M.Feeds(
-        plays, t.orders.selectExpr(*[f"{e} AS {n}" for n, e in GAMES.items()]).distinct(), positions, snaps,
-        injuries=feed("reported_at", {}), odds=feed("odds_snapshot_ts", LINES), forecasts=forecasts,
+        plays, cut_lineage(t.orders.selectExpr(*[f"{e} AS {n}" for n, e in GAMES.items()]).distinct()), positions, snaps,
+        injuries=feed("reported_at", {}), odds=feed("odds_snapshot_ts", LINES), forecasts=M.write_grain(forecasts, "forecasts", M.GAME),
     )
 
 
