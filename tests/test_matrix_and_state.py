@@ -104,6 +104,22 @@ def test_plays_by_game_become_drives_and_games_in_place(spark, sf, monkeypatch,
     M.drop_grains(spark)
 
 
+def test_few_games_lie_in_few_buckets(spark, sf, monkeypatch):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = spark.sparkContext.defaultParallelism
+    laid = {}
+    keep = M.write_grain
+    monkeypatch.setattr(M, "write_grain", lambda df, name, key, *a, **k: laid.setdefault(name, (keep(df, name, key, *a, **k), k.get("buckets")))[0])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(4 * cores))
+        M.player_stage(Q.feeds(Tables(spark, sf)), "v1_any_offense")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert {n: b for n, (_, b) in laid.items() if n in ("games", "snaps", "positions", "player_game")} == {n: cores for n in ("games", "snaps", "positions", "player_game")}
+    assert laid["player_game"][0].count() == laid["games"][0].count() > 0
+    M.drop_grains(spark)
+
+
 def test_matrix_is_guarded_and_has_every_stage(spark, sf, tmp_path):
     from tidemark.functions.cutoff import CutoffPolicy
 

@@ -57,6 +57,8 @@ from .features import CONTEXTS, LEAST_SUPPORT, ROLLED, pre_snap_history, snap_hi
 PLAYER, GAME = "player_id", "game_id"
 #: Rows for which a grain gets another bucket.
 BUCKET_ROWS = 1_000_000
+#: Rows of a player's games below which a task spends more time on making its many windows than on the rows.
+WINDOW_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -89,17 +91,22 @@ class Stages:
     game_feeds: DataFrame
 
 
-def write_grain(df: DataFrame, name: str, key: str, rows: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+def write_grain(df: DataFrame, name: str, key: str, rows: int | None = None, order: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Write ``df`` bucketed by ``key`` into the shared folder and read it back; one move of its rows, none if ``df`` is laid out so already."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    buckets = buckets_of(df, key) or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // BUCKET_ROWS))
+    buckets = buckets or buckets_of(df, key) or most_buckets(spark, rows or 0)
     table = f"tidemark_{name}_{uuid.uuid4().hex}"
     laid = df.repartition(buckets, key)
     laid.write.format("parquet").bucketBy(buckets, key).sortBy(key, *order).option("path", shared_folder(spark, name)).saveAsTable(table)
     return spark.table(table)
 
 
+def most_buckets(spark: SparkSession, rows: int) -> int:
+    """Buckets of a grain: one for each partition of a shuffle, more for many rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
 def buckets_of(df: DataFrame, key: str) -> int | None:
     """Tasks of ``df`` if its rows lie by hash of ``key``: a hint that spares a move, never for results."""
     try:
@@ -195,13 +202,16 @@ def rolling_in_place(players: DataFrame, stats: Sequence[str] = ROLLED, contexts
 def player_stage(feeds: Feeds, label_version: str) -> DataFrame:
     """All features of a player's own history, written by player."""
     drives = write_grain(player_drives(feeds.plays), "player_drive", GAME)
-    games = with_labels(write_grain(player_games(drives), "games", PLAYER, order=["game_date"]), label_version)
+    games = cut_lineage(player_games(drives))
+    spark, rows = games.sparkSession, games.count()
+    buckets = min(most_buckets(spark, rows), max(spark.sparkContext.defaultParallelism, -(-rows // WINDOW_ROWS)))
+    games = with_labels(write_grain(games, "games", PLAYER, order=["game_date"], buckets=buckets), label_version)
     for name, extra in (("snaps", feeds.snaps), ("alignment", feeds.alignment)):
         if extra is not None:
-            held = write_grain(extra.withColumnRenamed(PLAYER, f"_{PLAYER}").withColumnRenamed(GAME, f"_{GAME}"), name, f"_{PLAYER}")
+            held = write_grain(extra.withColumnRenamed(PLAYER, f"_{PLAYER}").withColumnRenamed(GAME, f"_{GAME}"), name, f"_{PLAYER}", buckets=buckets)
             games = games.join(held, (games[PLAYER] == held[f"_{PLAYER}"]) & (games[GAME] == held[f"_{GAME}"]), "left").drop(f"_{PLAYER}", f"_{GAME}")
     if feeds.positions is not None:
-        held = write_grain(feeds.positions.select(F.col(PLAYER).alias(f"_{PLAYER}"), "position"), "positions", f"_{PLAYER}")
+        held = write_grain(feeds.positions.select(F.col(PLAYER).alias(f"_{PLAYER}"), "position"), "positions", f"_{PLAYER}", buckets=buckets)
         games = games.join(held, games[PLAYER] == held[f"_{PLAYER}"], "left").drop(f"_{PLAYER}")
     out = rolling_in_place(games)
     if "drive_count" in out.columns:
@@ -217,7 +227,7 @@ def player_stage(feeds: Feeds, label_version: str) -> DataFrame:
         out = pre_snap_history(out, aligned, plan=None)
     if "position" in out.columns:
         out = with_position_group(out)
-    return write_grain(out, "player_game", PLAYER, order=["game_date"])
+    return write_grain(out, "player_game", PLAYER, order=["game_date"], buckets=buckets)
 
 
 # --- team and game stages ------------------------------------------------------------------------
